@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .compression_quality import scored
+from .language_id import predicted
+from .linear import fold
 from .mixing import mixed
 from .quality_rules import quality_verdicts
+from .secrets import described, secrets
 from .simhash import near_duplicates
 from .substring_dedup import repeated_words_removed
 from .suffix_dedup import repeated_bytes_removed
@@ -29,10 +33,29 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words_removed(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    copied = F.size(F.filter("spans", lambda s: s["copied"])).cast("long").alias("n_copied")
+    return found.select("doc_id", *counts, F.sha2(described("base"), 256).alias("base_sha256"), described("spans").alias("spans"), copied)
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
+    return predicted(docs, docs.where(~held_out)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
+    return scored(docs, labels.where(~held_out)).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents")).withColumn("outside", F.array_join("outside", ","))
 
