@@ -20,6 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .blocks import Block, blocks
 from .linear import bounded_sample, linear_svm, logistic, sigmoid
@@ -35,7 +36,7 @@ PER_CLASS = 400
 #: Hashed trigrams.
 BUCKETS = 1 << 13
 #: A score below which the pipeline's stage rejects a document.
-LEAST_SCORE = 0.05
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
 _SCALE = 30.0
 
@@ -145,32 +146,48 @@ def fit(texts: list[str], languages: list[str]) -> Hierarchy:
     return Hierarchy([machine(family, a, b) for a, b in combinations(members, 2)], {f: [machine(y, a, b) for a, b in combinations(v, 2)] for f, v in members.items()}, members)
 
 
-def predicted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
-    """lang_pred and score for each of ``docs``, learnt from the text and language of ``labelled`` alone.
+def _learnt(labelled: DataFrame, text_col: str, lang_col: str, per_class: int) -> tuple[Hierarchy | None, np.ndarray]:
+    sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = bounded_sample(sample, "lang", per_class)
+    model = fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
+    return model, np.column_stack([m.weights for m in model.machines()]) if model and model.machines() else np.zeros((BUCKETS, 0))
 
-    Returns doc_id, lang_pred, score.
+
+def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
+    """The columns of ``docs``, then _lang_pred and _score, learnt from the text and language of ``labelled`` alone.
 
     Defined cases: a null text or one without a letter is ``und`` with score
     0; so is everything where nothing is labelled; with one language learnt
     all else is that language with score 1; a text too short for a trigram
     goes by the machines' biases; repeated rows are predicted each; an empty
-    table gives none; columns other than those named are ignored.
+    table gives none; other columns are passed on as they are.
     """
-    sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    rows = bounded_sample(sample, "lang", per_class)
-    model = fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
-    weights = np.column_stack([m.weights for m in model.machines()]) if model and model.machines() else np.zeros((BUCKETS, 0))
-    held = docs.sparkSession.sparkContext.broadcast((model, weights))
+    held = docs.sparkSession.sparkContext.broadcast(_learnt(labelled, text_col, lang_col, per_class))
+    width = len(docs.columns)
 
     def predict(batches):
         model, weights = held.value
         for batch in batches:
-            letters = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False)
-            for block in blocks(batch.column(1)):
+            letters = batch.column(width + 1).fill_null(False).to_numpy(zero_copy_only=False)
+            for block in blocks(batch.column(width)):
                 letter = letters[block.first : block.first + block.rows]
                 pred, score = model.predict(means(weights, block)) if model else (np.full(block.rows, UNKNOWN, object), np.zeros(block.rows))
                 pred[~letter] = UNKNOWN
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, block.rows), pa.array(pred, pa.string()), pa.array(np.where(letter & (model is not None), score, 0.0))], names=["doc_id", "lang_pred", "score"])
+                score = np.where(letter & (model is not None), score, 0.0)
+                rows = batch.slice(block.first, block.rows)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array(pred, pa.string()), pa.array(score)], names=[*rows.schema.names[:width], "_lang_pred", "_score"])
+
+    text = F.col(text_col).cast("string")
+    schema = StructType([*docs.schema, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
+    return docs.select("*", text.alias("_text"), text.rlike(r"\p{L}").alias("_letter")).mapInArrow(predict, schema)
+
+
+def predicted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
+    """doc_id, lang_pred and score of each of ``docs``; see ``identified``."""
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return identified(read, labelled.select(F.col(text_col).alias("text"), lang_col), "text", lang_col, per_class).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
 
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(text_col).cast("string").rlike(r"\p{L}").alias("letter"))
-    return read.mapInArrow(predict, "doc_id long, lang_pred string, score double")
+def language_accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
+    """``docs`` without those whose language is not told, or told with too low a score; learnt from its own labels."""
+    return identified(docs, docs).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).drop("_lang_pred", "_score")

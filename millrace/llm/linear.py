@@ -30,15 +30,16 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int
     """
     n, share = len(y), np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
     x = np.hstack((x, np.ones((n, 1), x.dtype)))
-    w = v = np.zeros(x.shape[1])
+    y, share = y.astype(x.dtype), share.astype(x.dtype)
+    w = v = np.zeros(x.shape[1], x.dtype)
     step = 1 / (2 * np.square(x).sum(axis=1).max() + penalty)
     for k in range(rounds):
         slack = np.maximum(1 - y * (x @ v), 0)
-        grad = -2 * (share * slack * y) @ x + penalty * v
-        new = v - step * grad
-        v = new + k / (k + 3) * (new - w)
+        grad = x.dtype.type(-2) * ((share * slack * y) @ x) + x.dtype.type(penalty) * v
+        new = v - x.dtype.type(step) * grad
+        v = new + x.dtype.type(k / (k + 3)) * (new - w)
         w = new
-    return w[:-1], float(w[-1])
+    return w[:-1].astype(np.float64), float(w[-1])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -185,3 +185,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = written(rooted.join(least, F.col("root") == F.col("r")).select(F.col("fingerprint").alias("f"), "component_id"), "components")
     out = prints.join(named, F.col("fingerprint") == F.col("f"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each_group(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+    """``docs`` without the documents whose group of near-duplicates has one of smaller id; a row without doc_id stays."""
+    groups = near_duplicates(docs, radius=radius, parts=parts)
+    gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
