@@ -45,7 +45,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    counts = [F.expr(f"size(filter(base, s -> s.kind = '{k}'))").cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     copied = F.size(F.filter("spans", lambda s: s["copied"])).cast("long").alias("n_copied")
     return found.select("doc_id", *counts, F.sha2(described("base"), 256).alias("base_sha256"), described("spans").alias("spans"), copied)
 
