@@ -1,32 +1,5 @@
-"""Tables that an operator writes to cut a lineage or to use a result twice.
+"""Tables that an operator writes to cut a lineage or to use a result twice; see ``millrace.sources.shared``."""
 
-They go below the folder that the cluster names in ``spark.checkpoint.dir``,
-which the driver and all executors share, so a lost executor costs nothing.
-"""
+from ..sources.shared import shared_folder, written
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is made only where none is set, as in tests."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else None
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_folder", "written"]
