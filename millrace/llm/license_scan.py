@@ -26,7 +26,7 @@ CERTAIN = 0.5
 SHINGLE, SIMILARITY = 5, 0.8
 BUCKETS = 1 << 14
 #: Documents whose paragraphs are sampled as unknown, and paragraphs that are fitted on.
-SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 400, 4000
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 300, 1500
 
 #: Notices and key sentences of common licences (fixed values).
 TEMPLATES = {
@@ -137,12 +137,11 @@ class Classifier:
                 labels += [i] * len(pieces) * 3
         y = np.array(labels)
         code, own, size = grams(_block(texts))
-        x = np.zeros((len(texts), BUCKETS), np.float32)
-        np.add.at(x, (own, code), 1)
-        x /= np.sqrt(np.maximum(3 * size, 1))[:, None]
+        value = (1 / np.sqrt(np.maximum(3 * size, 1)))[own]
         held = np.arange(len(y)) % 5 == 4
-        self.weights, self.bias = _softmax_fit(x[~held], y[~held], len(self.families))
-        z = x[held] @ self.weights + self.bias
+        fitted = ~held[own]
+        self.weights, self.bias = _softmax_fit(code[fitted], own[fitted], value[fitted], y, ~held, len(self.families))
+        z = _scores(code, own, value, len(y), self.weights)[held] + self.bias
         self.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean())
 
     def predict(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -163,10 +162,8 @@ class Classifier:
         return family, sure
 
     def _judge(self, rows: int, code: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = np.zeros((rows, len(self.families)))
-        for k in range(len(self.families)):
-            z[:, k] = np.bincount(own, self.weights[code, k], minlength=rows)
-        p = _softmax((z / np.sqrt(np.maximum(3 * size, 1))[:, None] + self.bias) / self.temperature)
+        z = _scores(code, own, np.ones(len(code)), rows, self.weights) / np.sqrt(np.maximum(3 * size, 1))[:, None]
+        p = _softmax((z + self.bias) / self.temperature)
         best = p.argmax(axis=1)
         sure = p[np.arange(len(p)), best]
         return np.where((sure >= CERTAIN) & (size > 0), best, 0), sure
@@ -199,22 +196,24 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _softmax_fit(x: np.ndarray, y: np.ndarray, classes: int, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
-    """Logistic regression by accelerated gradient over the columns that occur; all classes count alike."""
-    used = np.flatnonzero(x.any(axis=0))
-    x = np.hstack((x[:, used], np.ones((len(x), 1), np.float32)))
-    share = (1 / np.maximum(np.bincount(y, minlength=classes), 1))[y]
-    share = share / share.sum()
+def _scores(code: np.ndarray, own: np.ndarray, value: np.ndarray, rows: int, weights: np.ndarray) -> np.ndarray:
+    """Sum of the weights of each row's grams, for each class."""
+    return np.column_stack([np.bincount(own, weights[code, k] * value, minlength=rows) for k in range(weights.shape[1])])
+
+
+def _softmax_fit(code: np.ndarray, own: np.ndarray, value: np.ndarray, y: np.ndarray, rows: np.ndarray, classes: int, penalty: float = 1e-4, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+    """Logistic regression over sparse rows by accelerated gradient; all classes count alike. ``rows`` marks those that are fitted on."""
+    share = np.where(rows, (1 / np.maximum(np.bincount(y[rows], minlength=classes), 1))[y], 0.0)
+    share = (share / share.sum())[:, None]
     goal = np.eye(classes)[y]
-    w = v = np.zeros((x.shape[1], classes))
+    w = v = np.zeros((BUCKETS + 1, classes))
     for k in range(rounds):
-        grad = x.T @ ((_softmax(x @ v) - goal) * share[:, None]) + penalty * v
-        new = v - 1.0 * grad
+        error = (_softmax(_scores(code, own, value, len(y), v[:-1]) + v[-1]) - goal) * share
+        grad = np.vstack([np.column_stack([np.bincount(code, error[own, j] * value, minlength=BUCKETS) for j in range(classes)]), error.sum(axis=0)])
+        new = v - 4.0 * (grad + penalty * v)
         v = new + k / (k + 3) * (new - w)
         w = new
-    full = np.zeros((BUCKETS, classes), np.float32)
-    full[used] = w[:-1]
-    return full, w[-1]
+    return w[:-1], w[-1]
 
 
 def _sample(docs: DataFrame) -> list[str]:
