@@ -83,9 +83,10 @@ class Index:
         self.bound = np.array([max(v) for v in self.blocks])
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.shingles, self.question, self.answer = [], [], []
+        self.size, self.shingles, self.question, self.answer = [], [], [], []
         for (_, text), w in zip(items, words, strict=True):
-            self.shingles.append(_shingles(w))
+            self.size.append(min(SHINGLE, len(w)))
+            self.shingles.append(ngrams(w, self.size[-1]))
             cut = self._answer_at(text, len(w))
             self.question.append(slice(0, cut))
             self.answer.append(slice(cut, len(w)))
@@ -153,20 +154,16 @@ class Index:
 
     def verified(self, item: int, words: np.ndarray, similarity: float) -> tuple[float, float, float] | None:
         """Shares of the item's shingles, question and answer in the passage, if they are enough."""
-        own = self.shingles[item]
-        hit = np.isin(own, _shingles(words))
+        own, size = self.shingles[item], self.size[item]
+        hit = np.isin(own, ngrams(words, size))
         overlap = float(hit.mean())
-        inside = np.zeros(len(own) + SHINGLE - 1, bool)
-        for j in range(SHINGLE):
+        inside = np.zeros(len(own) + size - 1, bool)
+        for j in range(size):
             inside[j : j + len(own)] |= hit
         question, answer = (float(inside[p].mean()) if inside[p].size else 1.0 for p in (self.question[item], self.answer[item]))
         return (overlap, question, answer) if overlap >= similarity - _EPS and min(question, answer) >= PART else None
 
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    return ngrams(words, SHINGLE) if len(words) >= SHINGLE else ngrams(words, max(len(words), 1))
-
-
 _FOUND = "doc_id long, item_id long, passage long, score double, overlap double, question double, answer double"
 
 
@@ -233,4 +230,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """``docs`` without the documents that hold a test item."""
     bad = written(contaminated(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")

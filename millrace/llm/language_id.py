@@ -24,6 +24,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .blocks import Block, blocks
 from .linear import bounded_sample, linear_svm, logistic, sigmoid
+from .scratch import free_names
 
 #: Families of languages by code; a language that is not here is a family of its own.
 FAMILIES = {
@@ -154,7 +155,7 @@ def _learnt(labelled: DataFrame, text_col: str, lang_col: str, per_class: int) -
 
 
 def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
-    """The columns of ``docs``, then _lang_pred and _score, learnt from the text and language of ``labelled`` alone.
+    """The columns of ``docs``, then the predicted language and its score, learnt from the text and language of ``labelled`` alone.
 
     Defined cases: a null text or one without a letter is ``und`` with score
     0; so is everything where nothing is labelled; with one language learnt
@@ -164,6 +165,8 @@ def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lan
     """
     held = docs.sparkSession.sparkContext.broadcast(_learnt(labelled, text_col, lang_col, per_class))
     width = len(docs.columns)
+    text_name, letter_name, *new = free_names(docs, "_text", "_letter", "_lang_pred", "_score")
+    out = StructType([*docs.schema, StructField(new[0], StringType()), StructField(new[1], DoubleType())])
 
     def predict(batches):
         model, weights = held.value
@@ -175,11 +178,10 @@ def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lan
                 pred[~letter] = UNKNOWN
                 score = np.where(letter & (model is not None), score, 0.0)
                 rows = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array(pred, pa.string()), pa.array(score)], names=[*rows.schema.names[:width], "_lang_pred", "_score"])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array(pred, pa.string()), pa.array(score)], names=out.names)
 
     text = F.col(text_col).cast("string")
-    schema = StructType([*docs.schema, StructField("_lang_pred", StringType()), StructField("_score", DoubleType())])
-    return docs.select("*", text.alias("_text"), text.rlike(r"\p{L}").alias("_letter")).mapInArrow(predict, schema)
+    return docs.select("*", text.alias(text_name), text.rlike(r"\p{L}").alias(letter_name)).mapInArrow(predict, out)
 
 
 def predicted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
@@ -190,4 +192,6 @@ def predicted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text
 
 def language_accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """``docs`` without those whose language is not told, or told with too low a score; learnt from its own labels."""
-    return identified(docs, docs).where((F.col("_lang_pred") != UNKNOWN) & (F.col("_score") >= least_score)).drop("_lang_pred", "_score")
+    out = identified(docs, docs)
+    lang, score = out.columns[-2:]
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).drop(lang, score)

@@ -15,6 +15,7 @@ from .mixing import mixed
 from .quality_rules import quality_verdicts
 from .secrets import described, secrets
 from .simhash import near_duplicates
+from .sql import ORACLES
 from .substring_dedup import repeated_words_removed
 from .suffix_dedup import repeated_bytes_removed
 
@@ -75,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

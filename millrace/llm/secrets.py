@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import utf8
-from .scratch import written
+from .scratch import free_names, written
 
 #: Owners from which on a value counts as a copied example.
 COPIED = 3
@@ -97,9 +97,9 @@ def _ordered(spans: str) -> F.Column:
     return F.expr(f"transform(array_sort(transform({spans}, s -> named_struct('start', s.start, 'rank', array_position(array({kinds}), s.kind), 'end', s.end, 'kind', s.kind, 'copied', s.copied))), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'copied', s.copied))")
 
 
-def _found(numbered: DataFrame, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
+def _found(numbered: DataFrame, row: str, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
     scanned = numbered.select(
-        F.col("_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+        F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"),
     )
     return written(scanned.mapInArrow(_scan, _FOUND), "found")
@@ -117,7 +117,8 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     have their own spans each; spans that begin together go by kind as
     listed; an empty table gives none; other columns are ignored.
     """
-    found = _found(docs.withColumn("_row", F.monotonically_increasing_id()), id_col, text_col, repository_col, owner_col)
+    (row,) = free_names(docs, "_row")
+    found = _found(docs.withColumn(row, F.monotonically_increasing_id()), row, id_col, text_col, repository_col, owner_col)
     return _with_ownership(found, copied).drop("row")
 
 
@@ -142,17 +143,17 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", copied: int = COPIED) -> D
     Columns stay as they are. Values of widely copied examples are replaced
     only where a base kind reports them.
     """
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    held = written(docs, "texts")
-    found = _with_ownership(_found(held, "doc_id", "text", "doc_id", "source"), copied)
-    found = found.where(F.size("spans") > 0).select(F.col("row").alias("_r"), F.col("spans").alias("_spans"))
-    df = held.join(found, F.col("_row") == F.col("_r"), "left")
+    row, spans, own = free_names(docs, "_row", "_spans", "_of")
+    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
+    found = _with_ownership(_found(held, row, "doc_id", "text", "doc_id", "source"), copied)
+    found = found.where(F.size("spans") > 0).select(F.col("row").alias(own), F.col("spans").alias(spans))
+    df = held.join(found, F.col(row) == F.col(own), "left")
     # Spans in order; one that begins within the part already copied adds only what lies beyond it.
-    text = F.expr(f"""aggregate(_spans, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct(
+    text = F.expr(f"""aggregate({spans}, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct(
         'at', greatest(a.at, s.end), 'out', if(s.start < a.at, a.out, concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}'))),
         a -> concat(a.out, substring(text, cast(a.at + 1 as int))))""")
-    df = df.withColumn("text", F.when(F.col("_spans").isNotNull(), text).otherwise(F.col("text")))
+    df = df.withColumn("text", F.when(F.col(spans).isNotNull(), text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        df = df.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return df.drop("_row", "_r", "_spans")
+        df = df.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return df.drop(row, own, spans)

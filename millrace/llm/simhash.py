@@ -191,4 +191,4 @@ def one_of_each_group(docs: DataFrame, radius: int = RADIUS, parts: int = PARTS)
     """``docs`` without the documents whose group of near-duplicates has one of smaller id; a row without doc_id stays."""
     groups = near_duplicates(docs, radius=radius, parts=parts)
     gone = written(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
