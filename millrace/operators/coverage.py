@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-_SEED = Window.partitionBy("seed_id").orderBy("iteration")
+
+def _seed():
+    return Window.partitionBy("seed_id").orderBy("iteration")
 
 
 def per_iteration(explorations: DataFrame) -> DataFrame:
@@ -22,8 +24,8 @@ def per_iteration(explorations: DataFrame) -> DataFrame:
     firsts = df.select("seed_id", "iteration", F.explode("doc_ids").alias("doc")).groupBy("seed_id", "doc").agg(F.min("iteration").alias("iteration"))
     fresh = firsts.groupBy("seed_id", "iteration").agg(F.count("*").alias("fresh"))
     df = df.join(fresh, ["seed_id", "iteration"], "left")
-    before = F.coalesce(F.lag("doc_ids").over(_SEED), F.array().cast("array<string>"))
-    df = df.withColumn("before", before).withColumn("seed_iteration", F.row_number().over(_SEED)).withColumn("cumulative_unique_docs", F.sum(F.coalesce("fresh", F.lit(0))).over(_SEED))
+    before = F.coalesce(F.lag("doc_ids").over(_seed()), F.array().cast("array<string>"))
+    df = df.withColumn("before", before).withColumn("seed_iteration", F.row_number().over(_seed())).withColumn("cumulative_unique_docs", F.sum(F.coalesce("fresh", F.lit(0))).over(_seed()))
     overlap, union = F.size(F.array_intersect("doc_ids", "before")), F.size(F.array_union("doc_ids", "before"))
     none = F.size("before") == 0
     return df.select(

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import trace as X
 
-_RUN = Window.partitionBy("run_id").orderBy("seq")
+
+def _run():
+    return Window.partitionBy("run_id").orderBy("seq")
 
 
 def tool_usage(steps: DataFrame) -> DataFrame:
@@ -103,7 +105,7 @@ def supervised(steps: DataFrame) -> DataFrame:
 
 def previous_tools(steps: DataFrame) -> DataFrame:
     """With previous_tools: all tools of the run before this step, in order."""
-    return steps.withColumn("previous_tools", F.collect_list("component").over(_RUN.rowsBetween(Window.unboundedPreceding, -1)))
+    return steps.withColumn("previous_tools", F.collect_list("component").over(_run().rowsBetween(Window.unboundedPreceding, -1)))
 
 
 def trajectories(steps: DataFrame, streamed: bool = False) -> DataFrame:
@@ -120,9 +122,9 @@ def trajectories(steps: DataFrame, streamed: bool = False) -> DataFrame:
         reward, done, nothing = X.reward_streamed(F.col("error"), F.col("evidence_count"), F.col("component")), F.coalesce(F.col("stop_condition") == "FINISH", F.lit(False)), F.lit(None)
         following = F.struct(nothing.cast("int").alias("step_id"), nothing.cast("long").alias("evidence_count"), nothing.cast("string").alias("state_stage"))
     else:
-        reward, last = X.reward_exported(F.col("error"), F.col("evidence_count"), F.col("stop_condition")), F.lead("seq").over(_RUN).isNull()
+        reward, last = X.reward_exported(F.col("error"), F.col("evidence_count"), F.col("stop_condition")), F.lead("seq").over(_run()).isNull()
         done = last | F.coalesce(F.col("stop_condition") == "FINISH", F.lit(False))
-        following = F.struct(F.coalesce(F.lead("turn").over(_RUN), F.lit(0)).alias("step_id"), F.coalesce(F.lead("evidence_count").over(_RUN), F.lit(0)).cast("long").alias("evidence_count"), F.coalesce(F.lead("_stage").over(_RUN), F.lit("done")).alias("state_stage"))
+        following = F.struct(F.coalesce(F.lead("turn").over(_run()), F.lit(0)).alias("step_id"), F.coalesce(F.lead("evidence_count").over(_run()), F.lit(0)).cast("long").alias("evidence_count"), F.coalesce(F.lead("_stage").over(_run()), F.lit("done")).alias("state_stage"))
     parameters = F.col("parameters") if "parameters" in steps.columns else F.lit("{}")
     return df.select(
         "run_id", "seq",

@@ -21,12 +21,18 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.length(stripped(F.col("line"))) > 0)
 
 
+def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The lines that are JSON objects, by an explicit schema."""
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
+    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+
+
 def qa_dataset(spark: SparkSession, path: str, num_samples: int = 0, strategy: str = "head", seed: int = 42, strata: str | None = None) -> DataFrame:
     """Samples of a JSON-lines file: the first ``num_samples`` in file order (0 or less: all), random ones, or as many of each stratum.
 
     Lines that are no JSON object are left out. Adds ``sample_no`` from 1.
     """
-    rows = spark.read.schema(QA + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null").drop("_bad").withColumn("_line", F.monotonically_increasing_id())
+    rows = _records(spark, path, QA).withColumn("_line", F.monotonically_increasing_id())
     if num_samples > 0 and strategy == "random":
         rows = rows.orderBy(F.rand(seed)).limit(num_samples)
     elif num_samples > 0 and strategy == "stratified":
@@ -77,8 +83,8 @@ def candidates(spark: SparkSession, path: str, split: str, most: int = 50_000) -
     named = F.lower(F.element_at(F.split("file", "/"), -1)).contains(split.lower())
     lines = _lines(spark, path).where(named)
     out = from_json_lines(lines.where(F.col("file").rlike(r"(?i)\.jsonl(\.gz)?$"))).withColumn("kind", F.lit(0))
-    whole = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").text(path).select(F.input_file_name().alias("file"), stripped(F.col("value")).alias("document")).where(named & F.col("file").rlike(r"(?i)\.json$"))
-    parsed = F.try_parse_json("document").isNotNull()
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), stripped(F.col("value")).alias("document")).where(named & F.col("file").rlike(r"(?i)\.json$"))
+    parsed = F.try_parse_json(F.concat(F.lit("["), "document", F.lit("]"))).isNotNull()  # one value, not several in a row
     listed, of_map = F.col("document").startswith("["), F.get_json_object("document", "$.query").startswith("{")
     valid = whole.where(parsed)
     broken = whole.where(~parsed).select("file", F.explode(F.split("document", "\n")).alias("line"))
@@ -92,12 +98,12 @@ def prior_documents(spark: SparkSession, path: str | None) -> DataFrame:
     """(doc_id): distinct ids of a JSON-lines file; lines that don't parse are left out, and no path is no rows."""
     if path is None:
         return spark.createDataFrame([], "doc_id string")
-    return spark.read.schema("doc_id string").json(path).where("doc_id is not null").distinct()
+    return _records(spark, path, "doc_id string").where("doc_id is not null").distinct()
 
 
 def corpus(spark: SparkSession, path: str, datasets: tuple[str, ...] = (), runs: tuple[str, ...] = ()) -> DataFrame:
     """A published corpus of (compressed) JSON lines with _source{run_id, dataset, sample_id}, by dataset and run."""
-    rows = spark.read.schema(f"{STEP}, input string, output string, tool string, decision_label string, latency_ms double, _source struct<run_id:string,dataset:string,sample_id:string>").json(path)
+    rows = _records(spark, path, f"{STEP}, input string, output string, tool string, decision_label string, latency_ms double, _source struct<run_id:string,dataset:string,sample_id:string>")
     if datasets:
         rows = rows.where(F.col("_source.dataset").isin(*datasets))
     return rows.where(F.col("_source.run_id").isin(*runs)) if runs else rows

@@ -7,13 +7,15 @@ partition, so re-running a seed touches its own files alone.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import MapType
 
 from ..operators import coverage, knowledge, traces
 
 
 def _by_partition(df: DataFrame, path: str, key: str) -> None:
     # One file or a few for each key: rows of a key are dealt by a salt too, so none fills a task.
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+    hashed = [f.name for f in df.schema if not isinstance(f.dataType, MapType)]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(8)))
     salted.repartition(key, "_salt").drop("_salt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
