@@ -4,8 +4,8 @@ Method. Two zstandard dictionaries are built, one from text labelled good
 and one from text labelled bad. Every whole text is compressed with each, in
 pieces of ``PIECE`` bytes so that the dictionary matters throughout a long
 text. The difference of the two sizes over their sum tells which dictionary
-fits; a logistic regression on it, and on the size over the length, which
-tells repetitive text, calibrates it to a probability.
+fits; a logistic regression on it, and on how little the text compresses to,
+which tells repetitive text, calibrates it to a probability.
 
 Dictionaries and calibration come from two halves of a bounded sample
 (``PER_CLASS`` documents of each label, as an expected number).
@@ -24,7 +24,9 @@ from .linear import bounded_sample, logistic, sigmoid
 #: Documents of each label that the classifier is fitted on.
 PER_CLASS = 800
 #: Bytes that are compressed at a time, and of a dictionary.
-PIECE, DICTIONARY = 4096, 112 << 10
+PIECE, DICTIONARY = 4096, 400 << 10
+#: Bytes from which on a text's sizes count in full; shorter ones count in proportion, as chance weighs more there.
+FULL = 600
 LEVEL = 3
 #: A score from which on label 1 is predicted.
 THRESHOLD = 0.3
@@ -49,28 +51,27 @@ class Scorer:
         return held
 
     def features(self, text: bytes) -> tuple[float, float]:
-        """The normalised difference (positive: good fits better) and the size over the length."""
+        """The normalised difference (positive: good fits better) and how far the size over the length lies below a quarter."""
         if not text:
             return 0.0, 0.0
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
         good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self._by)
-        return (bad - good) / (bad + good), min(good, bad) / len(text)
+        weight = min(1.0, len(text) / FULL)
+        return weight * (bad - good) / (bad + good), weight * max(0.25 - min(good, bad) / len(text), 0.0)
 
 
 def fit(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes, np.ndarray]:
     """Dictionaries from the even rows, calibration from the odd ones."""
     first = dictionary(good[::2]), dictionary(bad[::2])
     scorer = Scorer(*first)
-    rows = [(scorer.features(t), label, len(texts)) for texts, label in ((good, 1), (bad, 0)) for t in texts[1::2]]
+    rows = [(scorer.features(t), label) for texts, label in ((good, 1), (bad, 0)) for t in texts[1::2]]
     if not rows:
-        return *first, np.zeros(_spread(0.0, 0.0).shape[-1] + 1)
-    x = np.array([_spread(*f) for f, _, _ in rows])
-    return *first, logistic(x, np.array([label for _, label, _ in rows], float), penalty=1.0)
+        return *first, np.zeros(3)
+    return *first, logistic(np.array([f for f, _ in rows]) * _SCALE, np.array([label for _, label in rows], float), penalty=1.0)
 
 
-def _spread(difference: float, ratio: float) -> np.ndarray:
-    """Features of the calibration on a unit scale; the ratio counts where it is unusually low."""
-    return np.array([difference * 20, max(0.25 - ratio, 0) * 20])
+#: Brings both features near a unit scale.
+_SCALE = 20
 
 
 def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = PER_CLASS) -> DataFrame:
@@ -98,7 +99,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             data, starts = utf8(batch.column(1))
             data = data.tobytes()
-            x = np.array([_spread(*scorer.features(data[a:b])) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]).reshape(-1, len(weights) - 1)
+            x = np.array([scorer.features(data[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]).reshape(-1, 2) * _SCALE
             p = sigmoid(x @ weights[:-1] + weights[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
