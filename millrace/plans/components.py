@@ -104,12 +104,14 @@ class Retriever(Component):
         hits = self.search(self.asked(state), self.config["k"]).join(texts.select(F.col("id"), "text", title.cast("string").alias("title")), "id")
         if self.skip_empty:
             hits = retrieval.nonempty(hits)
+        hits = written(hits, "hits")
         counted = hits.groupBy("query_id").agg(F.count("*").alias("retrieved"))
         fresh = retrieval.inserted(hits, ["angle", "rank"], state.seen)
         front = state.evidence.groupBy("query_id").agg(F.max("pos").alias("last"))
         fresh = fresh.join(front, "query_id", "left").select(
             "query_id", (F.col("pos") + F.coalesce("last", F.lit(-1)) + 1).cast("int").alias("pos"), F.lit(self.source).alias("source"), "id", "text", "title", F.col("score").cast("double"), F.col("angle").cast("int").alias("query_angle"),
         )
+        fresh = written(fresh, "fresh")  # later steps read what was found and don't search again
         state = state.but(evidence=state.evidence.unionByName(fresh), seen=state.seen.union(fresh.select("query_id", "id")))
         rows = state.queries.select("query_id").join(counted, "query_id", "left")
         n = F.coalesce("retrieved", F.lit(0))
@@ -179,7 +181,7 @@ class Processor(Component):
         raise NotImplementedError
 
     def apply(self, state: State) -> State:
-        after = self.process(state).select(*state.evidence.columns)
+        after = written(self.process(state).select(*state.evidence.columns), "evidence")
         counts = processing.counts(state.evidence, after)
         rows = state.queries.select("query_id").join(counts, "query_id", "left").na.fill(0, ["original_count", "kept_count", "removed"])
         data = F.to_json(F.struct("original_count", F.col("kept_count").alias(self.counted), "removed"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import text as T
 from ..functions.similarity import answer_similarity
 from ..operators import answers
+from ..operators.knowledge import recent_context
 from ..sources.shared import written
 from . import prompts
 from .components import REGISTRY, Services
@@ -161,7 +162,8 @@ def explored(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], max_exp
     """Breadth-first exploration of every seed at once: (seed_id, iteration, query).
 
     seeds: seed_id, query. ``expand`` maps the queries of a round (seed_id,
-    query) to their questions (seed_id, place, question), in order of place.
+    iteration, query) to their questions (seed_id, place, question), in order
+    of place.
     Each seed has its own queue: a round takes the first query of each that
     was not explored, so repeats in a queue cost nothing of the budget.
     """
@@ -174,7 +176,7 @@ def explored(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], max_exp
         if head.isEmpty():
             break
         done = head if done is None else done.unionByName(head)
-        fresh = expand(head.select("seed_id", "query")).select("seed_id", F.lit(i).alias("round"), "place", F.col("question").alias("query"))
+        fresh = expand(head).select("seed_id", F.lit(i).alias("round"), "place", F.col("question").alias("query"))
         # Only what this round explored can be new among the explored in the queue; new questions are held against all.
         queue = queue.join(head, ["seed_id", "query"], "left_anti").select("seed_id", "round", "place", "query")
         queue = written(queue.unionByName(fresh.join(done, ["seed_id", "query"], "left_anti").select("seed_id", "round", "place", "query")), "queue")
@@ -190,6 +192,45 @@ def reflected(explorations: DataFrame, context: DataFrame, model: Model, count:
     return said.select("seed_id", F.posexplode(questions).alias("place", "question"))
 
 
+def exploratory(workflow: Workflow, seeds: DataFrame, services: Services, teacher: Model, max_explorations: int = 10, consultants: dict[str, Model] | None = None, use_knowledge: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Explores from every seed: runs the workflow for each query, then asks the teacher and the consultants for more.
+
+    Returns the explorations (seed_id, iteration, query, answer, doc_ids,
+    evidence_count, iterations_taken, similarity_score), their evidence and
+    their steps. A seed's last entries are context for its further questions.
+    The teacher's questions come before those of the consultants, who are
+    asked in order of their names.
+    """
+    log: list[DataFrame] = []
+    evidence: list[DataFrame] = []
+    steps: list[DataFrame] = []
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+    def expand(head: DataFrame) -> DataFrame:
+        keyed = head.withColumn("query_id", F.concat_ws("\u0001", F.col("seed_id").cast("string"), F.col("iteration").cast("string")))
+        state = executed(workflow, keyed.select("query_id", "query"), services)
+        pieces = written(state.evidence.join(keyed.select("query_id", "seed_id", "query"), "query_id"), "evidence")
+        steps.append(written(state.steps.join(keyed.select("query_id", "seed_id"), "query_id"), "steps"))
+        ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
+        docs = pieces.groupBy("query_id").agg(F.array_distinct(ids).alias("doc_ids"), F.count("*").alias("evidence_count"))
+        rows = keyed.join(state.queries.select("query_id", F.coalesce("final", "draft", F.lit("")).alias("answer")), "query_id").join(docs, "query_id", "left")
+        rows = rows.select("seed_id", "iteration", "query", "answer", F.coalesce("doc_ids", F.array().cast("array<string>")).alias("doc_ids"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), F.lit(1).alias("iterations_taken"), F.lit(0.0).alias("similarity_score"))
+        rows = written(rows, "explorations")
+        log.append(rows)
+        evidence.append(pieces)
+        known = recent_context(together(log)) if use_knowledge else rows.select("seed_id", F.lit("").alias("context"))
+        asked = [reflected(rows, known, model).withColumn("place", F.col("place") + n * 1000) for n, model in enumerate([teacher, *(m for _, m in sorted((consultants or {}).items()))])]
+        return together(asked)
+
+    explored(seeds, expand, max_explorations)
+    return together(log), together(evidence), together(steps)
+
+
 def iterative(workflow: Workflow, queries: DataFrame, services: Services, max_iterations: int = 3) -> tuple[DataFrame, DataFrame]:
     """Fresh runs of the queries that have no final answer yet: (query_id, iteration, final) and the steps."""
     open_rows, finals, steps = queries.select(F.col("query_id").cast("string"), "query"), None, None

@@ -12,6 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_WRITTEN: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder; one is made only where none is set, as in tests."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -29,4 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``written`` has made in this session so far, and returns how many.
+
+    Results that still read them must have been written elsewhere before. A
+    long-lived session calls it between jobs; folders of ended sessions are
+    the cluster's to clear.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count

@@ -98,3 +98,12 @@ def test_rewards_and_stages(spark):
     assert value(spark, X.evidence_count(F.lit('{"filtered_count": 0, "evidence_count": 9}'), F.lit(5))) == 0
     assert value(spark, X.evidence_count(F.lit('{"subgoals": ["a"]}'), F.lit(5))) == 1
     assert value(spark, X.cost(F.lit(500))) == pytest.approx(0.005)
+
+
+def test_sql_forms(spark):
+    from millrace.functions.sql import register
+
+    assert register(spark) == ["token_overlap", "cannot_answer", "trace_cost", "subgoals"]
+    row = spark.sql("SELECT token_overlap('a b c', 'B C d') a, token_overlap('', 'x') b, cannot_answer('I don''t have enough') c, cannot_answer(null) d, trace_cost(500) e").first()
+    assert (row.a, row.b, row.c, row.d, row.e) == (0.5, 0.0, True, False, 0.005)
+    assert [r.goal for r in spark.sql("SELECT * FROM subgoals('1. First goal\n- Second goal\n- no', 3) ORDER BY place").collect()] == ["First goal", "Second goal"]

@@ -108,6 +108,22 @@ def test_exploration_is_breadth_first_with_a_budget(spark):
     assert found == want
 
 
+def test_exploratory_runner(spark):
+    model = scripted(draft="ANSWER of {query}", reflect='```json\n["blue boats", "red cars", " "]\n```')
+    held = services(spark)
+    held.model = model
+    start = spark.createDataFrame([("s", "red cars"), ("t", "green trees")], "seed_id string, query string")
+    short = workflow.parsed({"id": "x", "name": "x", "components": [{"type": "opensearch_retriever"}, {"type": "answer_drafter"}]})
+    log, evidence, steps = runners.exploratory(short, start, held, model, 3, {"c": scripted(reflect='["wide rivers"]'), "d": scripted(reflect="no list")})
+    got = {}
+    for r in log.orderBy("seed_id", "iteration").collect():
+        got.setdefault(r.seed_id, []).append(r.query)
+    assert got == {"s": ["red cars", "blue boats", "wide rivers"], "t": ["green trees", "blue boats", "red cars"]}
+    first = log.where("seed_id = 's' and iteration = 1").first()
+    assert first.answer == "ANSWER of red cars" and sorted(first.doc_ids) == ["d0", "d2"] and first.evidence_count == 2
+    assert steps.where("component = 'answer_drafter'").count() == 6 and evidence.where("seed_id = 's'").count() > 0
+
+
 def test_greedy_seeds_against_a_literal_model():
     r = random.Random(0)
     n = 40
@@ -192,6 +208,15 @@ def test_exports_replace_their_own_runs_and_seeds(spark, tmp_path):
     assert [r.sample_id for r in left.collect()] == ["b"]
 
 
+def test_written_tables_are_released(spark):
+    from millrace.sources.shared import release, shared_folder, written
+
+    release(spark)
+    df = written(spark.range(3), "some")
+    assert df.count() == 3 and shared_folder(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert release(spark) == 1 and release(spark) == 0
+
+
 def test_prompts():
     assert prompts.names() == ["choose", "draft", "formulate", "plan", "reflect", "verify"]
     assert prompts.variables("formulate") == ["queries_per_subgoal", "query", "subgoals"]
