@@ -36,10 +36,10 @@ MORE = {
     "chat": (b"xox", re.compile(rb"\bxox[abprs]-[A-Za-z0-9-]{20,}")),
     "pay": (b"_live_", re.compile(rb"\b[sr]k_live_[A-Za-z0-9]{16,}")),
     "cloud": (b"AIza", re.compile(rb"\bAIza[A-Za-z0-9_-]{35}")),
-    "jwt": (b"eyJ", re.compile(rb"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    "jwt": (b"eyJ", re.compile(rb"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
     "bearer": (b"earer ", re.compile(rb"\b[Bb]earer ([A-Za-z0-9._~+/-]{20,}=*)")),
     "key_block": (b"PRIVATE KEY", re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----")),
-    "url": (b"://", re.compile(rb"\b[a-z][a-z0-9+.-]*://[^\s/:@]+:([^\s/:@]{8,})@")),
+    "url": (b"://", re.compile(rb"\b[a-z][a-z0-9+.-]{0,31}://[^\s/:@]+:([^\s/:@]{8,})@")),
 }
 _FOUND = "row long, doc_id long, owner string, repository string, base array<struct<start:long,kind:string,end:long,value:string>>, more array<struct<start:long,kind:string,end:long,value:string>>"
 
