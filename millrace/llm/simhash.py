@@ -94,11 +94,17 @@ def forest(tree_of: np.ndarray, queries: np.ndarray | None, radius: int) -> tupl
     """Edges that span the links of the queries (none: of the members) to the members of a tree."""
     values = tree_of if queries is None else np.concatenate((tree_of, queries))
     asked, shift = (values, 0) if queries is None else (queries, len(tree_of))
-    label = np.arange(len(values))
+    label, members = np.arange(len(values)), {}
     for place, near in BKTree(tree_of).within(asked, radius):
         joined = np.unique(label[np.append(near + shift, place)])
         if len(joined) > 1:
-            label[np.isin(label, joined)] = joined[0]
+            # The smaller groups take the largest one's label, so no row is relabelled more than log n times.
+            *small, large = sorted((members.pop(k, [k]) for k in joined.tolist()), key=len)
+            to = label[large[0]]
+            for group in small:
+                label[group] = to
+                large.extend(group)
+            members[int(to)] = large
     linked = np.flatnonzero(label != np.arange(len(values)))
     return values[linked], values[label[linked]]
 

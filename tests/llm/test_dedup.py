@@ -9,7 +9,7 @@ import numpy as np
 import xxhash
 
 from millrace.llm.components import components
-from millrace.llm.simhash import BKTree, near_duplicates, links, one_of_each_group
+from millrace.llm.simhash import BKTree, forest, near_duplicates, links, one_of_each_group
 from millrace.llm.substring_dedup import repeated_words_removed
 from millrace.llm.suffix_dedup import multikey_quicksort, repeated_bytes_removed
 
@@ -190,3 +190,41 @@ def test_bk_tree_finds_all_within_the_radius():
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).selectExpr("id + 1 as a", "id as b")
     assert {(r.a, r.b) for r in components(edges).collect()} == {(i, 0) for i in range(1, 201)}
+
+
+def groups_of(values, edges):
+    parent = {int(v): int(v) for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        parent[root(int(a))] = root(int(b))
+    groups = defaultdict(set)
+    for v in parent:
+        groups[root(v)].add(v)
+    return sorted(map(sorted, groups.values()))
+
+
+def test_forest_spans_the_links_within_a_tree_and_between_two():
+    rng = random.Random(3)
+    found = set()
+    for _ in range(20):
+        base = rng.getrandbits(63)
+        for _ in range(15):
+            v = base
+            for _ in range(rng.randint(0, 5)):
+                v ^= 1 << rng.randint(0, 63)
+            found.add(v)
+    values = np.array(sorted(found), np.uint64)
+
+    def near(left, right):
+        return [(a, b) for a in left for b in right if (int(a) ^ int(b)).bit_count() <= 3]
+
+    assert groups_of(values, zip(*forest(values, None, 3))) == groups_of(values, near(values, values))
+    left, right = values[::2], values[1::2]
+    assert groups_of(values, zip(*forest(left, right, 3))) == groups_of(values, near(left, right))
+    dense = np.arange(1 << 12, dtype=np.uint64)
+    assert len(forest(dense, None, 3)[0]) == len(dense) - 1
