@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -53,14 +55,22 @@ def find(text: bytes) -> tuple[list, list]:
     if b"AKIA" in text:
         base += [(m.start(), "access", m.end(), m[0]) for m in _ACCESS.finditer(text)]
     base += [(m.start(), "hex", m.end(), m[0]) for m in _HEX.finditer(text)]
+    begins, reach = _reach(base)
     for kind, (need, pattern) in MORE.items():
         if need in text:
             for m in pattern.finditer(text):
-                if not any(s <= m.start() and m.end() <= e for s, _, e, _ in base):
+                at = bisect_right(begins, m.start())
+                if not at or reach[at - 1] < m.end():
                     more.append((m.start(), kind, m.end(), m[m.lastindex or 0]))
     return _in_code_points(text, base), _in_code_points(text, more)
 
 
+def _reach(spans: list) -> tuple[list[int], list[int]]:
+    """The begins in order, and for each the furthest end of the spans that begin so far."""
+    pairs = sorted((s, e) for s, _, e, _ in spans)
+    return [s for s, _ in pairs], list(accumulate((e for _, e in pairs), max))
+
+
 def _in_code_points(text: bytes, spans: list) -> list:
     if not spans:
         return spans

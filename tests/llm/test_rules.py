@@ -174,3 +174,13 @@ def test_empty_tables(spark):
     empty, items = spark.createDataFrame([], DOCS), spark.createDataFrame(ITEMS, "item_id long, text string")
     for found in (mixed(empty), quality_verdicts(empty), secrets(empty), redacted(empty), contaminated(empty, items), contaminated(table(spark, EDGES), items.limit(0))):
         assert found.count() == 0
+
+
+def test_spans_within_base_ones_are_no_further_kinds():
+    inside = b"password: ghp_" + b"a1" * 20
+    base, more = find(inside + b" and ghp_" + b"Z9" * 20)
+    assert {s["kind"] for s in base} == {"assign", "hex"}
+    assert [(s["kind"], s["start"]) for s in more] == [("forge", len(inside) + 5)]
+    many = b"0123456789abcdef " + b"ghp_" + b"Q7" * 20 + b"\n"
+    base, more = find(many * 5000)
+    assert len(base) == len(more) == 5000
