@@ -7,8 +7,8 @@ against a bounded sample of the corpus's own paragraphs, which stand for the
 class ``unknown``. A temperature, fitted on pieces held back, calibrates the
 probabilities; a paragraph whose best family stays below ``CERTAIN`` is
 unknown. A prediction is confirmed where a template of the family and the
-paragraph agree: of the shorter one's five-word shingles, at least
-``SIMILARITY`` stand in the other.
+paragraph agree: of the shorter one's five-word shingles (of all its words,
+where one has fewer), at least ``SIMILARITY`` stand in the other.
 """
 
 from __future__ import annotations
@@ -127,7 +127,7 @@ class Classifier:
 
     def __init__(self, unknown: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> None:
         self.families = [UNKNOWN, *templates]
-        self.templates = {f: [_shingles(_words(t)) for t in texts] for f, texts in templates.items()}
+        self.templates = {f: [_words(t) for t in texts] for f, texts in templates.items()}
         texts, labels = list(unknown), [0] * len(unknown)
         for i, family in enumerate(templates, 1):
             for t in templates[family]:
@@ -170,10 +170,10 @@ class Classifier:
 
     def agreement(self, family: int, words: np.ndarray) -> float:
         """The greatest share of the shorter one's shingles that stand in the other, over the family's templates."""
-        own = _shingles(words)
         best = 0.0
         for t in self.templates[self.families[family]]:
-            short, long = (own, t) if len(own) < len(t) else (t, own)
+            size = max(min(SHINGLE, len(words), len(t)), 1)
+            short, long = sorted((np.unique(ngrams(words, size)), np.unique(ngrams(t, size))), key=len)
             best = max(best, float(np.isin(short, long).mean()))
         return best
 

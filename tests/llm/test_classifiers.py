@@ -4,7 +4,7 @@ import random
 
 from millrace.llm.compression_quality import scored
 from millrace.llm.language_id import UNKNOWN, identified, language_accepted, predicted
-from millrace.llm.license_scan import TEMPLATES, licensed_paragraphs
+from millrace.llm.license_scan import TEMPLATES, Classifier, _words, licensed_paragraphs
 
 SYLLABLES = {"en": "the ing tion and er on re".split(), "de": "sch ung ver ich keit ein der".split(), "fr": "eau que ment ais oux le é".split(), "es": "ción os ar ña dad el ll".split()}
 DOCS = "doc_id long, text string, lang string, _lang_pred string, score double"
@@ -77,3 +77,10 @@ def test_licences(spark):
     assert len(want & got) >= 0.9 * len(want)
     assert not any(r.doc_id >= 1000 for r in found)
     assert [r.family for r in found if r.doc_id == -5] == ["proprietary"] * 2
+
+
+def test_agreement_with_templates_of_few_words():
+    model = Classifier(["some plain words here and there", "nothing of note in this one line"] * 20)
+    proprietary = model.families.index("proprietary")
+    assert model.agreement(proprietary, _words("Copyright 2020 Foo Inc. All rights reserved.")) == 1.0
+    assert model.agreement(proprietary, _words("All the rights of others are reserved here.")) < 0.8
