@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.decontamination import decontaminated
 from millrace.llm.language_id import language_accepted
 from millrace.llm.mixing import mixed
+from millrace.llm.near_copies import one_of_each_copy
 from millrace.llm.scratch import written
 from millrace.llm.secrets import redacted
-from millrace.llm.simhash import one_of_each_group
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,8 +18,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of smallest id stays."""
-    return one_of_each_group(docs)
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of smallest id stays."""
+    return one_of_each_copy(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
