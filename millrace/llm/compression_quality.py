@@ -25,6 +25,8 @@ from .linear import bounded_sample, logistic, sigmoid
 PER_CLASS = 800
 #: Bytes that are compressed at a time, and of a dictionary.
 PIECE, DICTIONARY = 4096, 400 << 10
+#: Bytes of a stretch that a dictionary takes of a long text.
+STRETCH = 256
 #: Bytes from which on a text's sizes count in full; shorter ones count in proportion, as chance weighs more there.
 FULL = 600
 LEVEL = 3
@@ -33,9 +35,30 @@ THRESHOLD = 0.3
 
 
 def dictionary(texts: list[bytes], size: int = DICTIONARY) -> bytes:
-    """As much of the texts as fits, an equal share of each, so that no long text crowds others out."""
-    share = max(size // max(len(texts), 1), 64)
-    return b"\n".join(t[:share] for t in texts)[:size]
+    """As much of the texts as fits, an equal share of each, so that no long text crowds others out.
+
+    What short texts leave of their shares goes to longer ones. A text beyond
+    its share gives stretches of ``STRETCH`` bytes spread evenly from its
+    first byte to its last.
+    """
+    return b"\n".join(_spread(t, n) for t, n in zip(texts, _shares([len(t) for t in texts], size), strict=True))[:size]
+
+
+def _shares(lengths: list[int], size: int) -> list[int]:
+    """Bytes of each text: all of it, or the same for all longer ones; at least 64 where texts are many."""
+    left, shares = size - len(lengths), [0] * len(lengths)
+    for n, i in enumerate(sorted(range(len(lengths)), key=lengths.__getitem__)):
+        shares[i] = min(lengths[i], max(left // (len(lengths) - n), 64))
+        left -= shares[i]
+    return shares
+
+
+def _spread(text: bytes, share: int) -> bytes:
+    if len(text) <= share:
+        return text
+    count = max(share // STRETCH, 2)
+    length = share // count
+    return b"".join(text[at : at + length] for at in (i * (len(text) - length) // (count - 1) for i in range(count)))
 
 
 class Scorer:
