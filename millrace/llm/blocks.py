@@ -23,9 +23,32 @@ _SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: The second modulus, a prime, and its base. Modulo 2^64 alone, some strings of 1,024 bytes share a hash whatever the base.
+_PRIME = np.uint64((1 << 31) - 1)
+_PRIME_BASE = 1_284_865_837
+_PRIME_INVERSE = pow(_PRIME_BASE, -1, (1 << 31) - 1)
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A smaller number that is x modulo the prime."""
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime, for x below 2^62."""
+    x = _folded(_folded(x))
+    return np.minimum(x, x - _PRIME)
+
+
+def _prime_powers(base: int, size: int) -> np.ndarray:
+    """base^0, base^1, ... modulo the prime, by doubling."""
+    out = np.ones(1, np.uint64)
+    while len(out) < size:
+        out = np.concatenate((out, _modulo(out * np.uint64(pow(base, len(out), int(_PRIME))))))
+    return out[:size]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on uint64 that spreads every bit (splitmix64's finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -37,16 +60,16 @@ class _Powers:
     """Powers of the base and of its inverse, made once for each process."""
 
     def __init__(self) -> None:
-        self.up = np.ones(1, np.uint64)
-        self.down = np.ones(1, np.uint64)
+        self.all = (np.ones(1, np.uint64),) * 4
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
+    def upto(self, n: int) -> tuple[np.ndarray, ...]:
+        """Powers of the base and of its inverse, for either modulus."""
+        if len(self.all[0]) < n:
             size = max(n, BLOCK_BYTES + 1)
             up, down = np.full(size, _BASE), np.full(size, _BASE_INVERSE)
             up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up[:n], self.down[:n]
+            self.all = np.cumprod(up), np.cumprod(down), _prime_powers(_PRIME_BASE, size), _prime_powers(_PRIME_INVERSE, size)
+        return tuple(p[:n] for p in self.all)
 
 
 _POWERS = _Powers()
@@ -65,22 +88,28 @@ class Block:
         return len(self.starts) - 1
 
     @cached_property
-    def _prefix(self) -> np.ndarray:
-        up, _ = _POWERS.upto(len(self.data))
-        out = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up, out=out[1:])
-        return out
-
-    def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of data[begin:end] for each pair; equal bytes give equal hashes."""
-        _, down = _POWERS.upto(len(self.data) + 1)
-        return mix((self._prefix[end] - self._prefix[begin]) * down[begin])
+    def _prefix(self) -> tuple[np.ndarray, np.ndarray]:
+        up, _, prime_up, _ = _POWERS.upto(len(self.data))
+        symbols = self.data.astype(np.uint64) + np.uint64(1)
+        out = np.zeros((2, len(self.data) + 1), np.uint64)
+        np.cumsum(symbols * up, out=out[0, 1:])
+        np.cumsum(_folded(symbols * prime_up), out=out[1, 1:])
+        return out[0], out[1]
+
+    def hashes(self, begin: np.ndarray | slice, end: np.ndarray | slice) -> np.ndarray:
+        """A 64-bit hash of data[begin:end] for each pair; equal bytes give equal hashes.
+
+        It is a polynomial modulo 2^64 and another one modulo a prime, mixed.
+        """
+        _, down, _, prime_down = _POWERS.upto(len(self.data) + 1)
+        wide, prime = self._prefix
+        second = _modulo(_folded(_folded(prime[end] - prime[begin])) * prime_down[begin])
+        return mix((wide[end] - wide[begin]) * down[begin] ^ second * _STEP)
 
     def byte_ngrams(self, n: int) -> np.ndarray:
         """A hash of every n consecutive bytes, the same as hashes() gives; they may cross texts."""
         count = max(len(self.data) - n + 1, 0)
-        _, down = _POWERS.upto(len(self.data) + 1)
-        return mix((self._prefix[n : n + count] - self._prefix[:count]) * down[:count])
+        return self.hashes(slice(0, count), slice(n, n + count))
 
     @cached_property
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,7 +8,7 @@ fits; a logistic regression on it, and on how little the text compresses to,
 which tells repetitive text, calibrates it to a probability.
 
 Dictionaries and calibration come from two halves of a bounded sample
-(``PER_CLASS`` documents of each label, as an expected number).
+(``PER_CLASS`` documents of each label, of a long text stretches spread over it).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import utf8
-from .linear import bounded_sample, logistic, sigmoid
+from .linear import bounded_sample, logistic, sigmoid, stretches
 
 #: Documents of each label that the classifier is fitted on.
 PER_CLASS = 800
@@ -106,13 +106,15 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Defined cases: a null text counts as empty; an empty one has no
     difference and gets the calibration's own score for that; without labels
     every score is 0.5; with one label only the dictionary of the other is
-    empty; repeated rows are scored each; an empty table gives none; columns
-    other than those named are ignored.
+    empty; repeated rows are scored each, and where a labelled id is repeated
+    its least text is learnt from; an empty table gives none; columns other
+    than those named are ignored.
     """
     spark, read = docs.sparkSession, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     picked = spark.createDataFrame(bounded_sample(known, "label", per_class), known.schema)  # at most two classes of per_class rows
-    rows = sorted(read.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).select("id", "label", F.coalesce("text", F.lit("")).alias("text")).collect())
+    texts = read.join(F.broadcast(picked.distinct()), F.col("doc_id") == F.col("id")).select("id", "label", stretches(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = sorted(texts.groupBy("id", "label").agg(F.min("text").alias("text")).collect())  # of rows that repeat an id one
     good, bad, weights = fit(*([r["text"].encode() for r in rows if r["label"] == k] for k in (1, 0)))
     held = spark.sparkContext.broadcast((good, bad, weights))
 

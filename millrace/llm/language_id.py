@@ -7,7 +7,7 @@ machine's margin is calibrated to a probability; the score is the least
 probability among the comparisons that the predicted language won.
 
 The machines are fitted on the driver from a bounded sample (``PER_CLASS``
-documents of each language, as an expected number). Prediction reads every
+documents of each language, of a long text stretches spread over it). Prediction reads every
 whole text: as a score is the mean of its trigrams' weights, texts of any
 length cost a look-up for each byte.
 """
@@ -149,7 +149,7 @@ def fit(texts: list[str], languages: list[str]) -> Hierarchy:
 
 def _learnt(labelled: DataFrame, text_col: str, lang_col: str, per_class: int) -> tuple[Hierarchy | None, np.ndarray]:
     sample = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text is not null")
-    rows = bounded_sample(sample, "lang", per_class)
+    rows = bounded_sample(sample, "lang", per_class, "text")
     model = fit([r["text"] for r in rows], [r["lang"] for r in rows]) if rows else None
     return model, np.column_stack([m.weights for m in model.machines()]) if model and model.machines() else np.zeros((BUCKETS, 0))
 

@@ -1,14 +1,18 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
 Method. A multinomial logistic regression over hashed word one-, two- and
-three-grams tells the licence family of a paragraph (a line of the text).
-It is fitted on the driver from the templates below, whole and in pieces,
-against a bounded sample of the corpus's own paragraphs, which stand for the
-class ``unknown``. A temperature, fitted on pieces held back, calibrates the
-probabilities; a paragraph whose best family stays below ``CERTAIN`` is
-unknown. A prediction is confirmed where a template of the family and the
-paragraph agree: of the shorter one's five-word shingles (of all its words,
-where one has fewer), at least ``SIMILARITY`` stand in the other.
+three-grams tells the licence family of a line of the text; adjacent lines of
+one family are one paragraph, so a wrapped notice is one. It is fitted on the
+driver from templates, which are the sentences below and notices made of
+licence names and forms, whole and in pieces, against a bounded sample of the
+corpus's own lines, which stand for the class ``unknown``. Every ``FOLDS``th
+sentence with its pieces, every ``FOLDS``th form with all names, and as many of
+the corpus's lines are held back from a first fit: on these a temperature
+calibrates the probabilities; the model in use is then fitted on everything. A
+line whose best family stays below ``CERTAIN`` is unknown. A prediction is confirmed
+where a template of the family and the paragraph agree: of the shorter one's
+five-word shingles (of all its words, where one has fewer), at least
+``SIMILARITY`` stand in the other.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ UNKNOWN = "unknown"
 CERTAIN = 0.5
 SHINGLE, SIMILARITY = 5, 0.8
 BUCKETS = 1 << 14
+#: One sentence, form or line in so many is held back from the first fit.
+FOLDS = 4
 #: Documents whose paragraphs are sampled as unknown, and paragraphs that are fitted on.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 300, 1500
 
@@ -90,9 +96,35 @@ TEMPLATES = {
     ),
 }
 
+#: Names of the licences, as notices give them (fixed values).
+NAMES = {
+    "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache Software License 2.0", "Apache-2.0"),
+    "mit": ("MIT License", "MIT/X11 License", "MIT", "Expat (MIT) License"),
+    "gpl": ("GNU General Public License, version 3", "GNU GPL v2 or later", "GNU General Public License", "GPL-3.0"),
+    "lgpl": ("GNU Lesser General Public License, version 2.1", "GNU LGPL v3", "Lesser GPL", "LGPL-2.1"),
+    "bsd": ("3-clause BSD License", "2-clause BSD License", "New BSD License", "BSD-3-Clause"),
+    "mpl-2.0": ("Mozilla Public License, v. 2.0", "Mozilla Public License 2.0", "MPL 2.0", "MPL-2.0"),
+    "cc-by": ("Creative Commons Attribution 4.0 International License", "CC BY 4.0", "CC BY 3.0", "Creative Commons Attribution 3.0"),
+    "cc-by-sa": ("Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0", "CC BY-SA 3.0", "Creative Commons Attribution-ShareAlike 3.0"),
+    "cc-by-nc": ("Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 3.0"),
+    "public-domain": ("Creative Commons Zero", "CC0 1.0 Universal public domain dedication", "Unlicense", "CC0"),
+}
+#: Forms of notices (fixed values).
+FORMS = (
+    "Licensed under the {}.", "This work is licensed under the {}.", "Released under the {}.", "This software is distributed under the terms of the {}.",
+    "Code in this repository is available under the {}; see the file LICENSE for details.", "The library is covered by the {}.", "All contributions are made under {}.",
+    "You may use, copy and share this document under {}.", "Published under {} by the authors.", "License: {}", "Use of these files is governed by the {}.",
+    "This project and its documentation are free to use under the {}.", "Text and images are provided under {} unless noted otherwise.", "Dual licensing aside, the package follows the {}.",
+)
+
+
+def all_templates() -> dict[str, list[tuple[str, ...]]]:
+    """Of each family its sentences, then for each form the notices that its names make."""
+    return {f: [*((t,) for t in texts), *(tuple(form.format(name) for name in NAMES[f]) for form in FORMS if f in NAMES)] for f, texts in TEMPLATES.items()}
+
 
-_NAMES = ("doc_id", "paragraph", "family", "probability", "agreement", "confirmed", "line")
-_KINDS = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
+_NAMES = ("doc_id", "paragraph", "lines", "family", "probability", "agreement", "confirmed", "line")
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
 
 
 def _plain(block: Block) -> Block:
@@ -125,24 +157,23 @@ def grams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Classifier:
     """Weights for each family, a bias for each, and the temperature; class 0 is unknown."""
 
-    def __init__(self, unknown: list[str], templates: dict[str, tuple[str, ...]] = TEMPLATES) -> None:
+    def __init__(self, unknown: list[str], templates: dict[str, list[tuple[str, ...]]] | None = None) -> None:
+        templates = all_templates() if templates is None else templates
         self.families = [UNKNOWN, *templates]
-        self.templates = {f: [_words(t) for t in texts] for f, texts in templates.items()}
-        texts, labels = list(unknown), [0] * len(unknown)
-        for i, family in enumerate(templates, 1):
-            for t in templates[family]:
-                words = t.split()
-                pieces = {t, t.upper(), " ".join(words[: max(len(words) * 2 // 3, min(len(words), 5))]), " ".join(words[len(words) // 3 :])} if len(words) > 6 else {t, t.upper()}
-                texts += sorted(pieces) * 3
-                labels += [i] * len(pieces) * 3
-        y = np.array(labels)
-        code, own, size = grams(_block(texts))
+        self.templates = {f: [_words(t) for group in groups for t in group] for f, groups in templates.items()}
+        rows = [(line, 0, is_held(n)) for n, line in enumerate(unknown)]
+        rows += [(piece, i, is_held(n)) for i, f in enumerate(templates, 1) for n, group in enumerate(templates[f]) for t in group for piece in (pieces_of(t) if len(group) == 1 else [t, t.upper()])]
+        y, back = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
+        code, own, size = grams(_block([r[0] for r in rows]))
         value = (1 / np.sqrt(np.maximum(3 * size, 1)))[own]
-        held = np.arange(len(y)) % 5 == 4
-        fitted = ~held[own]
-        self.weights, self.bias = _softmax_fit(code[fitted], own[fitted], value[fitted], y, ~held, len(self.families))
-        z = _scores(code, own, value, len(y), self.weights)[held] + self.bias
-        self.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(z)), y[held]] + 1e-12).mean())
+        fitted = ~back[own]
+        weights, bias = _softmax_fit(code[fitted], own[fitted], value[fitted], y, ~back, len(self.families))
+        z = _scores(code, own, value, len(y), weights)[back] + bias
+        truth, share = (np.arange(len(z)), y[back]), _shares(y[back], len(self.families))
+        self.temperature = min(TEMPERATURES, key=lambda t: float((-np.log(_softmax(z / t)[truth] + 1e-12) * share).sum()))
+        #: Probabilities of the rows that were held back, by the fit that has not seen them, and what they are.
+        self.held = _softmax(z / self.temperature), y[back]
+        self.weights, self.bias = _softmax_fit(code, own, value, y, np.ones(len(y), bool), len(self.families))
 
     def predict(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Family (its number) and probability of each paragraph.
@@ -178,6 +209,30 @@ class Classifier:
         return best
 
 
+#: Temperatures that calibration chooses among.
+TEMPERATURES = tuple(round(0.1 * 1.25**k, 3) for k in range(16))
+
+
+def is_held(n: int) -> bool:
+    """Whether a family's n-th sentence or form is held back from the first fit."""
+    return n % FOLDS == FOLDS - 1
+
+
+def pieces_of(template: str) -> list[str]:
+    """A template whole, in capitals, and, if it is long, without its last or first third."""
+    words = template.split()
+    parts = {template, template.upper()}
+    if len(words) > 6:
+        parts |= {" ".join(words[: max(len(words) * 2 // 3, 5)]), " ".join(words[len(words) // 3 :])}
+    return sorted(parts)
+
+
+def _shares(y: np.ndarray, classes: int) -> np.ndarray:
+    """Weights under which all classes that occur count alike."""
+    share = (1 / np.maximum(np.bincount(y, minlength=classes), 1))[y]
+    return share / share.sum() if len(y) else share
+
+
 def _block(texts: list[str]) -> Block:
     (block,) = blocks(pa.array(texts, pa.large_string()), 1 << 62)
     return _plain(block)
@@ -201,38 +256,59 @@ def _scores(code: np.ndarray, own: np.ndarray, value: np.ndarray, rows: int, wei
     return np.column_stack([np.bincount(own, weights[code, k] * value, minlength=rows) for k in range(weights.shape[1])])
 
 
-def _softmax_fit(code: np.ndarray, own: np.ndarray, value: np.ndarray, y: np.ndarray, rows: np.ndarray, classes: int, penalty: float = 1e-4, rounds: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def _softmax_fit(code: np.ndarray, own: np.ndarray, value: np.ndarray, y: np.ndarray, rows: np.ndarray, classes: int, penalty: float = 1e-4, rounds: int = 80) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression over sparse rows by accelerated gradient; all classes count alike. ``rows`` marks those that are fitted on."""
-    share = np.where(rows, (1 / np.maximum(np.bincount(y[rows], minlength=classes), 1))[y], 0.0)
-    share = (share / share.sum())[:, None]
+    share = np.zeros((len(y), 1))
+    share[rows, 0] = _shares(y[rows], classes)
     goal = np.eye(classes)[y]
-    w = v = np.zeros((BUCKETS + 1, classes))
+    by_row, by_code = np.argsort(own, kind="stable"), np.argsort(code, kind="stable")
+    rows_of, row_heads = np.unique(own[by_row], return_index=True)
+    codes_of, code_heads = np.unique(code[by_code], return_index=True)
+    w = v = np.zeros((BUCKETS + 1, classes), np.float32)
+    z, grad = np.zeros((len(y), classes), np.float32), np.zeros_like(w)
+    left = code[by_row], value[by_row, None].astype(np.float32)
+    right = own[by_code], value[by_code, None].astype(np.float32)
     for k in range(rounds):
-        error = (_softmax(_scores(code, own, value, len(y), v[:-1]) + v[-1]) - goal) * share
-        grad = np.vstack([np.column_stack([np.bincount(code, error[own, j] * value, minlength=BUCKETS) for j in range(classes)]), error.sum(axis=0)])
-        new = v - 4.0 * (grad + penalty * v)
-        v = new + k / (k + 3) * (new - w)
+        if len(code):
+            z[rows_of] = np.add.reduceat(v[left[0]] * left[1], row_heads)
+        error = ((_softmax(z + v[-1]) - goal) * share).astype(np.float32)
+        if len(code):
+            grad[codes_of] = np.add.reduceat(error[right[0]] * right[1], code_heads)
+        grad[-1] = error.sum(axis=0)
+        new = v - np.float32(4) * (grad + np.float32(penalty) * v)
+        v = new + np.float32(k / (k + 3)) * (new - w)
         w = new
-    return w[:-1], w[-1]
+    return w[:-1].astype(float), w[-1].astype(float)
 
 
 def _sample(docs: DataFrame) -> list[str]:
-    """Paragraphs of a bounded number of documents that share no five-word shingle with a template."""
-    known = np.unique(np.concatenate([_shingles(_words(t)) for texts in TEMPLATES.values() for t in texts]))
-    rows = bounded_sample(docs.select("text").where("text is not null").withColumn("class", F.lit(0)), "class", SAMPLE_DOCS)
+    """Lines of a bounded number of documents that share no shingle with a template."""
+    known = np.unique(np.concatenate([_shingles(_words(t)) for groups in all_templates().values() for group in groups for t in group]))
+    rows = bounded_sample(docs.select("text").where("text is not null").withColumn("class", F.lit(0)), "class", SAMPLE_DOCS, "text")
     lines = [line for r in rows for line in r["text"].split("\n") if line.strip()]
-    step = max(len(lines) // SAMPLE_PARAGRAPHS, 1)
+    step = max(-(-len(lines) // SAMPLE_PARAGRAPHS), 1)
     return [line for line in lines[::step] if not np.isin(_shingles(_words(line)), known).any()]
 
 
-def licensed_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The paragraphs that the classifier gives a licence family: doc_id, paragraph (from 0), family,
-    probability, agreement with the nearest template, confirmed, and the paragraph's text.
+def runs(block: Block, own: np.ndarray, family: np.ndarray) -> list[tuple[int, int]]:
+    """First line and line after the last of each run of adjacent lines of a text with one family, but unknown."""
+    on = np.flatnonzero(family)
+    if not len(on):
+        return []
+    new = np.flatnonzero(np.append(True, (np.diff(on) > 1) | (np.diff(family[on]) != 0) | (np.diff(own[on]) != 0)))
+    return [(int(on[a]), int(on[b - 1]) + 1) for a, b in zip(new, np.append(new[1:], len(on)), strict=True)]
+
 
-    Defined cases: null and empty texts have no paragraphs; a paragraph
-    without words is unknown and not returned; repeated rows give their rows
-    each; a very long line is one paragraph; an empty table gives none;
-    columns other than the two named are ignored.
+def licensed_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The paragraphs that the classifier gives a licence family: doc_id, paragraph (its first line, from 0),
+    lines, family, probability (the least of its lines), agreement with the nearest template, confirmed,
+    and the paragraph's text.
+
+    Defined cases: null and empty texts have no paragraphs; a line without
+    words is unknown and not returned; repeated rows give their rows each; a
+    very long line is one paragraph; of equally likely families the first
+    listed wins; an empty table gives none; columns other than the two named
+    are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(Classifier(_sample(docs)))
@@ -247,11 +323,11 @@ def licensed_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     continue
                 family, sure = model.predict(block)
                 first, rows = block.words[2], []
-                for p in np.flatnonzero(family):
-                    agree = model.agreement(family[p], block.word_hashes[first[p] : first[p + 1]])
-                    line = raw.data[block.starts[p] : block.starts[p + 1]].tobytes().decode().rstrip("\n")
-                    rows.append((ids[raw.first + own[p]], int(number[p]), model.families[family[p]], round(float(sure[p]), 6), round(agree, 6), agree >= SIMILARITY, line))
+                for p, q in runs(block, own, family):
+                    agree = model.agreement(family[p], block.word_hashes[first[p] : first[q]])
+                    line = raw.data[block.starts[p] : block.starts[q]].tobytes().decode().rstrip("\n")
+                    rows.append((ids[raw.first + own[p]], int(number[p]), q - p, model.families[family[p]], round(float(sure[p:q].min()), 6), round(agree, 6), agree >= SIMILARITY, line))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=list(_NAMES))
 
-    return docs.mapInArrow(scan, "doc_id long, paragraph long, family string, probability double, agreement double, confirmed boolean, line string")
+    return docs.mapInArrow(scan, "doc_id long, paragraph long, lines long, family string, probability double, agreement double, confirmed boolean, line string")

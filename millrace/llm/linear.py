@@ -3,22 +3,36 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def bounded_sample(df: DataFrame, class_col: str, per_class: int) -> list:
-    """Rows of each class: all of them, or about ``per_class`` picked by a hash of the whole row.
+#: Characters of a text that a sample takes, and of a stretch that it takes of a longer one.
+LONGEST, STRETCH = 1 << 15, 512
 
-    Classes are counted first, so the expected number that reaches the driver
-    is at most ``per_class`` for each class, and the same rows give the same pick.
+
+def stretches(text: Column, longest: int = LONGEST, stretch: int = STRETCH) -> Column:
+    """A text of at most ``longest`` characters as it is; of a longer one stretches spread evenly from its first character to its last."""
+    count = max(longest // stretch, 2)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.substring(text, F.floor(i * (F.length(text) - stretch) / (count - 1)).cast("int") + 1, F.lit(stretch)))
+    return F.when(F.length(text) > longest, F.array_join(parts, "\n")).otherwise(text)
+
+
+def bounded_sample(df: DataFrame, class_col: str, per_class: int, text_col: str | None = None, longest: int = LONGEST) -> list:
+    """At most ``per_class`` rows of each class reach the driver, those whose hash comes first; no text is longer than ``longest``.
+
+    Classes are counted first, and rows whose hash can't be among the first
+    are dropped where they are read; the rest is ranked, and Spark cuts ranks
+    before their exchange. The same rows give the same sample in any order.
     """
     counts = {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}
-    place = F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30))
     limit = F.lit(1 << 30)
     for value, n in counts.items():
-        if n > per_class:
-            limit = F.when(F.col(class_col) == value, int(per_class / n * (1 << 30))).otherwise(limit)
-    picked = df.where(place < limit) if counts else df
+        if n > 4 * per_class:
+            limit = F.when(F.col(class_col) == value, int(4 * per_class / n * (1 << 30))).otherwise(limit)
+    columns = [stretches(F.col(c), longest).alias(c) if c == text_col else F.col(c) for c in df.columns]
+    near = df.withColumn("_hash", F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30))).where(F.col("_hash") < limit).select("_hash", *columns)
+    rank = F.row_number().over(Window.partitionBy(class_col).orderBy("_hash", *df.columns))
+    picked = near.withColumn("_rank", rank).where(F.col("_rank") <= per_class).select(*df.columns)
     return sorted(picked.collect(), key=lambda r: tuple(map(str, r)))
 
 

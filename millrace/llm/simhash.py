@@ -10,11 +10,14 @@ One tree over a corpus would be searched nearly whole, as random 64-bit
 fingerprints lie about 32 bits apart. So there is a shard tree for every
 key: fingerprints are cut into ``PARTS`` parts, and of linked ones at least
 ``PARTS`` - ``RADIUS`` parts agree, hence a tree for each choice of that many
-parts and their value. Keys are dealt by range of (key, fingerprint), so a
-key with very many fingerprints lies in several tasks; each makes a shard
-tree of its slice, and the slices of one key, each one row, are sent to one
-another. Trees return a spanning forest of their links, never all pairs,
-and the forests meet in connected components.
+parts and their value. A key with more than ``LARGEST`` fingerprints is keyed
+anew by the bits that it leaves open, and so on: as the fingerprints are
+distinct, few rounds leave no such key, and no task ever holds a larger tree.
+Trees return a spanning forest of their links, never all pairs, and the
+forests meet in connected components.
+
+The shard trees stay in the tasks that their keys are dealt to. To broadcast
+them, all fingerprints would have to go through the driver.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import utf8
+from .blocks import mix, utf8
 from .components import components
 from .scratch import written
+from .shards import pair_groups, shared_groups, whole_groups
 
 RADIUS = 3
 PARTS = 5
 SEED = 42
 SHINGLE = 3
+#: Fingerprints of the largest shard tree.
+LARGEST = 4096
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -62,6 +68,12 @@ def _fingerprints(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fingerprint"])
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; fingerprints of several words have them along the last axis."""
+    bits = np.bitwise_count(a ^ b)
+    return bits.astype(np.int64) if bits.ndim < 2 else bits.sum(axis=-1, dtype=np.int64)
+
+
 class BKTree:
     """A BK-tree of distinct fingerprints: the first is the root, the others hang below it by distance.
 
@@ -70,10 +82,10 @@ class BKTree:
 
     def __init__(self, values: np.ndarray, places: np.ndarray | None = None) -> None:
         places = np.arange(len(values)) if places is None else places
-        self.value, self.place, self.children = values[places[0]], places[0], {}
+        self.value, self.place, self.children = values[places[:1]], places[0], {}
         if len(places) > 1:
             rest = places[1:]
-            far = np.bitwise_count(values[rest] ^ self.value)
+            far = distance(values[rest], self.value)
             self.children = {int(d): BKTree(values, rest[far == d]) for d in np.unique(far)}
 
     def within(self, queries: np.ndarray, radius: int, rows: np.ndarray | None = None):
@@ -81,7 +93,7 @@ class BKTree:
         stack = [(self, np.arange(len(queries)) if rows is None else rows)]
         while stack:
             node, rows = stack.pop()
-            far = np.bitwise_count(queries[rows] ^ node.value).astype(np.int64)
+            far = distance(queries[rows], node.value)
             near = rows[far <= radius]
             if len(near):
                 yield node.place, near
@@ -90,11 +102,10 @@ class BKTree:
                     stack.append((child, on))
 
 
-def forest(tree_of: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that span the links of the queries (none: of the members) to the members of a tree."""
-    values = tree_of if queries is None else np.concatenate((tree_of, queries))
-    asked, shift = (values, 0) if queries is None else (queries, len(tree_of))
-    label, members = np.arange(len(values)), {}
+def spanned(tree_of: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of edges that span the links of the queries (none: of the members) to the members of a tree; queries come after members."""
+    asked, shift = (tree_of, 0) if queries is None else (queries, len(tree_of))
+    label, members = np.arange(shift + len(asked)), {}
     for place, near in BKTree(tree_of).within(asked, radius):
         joined = np.unique(label[np.append(near + shift, place)])
         if len(joined) > 1:
@@ -105,71 +116,69 @@ def forest(tree_of: np.ndarray, queries: np.ndarray | None, radius: int) -> tupl
                 label[group] = to
                 large.extend(group)
             members[int(to)] = large
-    linked = np.flatnonzero(label != np.arange(len(values)))
-    return values[linked], values[label[linked]]
+    linked = np.flatnonzero(label != np.arange(len(label)))
+    return linked, label[linked]
 
 
-def _keys(parts: int, radius: int):
-    """The tree keys of fingerprints: a hash of the choice of parts with the parts' bits."""
-    bounds = np.linspace(0, 64, parts + 1).astype(int)
-    masks = [sum(((1 << int(b - a)) - 1) << int(a) for a, b in zip(bounds[:-1], bounds[1:], strict=True) if (a, b) in chosen) for chosen in combinations(list(zip(bounds[:-1], bounds[1:], strict=True)), parts - radius)]
-
-    def keys(batches):
-        for batch in batches:
-            values = batch.column(0).to_numpy().view(np.uint64)
-            for i, mask in enumerate(masks):
-                key = (values & np.uint64(mask)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i * 0xD6E8FEB86659FD93 % (1 << 64))
-                yield pa.RecordBatch.from_arrays([pa.array((key ^ (key >> np.uint64(32))).view(np.int64)), batch.column(0)], names=["key", "fingerprint"])
+def forest(tree_of: np.ndarray, queries: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of ``spanned`` as fingerprints."""
+    values = tree_of if queries is None else np.concatenate((tree_of, queries))
+    a, b = spanned(tree_of, queries, radius)
+    return values[a], values[b]
 
-    return keys
 
+def _choices(mask: int, parts: int, radius: int) -> list[int]:
+    """The bits of each choice of parts of what ``mask`` leaves open, with those of ``mask``."""
+    open_bits = [b for b in range(64) if not mask >> b & 1]
+    bounds = np.linspace(0, len(open_bits), parts + 1).astype(int)
+    values = [sum(1 << b for b in open_bits[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [mask | sum(chosen) for chosen in combinations(values, parts - radius)]
 
-def _edges(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return tuple(np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.uint64) for i in (0, 1))
 
+def _keys(parts: int, radius: int):
+    """The keys of fingerprints that share a key so far: a hash of it and of the bits that another choice of parts adds."""
 
-def _within_tasks(radius: int):
-    """Links within each task's trees; the task's outermost keys also leave as slices, as they may go on elsewhere."""
+    def keys(batches):
+        for batch in batches:
+            key, mask, value = (c.to_numpy().view(np.uint64) for c in batch.columns)
+            for held in np.unique(mask):
+                on = mask == held
+                for i, chosen in enumerate(_choices(int(held), parts, radius)):
+                    new = (key[on] ^ mix(value[on] & np.uint64(chosen))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((i + 1) * 0xD6E8FEB86659FD93 % (1 << 64))
+                    columns = (mix(new), np.full(on.sum(), chosen, np.uint64), value[on])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["key", "mask", "fingerprint"])
 
-    def search(batches):
-        table = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        key, value = (c.to_numpy() for c in table.columns)
-        order = np.lexsort((value, key))
-        key, value = key[order], value[order].view(np.uint64)
-        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        ends = np.append(heads[1:], len(key))
-        pairs = [forest(value[a:b], None, radius) for a, b in zip(heads.tolist(), ends.tolist(), strict=True) if b - a > 1]
-        a, b = _edges(pairs)
-        outer = sorted({0, len(heads) - 1})
-        slices = [value[heads[i] : ends[i]].view(np.int64) for i in outer]
-        none = len(a)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((a.view(np.int64), np.zeros(len(outer), np.int64)))), pa.array(np.concatenate((b.view(np.int64), np.zeros(len(outer), np.int64)))), pa.array([None] * none + [int(key[heads[i]]) for i in outer], pa.int64()), pa.array([None] * none + slices, pa.list_(pa.int64()))],
-            names=["a", "b", "key", "slice"],
-        )
+    return keys
 
-    return search
 
+def _linked(radius: int):
+    """Edges within each key of rows that come by key."""
 
-def _across_tasks(radius: int):
     def search(batches):
-        for batch in batches:
-            a, b = _edges([forest(np.array(x, np.int64).view(np.uint64), np.array(y, np.int64).view(np.uint64), radius) for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        for rows in whole_groups(batches):
+            key, value = rows.column(0).to_numpy(), rows.column(1).to_numpy().view(np.uint64)
+            heads, ends, a, b = pair_groups(key)
+            near = distance(value[a], value[b]) <= radius
+            pairs = [(value[a[near]], value[b[near]])]
+            pairs += [forest(value[x:y], None, radius) for x, y in zip(heads.tolist(), ends.tolist(), strict=True)]
+            a, b = (np.concatenate([p[i] for p in pairs]).view(np.int64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return search
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, parts: int = PARTS) -> DataFrame:
+def links(fingerprints: DataFrame, radius: int = RADIUS, parts: int = PARTS, largest: int = LARGEST) -> DataFrame:
     """Edges (a, b) that span the links between the distinct values of ``fingerprint``."""
-    keyed = fingerprints.select("fingerprint").mapInArrow(_keys(parts, radius), "key long, fingerprint long")
-    found = written(keyed.repartitionByRange("key", "fingerprint").mapInArrow(_within_tasks(radius), "a long, b long, key long, slice array<long>"), "links")
-    slices = found.where("key is not null").select("key", "slice", F.element_at("slice", 1).alias("first"))
-    others = slices.select(F.col("key").alias("other_key"), F.col("slice").alias("other"), F.col("first").alias("other_first"))
-    pairs = slices.join(others, F.expr("key = other_key and first < other_first")).select("slice", "other")
-    return found.where("key is null").select("a", "b").union(pairs.mapInArrow(_across_tasks(radius), "a long, b long"))
+    rows, found = fingerprints.select(F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("mask"), "fingerprint"), None
+    while True:
+        keyed = rows.mapInArrow(_keys(parts, radius), "key long, mask long, fingerprint long")
+        small, large = shared_groups(keyed, "fingerprint", largest)
+        edges = small.select("key", "fingerprint").repartition("key").sortWithinPartitions("key").mapInArrow(_linked(radius), "a long, b long")
+        edges = written(edges, "links")
+        found = edges if found is None else found.union(edges)
+        rows = written(large, "large")
+        if rows.isEmpty():
+            return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, parts: int = PARTS) -> DataFrame:

@@ -1,9 +1,13 @@
 """Trained operators: held-out accuracy and defined cases."""
 
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from millrace.llm.compression_quality import scored
 from millrace.llm.language_id import UNKNOWN, identified, language_accepted, predicted
+from millrace.llm.linear import bounded_sample, stretches
 from millrace.llm.license_scan import TEMPLATES, Classifier, _words, licensed_paragraphs
 
 SYLLABLES = {"en": "the ing tion and er on re".split(), "de": "sch ung ver ich keit ein der".split(), "fr": "eau que ment ais oux le é".split(), "es": "ción os ar ña dad el ll".split()}
@@ -79,6 +83,42 @@ def test_licences(spark):
     assert [r.family for r in found if r.doc_id == -5] == ["proprietary"] * 2
 
 
+def test_licence_probabilities_hold_on_templates_that_the_fit_has_not_seen():
+    model = Classifier([prose(lang, i, 12) for i in range(80) for lang in SYLLABLES])
+    p, truth = model.held
+    sure, right = p.max(axis=1), p.argmax(axis=1) == truth
+    assert len(set(truth.tolist())) >= 10 and right.mean() >= 0.9
+    for low, high in ((0.3, 0.9), (0.9, 1.01)):
+        on = (sure >= low) & (sure < high)
+        assert abs(sure[on].mean() - right[on].mean()) <= 0.15
+    licence, plain = truth > 0, truth == 0
+    assert (p[plain].argmax(axis=1) == 0).all() and (p[licence].argmax(axis=1) > 0).mean() >= 0.9
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    notice = TEMPLATES["mit"][2].split()
+    wrapped = "\n".join(" ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
+    df = spark.createDataFrame([(1, f"{prose('en', 1)}\n\n{wrapped}\n\n{prose('en', 2)}", "gpl"), (1, TEMPLATES["mit"][0], None)], "doc_id long, text string, family string")
+    found = sorted((r.doc_id, r.paragraph, r.family) for r in licensed_paragraphs(df).where("confirmed").collect())
+    assert found == [(1, 0, "mit"), (1, 2, "mit")]
+
+
+def test_samples_are_bounded_under_repeated_rows(spark):
+    df = spark.createDataFrame([("same text", "a")] * 2000 + [(f"text {i} " + "x" * (i % 7) * 9000, "a") for i in range(8000)] + [("b text", "b")], "text string, label string").repartition(7)
+    picked = bounded_sample(df, "label", 400, "text", 2000)
+    counts = Counter(r.label for r in picked)
+    assert counts["b"] == 1 and 100 <= counts["a"] <= 400
+    assert max(len(r.text) for r in picked) <= 2100
+    assert picked == bounded_sample(df.repartition(3), "label", 400, "text", 2000)
+
+
+def test_stretches_reach_both_ends(spark):
+    text = "a" * 5000 + "b" * 90_000 + "c" * 5000
+    got = spark.createDataFrame([(text,), ("short",), (None,), ("",)], "text string").select(stretches(F.col("text"), 4096).alias("t")).collect()
+    assert [r.t for r in got[1:]] == ["short", None, ""]
+    assert set(got[0].t) == set("abc\n") and len(got[0].t) <= 4200
+
+
 def test_agreement_with_templates_of_few_words():
     model = Classifier(["some plain words here and there", "nothing of note in this one line"] * 20)
     proprietary = model.families.index("proprietary")
