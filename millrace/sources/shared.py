@@ -8,20 +8,30 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_WRITTEN: list[str] = []
+_WRITTEN: list[tuple[str, str]] = []
+_SCOPE = [""]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is made only where none is set, as in tests."""
+    """The session's checkpoint folder.
+
+    A local session without one gets a temporary folder, as in tests. On a
+    cluster such a folder would lie on each machine's own disk, so there the
+    setting is required.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = held.get() if held.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
         folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return folder
@@ -32,20 +42,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append(path)
+    _WRITTEN.append((_SCOPE[-1], path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the tables that ``written`` has made in this session so far, and returns how many.
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Tables that are written inside belong to this name, so that ``release`` can delete them apart from others."""
+    _SCOPE.append(name)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def release(spark: SparkSession, *scopes: str) -> int:
+    """Deletes the tables that ``written`` has made in this session so far, or those of the scopes, and returns how many.
 
     Results that still read them must have been written elsewhere before. A
     long-lived session calls it between jobs; folders of ended sessions are
     the cluster's to clear.
     """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    count = 0
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        count += bool(path.getFileSystem(conf).delete(path, True))
-    return count
+    gone = [w for w in _WRITTEN if not scopes or w[0] in scopes]
+    _WRITTEN[:] = [w for w in _WRITTEN if w not in gone]
+    paths = [jvm.org.apache.hadoop.fs.Path(path) for _, path in gone]
+    return sum(bool(path.getFileSystem(conf).delete(path, True)) for path in paths)
