@@ -36,17 +36,21 @@ FAMILIES = {
 PER_CLASS = 400
 #: Hashed trigrams.
 BUCKETS = 1 << 13
-#: A score below which the pipeline's stage rejects a document.
-LEAST_SCORE = 0.5
+#: The pipeline's stage rejects a document where evenly spread trigrams explain it better than its language does, by so many nats.
+LEAST_EVIDENCE = 10.0
+#: Share of a language's profile that is spread evenly over all trigrams.
+SMOOTHING = 0.02
 UNKNOWN = "und"
 _SCALE = 30.0
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
+#: ASCII letters, separators and the bytes of other characters: numbers and signs tell no language.
+_PLAIN = np.array([b > 127 or chr(b).isalpha() or chr(b).isspace() for b in range(256)])
 
 
-def trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each trigram, and each text's first (one entry more than texts)."""
+def trigrams(block: Block, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each trigram, or of those without numbers and signs, and each text's first (one entry more than texts)."""
     b = _LOWER[block.data]
     if len(b) < 3:
         return np.zeros(0, np.uint32), np.zeros(block.rows + 1, np.int64)
@@ -55,6 +59,9 @@ def trigrams(block: Block) -> tuple[np.ndarray, np.ndarray]:
     for back in (1, 2):
         cut = block.starts[1:-1] - back
         inside[cut[(cut >= 0) & (cut < len(code))]] = False
+    if plain:
+        held = _PLAIN[block.data]
+        inside &= held[:-2] & held[1:-1] & held[2:]
     first = np.append(0, np.cumsum(inside))[np.clip(block.starts, 0, len(code))]
     return code[inside], first
 
@@ -70,6 +77,14 @@ def means(weights: np.ndarray, block: Block) -> np.ndarray:
     return total
 
 
+def evidence(profiles: np.ndarray, of: np.ndarray, block: Block) -> np.ndarray:
+    """Sum over each text's plain trigrams of how much likelier its language (a row of profiles) makes them than even spread does."""
+    code, first = trigrams(block, plain=True)
+    worth = profiles[np.repeat(of, np.diff(first)), code]
+    total = np.append(0.0, np.cumsum(worth))
+    return total[first[1:]] - total[first[:-1]]
+
+
 @dataclass
 class Machine:
     """Tells class a (positive margin) from class b."""
@@ -84,11 +99,13 @@ class Machine:
 
 @dataclass
 class Hierarchy:
-    """families: the machines among families; within: those among the languages of each."""
+    """families: the machines among families; within: those among the languages of each; profiles: a row of log-ratios for each language."""
 
     families: list[Machine]
     within: dict[str, list[Machine]]
     members: dict[str, list[str]]
+    languages: list[str]
+    profiles: np.ndarray
 
     def machines(self) -> list[Machine]:
         return [*self.families, *(m for ms in self.within.values() for m in ms)]
@@ -143,8 +160,17 @@ def fit(texts: list[str], languages: list[str]) -> Hierarchy:
         slope, shift = logistic((x[rows] @ w + bias)[:, None], (sign > 0).astype(float), penalty=0.1)
         return Machine(a, b, w, bias, slope, shift)
 
+    profiles = np.zeros((len(set(languages)), BUCKETS))
+    names = sorted(set(languages))
+    for block in blocks(column):
+        code, first = trigrams(block, plain=True)
+        for i in range(block.rows):
+            if first[i + 1] > first[i]:
+                profiles[names.index(languages[block.first + i])] += np.bincount(code[first[i] : first[i + 1]], minlength=BUCKETS) / (first[i + 1] - first[i])
+    shares = profiles / np.maximum(profiles.sum(axis=1, keepdims=True), 1e-9)
+    profiles = np.log((1 - SMOOTHING) * shares * BUCKETS + SMOOTHING)
     members = {f: sorted({v for v in languages if family_of(v) == f}) for f in sorted(set(family))}
-    return Hierarchy([machine(family, a, b) for a, b in combinations(members, 2)], {f: [machine(y, a, b) for a, b in combinations(v, 2)] for f, v in members.items()}, members)
+    return Hierarchy([machine(family, a, b) for a, b in combinations(members, 2)], {f: [machine(y, a, b) for a, b in combinations(v, 2)] for f, v in members.items()}, members, names, profiles)
 
 
 def _learnt(labelled: DataFrame, text_col: str, lang_col: str, per_class: int) -> tuple[Hierarchy | None, np.ndarray]:
@@ -155,7 +181,10 @@ def _learnt(labelled: DataFrame, text_col: str, lang_col: str, per_class: int) -
 
 
 def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
-    """The columns of ``docs``, then the predicted language and its score, learnt from the text and language of ``labelled`` alone.
+    """The columns of ``docs``, then the predicted language, its score and its evidence, learnt from the text and language of ``labelled`` alone.
+
+    The evidence says how much better, in nats, the language's trigrams explain
+    the text than evenly spread ones do: below zero for what is in no learnt language.
 
     Defined cases: a null text or one without a letter is ``und`` with score
     0; so is everything where nothing is labelled; with one language learnt
@@ -165,8 +194,8 @@ def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lan
     """
     held = docs.sparkSession.sparkContext.broadcast(_learnt(labelled, text_col, lang_col, per_class))
     width = len(docs.columns)
-    text_name, letter_name, *new = free_names(docs, "_text", "_letter", "_lang_pred", "_score")
-    out = StructType([*docs.schema, StructField(new[0], StringType()), StructField(new[1], DoubleType())])
+    text_name, letter_name, *new = free_names(docs, "_text", "_letter", "_lang_pred", "_score", "_evidence")
+    out = StructType([*docs.schema, StructField(new[0], StringType()), StructField(new[1], DoubleType()), StructField(new[2], DoubleType())])
 
     def predict(batches):
         model, weights = held.value
@@ -175,10 +204,11 @@ def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lan
             for block in blocks(batch.column(width)):
                 letter = letters[block.first : block.first + block.rows]
                 pred, score = model.predict(means(weights, block)) if model else (np.full(block.rows, UNKNOWN, object), np.zeros(block.rows))
+                known = evidence(model.profiles, np.searchsorted(model.languages, pred.astype(str)), block) if model else np.zeros(block.rows)
                 pred[~letter] = UNKNOWN
                 score = np.where(letter & (model is not None), score, 0.0)
                 rows = batch.slice(block.first, block.rows)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array(pred, pa.string()), pa.array(score)], names=out.names)
+                yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array(pred, pa.string()), pa.array(score), pa.array(known)], names=out.names)
 
     text = F.col(text_col).cast("string")
     return docs.select("*", text.alias(text_name), text.rlike(r"\p{L}").alias(letter_name)).mapInArrow(predict, out)
@@ -190,8 +220,17 @@ def predicted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text
     return identified(read, labelled.select(F.col(text_col).alias("text"), lang_col), "text", lang_col, per_class).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def language_accepted(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without those whose language is not told, or told with too low a score; learnt from its own labels."""
+def language_accepted(docs: DataFrame, least_evidence: float = LEAST_EVIDENCE) -> DataFrame:
+    """``docs`` without those that are in none of the languages which their own labels teach.
+
+    A document goes if it is ``und``, or if evenly spread trigrams explain it
+    better than its predicted language by ``least_evidence`` nats: other
+    languages and junk. Short texts have little evidence either way and stay.
+
+    Defined cases: null texts and those without a letter go; with nothing
+    labelled all go; repeated rows stay or go together; an empty table gives
+    none; all columns stay as they are, whatever their names.
+    """
     out = identified(docs, docs)
-    lang, score = out.columns[-2:]
-    return out.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least_score)).drop(lang, score)
+    lang, score, known = out.columns[-3:]
+    return out.where((F.col(lang) != UNKNOWN) & (F.col(known) > -least_evidence)).drop(lang, score, known)

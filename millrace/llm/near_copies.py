@@ -22,12 +22,15 @@ those it links to; only what no hub links to goes against the group's slices.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .blocks import Block, blocks, mix, ngrams
+from .blocks import Block, blocks, mix, ngrams, utf8
 from .components import components
 from .scratch import written
 from .shards import pair_groups, shared_groups, whole_groups
@@ -94,8 +97,8 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
-def _sets(batch: pa.RecordBatch, column: int) -> list[np.ndarray]:
-    return [x for block in blocks(batch.column(column)) for x in shingles(block)]
+def _sets_of(texts: pa.Array) -> list[np.ndarray]:
+    return [x for block in blocks(texts) for x in shingles(block)]
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -110,18 +113,35 @@ def _longs(values: list[int]) -> pa.Array:
 def _signed(batches):
     """doc_id and place as they are, then the node, its number of shingles, its fingerprint and its buckets."""
     for batch in batches:
-        sets = _sets(batch, 2)
+        sets = _sets_of(batch.column(2))
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), _longs([node_of(x) for x in sets]), pa.array([len(x) for x in sets], pa.int64()), _lists([fingerprint(x) for x in sets]), _lists([bands(x) for x in sets])],
             names=["doc_id", "place", "node", "size", "print", "bands"],
         )
 
 
+def _packed(batches):
+    """The other columns as they are, with the text compressed, as all texts go through one exchange."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        data, starts = utf8(batch.column(at))
+        data = data.tobytes()
+        yield batch.set_column(at, "text", pa.array([pack(data[x:y]) for x, y in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)], pa.binary()))
+
+
+def _unpacked(texts: pa.Array | pa.ChunkedArray) -> Iterator[np.ndarray]:
+    """The shingles of compressed texts, some at a time."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for text in texts:
+        yield from _sets_of(pa.array([unpack(text.as_buffer())], pa.large_binary()))
+
+
 def _hashed(batches):
     """The other columns as they are, with the text's shingles in its stead."""
     for batch in batches:
         at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, "text", _lists(_sets(batch, at)))
+        yield batch.set_column(at, "text", _lists(list(_unpacked(batch.column(at)))))
 
 
 def _linked(batches):
@@ -194,17 +214,24 @@ def spanning(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
 
 
 def _compared(batches):
-    """Edges within each group of rows (key, node, text) that come by key; a node that a group has twice counts once."""
+    """Edges within each group of rows (key, node, text) that come by key; a node that a group has twice counts once.
+
+    text is a compressed text, or the array of its shingles.
+    """
     for rows in whole_groups(batches):
         key, node = rows.column("key").to_numpy(), rows.column("node").to_numpy()
-        lists = rows.column("text").combine_chunks()
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+        texts = rows.column("text").combine_chunks()
+        if packed := pa.types.is_binary(texts.type):
+            sets = texts
+        else:
+            offsets, values = texts.offsets.to_numpy(), texts.values.to_numpy().view(np.uint64)
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         a, b = [node[:0]], [node[:0]]
         for group in np.split(np.arange(len(key)), heads[1:]):
             group = group[np.unique(node[group], return_index=True)[1]]
             if len(group) > 1:
-                x, y = spanning([values[offsets[r] : offsets[r + 1]] for r in group.tolist()])
+                held = list(_unpacked(sets.take(pa.array(group)))) if packed else [values[offsets[r] : offsets[r + 1]] for r in group.tolist()]
+                x, y = spanning(held)
                 a.append(node[group[x]] if x else node[:0])
                 b.append(node[group[y]] if y else node[:0])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -234,7 +261,7 @@ def _of_large_groups(sets: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that links of similarity ``LEAST`` or more lead to.
+    """doc_id, place (a hash of the text) and component_id, the smallest doc_id that links of similarity ``LEAST`` or more lead to.
 
     Defined cases: null texts and those without words are copies of one
     another and of nothing else; a text of fewer than five words is one
@@ -252,22 +279,24 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = written(groups.join(distinct, F.col("n") == F.col("node")).select("node", "root", "size", "first.*"), "groups")
     sizes = written(groups.groupBy(F.col("root").alias("r")).agg(F.ceil(F.sum("size") / SLICE).cast("int").alias("slices")), "sizes")
     dealt = groups.join(sizes, F.col("root") == F.col("r")).select("node", "root", "slices", F.pmod(F.xxhash64("node"), "slices").cast("int").alias("slice"), F.col("doc_id").alias("d"), F.col("place").alias("p"))
-    texts = docs.join(written(dealt, "dealt"), F.expr("doc_id <=> d and place = p")).select("node", "root", "slices", "slice", "text")
-    sets = texts.mapInArrow(_hashed, "node long, root long, slices int, slice int, text array<long>")
-    if sizes.where("slices > 1").isEmpty():
-        small, large = sets, None
-    else:
-        sets = written(sets, "sets")
-        small, large = sets.where("slices = 1"), sets.where("slices > 1")
+    # Each text goes through one exchange, whatever the number of candidates, so the plan is the same at every size.
+    packed = docs.mapInArrow(_packed, "doc_id long, place long, text binary")
+    texts = packed.join(written(dealt, "dealt").hint("shuffle_hash"), F.expr("doc_id <=> d and place = p")).select("node", "root", "slices", "slice", "text")
+    small, large = texts, None
+    if not sizes.where("slices > 1").isEmpty():
+        texts = written(texts, "candidates")
+        small, large = texts.where("slices = 1"), texts.where("slices > 1")
+        large = written(large.mapInArrow(_hashed, "node long, root long, slices int, slice int, text array<long>"), "sets")
     edges = small.select(F.col("root").alias("key"), "node", "text").repartition("key").sortWithinPartitions("key").mapInArrow(_compared, "a long, b long")
     stars = components(edges if large is None else edges.union(_of_large_groups(large))).withColumnsRenamed({"a": "n", "b": "root"})
     rooted = distinct.join(stars, F.col("node") == F.col("n"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     named = written(rooted.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("n"), "component_id"), "components")
-    return prints.join(named, F.col("node") == F.col("n")).select("doc_id", "component_id")
+    return prints.join(named, F.col("node") == F.col("n")).select("doc_id", "place", "component_id")
 
 
 def one_of_each_copy(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose group of near copies has one of smaller id; a row without doc_id stays."""
-    gone = written(near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """``docs`` without the rows whose group of near copies has one of smaller id; a row without doc_id stays."""
+    gone = near_copies(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"), F.col("place").alias("_place"))
+    gone = written(gone.distinct(), "gone")
+    return docs.join(gone, (docs["doc_id"] == gone["_gone"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_place"]), "left_anti")

@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame
 
-from ..sources.shared import shared_folder, written
+from ..sources.shared import release, scope, shared_folder, written
 
-__all__ = ["free_names", "shared_folder", "written"]
+__all__ = ["free_names", "release", "scope", "shared_folder", "written"]
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:

@@ -3,13 +3,14 @@
 Method. Each text is scanned for three base kinds, which are always
 reported, and for further shapes of credentials. The hash of every
 candidate's value is then counted over the whole corpus by distinct
-repositories and distinct owners. A value that many owners hold is a widely
-copied example; one that a single owner holds is live-looking, and its
+repositories and distinct owners. A value that ``COPIED`` owners hold, or two
+owners in ``SPREAD`` repositories, is a widely copied example; one of a single
+owner is live-looking, however many of its repositories hold it, and its
 further spans are added to the base ones.
 
-Counts are aggregated before each exchange: first to one row for each
-(value, owner, repository), then for each (value, owner), then for each
-value, so a value that a third of all rows hold is a few rows by then.
+Counts are aggregated before each exchange. The verdict goes back to the spans
+by a join; values with a thousandth of all spans or more, of which there are a
+thousand at most, are broadcast, so no value makes a large task.
 """
 
 from __future__ import annotations
@@ -21,12 +22,17 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from .blocks import utf8
 from .scratch import free_names, written
 
 #: Owners from which on a value counts as a copied example.
 COPIED = 3
+#: Repositories from which on a value of two owners counts as one.
+SPREAD = 6
+#: Values with this share of all spans are broadcast.
+HOT = 1000
 BASE = ("assign", "access", "hex")
 _ASSIGN = re.compile(rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE)
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
@@ -43,7 +49,9 @@ MORE = {
     "key_block": (b"PRIVATE KEY", re.compile(rb"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]*PRIVATE KEY-----")),
     "url": (b"://", re.compile(rb"\b[a-z][a-z0-9+.-]{0,31}://[^\s/:@]+:([^\s/:@]{8,})@")),
 }
-_FOUND = "row long, doc_id long, owner string, repository string, base array<struct<start:long,kind:string,end:long,value:string>>, more array<struct<start:long,kind:string,end:long,value:string>>"
+_SPANS = "array<struct<start:long,kind:string,end:long,value:string>>"
+_SPANS_TYPE = ArrayType(StructType([StructField("start", LongType()), StructField("kind", StringType()), StructField("end", LongType()), StructField("value", StringType())]))
+_NO_OWNER = "\0"
 
 
 def find(text: bytes) -> tuple[list, list]:
@@ -81,24 +89,39 @@ def _in_code_points(text: bytes, spans: list) -> list:
     return [{"start": place[s], "kind": kind, "end": place[e], "value": hashlib.sha256(v).hexdigest()} for s, kind, e, v in spans]
 
 
-def _scan(batches):
+def _scan(keep: int, at: int):
+    """The first ``keep`` columns as they are, then the base spans and the further ones of the texts in column ``at``."""
     kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64()), ("value", pa.string())]))
-    for batch in batches:
-        row, doc_id, text, owner, repository = batch.columns
-        data, starts = utf8(text)
-        data = data.tobytes()
-        found = [find(data[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [row, doc_id, owner, repository, pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind)],
-            names=["row", "doc_id", "owner", "repository", "base", "more"],
-        )
 
+    def scan(batches):
+        for batch in batches:
+            data, starts = utf8(batch.column(at))
+            data = data.tobytes()
+            found = [find(data[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+            spans = [pa.array([f[k] for f in found], kind) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:keep], *spans], names=[str(i) for i in range(keep + 2)])
 
-def ownership(candidates: DataFrame) -> DataFrame:
-    """value, repositories, owners: distinct ones over the whole corpus."""
-    each = candidates.groupBy("value", "owner", "repository").agg(F.lit(1).alias("one"))
-    by_owner = each.groupBy("value", "owner").agg(F.count("repository").alias("repositories"))
-    return by_owner.groupBy("value").agg(F.sum("repositories").alias("repositories"), F.count("*").alias("owners"))
+    return scan
+
+
+def ownership(candidates: DataFrame, copied: int = COPIED, spread: int = SPREAD) -> DataFrame:
+    """value, n (rows), owners and repositories (distinct ones over the whole corpus), and copied.
+
+    candidates: value, owner, repository. Null owners count as one owner, null repositories as none.
+    """
+    owner = F.coalesce("owner", F.lit(_NO_OWNER))
+    counts = candidates.groupBy("value").agg(F.count("*").alias("n"), F.count_distinct(owner).alias("owners"), F.count_distinct("repository").alias("repositories"))
+    return counts.withColumn("copied", (F.col("owners") >= copied) | (F.col("owners") > 1) & (F.col("repositories") >= spread))
+
+
+def _judged(spans: DataFrame, copied: int, spread: int) -> DataFrame:
+    """``spans`` with copied: whether its value is a widely copied example."""
+    counts = written(ownership(spans, copied, spread), "owners").select(F.col("value").alias("v"), "n", "copied")
+    least = -(-(counts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = counts.where(F.col("n") >= least).select("v", F.col("copied").alias("hot"))  # HOT rows at most
+    marked = spans.join(F.broadcast(hot), F.col("value") == F.col("v"), "left").drop("v")
+    rest = marked.where("hot is null").drop("hot").join(counts.where(F.col("n") < least), F.col("value") == F.col("v")).drop("v", "n")
+    return marked.where("hot is not null").withColumnRenamed("hot", "copied").unionByName(rest)
 
 
 def _ordered(spans: str) -> F.Column:
@@ -107,15 +130,14 @@ def _ordered(spans: str) -> F.Column:
     return F.expr(f"transform(array_sort(transform({spans}, s -> named_struct('start', s.start, 'rank', array_position(array({kinds}), s.kind), 'end', s.end, 'kind', s.kind, 'copied', s.copied))), s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind, 'copied', s.copied))")
 
 
-def _found(numbered: DataFrame, row: str, id_col: str, text_col: str, repository_col: str, owner_col: str) -> DataFrame:
-    scanned = numbered.select(
-        F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
-        F.col(owner_col).cast("string").alias("owner"), F.col(repository_col).cast("string").alias("repository"),
-    )
-    return written(scanned.mapInArrow(_scan, _FOUND), "found")
+def _unfolded(found: DataFrame) -> DataFrame:
+    """A row for each span: row, owner, repository, is_base, start, kind, end, value."""
+    marked = (F.expr(f"transform({c}, s -> named_struct('base', {c == 'base'}, 's', s))") for c in ("base", "more"))
+    spans = found.select("row", "owner", "repository", F.explode(F.concat(*marked)).alias("x"))
+    return spans.select("row", "owner", "repository", F.col("x.base").alias("is_base"), *(F.col(f"x.s.{c}").alias(c) for c in ("start", "kind", "end", "value")))
 
 
-def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied: int = COPIED) -> DataFrame:
+def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repository_col: str = "doc_id", owner_col: str = "source", copied: int = COPIED, spread: int = SPREAD) -> DataFrame:
     """The secrets of each row: doc_id, base and spans.
 
     base and spans are arrays of (start, end, kind, copied) in order; spans
@@ -127,19 +149,13 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     have their own spans each; spans that begin together go by kind as
     listed; an empty table gives none; other columns are ignored.
     """
-    (row,) = free_names(docs, "_row")
-    found = _found(docs.withColumn(row, F.monotonically_increasing_id()), row, id_col, text_col, repository_col, owner_col)
-    return _with_ownership(found, copied).drop("row")
-
-
-def _with_ownership(found: DataFrame, copied: int) -> DataFrame:
-    spans = found.select("row", "owner", "repository", F.explode(F.concat(F.transform("base", lambda s: F.struct(F.lit(True).alias("base"), s.alias("s"))), F.transform("more", lambda s: F.struct(F.lit(False).alias("base"), s.alias("s"))))).alias("x"))
-    spans = spans.select("row", "owner", "repository", F.col("x.base").alias("is_base"), F.col("x.s.start").alias("start"), F.col("x.s.kind").alias("kind"), F.col("x.s.end").alias("end"), F.col("x.s.value").alias("value"))
-    counts = written(ownership(spans), "owners").withColumnRenamed("value", "v")
-    judged = spans.join(counts, F.col("value") == F.col("v")).withColumn("copied", F.col("owners") >= copied)
-    of_row = judged.where("is_base or not copied").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end", "copied", "is_base")).alias("all")).withColumnRenamed("row", "r")
+    columns = {"doc_id": F.col(id_col).cast("long"), "owner": F.col(owner_col).cast("string"), "repository": F.col(repository_col).cast("string"), "text": F.col(text_col).cast("string")}
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), *(c.alias(name) for name, c in columns.items()))
+    found = written(numbered.mapInArrow(_scan(4, 4), f"row long, doc_id long, owner string, repository string, base {_SPANS}, more {_SPANS}"), "found")
+    judged = _judged(_unfolded(found), copied, spread).where("is_base or not copied")
+    of_row = judged.groupBy(F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "kind", "end", "copied", "is_base")).alias("all"))
     out = found.select("row", "doc_id").join(of_row, F.col("row") == F.col("r"), "left").withColumn("all", F.coalesce("all", F.expr("array()")))
-    return out.select("row", "doc_id", _ordered("filter(all, s -> s.is_base)").alias("base"), _ordered("all").alias("spans"))
+    return out.select("doc_id", _ordered("filter(all, s -> s.is_base)").alias("base"), _ordered("all").alias("spans"))
 
 
 def described(spans: str) -> F.Column:
@@ -147,23 +163,35 @@ def described(spans: str) -> F.Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redacted(docs: DataFrame, mark: str = "[SECRET]", copied: int = COPIED) -> DataFrame:
+def redacted(docs: DataFrame, mark: str = "[SECRET]", copied: int = COPIED, spread: int = SPREAD) -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``, and n_chars counted anew where there is one.
 
-    Columns stay as they are. Values of widely copied examples are replaced
-    only where a base kind reports them.
+    Values of widely copied examples are replaced only where a base kind
+    reports them. Only rows with further candidates wait for the corpus's
+    verdict and go through an exchange.
+
+    Defined cases: a null text stays null; overlapping spans become one mark;
+    rows that repeat a doc_id are redacted each; an empty table gives none;
+    other columns stay as they are, whatever their names.
     """
-    row, spans, own = free_names(docs, "_row", "_spans", "_of")
-    held = written(docs.withColumn(row, F.monotonically_increasing_id()), "texts")
-    found = _with_ownership(_found(held, row, "doc_id", "text", "doc_id", "source"), copied)
-    found = found.where(F.size("spans") > 0).select(F.col("row").alias(own), F.col("spans").alias(spans))
-    df = held.join(found, F.col(row) == F.col(own), "left")
+    row, base, more, r, extra = free_names(docs, "_row", "_base", "_more", "_r", "_extra")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    fields = StructType([*numbered.schema, *(StructField(c, _SPANS_TYPE) for c in (base, more))])
+    held = written(numbered.mapInArrow(_scan(len(numbered.columns), numbered.columns.index("text")), fields), "texts")
+    found = held.select(F.col(row).alias("row"), F.col("source").cast("string").alias("owner"), F.col("doc_id").cast("string").alias("repository"), F.col(base).alias("base"), F.col(more).alias("more"))
+    live = _judged(_unfolded(found), copied, spread).where("not is_base and not copied")
+    live = live.groupBy(F.col("row").alias(r)).agg(F.collect_list(F.struct("start", "kind", "end", "value")).alias(extra))
+    plain = held.where(F.size(more) == 0).withColumn(extra, F.expr(f"cast(array() as {_SPANS})"))
+    waiting = held.where(F.size(more) > 0).join(live, F.col(row) == F.col(r), "left").drop(r)
+    df = plain.unionByName(waiting)
+    spans = f"array_sort(transform(concat({base}, coalesce({extra}, array())), s -> named_struct('start', s.start, 'end', s.end)))"
     # Spans in order; one that begins within the part already copied adds only what lies beyond it.
     text = F.expr(f"""aggregate({spans}, named_struct('at', 0L, 'out', ''), (a, s) -> named_struct(
         'at', greatest(a.at, s.end), 'out', if(s.start < a.at, a.out, concat(a.out, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}'))),
         a -> concat(a.out, substring(text, cast(a.at + 1 as int))))""")
-    df = df.withColumn("text", F.when(F.col(spans).isNotNull(), text).otherwise(F.col("text")))
+    hit = (F.size(base) > 0) | (F.size(extra) > 0)
+    df = df.withColumn("text", F.when(hit, text).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        df = df.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return df.drop(row, own, spans)
+        df = df.withColumn("n_chars", F.when(hit, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return df.select(docs.columns)

@@ -18,12 +18,12 @@ goal as (select source, source_size, w, target from fill where round = (select m
 seats as (select round(sum(target) / 8)::bigint as n from goal),
 quotients as (select source, target / (2 * k + 1) as q from goal, range(0, (select n from seats) + 1) t(k) where target / (2 * k + 1) >= (select sum(target) / n / 2.2 from goal, seats group by n)),
 won as (select source, count(*) as seats from (select source, row_number() over (order by q desc, source nulls last) as r from quotients), seats where r <= n group by source),
-dealt as (select d.*, g.source_size, g.target, coalesce(won.seats, 0) as seats, cast('0x' || substring(place, 25, 8) as bigint) % least(greatest(ceil(g.source_size / 131072), 1), 4096)::bigint as shard from sizes d join goal g on d.source is not distinct from g.source left join won on d.source is not distinct from won.source),
+dealt as (select d.*, g.source_size, g.target, coalesce(won.seats, 0) as seats, cast('0x' || substring(place, 25, 8) as bigint) % greatest(ceil(g.source_size / greatest(131072.0::double, sqrt(g.source_size::double))), 1)::bigint as shard from sizes d join goal g on d.source is not distinct from g.source left join won on d.source is not distinct from won.source),
 shards as (select source, shard, sum(size)::bigint as length, any_value(seats) as seats from dealt group by all),
 sq as (select h.source, shard, length::double / (2 * k + 1) as q, h.seats from shards h, range(0, 400000) t(k) where k <= seats and length > 0 and length::double / (2 * k + 1) >= (select sum(length) / 2.2 / greatest(any_value(x.seats), 1) from shards x where x.source is not distinct from h.source)),
 sw as (select source, shard, count(*) as quota from (select source, shard, seats, row_number() over (partition by source order by q desc, shard) as r from sq) where r <= seats group by all),
-quotas as (select h.source, h.shard, h.length, least(coalesce(sw.quota, 0), floor(h.length * 2 / 8))::bigint as quota from shards h left join sw on h.source is not distinct from sw.source and h.shard = sw.shard),
-laid as (select d.*, q.length, q.quota * 8 as take, coalesce(sum(size) over (partition by d.source, d.shard order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as begin
+quotas as (select h.source, h.shard, h.length, coalesce(sw.quota, 0)::bigint as quota from shards h left join sw on h.source is not distinct from sw.source and h.shard = sw.shard),
+laid as (select d.*, q.length, least(q.quota * 8, q.length * 2) as take, coalesce(sum(size) over (partition by d.source, d.shard order by place, doc_id, size rows between unbounded preceding and 1 preceding), 0) as begin
  from dealt d join quotas q on d.source is not distinct from q.source and d.shard = q.shard)
 select doc_id, size::bigint as size, source_size, target,
  (case when length > 0 then (take // length) * size + least(greatest(take - (take // length) * length - begin, 0), size) else 0 end)::bigint as taken, source from laid

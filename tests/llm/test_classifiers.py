@@ -1,12 +1,17 @@
 """Trained operators: held-out accuracy and defined cases."""
 
+import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from millrace.llm.blocks import blocks
+
 from millrace.llm.compression_quality import scored
-from millrace.llm.language_id import UNKNOWN, identified, language_accepted, predicted
+from millrace.llm.language_id import UNKNOWN, evidence, fit, identified, language_accepted, means, predicted
 from millrace.llm.linear import bounded_sample, stretches
 from millrace.llm.license_scan import TEMPLATES, Classifier, _words, licensed_paragraphs
 
@@ -44,7 +49,40 @@ def test_accepted_rows_keep_their_columns(spark):
     df = docs(spark, [(k * 100 + i, prose(lang, i), lang) for k, lang in enumerate(SYLLABLES) for i in range(8)] + [(-1, None, None), (-2, "123", "en")])
     out = language_accepted(df)
     assert out.columns == df.columns and {r.doc_id for r in df.collect()} - {r.doc_id for r in out.collect()} == {-1, -2}
-    assert identified(df, df).columns[-2:] == ["_lang_pred_", "_score"]
+    assert identified(df, df).columns[-3:] == ["_lang_pred_", "_score", "_evidence"]
+
+
+OTHERS = (
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem.",
+    "Все люди рождаются свободными и равными в своем достоинстве и правах. Они наделены разумом и совестью.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+    "x9f#q zzkq 77qqx!! vbnm,,.. qwpoeiru zmxncb 1029 kjhg lkjs wqxz vvkp jjqw xxzk pqzj wvxk",
+)
+
+
+def test_other_languages_and_junk_are_rejected_and_clean_texts_stay(spark):
+    clean = [(k * 1000 + i, prose(lang, i, 10 + 40 * (i % 5)), lang) for k, lang in enumerate(SYLLABLES) for i in range(100)]
+    noisy = [(9000 + i, f"{prose('de', i, 12)} token = {hashlib.sha256(bytes([i])).hexdigest()} +1 (555) 555-{i:04}", None) for i in range(20)]
+    others = [(-1 - i, t, None) for i, t in enumerate(OTHERS)]
+    twice = [(-9, OTHERS[0], None)] * 2 + [clean[0]]
+    kept = [r.doc_id for r in language_accepted(docs(spark, clean + noisy + others + twice)).collect()]
+    assert Counter(kept) == Counter(i for i, _, _ in clean + noisy + [clean[0]])
+
+
+def test_margins_against_a_plain_sum(spark):
+    texts = [prose(lang, i, 40) for lang in SYLLABLES for i in range(6)] + ["", "ab", "Abc", "é"]
+    languages = [lang for lang in SYLLABLES for _ in range(6)] + ["en"] * 4
+    model = fit(texts, languages)
+    weights = np.column_stack([m.weights for m in model.machines()])
+    (block,) = blocks(pa.array(texts, pa.large_string()), 1 << 30)
+    want, known = [], []
+    for text, lang in zip(texts, languages):
+        b = text.encode().lower()
+        grams = [(b[k : k + 3], ((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435761 % 2**32) >> 19) for k in range(len(b) - 2)]
+        want.append(np.mean([weights[c] for _, c in grams], axis=0) if grams else np.zeros(weights.shape[1]))
+        known.append(sum(model.profiles[model.languages.index(lang), c] for g, c in grams if all(x > 127 or chr(x).isalpha() or chr(x).isspace() for x in g)))
+    assert np.allclose(means(weights, block), want)
+    assert np.allclose(evidence(model.profiles, np.searchsorted(model.languages, languages), block), known)
 
 
 def test_empty_table(spark):

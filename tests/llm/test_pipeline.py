@@ -29,5 +29,31 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 41
 
 
+def test_stages_on_edges(spark, tmp_path):
+    """Empty tables, nulls in every column, a very long text, repeated rows and ties."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _gone long, _bad string, _row int, shard string"
+    r = random.Random(9)
+    prose = [" ".join("".join(r.choice(["an", "te", "ri", "do", "el"]) for _ in range(r.randint(1, 4))) for _ in range(60)) for _ in range(8)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(prose)] + [(0, prose[0], "en", "s", 1), (1, prose[0], "en", None, None), (None, prose[2], "en", None, None), (None, None, None, None, None), (9, "", "en", "s", 0), (10, " ".join(prose) * 200, "en", "s", 1)]
+    spark.createDataFrame([(0, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = spark.createDataFrame([(*r, 1, "b", 2, "c") for r in rows], schema)
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "source_mixing":
+                assert out.columns == docs.columns
+            ids = sorted(str(r.doc_id) for r in out.collect())
+            if docs is full:
+                every = sorted(str(r[0]) for r in rows)
+                if name == "language_id":
+                    assert ids == sorted(str(i) for i, t, *_ in rows if t)
+                elif name == "near_dedup":  # of id 1 the copy of id 0's text goes; a row without id is no witness and stays
+                    assert [i for i in ids if i != "None"] == sorted(["0", "0", *"1234567", "9", "10"])
+                else:
+                    assert ids == every
+            else:
+                assert ids == []
+
+
 def test_every_numbered_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))

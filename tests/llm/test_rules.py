@@ -108,6 +108,30 @@ def test_ownership_tells_copies_from_live_secrets(spark):
     assert all(got[i] == "" for i in range(40)) and all(got[100 + i] == "forge:3:43" for i in range(3))
 
 
+def test_repositories_take_part_in_the_verdict(spark):
+    keys = ["ghp_" + c * 36 for c in "ghjkmn"]
+    rows = [(i, f"x {keys[0]}", "en", "one") for i in range(30)]  # many repositories of one owner: live
+    rows += [(100 + i, f"x {keys[1]}", "en", f"s{i % 2}") for i in range(6)]  # two owners, six repositories: copied
+    rows += [(200 + i, f"x {keys[2]}", "en", f"s{i % 2}") for i in range(5)]  # two owners, five repositories: live
+    rows += [(300, f"x {keys[3]}", "en", f"s{i}") for i in range(2)] + [(301 + i, f"x {keys[4]}", "en", None) for i in range(8)]  # one repository of two owners, null owners: live
+    rows += [(400 + i, f"x {keys[5]}", "en", f"s{i}") for i in range(3)]  # three owners: copied
+    got = secrets(table(spark, rows)).select("doc_id", F.size("spans").alias("n")).collect()
+    assert {r.doc_id for r in got if r.n} == {r[0] for r in rows if r[0] // 100 in (0, 2, 3)}
+    docs = {r.doc_id: r.text for r in redacted(table(spark, rows)).collect()}
+    assert all((t == "x [SECRET]") == (i // 100 in (0, 2, 3)) for i, t in docs.items())
+
+
+def test_mix_with_text_holds_the_words_taken(spark):
+    rows = [*EDGES] + [(i, f"a{i} b\n" * (i % 40 + 1), "en", f"s{i % 5}") for i in range(200)]
+    plain = {(r.doc_id, r.size): r.taken for r in mixed(table(spark, rows)).collect()}
+    out = mixed(table(spark, rows), with_text=True).collect()
+    assert {(r.doc_id, r.size): r.taken for r in out} == plain and len(out) == len(rows)
+    texts = {(i, counts_by_force(t)[0]): re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t, _, _ in rows}
+    for r in out:
+        words = texts[r.doc_id, r.size]
+        assert re.findall(r"[^\x20\x09-\x0D]+", r.text) == (words * 3)[: r.taken]
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = table(spark, [(1, "é token=abcdefghijklmnop end", "en", "a"), (1, "é token=abcdefghijklmnop end", "en", "a"), (2, None, None, None), (3, "clean", "en", "b")])
     out = redacted(df)
