@@ -2,39 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.decontamination import decontaminated
 from millrace.llm.language_id import language_accepted
 from millrace.llm.mixing import mixed
 from millrace.llm.near_copies import one_of_each_copy
-from millrace.llm.scratch import written
+from millrace.llm.scratch import release, scope, written
 from millrace.llm.secrets import redacted
 
+_STAGE_NAMES: list[str] = []
+
+
+def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage whose intermediate tables are its own, and are deleted when a later stage starts: by then its result is written."""
+    earlier = list(_STAGE_NAMES)
+    _STAGE_NAMES.append(stage.__name__)
+
+    @wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if earlier:
+            release(spark, *earlier)
+        with scope(stage.__name__):
+            return stage(spark, docs, sf_dir)
+
+    return call
+
 
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the corpus's own labels teach; rejected ones go."""
+    """Documents in a language that the corpus's own labels teach; ``und``, other languages and junk go.
+
+    Null texts and those without a letter go; repeated rows stay or go
+    together; an empty table gives none; all columns stay as they are.
+    """
     return language_accepted(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of smallest id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of smallest id stays.
+
+    Null and empty texts are copies of one another; rows with the smallest id
+    of a group all stay, as does a row without doc_id; an empty table gives
+    none; all columns stay as they are.
+    """
     return one_of_each_copy(docs)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts and rows without doc_id stay; rows that repeat an id
+    go if one of them holds an item; an empty table gives none; all columns
+    stay as they are.
+    """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+@_stage
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay, with their secrets replaced by a mark."""
+    """All documents stay, with their secrets replaced by a mark.
+
+    A null text stays null; repeated rows are redacted each; an empty table
+    gives none; n_chars follows the text, other columns stay as they are.
+    """
     return redacted(docs)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixed(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+    """The mix: how many words of each document it takes, and these words as text.
+
+    Null and empty texts have size 0; a null source is a source of its own;
+    repeated rows count each; an empty table gives none.
+    """
+    return mixed(docs, with_text=True).select("doc_id", "size", "source_size", "target", "taken", "source", "text")
 
 
 STAGES = [
@@ -50,8 +97,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages over documents; what they leave behind in between is deleted."""
+    docs, names = spark.read.parquet(f"{sf_dir}/documents.parquet"), [name for name, _ in STAGES]
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        made = stage(spark, docs, sf_dir)
+        with scope("results"):
+            docs = written(made, name)
+    release(spark, *names)
     return docs
