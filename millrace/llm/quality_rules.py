@@ -3,11 +3,13 @@
 Method. Fixed base rules come first. Beside them each measure gets a
 threshold of its own in every language and source, read from a quantile
 sketch: counts of logarithmic buckets, whose merge is an addition, with a
-relative error of at most ``GAMMA`` - 1 in any quantile. Sketches of small
-sources are replaced by the merged sketch of their language, and those of
-small languages by the merged sketch of everything. A document fails where
-a measure lies outside the fences of its sketch; thresholds meet documents
-in a join.
+relative error of at most ``GAMMA`` - 1 in any quantile. The sketch of each
+source is merged with its language's, scaled to ``PRIOR`` rows, and that of
+each language with everything's, so small groups lean on larger ones and no
+group changes its rule at some size. The fence of a measure lies ``REACH`` times
+as far from the median as the outer decile does. A document fails where a
+measure lies beyond its fence and, if it counts something, at least ``EVENTS``
+of it are there; thresholds meet documents in a join.
 
 All of it is DataFrame functions. Sketches are pre-aggregated before their
 exchange, so a source with a third of all rows costs no more than another.
@@ -21,12 +23,14 @@ from .scratch import written
 
 #: Ratio of the bounds of a sketch's bucket.
 GAMMA = 1.02
-#: Rows from which on a sketch stands for itself.
-LEAST_ROWS = 200
-#: Fence: this many times the middle half's width beyond the middle half.
-REACH = 3
-#: Measures, with the least distance of a fence from the median; the first has a lower fence too.
-MEASURES = {"word_length": 200, "symbols": 200, "dup_lines": 300, "repeats": 250}
+#: Rows that a parent's sketch counts for in its child's.
+PRIOR = 200
+#: Fence: this many times the distance from the median to the outer decile.
+REACH = 7
+#: Measures, with what they count; the first is an average and has a lower fence too.
+MEASURES = {"word_length": None, "symbols": "n_symbols", "dup_lines": "n_dup_lines", "repeats": "n_repeat_words"}
+#: Fewer symbols, lines or words than this are no evidence, however short the text that they are a share of.
+EVENTS = 10
 
 _SPACE = r"[ \t-\r]+"
 _SYMBOLS = "#*$%&|<>"
@@ -85,30 +89,43 @@ def sketches(df: DataFrame) -> DataFrame:
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """lang, source, and the fences of each measure, from the narrowest sketch with enough rows."""
-    levels = [(2, F.col("lang"), F.col("source")), (1, F.col("lang"), F.lit(None).cast("string")), (0, F.lit(None).cast("string"), F.lit(None).cast("string"))]
-    cubed = None
-    for level, lang, source in levels:
-        part = sketch.select(F.lit(level).alias("level"), lang.alias("l"), source.alias("s"), "measure", "bucket", "n")
-        cubed = part if cubed is None else cubed.unionByName(part)
-    merged = cubed.groupBy("level", "l", "s", "measure", "bucket").agg(F.sum("n").alias("n"))
-    of = Window.partitionBy("level", "l", "s", "measure")
-    merged = merged.withColumn("upto", F.sum("n").over(of.orderBy("bucket"))).withColumn("total", F.sum("n").over(of))
-
-    def quantile(q: float) -> Column:
-        return F.pow(F.lit(GAMMA), F.min(F.when(F.col("upto") >= F.col("total") * q, F.col("bucket"))) + 0.5) - 1
-
-    cut = merged.groupBy("level", "l", "s", "measure").agg(quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"), F.max("total").alias("total"))
-    width = F.create_map(*(x for k, v in MEASURES.items() for x in (F.lit(k), F.lit(v))))[F.col("measure")]
-    reach = (F.col("q3") - F.col("q1")) * REACH
-    cut = cut.select("level", "l", "s", "measure", "total", F.greatest(F.col("q3") + reach, F.col("q2") + width).alias("most"), F.least(F.col("q1") - reach, F.col("q2") - width).alias("least"))
-    wide = cut.groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}") for k in MEASURES for side in ("least", "most")))
-    fences = [f"{side}_{k}" for k in MEASURES for side in ("least", "most")]
-    pick = F.struct(*fences)
-    own, lang, every = (wide.where(F.col("level") == n).select("l", "s", F.col("total").alias(f"n{n}"), pick.alias(f"f{n}")) for n in (2, 1, 0))
-    both = own.alias("o").join(lang.alias("g"), F.expr("o.l <=> g.l")).join(every.alias("e"), F.expr("e.l <=> cast(null as string)"), "left")
-    best = F.when(F.col("n2") >= LEAST_ROWS, F.col("f2")).when(F.col("n1") >= LEAST_ROWS, F.col("f1")).otherwise(F.col("f0"))
-    return both.select(F.col("o.l").alias("lang"), F.col("o.s").alias("source"), best.alias("f")).select("lang", "source", "f.*")
+    """lang, source, and the fences of each measure."""
+    own = sketch.select(F.col("lang").alias("l"), F.col("source").alias("s"), "measure", "bucket", "n")
+    every = _shares(own.groupBy("measure", "bucket").agg(F.sum("n").alias("n")), "measure")
+    lang = own.groupBy("l", "measure", "bucket").agg(F.sum("n").alias("n"))
+    lang = _shares(_with_prior(lang, every, ["l"], []), "l", "measure")
+    merged = _with_prior(own, lang, ["l", "s"], ["l"])
+    of = Window.partitionBy("l", "s", "measure")
+    merged = merged.withColumn("upto", F.round(F.sum("n").over(of.orderBy("bucket")), 6)).withColumn("total", F.sum("n").over(of))
+
+    def bucket(q: float) -> Column:
+        return F.min(F.when(F.col("upto") >= F.round(F.col("total") * q, 6), F.col("bucket")))
+
+    cut = merged.groupBy("l", "s", "measure").agg(bucket(0.1).alias("b1"), bucket(0.5).alias("b5"), bucket(0.9).alias("b9"))
+
+    def edge(c: str, upper: int) -> Column:
+        return F.pow(F.lit(GAMMA), F.col(c) + upper) - 1
+
+    most = edge("b5", 1) + (edge("b9", 1) - edge("b5", 1)) * REACH
+    least = edge("b5", 0) - (edge("b5", 0) - edge("b1", 0)) * REACH
+    cut = cut.select("l", "s", "measure", most.alias("most"), least.alias("least"))
+    sides = (F.max(F.when(F.col("measure") == k, F.col(side))).alias(f"{side}_{k}") for k in MEASURES for side in ("least", "most"))
+    return cut.groupBy(F.col("l").alias("lang"), F.col("s").alias("source")).agg(*sides)
+
+
+def _shares(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with p, the share of n within the keys."""
+    return rows.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+
+
+def _with_prior(rows: DataFrame, parent: DataFrame, keys: list[str], common: list[str]) -> DataFrame:
+    """Sketches (keys, measure, bucket, n) with their parent's share p of ``PRIOR`` rows added; ``common`` are the keys of the parent."""
+    held = parent.select(*(F.col(c).alias(f"p_{c}") for c in common), F.col("measure").alias("p_measure"), F.col("bucket"), (F.col("p") * PRIOR).alias("n"))
+    same = F.col("measure") == F.col("p_measure")
+    for c in common:
+        same &= F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    added = rows.select(*keys, "measure").distinct().join(held, same).select(*keys, "measure", "bucket", "n")
+    return rows.select(*keys, "measure", "bucket", F.col("n").cast("double")).unionByName(added).groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -126,7 +143,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     fences = written(thresholds(sketches(counts)), "fences").withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     df = counts.join(fences, F.expr("lang <=> f_lang and source <=> f_source"), "left")
     values = _values()
-    out = [F.when(v > F.col(f"most_{k}"), F.lit(k)) for k, v in values.items()]
+    enough = {k: F.col(count) >= EVENTS if count else F.lit(True) for k, count in MEASURES.items()}
+    out = [F.when((v > F.col(f"most_{k}")) & enough[k], F.lit(k)) for k, v in values.items()]
     out.append(F.when(values["word_length"] < F.col("least_word_length"), F.lit("word_length")))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     df = df.withColumn("outside", F.array_compact(F.array(*out))).withColumn("base_failed", failed)

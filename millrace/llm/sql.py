@@ -48,17 +48,19 @@ m as (select d.doc_id, lang, source, len(words)::bigint as n_words, length(array
  len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(n, 0)::bigint as n_repeat_words from d left join rep using (doc_id)),
 v as (select *, floor(word_chars * 100 / n_words) as word_length, floor(n_symbols * 1000 / n_words) as symbols, case when n_lines > 0 then floor(n_dup_lines * 1000 / n_lines) end as dup_lines, floor(n_repeat_words * 1000 / n_words) as repeats from m where n_words > 0),
 long as (select lang, source, 'word_length' as measure, word_length as v from v union all select lang, source, 'symbols', symbols from v union all select lang, source, 'dup_lines', dup_lines from v union all select lang, source, 'repeats', repeats from v),
-keyed as (select 2 as level, lang as l, source as s, measure, v from long where v is not null union all select 1, lang, null, measure, v from long where v is not null union all select 0, null, null, measure, v from long where v is not null),
-hist as (select level, l, s, measure, floor(ln(v + 1) / ln(1.02))::integer as bucket, count(*) as n from keyed group by all),
-upto as (select *, sum(n) over (partition by level, l, s, measure order by bucket) as upto, sum(n) over (partition by level, l, s, measure) as total from hist),
-q as (select level, l, s, measure, max(total) as total, pow(1.02, min(bucket) filter (upto >= total * 0.25) + 0.5) - 1 as q1, pow(1.02, min(bucket) filter (upto >= total * 0.5) + 0.5) - 1 as q2, pow(1.02, min(bucket) filter (upto >= total * 0.75) + 0.5) - 1 as q3 from upto group by all),
-f as (select level, l, s, measure, total, greatest(q3 + 3 * (q3 - q1), q2 + case measure when 'word_length' then 200 when 'repeats' then 250 when 'dup_lines' then 300 else 200 end) as most, least(q1 - 3 * (q3 - q1), q2 - case measure when 'word_length' then 200 when 'repeats' then 250 when 'dup_lines' then 300 else 200 end) as low from q),
-size as (select level, l, s, max(total) as total from f group by all),
-level as (select a.l, a.s, case when a.total >= 200 then 2 when b.total >= 200 then 1 else 0 end as level from size a join size b on b.level = 1 and a.l is not distinct from b.l where a.level = 2),
-fence as (select level.l, level.s, max(most) filter (measure = 'word_length') as wl, max(low) filter (measure = 'word_length') as wl_low, max(most) filter (measure = 'symbols') as sy, max(most) filter (measure = 'dup_lines') as du, max(most) filter (measure = 'repeats') as re
- from level join f on f.level = level.level and (level.level < 1 or f.l is not distinct from level.l) and (level.level < 2 or f.s is not distinct from level.s) group by all),
+own as (select lang as l, source as s, measure, floor(ln(v + 1) / ln(1.02))::integer as bucket, count(*)::double as n from long where v is not null group by all),
+every0 as (select measure, bucket, sum(n) as n from own group by all),
+every as (select measure, bucket, n / sum(n) over (partition by measure) as p from every0),
+lang0 as (select l, measure, bucket, sum(n) as n from own group by all),
+lang1 as (select l, measure, bucket, sum(n) as n from (select * from lang0 union all select g.l, g.measure, e.bucket, e.p * 200 from (select distinct l, measure from lang0) g join every e using (measure)) group by all),
+lang2 as (select l, measure, bucket, n / sum(n) over (partition by l, measure) as p from lang1),
+merged as (select l, s, measure, bucket, sum(n) as n from (select * from own union all select g.l, g.s, g.measure, x.bucket, x.p * 200 from (select distinct l, s, measure from own) g join lang2 x on g.measure = x.measure and g.l is not distinct from x.l) group by all),
+upto as (select *, round(sum(n) over (partition by l, s, measure order by bucket), 6) as upto, sum(n) over (partition by l, s, measure) as total from merged),
+q as (select l, s, measure, min(bucket) filter (upto >= round(total * 0.1, 6)) as b1, min(bucket) filter (upto >= round(total * 0.5, 6)) as b5, min(bucket) filter (upto >= round(total * 0.9, 6)) as b9 from upto group by all),
+f as (select l, s, measure, pow(1.02, b5 + 1) - 1 + (pow(1.02, b9 + 1) - pow(1.02, b5 + 1)) * 7 as most, pow(1.02, b5) - 1 - (pow(1.02, b5) - pow(1.02, b1)) * 7 as low from q),
+fence as (select l, s, max(most) filter (measure = 'word_length') as wl, max(low) filter (measure = 'word_length') as wl_low, max(most) filter (measure = 'symbols') as sy, max(most) filter (measure = 'dup_lines') as du, max(most) filter (measure = 'repeats') as re from f group by all),
 j as (select m.*, m.n_words < 50 or 100 * m.n_repeat_words > 50 * m.n_words as base_failed, v.word_length, v.symbols, v.dup_lines, v.repeats, wl, wl_low, sy, du, re from m left join v on m.doc_id = v.doc_id left join fence on m.lang is not distinct from fence.l and m.source is not distinct from fence.s),
-o as (select *, concat_ws(',', case when word_length > wl then 'word_length' end, case when symbols > sy then 'symbols' end, case when dup_lines > du then 'dup_lines' end, case when repeats > re then 'repeats' end, case when word_length < wl_low then 'word_length' end) as outside from j)
+o as (select *, concat_ws(',', case when word_length > wl then 'word_length' end, case when symbols > sy and n_symbols >= 10 then 'symbols' end, case when dup_lines > du and n_dup_lines >= 10 then 'dup_lines' end, case when repeats > re and n_repeat_words >= 10 then 'repeats' end, case when word_length < wl_low then 'word_length' end) as outside from j)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and outside = '' as kept, outside from o
 """
 
