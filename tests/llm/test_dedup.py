@@ -101,6 +101,43 @@ def test_rows_that_repeat_an_id(spark):
     assert sorted((r.doc_id or 0, r.n_removed == r.n_bytes) for r in got) == [(0, False), (1, True), (1, True)]
 
 
+def two_texts():
+    r = random.Random(11)
+    long = [" ".join(f"w{r.randint(0, 999)}" for _ in range(400)) for _ in range(3)]
+    return [(1, long[0]), (1, "tiny"), (1, long[1]), (2, long[0] + " end"), (2, "x y z"), (2, long[1][:900]), (3, long[2]), (3, long[2]), (2, None)]
+
+
+def test_an_id_with_several_texts(spark):
+    rows = two_texts()
+    for largest in (4096, 3):
+        got = repeated_bytes_removed(table(spark, rows), largest=largest).drop("kept").collect()
+        assert sorted(map(tuple, got)) == bytes_by_force(rows, 200)
+        got = repeated_words_removed(table(spark, rows), largest=largest).drop("kept").collect()
+        assert sorted(map(tuple, got)) == words_by_force(rows, 13)
+
+
+def test_words_and_strings_that_simple_hashes_take_for_equal(spark):
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    lead = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{lead} {a}"), (2, f"{lead} {b}"), (3, f"{b} {lead} {b}")]
+    got = repeated_words_removed(table(spark, rows)).drop("kept").collect()
+    assert sorted(map(tuple, got)) == words_by_force(rows, 13)
+    got = repeated_bytes_removed(table(spark, rows), length=1000, gram=500).drop("kept").collect()
+    assert sorted(map(tuple, got)) == bytes_by_force(rows, 1000)
+
+
+def test_anchors_with_very_many_contexts(spark):
+    r, common = random.Random(12), " ".join(f"c{i}" for i in range(11))
+    rows = [(i, f"{r.randint(0, 3)} p{r.randint(0, 3)} {common} s{r.randint(0, 3)} {r.randint(0, 3)} u{i}") for i in range(150)]
+    rows += [(500 + i, "start of the line number {} ".format(i % 7) + "that has a common middle part of over one hundred bytes and more, in all of the documents here, " * 1 + f"ending {i % 5} {'x' * 80} {i}") for i in range(60)]
+    for largest in (4096, 10):
+        got = repeated_words_removed(table(spark, rows), largest=largest).drop("kept").collect()
+        assert sorted(map(tuple, got)) == words_by_force(rows, 13)
+        got = repeated_bytes_removed(table(spark, rows), largest=largest).drop("kept").collect()
+        assert sorted(map(tuple, got)) == bytes_by_force(rows, 200)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     for found in (repeated_bytes_removed(empty), repeated_words_removed(empty), near_duplicates(empty)):
