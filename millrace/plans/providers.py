@@ -59,12 +59,12 @@ def embedding(make: Callable[[], Callable[[list[str]], list[list[float]]]], text
     return embed(text)
 
 
-def scripted(plan: str = "", formulate: str = "", draft: str = "", reflect: str = "", verify: str = "", choose: str = "") -> Callable[[Column], Column]:
+def scripted(plan: str = "", formulate: str = "", draft: str = "", reflect: str = "", verify: str = "", choose: str = "", mode: str = "", external: str = "") -> Callable[[Column], Column]:
     """A deterministic stand-in for tests: the response by the prompt's first words, as a column expression.
 
     {query} in a response is filled with the question that the prompt holds.
     """
-    starts = {"Split the": plan, "Write ": formulate, "Answer the": draft, "Given what": reflect, "Does the": verify, "Choose which": choose}
+    starts = {"Split the": plan, "Write ": formulate, "Answer the": draft, "Given what": reflect, "Does the": verify, "Choose which": choose, "Choose how": mode, "Answer from your": external}
 
     def respond(prompt: Column) -> Column:
         query = F.regexp_extract(prompt, r"Question: ([^\n]*)", 1)

@@ -14,7 +14,7 @@ from enum import Enum
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from ..functions.similarity import answer_similarity
+from ..functions.similarity import answer_similarity, exploratory_similarity
 from ..operators import answers
 from ..operators.knowledge import recent_context
 from ..sources.shared import written
@@ -66,18 +66,21 @@ class Template:
 _RESULT = ("query_id", "iteration", "answer", "flagged", "similarity", "success")
 
 
-def standard(workflow: Workflow, samples: DataFrame, services: Services, max_iterations: int = 5, threshold: float = 0.6, metric: str = "embedding_cosine", verifier: Model | None = None) -> tuple[DataFrame, DataFrame]:
+def standard(workflow: Workflow, samples: DataFrame, services: Services, max_iterations: int = 5, threshold: float = 0.6, metric: str = "embedding_cosine", verifier: Model | None = None, evidence: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Runs (query_id, query, gold_answer) until the answer is close enough to the gold one, or the rounds are over.
 
     Returns results (query_id, iteration, answer, flagged, similarity,
     success; one row for each query: its last round) and the steps of all
-    rounds. A flagged answer is tried again without comparing it.
+    rounds. A flagged answer is tried again without comparing it. ``evidence``
+    takes the evidence of each round with its iteration, if given.
     """
     open_rows, results, steps = written(samples.select(F.col("query_id").cast("string"), "query", "gold_answer"), "samples"), None, None
     for i in range(1, max_iterations + 1):
         state = executed(workflow, open_rows.select("query_id", "query"), services)
         step = written(state.steps.withColumn("iteration", F.lit(i)), "steps")
         steps = step if steps is None else steps.unionByName(step)
+        if evidence is not None:
+            evidence.append(written(state.evidence.withColumn("iteration", F.lit(i)), "evidence"))
         answer = F.coalesce("final", "draft")
         done = _verified(state, verifier).select("query_id", answer.alias("answer"), "flagged").join(open_rows.select("query_id", "gold_answer"), "query_id")
         vectors = [services.embed(c) for c in (F.col("answer"), F.col("gold_answer"))] if services.embed else [None, None]
@@ -109,39 +112,70 @@ def chosen_actions(response: Column) -> Column:
     return F.coalesce(F.from_json(F.coalesce(T.bracket_slice(body), body), "array<string>"), F.array().cast("array<string>"))
 
 
-def adaptive(workflow: Workflow, samples: DataFrame, services: Services, teacher: Model, max_iterations: int = 5) -> tuple[State, DataFrame]:
+def adaptive(workflow: Workflow, samples: DataFrame, services: Services, teacher: Model, max_iterations: int = 5, threshold: float = 0.6) -> tuple[State, DataFrame]:
     """The teacher chooses the components of each round from those that a query's evidence allows.
 
-    Queries that chose the same list run together; components run with their
-    default settings on the state so far. Returns the state and, for each
-    query, whether it ended by itself: as such an end is not compared, its
-    success is false and its similarity 0.
+    samples: query_id, query, gold_answer (none: empty, which any answer
+    meets). Queries that chose the same list run together, on the state so
+    far. A query ends with success when its answer comes as close to the gold
+    one as ``threshold``; without, when the teacher chooses nothing or
+    ``["finish"]`` alone, or when the rounds are over. ``finish`` among others
+    is dropped. Answers are compared by cosine, whatever a template's metric.
+
+    Returns the state and a row for each query: query_id, iteration, answer,
+    similarity (0 without success) and success. From a query's second round on
+    its steps hold the teacher's decisions.
     """
     types = sorted({p["type"] for p in workflow.components})
     dim = samples.sparkSession.createDataFrame([(t, answers.CATEGORIES[t]) for t in types], "component string, category string")
-    state = started(samples.select("query_id", "query"))
-    ended = None
-    open_ids = state.queries.select("query_id")
-    for _ in range(max_iterations):
-        held = state.evidence.groupBy("query_id").agg(F.count("*").alias("n"))
-        counted = state.queries.join(open_ids, "query_id").join(held, "query_id", "left").withColumn("evidence_count", F.coalesce("n", F.lit(0)))
-        offer = answers.available(counted, dim).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("component")), ", ").alias("components"))
-        rows = counted.join(offer, "query_id")
-        prompt = prompts.render("choose", query=F.col("query"), evidence_count=F.col("evidence_count").cast("string"), components=F.col("components"))
-        rows = written(rows.withColumn("said", teacher(prompt)).withColumn("actions", chosen_actions(F.col("said.text"))), "chosen")
-        stop = F.array_contains("actions", "finish") | (F.size("actions") == 0)
-        over = rows.where(stop).select("query_id", F.lit(False).alias("success"), F.lit(0.0).alias("similarity"))
-        ended = over if ended is None else ended.unionByName(over)
-        going = rows.where(~stop).select("query_id", F.filter("actions", lambda a: a.isin(*types)).alias("actions"))
+    gold = F.col("gold_answer") if "gold_answer" in samples.columns else F.lit("")
+    waiting = written(samples.select(F.col("query_id").cast("string"), F.coalesce(gold, F.lit("")).alias("gold_answer")), "open")
+    state, results = started(samples.select("query_id", "query")), None
+
+    def answered(rows: DataFrame) -> DataFrame:
+        return rows.join(state.queries.select("query_id", F.coalesce("final", "draft").alias("answer")), "query_id")
+
+    def ended(rows: DataFrame, i: int, success: bool, similarity: Column) -> None:
+        nonlocal results
+        out = rows.select("query_id", F.lit(i).alias("iteration"), "answer", similarity.cast("double").alias("similarity"), F.lit(success).alias("success"))
+        results = out if results is None else results.unionByName(out)
+
+    for i in range(1, max_iterations + 1):
+        rows = _decided(state, waiting, dim, teacher)
+        if i > 1:
+            state = state.with_step("teacher_decision", rows, thought=F.col("reasoning"), data=F.to_json(F.struct(F.col("actions").alias("decision"))), llm_input=F.col("prompt"), llm_output=F.col("said.text"), tokens=T.usage(F.col("said.usage"))["total_tokens"], evidence_count=F.col("evidence_count"))
+        stop = (F.size("actions") == 0) | (F.col("actions") == F.array(F.lit("finish")))
+        ended(answered(rows.where(stop)), i, False, F.lit(0.0))
+        going = rows.where(~stop).select("query_id", "gold_answer", F.filter("actions", lambda a: a.isin(*types)).alias("actions"))
         lists = [tuple(r["actions"]) for r in going.select("actions").distinct().collect()]  # lists of component names, not of queries
-        open_ids = written(going.select("query_id"), "open")
         for names in lists:
-            part = going.where(F.col("actions") == F.array(*map(F.lit, names))).select("query_id") if names else going.where(F.size("actions") == 0).select("query_id")
+            part = going.where(F.col("actions") == (F.array(*map(F.lit, names)) if names else F.array().cast("array<string>"))).select("query_id")
             state = _on_part(state, part, names, services)
         state = _written_state(state)
-        if not lists:
+        vectors = [services.embed(c) for c in (F.nullif(F.trim("answer"), F.lit("")), F.nullif(F.trim("gold_answer"), F.lit("")))] if services.embed else [None, None]
+        near = answer_similarity("embedding_cosine", F.col("answer"), F.col("gold_answer"), *vectors)
+        compared = answered(going.drop("actions")).withColumn("similarity", near)
+        compared = written(compared.withColumn("met", (F.coalesce("answer", F.lit("")) != "") & (F.col("similarity") >= threshold)), "compared")
+        ended(compared.where("met"), i, True, F.col("similarity"))
+        waiting = compared.where("not met").select("query_id", "gold_answer")
+        if i == max_iterations:
+            ended(compared.where("not met"), i, False, F.lit(0.0))
+        elif waiting.isEmpty():
             break
-    return state, ended
+    return state, results
+
+
+def _decided(state: State, waiting: DataFrame, dim: DataFrame, teacher: Model) -> DataFrame:
+    """The open queries with the prompt, what the teacher said, its actions and its reasoning."""
+    held = state.evidence.groupBy("query_id").agg(F.count("*").alias("n"))
+    counted = state.queries.join(waiting, "query_id").join(held, "query_id", "left").withColumn("evidence_count", F.coalesce("n", F.lit(0)))
+    offer = answers.available(counted, dim).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("component")), ", ").alias("components"))
+    prompt = prompts.render("choose", query=F.col("query"), evidence_count=F.col("evidence_count").cast("string"), components=F.col("components"))
+    rows = written(counted.join(offer, "query_id").withColumn("prompt", prompt).withColumn("said", teacher(F.col("prompt"))), "chosen")
+    rows = rows.withColumn("actions", chosen_actions(F.col("said.text")))
+    marked = T.stripped(F.replace(F.substring_index("said.text", "DECISION:", 1), F.lit("REASONING:"), F.lit("")))
+    plain = F.concat(F.lit("Selected "), F.size("actions").cast("string"), F.lit(" components for execution"))
+    return rows.withColumn("reasoning", F.when(F.col("said.text").contains("DECISION:"), marked).otherwise(plain))
 
 
 def _on_part(state: State, ids: DataFrame, names: tuple[str, ...], services: Services) -> State:
@@ -184,51 +218,143 @@ def explored(seeds: DataFrame, expand: Callable[[DataFrame], DataFrame], max_exp
 
 
 def reflected(explorations: DataFrame, context: DataFrame, model: Model, count: int = 3) -> DataFrame:
-    """(seed_id, place, question): further questions from the model, by the seed's context; what is no JSON list gives none."""
-    rows = explorations.join(context, "seed_id", "left")
+    """The explorations with prompt, tokens and questions, further ones from the model by the seed's context; null where it gives no JSON list."""
+    rows = explorations.join(context, "seed_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
     prompt = prompts.render("reflect", count=F.lit(str(count)), context=F.col("context"), query=F.col("query"), answer=F.col("answer"))
-    said = written(rows.withColumn("said", model(prompt)), "reflected")
-    questions = T.json_strings(T.code_fence_stripped(F.col("said.text")))
-    return said.select("seed_id", F.posexplode(questions).alias("place", "question"))
+    said = written(rows.withColumn("prompt", prompt).withColumn("said", model(F.col("prompt"))), "reflected")
+    body = T.code_fence_stripped(F.col("said.text"))
+    held = F.filter(T.json_strings(body), lambda q: T.stripped(q) != "")
+    return said.withColumn("questions", held).withColumn("tokens", F.coalesce(T.usage(F.col("said.usage"))["total_tokens"], F.lit(0))).drop("said")
+
+
+@dataclass
+class Exploration:
+    """How a seed is explored. ``mode`` is standard, adaptive, auto (the teacher chooses for each query) or another name (one plain run).
+
+    external: a model whose own answer to a query the run's answer is compared with.
+    """
+
+    max_explorations: int = 10
+    use_knowledge: bool = True
+    mode: str = "standard"
+    questions: int = 3
+    external: Model | None = None
+    consultants: dict[str, Model] = field(default_factory=dict)
+    max_iterations: int = 5
+    threshold: float = 0.6
+    metric: str = "embedding_cosine"
+
+
+#: Questions that each consultant is asked for.
+_CONSULTED = 2
+_VERDICT = "struct<verified: boolean, confidence: double, external_answer: string>"
 
 
-def exploratory(workflow: Workflow, seeds: DataFrame, services: Services, teacher: Model, max_explorations: int = 10, consultants: dict[str, Model] | None = None, use_knowledge: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+def exploratory(workflow: Workflow, seeds: DataFrame, services: Services, teacher: Model, how: Exploration | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Explores from every seed: runs the workflow for each query, then asks the teacher and the consultants for more.
 
-    Returns the explorations (seed_id, iteration, query, answer, doc_ids,
-    evidence_count, iterations_taken, similarity_score), their evidence and
-    their steps. A seed's last entries are context for its further questions.
-    The teacher's questions come before those of the consultants, who are
-    asked in order of their names.
+    Every query starts from a fresh state and runs as ``how.mode`` says, against
+    no gold answer. Returns the explorations (seed_id, iteration, query, answer,
+    doc_ids, evidence_count, iterations_taken, similarity_score, mode_used,
+    teacher_questions, consultant_questions, external_verification), their
+    evidence and their steps, which hold the reflections, the consultants' and
+    the external answers beside those of the components. A seed's last entries
+    are context for its further questions and, if there are any when a query
+    starts, a step of it. The teacher's questions come before those of the
+    consultants, who are asked in order of their names.
     """
+    how = how or Exploration()
     log: list[DataFrame] = []
     evidence: list[DataFrame] = []
     steps: list[DataFrame] = []
 
-    def together(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part)
-        return out
-
     def expand(head: DataFrame) -> DataFrame:
-        keyed = head.withColumn("query_id", F.concat_ws("\u0001", F.col("seed_id").cast("string"), F.col("iteration").cast("string")))
-        state = executed(workflow, keyed.select("query_id", "query"), services)
-        pieces = written(state.evidence.join(keyed.select("query_id", "seed_id", "query"), "query_id"), "evidence")
-        steps.append(written(state.steps.join(keyed.select("query_id", "seed_id"), "query_id"), "steps"))
+        keyed = written(head.withColumn("query_id", F.concat_ws("\u0001", F.col("seed_id").cast("string"), F.col("iteration").cast("string"))), "keyed")
+        known = recent_context(_together(log)) if how.use_knowledge and log else None
+        asked, made = _in_modes(workflow, keyed, services, teacher, how)
+        pieces = written(made["evidence"].join(keyed.select("query_id", "seed_id", "query"), "query_id"), "evidence")
         ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"])
         docs = pieces.groupBy("query_id").agg(F.array_distinct(ids).alias("doc_ids"), F.count("*").alias("evidence_count"))
-        rows = keyed.join(state.queries.select("query_id", F.coalesce("final", "draft", F.lit("")).alias("answer")), "query_id").join(docs, "query_id", "left")
-        rows = rows.select("seed_id", "iteration", "query", "answer", F.coalesce("doc_ids", F.array().cast("array<string>")).alias("doc_ids"), F.coalesce("evidence_count", F.lit(0)).alias("evidence_count"), F.lit(1).alias("iterations_taken"), F.lit(0.0).alias("similarity_score"))
-        rows = written(rows, "explorations")
-        log.append(rows)
+        rows = asked.join(made["answers"], "query_id").join(docs, "query_id", "left").withColumns({"doc_ids": F.coalesce("doc_ids", F.array().cast("array<string>")), "evidence_count": F.coalesce("evidence_count", F.lit(0)), "answer": F.coalesce("answer", F.lit(""))})
+        rows = _externally_verified(rows, services, how)
+        state = started(keyed.select("query_id", "query")).but(steps=made["steps"], seq=1_000_000)
+        if known is not None:
+            state = state.with_step("knowledge_base", rows.join(known, "seed_id"), data=F.to_json(F.struct(F.col("context").alias("knowledge_base"))))
+        if how.external is not None:
+            state = state.with_step("external_verification", rows, thought=F.lit("Generated external reference answer"), data=F.to_json("external_verification"), llm_input=F.col("external_prompt"), llm_output=F.col("external_verification.external_answer"), tokens=F.col("external_tokens"), evidence_count=F.col("evidence_count"))
+        now = recent_context(_together([*log, rows.select(*_KNOWN)])) if how.use_knowledge else rows.select("seed_id", F.lit("").alias("context"))
+        told = [("reflection", reflected(rows, now, teacher, how.questions))] + [("consultant_reflection", reflected(rows, now, m, _CONSULTED)) for _, m in sorted(how.consultants.items())]
+        for name, said in told:
+            state = state.with_step(name, said.where("questions is not null"), thought=F.lit("Generated exploration questions"), data=F.to_json(F.struct("questions")), llm_input=F.col("prompt"), llm_output=F.to_json("questions"), tokens=F.col("tokens"), evidence_count=F.col("evidence_count"))
+        steps.append(written(state.steps.join(keyed.select("query_id", "seed_id"), "query_id"), "steps"))
         evidence.append(pieces)
-        known = recent_context(together(log)) if use_knowledge else rows.select("seed_id", F.lit("").alias("context"))
-        asked = [reflected(rows, known, model).withColumn("place", F.col("place") + n * 1000) for n, model in enumerate([teacher, *(m for _, m in sorted((consultants or {}).items()))])]
-        return together(asked)
-
-    explored(seeds, expand, max_explorations)
-    return together(log), together(evidence), together(steps)
+        every = F.array().cast("array<string>")
+        for n, (_, said) in enumerate(told):
+            rows = rows.join(said.select("query_id", F.coalesce("questions", every).alias(f"_q{n}")), "query_id", "left")
+        others = [F.coalesce(f"_q{n}", every) for n in range(1, len(told))]
+        rows = rows.withColumn("teacher_questions", F.coalesce("_q0", every)).withColumn("consultant_questions", F.concat(every, *others))
+        rows = written(rows.select(*_KNOWN, "evidence_count", "iterations_taken", "similarity_score", "mode_used", "teacher_questions", "consultant_questions", "external_verification"), "explorations")
+        log.append(rows)
+        return rows.select("seed_id", F.posexplode(F.concat("teacher_questions", "consultant_questions")).alias("place", "question"))
+
+    explored(seeds, expand, how.max_explorations)
+    return _together(log), _together(evidence), _together(steps)
+
+
+_KNOWN = ("seed_id", "iteration", "query", "answer", "doc_ids")
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _in_modes(workflow: Workflow, keyed: DataFrame, services: Services, teacher: Model, how: Exploration) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The queries with mode_used, and the answers (query_id, answer, iterations_taken), evidence and steps of their runs."""
+    if how.mode == "auto":
+        said = written(keyed.withColumn("said", teacher(prompts.render("mode", query=F.col("query")))), "mode")
+        asked = said.select("seed_id", "iteration", "query", "query_id", T.execution_mode(F.col("said.text")).alias("mode_used"))
+    else:
+        asked = keyed.select("seed_id", "iteration", "query", "query_id", F.lit(how.mode).alias("mode_used"))
+    found: dict[str, list[DataFrame]] = {"answers": [], "evidence": [], "steps": []}
+    for mode in ("standard", "adaptive") if how.mode == "auto" else (how.mode,):
+        samples = asked.where(F.col("mode_used") == mode).select("query_id", "query", F.lit("").alias("gold_answer"))
+        if mode == "adaptive":
+            state, results = adaptive(workflow, samples, services, teacher, how.max_iterations, how.threshold)
+            pieces, log = state.evidence, state.steps
+        elif mode == "standard":
+            results, log, pieces = _standard_rounds(workflow, samples, services, how.max_iterations, how.threshold, how.metric)
+        else:
+            state = executed(workflow, samples.select("query_id", "query"), services)
+            results = state.queries.select("query_id", F.coalesce("final", "draft").alias("answer"), F.lit(0).alias("iteration"))
+            pieces, log = state.evidence, state.steps
+        for name, df in (("answers", results.select("query_id", "answer", F.col("iteration").alias("iterations_taken"))), ("evidence", pieces), ("steps", log)):
+            found[name].append(written(df, name))
+    return asked, {name: _together(parts) for name, parts in found.items()}
+
+
+def _standard_rounds(workflow: Workflow, samples: DataFrame, services: Services, max_iterations: int, threshold: float, metric: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Results, steps and evidence of each query's last round, as ``standard`` gives them."""
+    kept: list[DataFrame] = []
+    results, steps = standard(workflow, samples, services, max_iterations, threshold, metric, evidence=kept)
+    last = results.select("query_id", "iteration")
+    return results, steps.join(last, ["query_id", "iteration"], "left_semi").drop("iteration"), _together(kept).join(last, ["query_id", "iteration"], "left_semi").drop("iteration")
+
+
+def _externally_verified(rows: DataFrame, services: Services, how: Exploration) -> DataFrame:
+    """With similarity_score and external_verification; the score is 0 unless an external answer is there to compare with."""
+    if how.external is None:
+        return written(rows.withColumns({"similarity_score": F.lit(0.0), "external_verification": F.lit(None).cast(_VERDICT)}), "verified")
+    said = written(rows.withColumn("external_prompt", prompts.render("external", query=F.col("query"))).withColumn("said", how.external(F.col("external_prompt"))), "external")
+    text, failed = T.stripped(F.coalesce("said.text", F.lit(""))), F.col("said.error").isNotNull()
+    verdict = answers.external_verdict(text)
+    held = F.struct(F.when(failed, False).otherwise(verdict["verified"]).alias("verified"), F.when(failed, 0.0).otherwise(verdict["confidence"]).alias("confidence"), text.alias("external_answer"))
+    said = said.withColumn("external_verification", held).withColumn("external_tokens", F.coalesce(T.usage(F.col("said.usage"))["total_tokens"], F.lit(0))).drop("said")
+    answer, external = F.nullif(F.trim("answer"), F.lit("")), F.nullif(F.trim("external_verification.external_answer"), F.lit(""))
+    near = exploratory_similarity(answer, external, services.embed(answer), services.embed(external)) if services.embed else answer_similarity("token_overlap", answer, external)
+    return written(said.withColumn("similarity_score", F.when(answer.isNull() | external.isNull(), 0.0).otherwise(near)), "verified")
 
 
 def iterative(workflow: Workflow, queries: DataFrame, services: Services, max_iterations: int = 3) -> tuple[DataFrame, DataFrame]:

@@ -76,11 +76,30 @@ def test_standard_runner_stops_what_is_good_enough(spark):
 
 
 def test_adaptive_runner(spark):
-    state, ended = runners.adaptive(workflow.loaded("simple_rag"), asked(spark), services(spark), MODEL, 1)
-    assert {r.draft for r in state.queries.collect()} == {"red cars are fast"} and ended.count() == 0
-    finish = scripted(choose='["finish"]')
-    _, ended = runners.adaptive(workflow.loaded("simple_rag"), asked(spark), services(spark), finish, 3)
-    assert {(r.query_id, r.success, r.similarity) for r in ended.collect()} == {("q1", False, 0.0), ("q2", False, 0.0)}
+    samples = asked(spark).withColumn("gold_answer", F.when(F.col("query_id") == "q1", "red cars are fast").otherwise("something else"))
+    flow = workflow.loaded("simple_rag")
+
+    def run(choose, rounds, of=samples):
+        model = scripted(draft="REASONING: seen\nANSWER: red cars are fast", choose=choose)
+        held = services(spark)
+        held.model = model
+        state, results = runners.adaptive(flow, of, held, model, rounds, 0.6)
+        return state, {r.query_id: (r.iteration, r.answer, r.similarity, r.success) for r in results.collect()}
+
+    # q1 meets its gold answer in the first round, q2 never does.
+    _, got = run('REASONING: ok\nDECISION: ["opensearch_retriever", "answer_drafter"]', 2)
+    assert got == {"q1": (1, "red cars are fast", 1.0, True), "q2": (2, "red cars are fast", 0.0, False)}
+    # finish among others is dropped and the others run; without a gold answer any answer passes.
+    _, got = run('["opensearch_retriever", "answer_drafter", "finish"]', 3, asked(spark))
+    assert got == {q: (1, "red cars are fast", 1.0, True) for q in ("q1", "q2")}
+    # finish alone, nothing and nonsense end a query; no answer never passes, even against no gold answer.
+    for choose in ('["finish"]', "[]", "well"):
+        state, got = run(choose, 3)
+        assert got == {q: (1, None, 0.0, False) for q in ("q1", "q2")} and state.steps.isEmpty()
+    state, got = run('REASONING: look\nDECISION: ["opensearch_retriever", "odd"]', 2, asked(spark))
+    assert got == {q: (2, None, 0.0, False) for q in ("q1", "q2")}
+    steps = [(r.component, r.thought) for r in state.steps.where("query_id = 'q1'").orderBy("seq").collect()]
+    assert [c for c, _ in steps] == ["opensearch_retriever", "teacher_decision", "opensearch_retriever"] and steps[1][1] == "look"
 
 
 def test_iterative_runner(spark):
@@ -114,14 +133,39 @@ def test_exploratory_runner(spark):
     held.model = model
     start = spark.createDataFrame([("s", "red cars"), ("t", "green trees")], "seed_id string, query string")
     short = workflow.parsed({"id": "x", "name": "x", "components": [{"type": "opensearch_retriever"}, {"type": "answer_drafter"}]})
-    log, evidence, steps = runners.exploratory(short, start, held, model, 3, {"c": scripted(reflect='["wide rivers"]'), "d": scripted(reflect="no list")})
+    how = runners.Exploration(3, consultants={"c": scripted(reflect='["wide rivers"]'), "d": scripted(reflect="no list")})
+    log, evidence, steps = runners.exploratory(short, start, held, model, how)
     got = {}
     for r in log.orderBy("seed_id", "iteration").collect():
         got.setdefault(r.seed_id, []).append(r.query)
     assert got == {"s": ["red cars", "blue boats", "wide rivers"], "t": ["green trees", "blue boats", "red cars"]}
     first = log.where("seed_id = 's' and iteration = 1").first()
     assert first.answer == "ANSWER of red cars" and sorted(first.doc_ids) == ["d0", "d2"] and first.evidence_count == 2
+    assert (first.mode_used, first.iterations_taken, first.similarity_score, first.external_verification) == ("standard", 1, 0.0, None)
+    assert first.teacher_questions == ["blue boats", "red cars"] and first.consultant_questions == ["wide rivers"]
     assert steps.where("component = 'answer_drafter'").count() == 6 and evidence.where("seed_id = 's'").count() > 0
+    counts = {r.component: r["count"] for r in steps.where("seed_id = 's'").groupBy("component").count().collect()}
+    assert counts == {"opensearch_retriever": 3, "answer_drafter": 3, "reflection": 3, "consultant_reflection": 3, "knowledge_base": 2}
+
+
+def test_exploration_by_chosen_modes_and_with_an_external_answer(spark):
+    def model(prompt):  # the mode depends on the question
+        plain = scripted(draft="red cars are fast", reflect="[]", choose='["answer_drafter"]', external="Red cars are fast cars.")(prompt)
+        mode = F.when(prompt.contains("boats"), " Adaptive\n").otherwise("neither")
+        return F.when(prompt.startswith("Choose how"), plain.withField("text", mode)).otherwise(plain)
+
+    held = services(spark)
+    held.model = model
+    start = spark.createDataFrame([("s", "red cars"), ("t", "blue boats")], "seed_id string, query string")
+    short = workflow.parsed({"id": "x", "name": "x", "components": [{"type": "opensearch_retriever"}, {"type": "answer_drafter"}]})
+    log, _, steps = runners.exploratory(short, start, held, model, runners.Exploration(1, mode="auto", external=model, max_iterations=2))
+    rows = {r.seed_id: r for r in log.collect()}
+    assert {s: r.mode_used for s, r in rows.items()} == {"s": "standard", "t": "adaptive"}
+    assert rows["s"].external_verification.asDict() == {"verified": True, "confidence": 0.85, "external_answer": "Red cars are fast cars."}
+    assert 0 < rows["s"].similarity_score < 1 and rows["s"].similarity_score == pytest.approx(rows["t"].similarity_score if rows["t"].answer else rows["s"].similarity_score)
+    assert steps.where("component = 'external_verification'").count() == 2
+    plain, _, _ = runners.exploratory(short, start, held, model, runners.Exploration(1, mode="once"))
+    assert {(r.mode_used, r.iterations_taken, r.answer) for r in plain.collect()} == {("once", 0, "red cars are fast")}
 
 
 def test_greedy_seeds_against_a_literal_model():
