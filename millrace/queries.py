@@ -41,9 +41,19 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 # Bindings, in both languages.
 
 def _evidence(spark: SparkSession, d: str) -> DataFrame:
-    pos = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    """A source's documents are its query's evidence, in order of doc_id.
+
+    They are numbered in two steps, within stretches of ids and by the number
+    of rows before each stretch, so a source with a third of all rows is not
+    sorted in one task.
+    """
+    docs = _read(spark, d, "documents").withColumn("part", F.floor(F.col("doc_id") / 4096))
+    sizes = docs.groupBy(F.col("source").alias("s"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    docs = docs.join(sizes.select("s", "p", before.alias("before")), F.expr("source <=> s and part = p"))
+    pos = (F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")) - 1 + F.col("before")).cast("int")
     score = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 100).cast("double") / 100)
-    return _read(spark, d, "documents").select(F.col("source").alias("query_id"), pos.alias("pos"), F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("title"), score.alias("score"))
+    return docs.select(F.col("source").alias("query_id"), pos.alias("pos"), F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("title"), score.alias("score"))
 
 
 _EV = """evidence as (select source as query_id, row_number() over (partition by source order by doc_id) - 1 as pos, 'documents' as source,
@@ -117,12 +127,12 @@ def bm25_topk(spark, d):
     return retrieval.bm25_top_k(_corpus(spark, d), _asked(spark, d), 20).withColumn("rank", F.col("rank").cast("long"))
 
 
-_ANGLES = _Q + ", angles as (select query_id, i as angle, string_split(query, '.')[i + 1] as query, 20 as k from asked, unnest(range(2)) u(i) where len(string_split(query, '.')) > 1 union all select query_id, 0, query, 50 from asked where len(string_split(query, '.')) <= 1)"
+_ANGLES = _Q + ", angles as (select query_id, i as angle, string_split(query, '.')[i + 1] as query, 20 as k from asked, unnest(range(len(string_split(query, '.')))) u(i) where len(string_split(query, '.')) > 1 union all select query_id, 0, query, 50 from asked where len(string_split(query, '.')) <= 1)"
 
 
 @query("with " + _BM25_SQL.format(head=_ANGLES, tok=_TOK.format("text"), by="query_id, angle", qtok=_TOK.format("query"), asked="angles") + " select query_id, cast(angle as bigint) as angle, rank, cast(doc_id as varchar) as id, score from ranked join angles using (query_id, angle) where rank <= k")
 def bm25_multi_angle(spark, d):
-    asked = _asked(spark, d).withColumn("subgoals", F.slice(F.split("query", r"\."), 1, 2))
+    asked = _asked(spark, d).withColumn("subgoals", F.split("query", r"\."))
     top = retrieval.multi_angle_top_k(_corpus(spark, d), asked)
     return top.select("query_id", F.col("angle").cast("long").alias("angle"), F.col("rank").cast("long").alias("rank"), "id", "score")
 
@@ -237,12 +247,12 @@ def draft_prompt(spark, d):
 # Parsing of responses: responses are made of documents' lines.
 
 def _responses(spark, d):
-    line = F.concat(F.lit("REASONING: because "), F.col("lang"), F.lit("\nSUB-GOALS:\n1. find "), F.substring("text", 1, 20), F.lit("\n- "), F.substring("text", 21, 12), F.lit("\n• abc\nplain\n2024 elections of "), F.col("source"), F.lit("\n3) last goal here"))
+    line = F.concat(F.lit("REASONING: because "), F.col("lang"), F.lit("\nSUB-GOALS:\n1. find "), F.col("text"), F.lit("\n- "), F.col("text"), F.lit("\n• abc\nplain\n2024 elections of "), F.col("source"), F.lit("\n3) last goal here"))
     line = F.when(F.col("doc_id") % 5 == 0, F.replace(line, F.lit("SUB-GOALS:"), F.lit(""))).otherwise(line)
     return _read(spark, d, "documents").select("doc_id", line.alias("response"), "text", "lang", "source")
 
 
-_RESP = """responses as (select doc_id, lang, source, text, case when doc_id % 5 = 0 then replace(r, 'SUB-GOALS:', '') else r end as response from (select *, 'REASONING: because ' || lang || chr(10) || 'SUB-GOALS:' || chr(10) || '1. find ' || substring(text, 1, 20) || chr(10) || '- ' || substring(text, 21, 12) || chr(10) || '• abc' || chr(10) || 'plain' || chr(10) || '2024 elections of ' || source || chr(10) || '3) last goal here' as r from documents))"""
+_RESP = """responses as (select doc_id, lang, source, text, case when doc_id % 5 = 0 then replace(r, 'SUB-GOALS:', '') else r end as response from (select *, 'REASONING: because ' || lang || chr(10) || 'SUB-GOALS:' || chr(10) || '1. find ' || text || chr(10) || '- ' || text || chr(10) || '• abc' || chr(10) || 'plain' || chr(10) || '2024 elections of ' || source || chr(10) || '3) last goal here' as r from documents))"""
 _WS = "regexp_replace(regexp_replace({}, '^\\s+', ''), '\\s+$', '')"
 
 
@@ -254,9 +264,9 @@ def parse_subgoals(spark, d):
     return _responses(spark, d).select("doc_id", goals.alias("g")).select("doc_id", F.array_join("g", "|").alias("goals"), F.size("g").alias("n"))
 
 
-@query(f"""select doc_id, {_WS.format("case when doc_id % 3 = 0 then left(text, 40) else left(text, 60) end")} as answer from documents where {_WS.format("case when doc_id % 3 = 0 then left(text, 40) else left(text, 60) end")} <> '' union all select doc_id, null from documents where {_WS.format("case when doc_id % 3 = 0 then left(text, 40) else left(text, 60) end")} = ''""")
+@query(f"select doc_id, nullif({_WS.format('text')}, '') as answer from documents")
 def parse_answer_marker(spark, d):
-    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("REASONING: why\nANSWER: "), F.substring("text", 1, 40))).otherwise(F.substring("text", 1, 60))
+    said = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("REASONING: why\nANSWER: "), "text")).otherwise(F.col("text"))
     return _read(spark, d, "documents").select("doc_id", answers.drafted_answer(said).alias("answer"))
 
 
@@ -291,24 +301,17 @@ def query_formulator_fallback(spark, d):
 
 # Verification and control.
 
-_HELD = f"with {_EV}, held as (select query_id, count(*) as n from evidence where pos < length(query_id) group by 1)"
-
-
-def _few(spark, d):
-    return _evidence(spark, d).where(F.col("pos") < F.length("query_id"))
-
-
-_GATE = _HELD + ", {q} select query_id, query_id <> 'src3' as success, case when query_id <> 'src3' then coalesce(n, 0) >= {need} end as passed, case when query_id <> 'src3' then least(coalesce(n, 0) / 5.0, 1.0)::double end as confidence, coalesce(n, 0) as evidence_count from asked left join held using (query_id)"
+_GATE = "with " + _EV + ", held as (select query_id, count(*) as n from evidence group by 1), {q} select query_id, query_id <> 'src3' as success, case when query_id <> 'src3' then coalesce(n, 0) >= {need} end as passed, case when query_id <> 'src3' then least(coalesce(n, 0) / 5.0, 1.0)::double end as confidence, coalesce(n, 0) as evidence_count from asked left join held using (query_id)"
 
 
 @query(_GATE.format(q=_Q, need=3))
 def fact_check(spark, d):
-    return answers.checked(_asked(spark, d), _few(spark, d), F.when(F.col("query_id") != "src3", "draft"), 3)
+    return answers.checked(_asked(spark, d), _evidence(spark, d), F.when(F.col("query_id") != "src3", "draft"), 3)
 
 
 @query(_GATE.format(q=_Q, need=2))
 def attribution_gate(spark, d):
-    return answers.checked(_asked(spark, d), _few(spark, d), F.when(F.col("query_id") != "src3", "draft"), 2)
+    return answers.checked(_asked(spark, d), _evidence(spark, d), F.when(F.col("query_id") != "src3", "draft"), 2)
 
 
 def _condition(spark, d, kind: str, value: Column, threshold: float):
@@ -345,9 +348,10 @@ def cannot_answer_flag(spark, d):
     return _conversation_answers(spark, d).select("conv_id", "turn", T.cannot_answer(F.col("answer")).alias("cannot_answer"))
 
 
-@query(f"select doc_id, length(trim(left(text, cast(doc_id % 25 as integer)))) > 10 as verified, case when length(trim(left(text, cast(doc_id % 25 as integer)))) > 10 then 0.85 else 0.5 end::double as confidence from (select doc_id, regexp_replace(text, '\\s', ' ', 'g') as text from documents)")
+@query(f"select doc_id, v as verified, case when v then 0.85 else 0.5 end::double as confidence from (select doc_id, coalesce(length({_WS.format("case doc_id % 3 when 0 then ' ' || source when 1 then '' else text end")}) > 10, false) as v from documents)")
 def external_verification(spark, d):
-    out = answers.external_verdict(F.expr("substring(text, 1, cast(doc_id % 25 as int))"))
+    n = F.col("doc_id") % 3
+    out = answers.external_verdict(F.when(n == 0, F.concat(F.lit(" "), "source")).when(n == 1, "").otherwise(F.col("text")))
     return _read(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in out.items()))
 
 
@@ -377,12 +381,13 @@ def should_replan(spark, d):
 
 # Similarity.
 
-@query(f"""with b as (select item_id, list_distinct({_TOK.format('text')}) as t from benchmark), d as (select doc_id, list_distinct({_TOK.format('text')}) as u from documents where doc_id % 100 = 0)
- select item_id, doc_id, round(case when len(t) = 0 or len(u) = 0 then 0.0 else len(list_intersect(t, u)) / (len(t) + len(u) - len(list_intersect(t, u))) end, 6) as overlap from b, d""")
+@query(f"""with b as (select item_id, unnest(list_distinct({_TOK.format('text')})) as t from benchmark), d as (select doc_id, unnest(list_distinct({_TOK.format('text')})) as t from documents),
+ n as (select item_id, count(*) as n from b group by 1), m as (select doc_id, count(*) as m from d group by 1), c as (select item_id, doc_id, count(*) as c from b join d using (t) group by all)
+ select item_id, doc_id, round(c / (n + m - c), 6) as overlap from c join n using (item_id) join m using (doc_id)""")
 def token_overlap(spark, d):
-    """Queries are the documents whose id is divisible by 100, against all benchmark items, which are few."""
-    items, docs = _read(spark, d, "benchmark").select("item_id", F.col("text").alias("t")), _read(spark, d, "documents").where("doc_id % 100 = 0").select("doc_id", F.col("text").alias("u"))
-    return docs.join(F.broadcast(items)).select("item_id", "doc_id", F.round(S.token_overlap(F.col("t"), F.col("u")), 6).alias("overlap"))
+    """The benchmark's items are the queries, against all documents; pairs without a common token have none and no row."""
+    items, docs = _read(spark, d, "benchmark").select("item_id", "text"), _read(spark, d, "documents").select("doc_id", "text")
+    return retrieval.token_overlaps(items, docs, "item_id", "doc_id").withColumn("overlap", F.round("overlap", 6))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: cast(x[1] as double) * cast(x[2] as double)))"
@@ -396,11 +401,11 @@ def embedding_cosine(spark, d):
     return a.join(b, F.expr("b = a + 1")).select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-@query(f"""with t as (select doc_id, case when doc_id % 4 = 0 then ' ' else left(text, 200) end as a, case when doc_id % 3 = 0 then '' else left(text, 120) end as g from documents), s as (select doc_id, a, g, list_distinct({_TOK.format('a')}) as x, list_distinct({_TOK.format('g')}) as y from t)
+@query(f"""with t as (select doc_id, case when doc_id % 4 = 0 then ' ' else text end as a, case when doc_id % 3 = 0 then '' else replace(text, 'er', 'ar') end as g from documents), s as (select doc_id, a, g, list_distinct({_TOK.format('a')}) as x, list_distinct({_TOK.format('g')}) as y from t)
  select doc_id, case when doc_id % 4 = 0 then 0.0 when doc_id % 3 = 0 then 1.0 when len(x) = 0 or len(y) = 0 then 0.0 else round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) end as overlap, case when doc_id % 4 = 0 then 0.0 when doc_id % 3 = 0 then 1.0 else 0.5 end::double as bleu from s""")
 def similarity_dispatch(spark, d):
-    a = F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.substring("text", 1, 200))
-    g = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.substring("text", 1, 120))
+    a = F.when(F.col("doc_id") % 4 == 0, " ").otherwise(F.col("text"))
+    g = F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.replace("text", F.lit("er"), F.lit("ar")))
     return _read(spark, d, "documents").select("doc_id", F.round(S.answer_similarity("token_overlap", a, g), 6).alias("overlap"), S.answer_similarity("bleu", a, g).alias("bleu"))
 
 
@@ -610,10 +615,10 @@ def kb_document_index(spark, d):
     return knowledge.document_index(_explorations(spark, d)).select("doc", F.array_join("queries", "|").alias("queries"))
 
 
-@query(f"with {_EX}, {_EV} select e.seed_id, e.iteration, e.query, (select count(*) from evidence v where v.query_id = 'src' || cast(e.iteration % 20 as varchar) and v.pos < 5) as pieces from explorations e")
+@query(f"with {_EX}, {_EV} select e.seed_id, e.iteration, e.query, (select count(*) from evidence v where v.query_id = 'src' || cast(e.iteration % 20 as varchar) and v.pos < 20) as pieces from explorations e")
 def kb_entries(spark, d):
     rows = _explorations(spark, d).withColumn("asked", F.col("query")).withColumn("query", F.concat(F.lit("src"), (F.col("iteration") % 20).cast("string")))
-    held = knowledge.entries(rows, _evidence(spark, d).where("pos < 5").withColumnRenamed("query_id", "query"))
+    held = knowledge.entries(rows, processing.extracted(_evidence(spark, d)).withColumnRenamed("query_id", "query"))
     return held.select("seed_id", F.col("iteration").cast("long").alias("iteration"), F.concat(F.lit("query "), (F.col("iteration") % 7).cast("string")).alias("query"), F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("pieces"))
 
 
@@ -657,11 +662,11 @@ def breadth_redundancy(spark, d):
 
 # Small functions.
 
-@query(f"""with c as (select doc_id, left(text, 60) as a, case doc_id % 3 when 0 then 'First, ' || left(text, 30) when 1 then left(text, 60) else 'xq ' || left(text, 40) end as b from documents), t as (select doc_id, b, {_TOK.format('a')} as ta, {_TOK.format('b')} as tb from c)
+@query(f"""with c as (select doc_id, text as a, case doc_id % 3 when 0 then 'First, ' || text when 1 then text else 'xq ' || text end as b from documents), t as (select doc_id, b, {_TOK.format('a')} as ta, {_TOK.format('b')} as tb from c)
  select doc_id, case when doc_id % 3 = 0 then 'procedural' when len(list_filter(tb, lambda x: not list_contains(ta, x))) = 0 then 'syntactic' else 'conceptual' end as kind from t""")
 def reformulation_class(spark, d):
-    a, n = F.substring("text", 1, 60), F.col("doc_id") % 3
-    b = F.when(n == 0, F.concat(F.lit("First, "), F.substring("text", 1, 30))).when(n == 1, a).otherwise(F.concat(F.lit("xq "), F.substring("text", 1, 40)))
+    a, n = F.col("text"), F.col("doc_id") % 3
+    b = F.when(n == 0, F.concat(F.lit("First, "), a)).when(n == 1, a).otherwise(F.concat(F.lit("xq "), a))
     return _read(spark, d, "documents").select("doc_id", T.reformulation(a, b).alias("kind"))
 
 
@@ -704,12 +709,12 @@ def prompt_render(spark, d):
 
 def _lines(spark, d):
     n = F.col("doc_id") % 5
-    body = F.regexp_replace(F.substring("text", 1, 30), r'["\\\s]+', " ")
+    body = F.regexp_replace("text", r'["\\\s]+', " ")
     line = F.when(n == 0, F.concat(F.lit('{"query": " '), body, F.lit(' ", "text": "t"}'))).when(n == 1, F.concat(F.lit('{"query": "", "question": "'), body, F.lit('"}'))).when(n == 2, F.concat(F.lit('{"text": "'), body, F.lit('"}'))).when(n == 3, '{"other": 1}').otherwise("not json")
     return _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), line.alias("line"))
 
 
-_BODY = "regexp_replace(left(text, 30), '[\"\\\\\\s]+', ' ', 'g')"
+_BODY = "regexp_replace(text, '[\"\\\\\\s]+', ' ', 'g')"
 
 
 @query(f"select cast(doc_id as varchar) as file, {_WS.format(_BODY)} as query from documents where doc_id % 5 < 3 and {_WS.format(_BODY)} <> '' union all select cast(doc_id as varchar), 't' from documents where doc_id % 5 = 0 and {_WS.format(_BODY)} = ''")
