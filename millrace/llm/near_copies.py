@@ -160,9 +160,9 @@ def _linked(batches):
 
 def _candidates(distinct: DataFrame) -> DataFrame:
     """Stars (a, b) of candidate groups: each node but the least of its group, with that one."""
-    keyed = distinct.select(F.explode("bands").alias("key"), "node", *(F.col("print")[k].alias(f"w{k}") for k in range(WORDS)))
-    small, large = shared_groups(keyed, "node", LARGEST)
-    linked = small.repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
+    small, large = shared_groups(distinct.select(F.explode("bands").alias("key"), "node"), "node", LARGEST)
+    prints = distinct.select(F.col("node").alias("n"), *(F.col("print")[k].alias(f"w{k}") for k in range(WORDS)))
+    linked = small.join(prints, F.col("node") == F.col("n")).drop("n").repartition("key").sortWithinPartitions("key").mapInArrow(_linked, "a long, b long")
     hubs = large.groupBy(F.col("key").alias("k")).agg(F.min("node").alias("hub"))
     stars = large.join(hubs, F.col("key") == F.col("k")).select(F.col("node").alias("a"), F.col("hub").alias("b"))
     return components(linked.union(stars))

@@ -1,12 +1,13 @@
-"""Diverse seed queries: clusters by k-means, then greedy picks by quota and marginal relevance."""
+"""Diverse seed queries: clusters by k-means, then picks by quota and marginal relevance."""
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from dataclasses import dataclass, field
 
-#: Candidates that the greedy picks, which need one another, hold on the driver.
-MOST_CANDIDATES = 50_000
+from pyspark.sql import Column, DataFrame, Row, functions as F
+
+from ..functions.similarity import dot
+from ..sources.shared import written
 
 
 def clustered(vectors: DataFrame, clusters: int = 100, seed: int = 42) -> DataFrame:
@@ -19,57 +20,69 @@ def clustered(vectors: DataFrame, clusters: int = 100, seed: int = 42) -> DataFr
     return model.transform(df).drop("features")
 
 
-def greedy(vectors: np.ndarray, clusters: list[int], docs: list[list[str]], prior: set[str], num_seeds: int, novelty: float, weight: float) -> list[int]:
-    """Places of the picks, in order.
+@dataclass
+class _Pool:
+    """The candidates as a written table, and the picks that it doesn't know of yet.
 
-    Clusters take turns in the order in which they first appear. A turn picks
-    the cluster's candidate with the greatest score: its new documents,
-    weighed against its closeness to all picks; candidates without documents
-    or with too large a share of seen ones are passed over, and the first of
-    equals wins. A cluster without a pick leaves, and the next one after it
-    takes its turn. The closeness is kept as a running maximum.
+    Of each candidate the table has query, vector, cluster, the numbers of its
+    documents as listed and distinct, fresh (those not seen yet) and nearest,
+    the closeness to the picks so far.
     """
-    seen, picked, nearest = set(prior), [], np.full(len(docs), -np.inf)
-    pools: dict[int, list[int]] = {}
-    for i, c in enumerate(clusters):
-        pools.setdefault(c, []).append(i)
-    cycle, turn, free = list(pools), 0, np.ones(len(docs), bool)
-    while len(picked) < num_seeds and cycle:
-        place = turn % len(cycle)
-        best, top = None, -1e9
-        for i in pools[cycle[place]]:
-            if not free[i] or not docs[i]:
-                continue
-            own = set(docs[i])
-            if len(own & seen) / max(len(docs[i]), 1) > novelty:
-                continue
-            gain = float(len(own - seen))
-            score = gain if not picked else weight * gain - (1 - weight) * float(nearest[i])
-            if score > top:
-                best, top = i, score
-        if best is None:
-            del cycle[place]
-            continue
-        picked.append(best)
-        free[best] = False
-        nearest = np.maximum(nearest, vectors @ vectors[best])
-        seen |= set(docs[best])
-        turn += 1
-    return picked
 
+    table: DataFrame
+    recent: list[Row] = field(default_factory=list)
+
+    def now(self) -> DataFrame:
+        """The table as the recent picks leave it."""
+        df = self.table
+        for pick in self.recent:
+            seen, at = F.lit(list(pick["fresh"])).cast("array<string>"), F.lit(list(pick["vector"]))
+            df = df.where(F.col("query") != pick["query"]).withColumns({"fresh": F.array_except("fresh", seen), "nearest": F.greatest("nearest", dot(F.col("vector"), at))})
+        return df
+
+    def take(self, cluster, score: Column, novelty: float) -> Row | None:
+        """The cluster's best candidate by score, the first query of equals; only this row reaches the driver."""
+        old = F.col("distinct") - F.size("fresh")
+        fit = self.now().where((F.col("cluster") == cluster) & (F.col("listed") > 0) & (old / F.col("listed") <= novelty))
+        return fit.orderBy(score.desc(), "query").select("query", "vector", "fresh").first()
 
-def selected(candidates: DataFrame, prior: DataFrame, num_seeds: int = 1000, novelty: float = 0.6, weight: float = 0.7, most: int = MOST_CANDIDATES) -> DataFrame:
+    def settle(self) -> None:
+        self.table, self.recent = written(self.now(), "candidates"), []
+
+
+def selected(candidates: DataFrame, prior: DataFrame, num_seeds: int = 1000, novelty: float = 0.6, weight: float = 0.7, settle_every: int = 8) -> DataFrame:
     """(pick, query) of candidates (query, vector, cluster, doc_ids) against documents (doc_id) that are known already.
 
-    Each pick depends on all before it, so the picks are made on the driver
-    over at most ``most`` candidates; more raise. Only the known documents
-    that a candidate has are sent there.
+    Clusters take turns in the order of their first query; with n picks made
+    the turn is that of number n modulo the clusters left, and a cluster with
+    nothing to offer leaves. A candidate is worth its documents that neither
+    the known ones nor earlier picks have, weighed against its closeness to
+    the picks; one without documents, or with more than ``novelty`` of them
+    seen, is passed over.
+
+    Each pick depends on all before it, so it is a job of its own over one
+    cluster's rows. Candidates stay in a table that is written anew after some
+    picks; the driver holds the picks and the list of clusters.
     """
-    spark = candidates.sparkSession
-    rows = candidates.select("query", "vector", "cluster", "doc_ids").orderBy("query").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"seed selection takes at most {most} candidates")
-    met = candidates.select(F.explode("doc_ids").alias("doc_id")).distinct().join(prior, "doc_id", "left_semi")
-    vectors = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
-    picks = greedy(vectors, [r["cluster"] for r in rows], [list(r["doc_ids"] or []) for r in rows], {r[0] for r in met.collect()}, num_seeds, novelty, weight)
-    return spark.createDataFrame([(n, rows[i]["query"]) for n, i in enumerate(picks, 1)], "pick int, query string")
+    docs = F.coalesce("doc_ids", F.array().cast("array<string>"))
+    rows = candidates.select("query", F.transform("vector", lambda x: x.cast("double")).alias("vector"), "cluster", docs.alias("doc_ids"))
+    fresh = rows.select("query", F.explode(F.array_distinct("doc_ids")).alias("doc_id")).distinct().join(prior.select("doc_id").distinct(), "doc_id", "left_anti")
+    fresh = fresh.groupBy(F.col("query").alias("q")).agg(F.collect_list("doc_id").alias("fresh"))
+    table = rows.join(fresh, F.col("query") == F.col("q"), "left").select(
+        "query", "vector", "cluster", F.size("doc_ids").alias("listed"), F.size(F.array_distinct("doc_ids")).alias("distinct"), F.coalesce("fresh", F.array().cast("array<string>")).alias("fresh"), F.lit(None).cast("double").alias("nearest"),
+    )
+    pool = _Pool(written(table.repartition("cluster"), "candidates"))
+    turns = [r["cluster"] for r in pool.table.groupBy("cluster").agg(F.min("query").alias("first")).orderBy("first").collect()]  # clusters, a chosen number
+    picks: list[str] = []
+    gain = F.size("fresh").cast("double")
+    while turns and len(picks) < num_seeds:
+        cluster = turns[len(picks) % len(turns)]
+        pick = pool.take(cluster, weight * gain - (1 - weight) * F.col("nearest") if picks else gain, novelty)
+        if pick is None:
+            turns.remove(cluster)
+            continue
+        picks.append(pick["query"])
+        pool.recent.append(pick)
+        if len(pool.recent) >= settle_every:
+            pool.settle()
+    return candidates.sparkSession.createDataFrame(list(enumerate(picks, 1)), "pick int, query string")

@@ -775,7 +775,7 @@ def seed_select(spark, d):
     docs = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: ((F.col("vec_id") * 3 + i) % 400).cast("string"))
     rows = _read(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vector"), F.col("label").alias("cluster"), docs.alias("doc_ids"))
     prior = spark.range(40).select((F.col("id") * 10).cast("string").alias("doc_id"))
-    return seed_plans.selected(rows, prior, 100)
+    return seed_plans.selected(rows, prior, 40)
 
 
 def _streamed(spark, stream, name: str, mode: str = "append") -> DataFrame:

@@ -168,7 +168,7 @@ def test_exploration_by_chosen_modes_and_with_an_external_answer(spark):
     assert {(r.mode_used, r.iterations_taken, r.answer) for r in plain.collect()} == {("once", 0, "red cars are fast")}
 
 
-def test_greedy_seeds_against_a_literal_model():
+def test_greedy_seeds_against_a_literal_model(spark):
     r = random.Random(0)
     n = 40
     vectors = np.array([[r.gauss(0, 1) for _ in range(4)] for _ in range(n)])
@@ -190,7 +190,15 @@ def test_greedy_seeds_against_a_literal_model():
         picked.append(best)
         seen |= set(docs[best])
         turn += 1
-    assert seeds.greedy(vectors, clusters, docs, {"1", "2"}, 15, 0.6, 0.7) == picked
+    rows = [(f"q{i:02}", [float(x) for x in vectors[i]], clusters[i], docs[i] or None) for i in range(n)]
+    df = spark.createDataFrame(rows, "query string, vector array<double>, cluster int, doc_ids array<string>").repartition(3)
+    got = seeds.selected(df, spark.createDataFrame([("1",), ("2",), ("999",)], "doc_id string"), 15, 0.6, 0.7, 4)
+    assert [int(r.query[1:]) for r in got.orderBy("pick").collect()] == picked
+
+
+def test_no_seeds_without_candidates(spark):
+    none = spark.createDataFrame([], "query string, vector array<double>, cluster int, doc_ids array<string>")
+    assert seeds.selected(none, spark.createDataFrame([], "doc_id string")).count() == 0
 
 
 def test_candidates(spark, tmp_path):
