@@ -100,27 +100,98 @@ def _run(args) -> int:
     return 0
 
 
-def _simulate(args) -> int:
+def _model_of(spec, args, external: bool = False):
+    """The model of a template, called at its provider's address, or at --base-url for servers of one's own."""
+    from .plans.providers import ADDRESSES, client_of, completion
+
+    provider = args.provider or _provider(spec.model_id)
+    key = os.environ.get(f"{provider.upper()}_API_KEY") or os.environ.get("LLM_API_KEY")
+    make = client_of(provider, args.base_url if args.provider or provider not in ADDRESSES else None, spec.model_id, key, setting("LLM_TIMEOUT"), 0.1 if external else spec.temperature, setting("LLM_MAX_TOKENS"))
+    return lambda prompt: completion(make, prompt)
+
+
+def _provider(model_id: str) -> str:
+    """The provider that a model's name points to; see ``functions.text.provider_of``."""
+    from pyspark.sql import functions as F
+
+    from .functions.text import provider_of
+
+    return _session().range(1).select(provider_of(F.lit(model_id)).alias("p")).first()["p"]
+
+
+def _samples(spark, dataset):
     from pyspark.sql import functions as F
 
     from .functions.text import sample_id
-    from .operators.traces import pending
-    from .plans.runners import standard
-    from .plans.workflow import loaded
-    from .sources import readers, sinks
+    from .sources import readers
 
-    spark = _session()
-    rows = readers.qa_dataset(spark, args.dataset, args.num_samples)
-    samples = rows.select(sample_id(F.col("sample_no") + (0 if args.num_samples > 0 else 1)).alias("query_id"), F.coalesce("query", "question").alias("query"), F.coalesce("answer", "gold_answer").alias("gold_answer")).where("query is not null")
-    ledger = f"{args.output}/ledger"
-    if args.resume:
-        done = spark.read.schema("sample_id string, status string, completed boolean").json(ledger)
-        samples = pending(samples.withColumnRenamed("query_id", "sample_id"), done).withColumnRenamed("sample_id", "query_id")
-    results, steps = standard(loaded(args.workflow), samples, _services(spark, args), setting("MAX_ITERATIONS"), setting("SIMILARITY_THRESHOLD"), args.metric)
-    results.write.mode("append").json(f"{args.output}/results")
-    runs = steps.withColumn("run_id", F.concat_ws("_", "query_id", "iteration")).drop("query_id", "iteration")
-    sinks.export_runs(runs.withColumn("tool_input", F.lit("{}")), runs.select("run_id").distinct(), args.output, F.current_timestamp(), streamed=True)
-    sinks.record_completed(spark, results.select(F.col("query_id").alias("sample_id")), ledger)
+    n = dataset.num_samples
+    strategy = {"sequential": "head"}.get(dataset.sample_strategy, dataset.sample_strategy)
+    rows = readers.qa_dataset(spark, dataset.path, n, strategy, strata="answer" if strategy == "stratified" else None)
+    return rows.select(sample_id(F.col("sample_no") + (0 if n > 0 else 1)).alias("query_id"), F.coalesce("query", "question").alias("query"), F.coalesce("answer", "gold_answer").alias("gold_answer"), F.coalesce("seed_id", "uid").alias("seed_id")).where("query is not null")
+
+
+def _simulate(args) -> int:
+    """A template, or a workflow over a dataset in standard mode."""
+    from .plans.runners import Dataset, Metric, Template, template_loaded
+
+    if args.dataset:
+        template = Template(args.workflow, args.workflow, workflows=[args.workflow], datasets=[Dataset("data", args.dataset, args.num_samples)], max_iterations=setting("MAX_ITERATIONS"), threshold=setting("SIMILARITY_THRESHOLD"), metric=Metric(args.metric or "token_overlap"), output_dir=args.output or "simulation_output")
+        return _simulated(_session(), template, {"": _services(_session(), args)}, None, None, args)
+    template = template_loaded(args.workflow)
+    if found := template.problems():
+        print("\n".join(found), file=sys.stderr)
+        return 1
+    template.output_dir = args.output or template.output_dir
+    spark, teachers = _session(), {}
+    others = {m.name: _model_of(m, args) for m in template.consultants}
+    for m in template.teachers:
+        held = teachers[m.name] = _services(spark, args)
+        held.model, held.models, held.consultants = _model_of(m, args), others, template.consulted
+    checked = template.verifier if template.verification.get("enabled", True) else None
+    return _simulated(spark, template, teachers, _model_of(checked, args) if checked else None, _model_of(template.verifier or template.teachers[0], args, True), args)
+
+
+def _simulated(spark, template, teachers, verifier, external, args) -> int:
+    """Runs of every teacher, workflow and dataset; results and traces go below the output folder."""
+    from pyspark.sql import functions as F
+
+    from .operators.traces import pending, run_settings
+    from .plans.runners import Mode, adaptive, exploratory, standard
+    from .plans.workflow import loaded
+    from .sources import sinks
+    from .sources.shared import written
+
+    for (teacher, services), flow, dataset in ((t, loaded(w), d) for t in teachers.items() for w in template.workflows for d in template.datasets):
+        out = "/".join(filter(None, (template.output_dir, *((teacher, flow.id, dataset.name) if teacher else ()))))
+        samples, ledger = _samples(spark, dataset), f"{out}/ledger"
+        if args.resume:
+            done = spark.read.schema("sample_id string, status string, completed boolean").json(ledger)
+            samples = pending(samples.withColumnRenamed("query_id", "sample_id"), done).withColumnRenamed("sample_id", "query_id")
+        samples = written(samples, "samples")
+        if template.mode is Mode.EXPLORATORY:
+            seeds = samples.select(F.coalesce("seed_id", "query_id").alias("seed_id"), "query")
+            log, _, steps = exploratory(flow, seeds, services, services.model, template.exploration(services.models, external))
+            sinks.export_explorations(log.select("seed_id", "iteration", "query", "answer", "doc_ids", "evidence_count", "iterations_taken", "similarity_score", "mode_used"), out)
+            runs = steps.withColumn("run_id", F.replace("query_id", F.lit("\u0001"), F.lit("_"))).drop("query_id", "seed_id")
+        elif template.mode is Mode.ADAPTIVE:
+            state, results = adaptive(flow, samples, services, services.model, template.max_iterations, template.threshold)
+            runs = state.steps.withColumnRenamed("query_id", "run_id")
+        else:
+            results, steps = standard(flow, samples, services, template.max_iterations, template.threshold, template.metric.value, verifier)
+            runs = steps.withColumn("run_id", F.concat_ws("_", "query_id", "iteration")).drop("query_id", "iteration")
+        if template.mode is not Mode.EXPLORATORY:
+            results = written(results, "results")
+            results.write.mode("append").json(f"{out}/results")
+        runs = written(runs.withColumn("tool_input", F.lit("{}")), "runs")
+        ids = runs.select("run_id").distinct()
+        asked = samples.select(F.col("query_id").alias("q"), "query", F.col("gold_answer").alias("expected_answer"))
+        of = F.col("run_id") if template.mode is Mode.ADAPTIVE else F.regexp_replace("run_id", r"_\d+$", "")
+        named = ids.join(asked, of == F.col("q"), "left")
+        teacher_id = next((m.model_id for m in template.teachers if m.name == teacher), "unknown")
+        settings = run_settings(runs, named.withColumn("teacher_id", F.lit(teacher_id)), [p["type"] for p in flow.components], template.threshold, template.max_iterations, template.retrieval.get("type", "chatnoir"), template.retrieval.get("corpus") or "cw12")
+        sinks.export_runs(runs, ids, out, F.current_timestamp(), streamed=True, settings=settings)
+        sinks.record_completed(spark, samples.select(F.col("query_id").alias("sample_id")), ledger)
     return 0
 
 
@@ -131,7 +202,7 @@ def _discover(args) -> int:
     if not asked:
         print("name an endpoint with --custom or --ollama", file=sys.stderr)
         return 1
-    from .sources.readers import discovered_models
+    from .sources.readers import discovered_models, model_table
 
     bodies = []
     for base, path in asked:
@@ -140,7 +211,8 @@ def _discover(args) -> int:
                 bodies.append((base, answer.read().decode()))
         except OSError:
             bodies.append((base, "{}"))
-    discovered_models(_session().createDataFrame(bodies, "endpoint string, body string")).show(1000, False)
+    for row in model_table(discovered_models(_session().createDataFrame(bodies, "endpoint string, body string"))).collect():  # a list of models
+        print(row["line"])
     return 0
 
 
@@ -179,7 +251,7 @@ def _parser() -> argparse.ArgumentParser:
     command("info", _info)
     command("validate", _validate, (("workflow",), {}))
     command("run", _run, (("workflow",), {}), (("query",), {}), (("--output",), {}), *model)
-    command("simulate", _simulate, (("workflow",), {}), (("dataset",), {}), (("--output",), {"required": True}), (("--num-samples",), {"type": int, "default": 0}), (("--metric",), {"default": "token_overlap"}), (("--resume",), {"action": "store_true"}), *model)
+    command("simulate", _simulate, (("workflow",), {"help": "a workflow, or a simulation template without a dataset"}), (("dataset",), {"nargs": "?"}), (("--output",), {}), (("--num-samples",), {"type": int, "default": 0}), (("--metric",), {}), (("--resume",), {"action": "store_true"}), *model)
     command("discover", _discover, (("--custom",), {"nargs": "*"}), (("--ollama",), {"nargs": "*"}))
     command(
         "seed-select", _seed_select, (("data_dir",), {}), (("--split",), {"default": "train"}), (("--dataset",), {"default": "data"}), (("--embeddings",), {"required": True}), (("--corpus",), {"required": True}), (("--corpus-id",), {"default": "doc_id"}), (("--prior",), {}), (("--output",), {"required": True}),

@@ -54,6 +54,12 @@ def document_frequency(explorations: DataFrame) -> DataFrame:
     return by_seed.join(overall, "doc")
 
 
+def documents_by_seed(explorations: DataFrame) -> DataFrame:
+    """(seed_id, doc, frequency, queries_found_in): the distinct queries of a seed that found a document, sorted."""
+    found = explorations.select("seed_id", "query", F.explode("doc_ids").alias("doc")).distinct()
+    return found.groupBy("seed_id", "doc").agg(F.count("*").alias("frequency"), F.array_sort(F.collect_list("query")).alias("queries_found_in"))
+
+
 def breadth_and_redundancy(explorations: DataFrame) -> DataFrame:
     """Per seed: distinct documents, the share of repeats, and figures of the queries."""
     docs = explorations.select("seed_id", F.explode("doc_ids").alias("doc")).groupBy("seed_id").agg(F.countDistinct("doc").alias("unique_docs"), F.count("*").alias("total_docs"))

@@ -74,6 +74,26 @@ def run_config(steps: DataFrame, default_corpus: str) -> DataFrame:
     return steps.groupBy("run_id").agg(F.coalesce(F.min_by(F.when(named, corpus), F.when(named, F.col("seq"))), F.lit(default_corpus)).alias("corpus"))
 
 
+def run_settings(steps: DataFrame, runs: DataFrame, components: list[str], threshold: float, max_iterations: int, endpoint: str = "chatnoir", index: str = "cw12") -> DataFrame:
+    """The configuration of each of ``runs`` (run_id, teacher_id, query, expected_answer): with its blocks, limits and search.
+
+    The first retriever step that names a corpus says where a run searched; without one, endpoint and index do.
+    """
+    blocks = F.array(*(F.struct(F.lit(c).alias("type"), F.lit(c.replace("_", " ").title()).alias("label"), F.lit(False).alias("llm_decided")) for c in components))
+    held = F.struct(blocks.alias("blocks"), F.lit(float(threshold)).alias("answer_match_threshold"), F.lit(int(max_iterations)).alias("max_iterations"))
+    searched = run_config(steps, "").select("run_id", F.nullif("corpus", F.lit("")).alias("named"))
+    rows = runs.join(searched, "run_id", "left")
+    return rows.select(
+        "run_id", "teacher_id", "query", "expected_answer", held.alias("workflow_config"),
+        F.when(F.col("named").isNotNull(), "chatnoir").otherwise(endpoint).alias("search_endpoint"), F.coalesce("named", F.lit(index)).alias("search_index"),
+    )
+
+
+def with_teacher(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """``rows`` of runs with teacher_model, from (run_id, teacher_model); runs that it does not list have none."""
+    return rows.join(models.select("run_id", "teacher_model").dropDuplicates(["run_id"]), "run_id", "left")
+
+
 def evidence_progression(steps: DataFrame) -> DataFrame:
     return steps.select("run_id", "seq", F.col("turn").alias("step_id"), F.coalesce("evidence_count", F.lit(0)).cast("long").alias("evidence_count"), F.lit(0.0).alias("evidence_available_pct"), F.lit(0.0).alias("retrieval_overlap"))
 

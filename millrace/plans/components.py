@@ -19,9 +19,16 @@ from .state import Model, State
 REGISTRY: dict[str, type[Component]] = {}
 
 
+class MissingService(ValueError):
+    """A component lacks what it calls."""
+
+
 @dataclass
 class Services:
-    """What components call: a language model, a corpus (id, text, title), vectors (id, vector), and others by name."""
+    """What components call: a language model, a corpus (id, text, title), vectors (id, vector), and others by name.
+
+    consultants: for a component type the names of the models that answer beside it.
+    """
 
     model: Model | None = None
     corpus: DataFrame | None = None
@@ -30,6 +37,7 @@ class Services:
     embed: Callable[[Column], Column] | None = None
     cross_encoder: Callable[[Column, Column], Column] | None = None
     models: dict[str, Model] = field(default_factory=dict)
+    consultants: dict[str, list[str]] = field(default_factory=dict)
 
 
 def register(name: str):
@@ -60,7 +68,7 @@ class Component(ABC):
 
     def _ask(self, prompt: Column) -> Column:
         if self.services.model is None:
-            raise ValueError(f"{self.name} needs a language model")
+            raise MissingService(f"{self.name} needs a language model")
         return self.services.model(prompt)
 
 
@@ -125,7 +133,7 @@ class IndexRetriever(Retriever):
 
     def documents(self) -> DataFrame:
         if self.services.corpus is None:
-            raise ValueError(f"{self.name} needs a corpus")
+            raise MissingService(f"{self.name} needs a corpus")
         return self.services.corpus
 
     def asked(self, state: State) -> DataFrame:
@@ -147,7 +155,7 @@ class WebRetriever(IndexRetriever):
 
     def documents(self) -> DataFrame:
         if self.services.web is None:
-            raise ValueError(f"{self.name} needs web pages")
+            raise MissingService(f"{self.name} needs web pages")
         return self.services.web
 
 
@@ -159,7 +167,7 @@ class VectorRetriever(Retriever):
 
     def documents(self) -> DataFrame:
         if self.services.vectors is None or self.services.embed is None:
-            raise ValueError(f"{self.name} needs vectors and an embedding model")
+            raise MissingService(f"{self.name} needs vectors and an embedding model")
         return self.services.vectors
 
     def asked(self, state: State) -> DataFrame:

@@ -38,7 +38,7 @@ def completion(make: Callable[[], Completion], prompt: Column) -> Column:
                     out = client(p)
                     out = out if isinstance(out, dict) else {"text": out}
                     rows.append((out.get("text"), json.dumps(out.get("usage") or {}), None))
-                except (OSError, ValueError) as e:  # a failed call is a failed step, not a failed job
+                except (OSError, ValueError, LookupError) as e:  # a failed call is a failed step, not a failed job
                     rows.append((None, None, str(e)))
             yield pd.DataFrame(rows, columns=["text", "usage", "error"])
 
@@ -76,23 +76,47 @@ def scripted(plan: str = "", formulate: str = "", draft: str = "", reflect: str
     return respond
 
 
-def client_of(provider: str, base_url: str, model: str, key: str | None = None, timeout: float = 60.0) -> Callable[[], Completion]:
-    """A maker of clients for servers with a chat-completion interface (custom and ollama, and openai's own)."""
+#: Addresses of the providers that have one, and the version header that one of them asks for (fixed values).
+ADDRESSES = {"openai": "https://api.openai.com", "anthropic": "https://api.anthropic.com", "google": "https://generativelanguage.googleapis.com", "mistral": "https://api.mistral.ai"}
+_VERSION = {"anthropic-version": "2023-06-01"}
+
+
+def request_of(provider: str, model: str, prompt: str, key: str | None, temperature: float, max_tokens: int) -> tuple[str, dict, dict]:
+    """Path, headers and body of a completion call."""
+    said = [{"role": "user", "content": prompt}]
+    if provider == "anthropic":
+        return "/v1/messages", {"x-api-key": key or "", **_VERSION}, {"model": model, "max_tokens": max_tokens, "temperature": temperature, "messages": said}
+    if provider == "google":
+        return f"/v1beta/models/{model}:generateContent", {"x-goog-api-key": key or ""}, {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"temperature": temperature, "maxOutputTokens": max_tokens}}
+    headers = {"Authorization": f"Bearer {key}"} if key else {}
+    return "/v1/chat/completions", headers, {"model": model, "messages": said, "temperature": temperature, "max_tokens": max_tokens}
+
+
+def answer_of(provider: str, out: dict) -> dict:
+    """Text and usage of a completion's JSON."""
+    if provider == "anthropic":
+        return {"text": "".join(p.get("text", "") for p in out["content"]), "usage": out.get("usage")}
+    if provider == "google":
+        return {"text": "".join(p.get("text", "") for p in out["candidates"][0]["content"]["parts"]), "usage": out.get("usageMetadata")}
+    return {"text": out["choices"][0]["message"]["content"], "usage": out.get("usage")}
+
+
+def client_of(provider: str, base_url: str | None, model: str, key: str | None = None, timeout: float = 60.0, temperature: float = 0.7, max_tokens: int = 4096) -> Callable[[], Completion]:
+    """A maker of clients; custom and ollama servers, and mistral, have openai's chat-completion interface."""
     if provider not in SUPPORTED:
         raise ValueError(f"no client for provider {provider}")
-    if provider not in ("openai", "custom", "ollama"):
-        raise ValueError(f"provider {provider} has its own protocol; pass a client of your own")
+    base = base_url or ADDRESSES.get(provider)
+    if not base:
+        raise ValueError(f"provider {provider} needs an address")
 
     def make() -> Completion:
         import json
         from urllib.request import Request, urlopen
 
         def call(prompt: str) -> dict:
-            body = json.dumps({"model": model.removeprefix(f"{provider}/"), "messages": [{"role": "user", "content": prompt}]}).encode()
-            headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
-            with urlopen(Request(f"{base_url.rstrip('/')}/v1/chat/completions", body, headers), timeout=timeout) as answer:
-                out = json.load(answer)
-            return {"text": out["choices"][0]["message"]["content"], "usage": out.get("usage")}
+            path, headers, body = request_of(provider, model.removeprefix(f"{provider}/"), prompt, key, temperature, max_tokens)
+            with urlopen(Request(base.rstrip("/") + path, json.dumps(body).encode(), {"Content-Type": "application/json", **headers}), timeout=timeout) as answer:
+                return answer_of(provider, json.load(answer))
 
         return call
 

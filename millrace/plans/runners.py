@@ -7,9 +7,12 @@ lineages stay short and a lost executor repeats one round at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from enum import Enum
+from pathlib import Path
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,9 +22,12 @@ from ..operators import answers
 from ..operators.knowledge import recent_context
 from ..sources.shared import written
 from . import prompts
-from .components import REGISTRY, Services
+from .components import Services
 from .state import Model, State, started
-from .workflow import Workflow, executed
+from .workflow import FOLDER, Workflow, executed, loaded
+
+#: Where simulation templates lie.
+TEMPLATES = Path(__file__).parent / "simulations"
 
 
 class Mode(str, Enum):
@@ -37,30 +43,107 @@ class Metric(str, Enum):
     ROUGE = "rouge"
 
 
+@dataclass
+class ModelSpec:
+    """A model by the name that templates use, its id at the provider, and its role. Keys are read from the environment where it is called."""
+
+    name: str
+    model_id: str
+    role: str = "teacher"
+    temperature: float = 0.7
+
+
+@dataclass
+class Dataset:
+    name: str
+    path: str
+    num_samples: int = -1
+    sample_strategy: str = "sequential"
+
+
 @dataclass
 class Template:
-    """What a simulation runs: models by name, a dataset, workflows, and its limits."""
+    """What a simulation runs: models, datasets, workflows, and its limits.
+
+    consulted: for each component type the consultants that answer beside it.
+    """
 
     id: str
+    name: str = ""
     mode: Mode = Mode.STANDARD
-    teacher_models: list[str] = field(default_factory=list)
-    consultant_models: list[str] = field(default_factory=list)
+    teachers: list[ModelSpec] = field(default_factory=list)
+    consultants: list[ModelSpec] = field(default_factory=list)
+    verifier: ModelSpec | None = None
     workflows: list[str] = field(default_factory=list)
-    dataset: str | None = None
+    datasets: list[Dataset] = field(default_factory=list)
+    retrieval: dict[str, Any] = field(default_factory=dict)
+    consulted: dict[str, list[str]] = field(default_factory=dict)
+    verification: dict[str, Any] = field(default_factory=dict)
     max_iterations: int = 5
     threshold: float = 0.6
     metric: Metric = Metric.EMBEDDING_COSINE
-    max_explorations: int = 10
+    output_dir: str = "simulation_output"
+    mode_config: dict[str, Any] = field(default_factory=dict)
 
-    def problems(self, last_component: str, known_models: set[str]) -> list[str]:
+    def problems(self, folder: Path = FOLDER) -> list[str]:
+        """What keeps the template from running."""
         out = []
-        if last_component not in ("finalizer", "answer_drafter"):
-            out.append("the last component must be finalizer or answer_drafter")
-        if not self.teacher_models:
+        for name in self.workflows:
+            try:
+                last = loaded(name, folder).components[-1]["type"]
+            except FileNotFoundError:
+                out.append(f"no workflow {name}")
+                continue
+            if last not in ("finalizer", "answer_drafter"):
+                out.append(f"workflow {name}: the last component must be finalizer or answer_drafter, not {last}")
+        if not self.teachers:
             out.append("at least one teacher model is needed")
-        if self.mode is not Mode.EXPLORATORY and not self.dataset:
+        if self.mode is not Mode.EXPLORATORY and not self.datasets:
             out.append("a dataset is needed unless the mode is exploratory")
-        return out + [f"unknown consultant model {m}" for m in self.consultant_models if m not in known_models]
+        known = {m.name for m in self.consultants}
+        return out + [f"unknown consultant model {m}" for models in self.consulted.values() for m in models if m not in known]
+
+    def exploration(self, models: dict[str, Model], external: Model | None = None) -> Exploration:
+        """The settings of an exploratory run; ``models`` has the consultants by name, ``external`` what answers for an external component."""
+        c = self.mode_config
+        asked = {m.name: models[m.name] for m in self.consultants if m.name in models} if c.get("enable_consultant_reflection", True) else {}
+        return Exploration(
+            c.get("max_explorations", 10), c.get("use_knowledge_base", True), c.get("execution_mode", "standard"), c.get("questions_per_reflection", 3),
+            external if c.get("external_knowledge_component") else None, asked, self.max_iterations, self.threshold, self.metric.value,
+        )
+
+
+def template_of(raw: dict[str, Any], env: Mapping[str, str] | None = None) -> Template:
+    """A template from parsed YAML; models that it doesn't name come from the environment (TEACHER_MODELS, CONSULTANT_MODELS, VERIFIER_MODEL)."""
+    env = os.environ if env is None else env
+
+    def named(key: str) -> list[str]:
+        return [m.strip() for m in env.get(key, "").split(",") if m.strip()]
+
+    def specs(key: str, role: str) -> list[ModelSpec]:
+        return [ModelSpec(m["name"], m["model_id"], m.get("role", role), m.get("temperature", 0.7)) for m in raw.get(key) or []]
+
+    teachers = named("TEACHER_MODELS")
+    verifier, wanted = raw.get("verifier_model"), named("VERIFIER_MODEL")
+    default = Template(raw["id"])
+    return Template(
+        raw["id"], raw["name"], Mode(raw.get("mode", "standard")),
+        specs("teacher_models", "teacher") or [ModelSpec("teacher" if len(teachers) == 1 else f"teacher_{i}", m) for i, m in enumerate(teachers)],
+        specs("consultant_models", "consultant") or [ModelSpec(m.split("-")[0], m, "consultant") for m in named("CONSULTANT_MODELS")],
+        ModelSpec(verifier["name"], verifier["model_id"], "verifier", verifier.get("temperature", 0.7)) if verifier else ModelSpec("verifier", wanted[0], "verifier") if wanted else None,
+        raw.get("workflows") or [], [Dataset(**d) for d in raw.get("datasets") or []], raw.get("retrieval") or {},
+        {p["component_type"]: p["consultant_models"] for p in raw.get("parallel_execution") or []}, raw.get("verification") or {},
+        int(raw.get("max_iterations", env.get("MAX_ITERATIONS", default.max_iterations))), float(raw.get("similarity_threshold", env.get("SIMILARITY_THRESHOLD", default.threshold))),
+        Metric(raw.get("similarity_metric", env.get("SIMILARITY_METRIC", default.metric.value))), raw.get("output_dir", env.get("OUTPUT_DIR", default.output_dir)), raw.get("mode_config") or {},
+    )
+
+
+def template_loaded(name: str, folder: Path = TEMPLATES) -> Template:
+    """A template file by its id or path; needs PyYAML."""
+    import yaml
+
+    path = Path(name) if Path(name).suffix else folder / f"{name}.yaml"
+    return template_of(yaml.safe_load(path.read_text(encoding="utf-8")))
 
 
 _RESULT = ("query_id", "iteration", "answer", "flagged", "similarity", "success")
@@ -179,13 +262,9 @@ def _decided(state: State, waiting: DataFrame, dim: DataFrame, teacher: Model) -
 
 
 def _on_part(state: State, ids: DataFrame, names: tuple[str, ...], services: Services) -> State:
-    tables = ("queries", "evidence", "seen", "steps")
-    own = {t: getattr(state, t).join(ids, "query_id", "left_semi") for t in tables}
-    rest = {t: getattr(state, t).join(ids, "query_id", "left_anti") for t in tables}
-    part = state.but(**own, turn=0)
-    for name in names:
-        part = REGISTRY[name](None, services).apply(part)
-    return part.but(**{t: rest[t].unionByName(getattr(part, t)) for t in tables})
+    flow = Workflow("chosen", "chosen", [{"type": name} for name in names])
+    part = executed(flow, state.part(ids, "left_semi"), services) if names else state.part(ids, "left_semi")
+    return state.part(ids, "left_anti").joined(part).but(seq=part.seq)
 
 
 def _written_state(state: State) -> State:

@@ -31,6 +31,26 @@ class State:
     def but(self, **changes) -> State:
         return replace(self, **changes)
 
+    def part(self, ids: DataFrame, how: str) -> State:
+        """The state of the queries that ``ids`` has (left_semi) or has not (left_anti)."""
+        return self.but(**{t: getattr(self, t).join(ids, "query_id", how) for t in ("queries", "evidence", "seen", "steps")})
+
+    def joined(self, other: State) -> State:
+        """With the queries of another state of the same run."""
+        return self.but(**{t: getattr(self, t).unionByName(getattr(other, t)) for t in ("queries", "evidence", "seen", "steps")})
+
+    def found(self, query_id: str, id: str) -> DataFrame:
+        """A piece of evidence by its id."""
+        return self.evidence.where((F.col("query_id") == query_id) & (F.col("id") == id))
+
+    def summary(self) -> DataFrame:
+        """(query_id, evidence_count, step_count, errors, has_answer) of each query."""
+        pieces = self.evidence.groupBy("query_id").agg(F.count("*").alias("evidence_count"))
+        log = self.steps.groupBy("query_id").agg(F.count("*").alias("step_count"), F.count_if(~F.col("success")).alias("errors"))
+        rows = self.queries.join(pieces, "query_id", "left").join(log, "query_id", "left")
+        counts = (F.coalesce(c, F.lit(0)).alias(c) for c in ("evidence_count", "step_count", "errors"))
+        return rows.select("query_id", *counts, F.coalesce("final", "draft").isNotNull().alias("has_answer"))
+
     @property
     def spark(self) -> SparkSession:
         return self.queries.sparkSession

@@ -8,7 +8,10 @@ from typing import Any
 
 from pyspark.sql import DataFrame, functions as F
 
-from .components import REGISTRY, Services
+from ..operators.answers import evidence_text
+from ..sources.shared import written
+from . import prompts
+from .components import REGISTRY, MissingService, Services
 from .state import State, started
 
 FOLDER = Path(__file__).parent / "workflows"
@@ -64,20 +67,62 @@ def problems(workflow: Workflow) -> list[str]:
     return out
 
 
-def executed(workflow: Workflow, queries: DataFrame | State, services: Services, max_steps: int | None = None) -> State:
+def executed(workflow: Workflow, queries: DataFrame | State, services: Services, max_steps: int | None = None, stop_on_error: bool | None = None) -> State:
     """The state after the workflow's components, in order, over all queries.
 
     ``queries`` may be an earlier state, which goes on: its turn begins anew
     and its seq goes on. A component that a query fails in leaves a failed
-    step for that query, and the next one runs.
+    step for that query, and so does one that raises, for all queries; the
+    next one runs, unless ``stop_on_error`` (or the workflow's setting of that
+    name) is set: then a query that failed goes no further. A missing service
+    is an error of the setup and raises.
+
+    Components with consultants (``services.consultants``) ask these too; what
+    they say is a step of its own.
     """
     state = queries.but(turn=0) if isinstance(queries, State) else started(queries)
     most = max_steps or workflow.config.get("max_steps") or len(workflow.components)
+    stop = workflow.config.get("stop_on_error", False) if stop_on_error is None else stop_on_error
+    done: list[State] = []
     for part in workflow.components[:most]:
-        state = REGISTRY[part["type"]](part.get("config"), services).apply(state)
+        before = state.seq
+        state = _applied(part, state, services)
+        if services.consultants.get(part["type"]):
+            state = _consulted(part["type"], state, services)
+        if stop:
+            failed = written(state.steps.where((F.col("seq") > before) & ~F.col("success")).select("query_id").distinct(), "failed")
+            done.append(state.part(failed, "left_semi"))
+            state = state.part(failed, "left_anti")
+    for ended in done:
+        state = state.joined(ended)
     return state
 
 
+def _applied(part: dict[str, Any], state: State, services: Services) -> State:
+    try:
+        if part["type"] not in REGISTRY:
+            raise ValueError(f"unknown component {part['type']}")
+        return REGISTRY[part["type"]](part.get("config"), services).apply(state)
+    except MissingService:
+        raise
+    except Exception as e:  # a component that fails is a failed step of its queries, and not the end of all
+        return state.with_step(part["type"], state.queries, success=F.lit(False), error=F.lit(str(e).splitlines()[0][:1000] if str(e) else type(e).__name__))
+
+
+def _consulted(component: str, state: State, services: Services) -> State:
+    """What the consultants of a component answer, as a step with one entry for each; only drafting has a prompt for them."""
+    models = {name: services.models[name] for name in services.consultants[component] if name in services.models}
+    if component not in ("answer_drafter", "synthesis") or not models:
+        return state.with_step(f"{component}_consultants", state.queries, data=F.lit('{"skipped": true}'))
+    texts = evidence_text(state.evidence, 10, 300)
+    held = state.but(queries=state.queries.join(texts, "query_id", "left").withColumn("evidence_text", F.coalesce("evidence_text", F.lit(""))))
+    prompt = prompts.render("consult", query=F.col("query"), evidence_text=F.col("evidence_text"))
+    said = written(consultants(held, prompt, models), "consulted")
+    entry = F.struct("model", F.col("response").alias("answer"), "error")
+    rows = said.groupBy("query_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(entry)).alias("consultants"))).alias("told"))
+    return state.with_step(f"{component}_consultants", rows, data=F.col("told"))
+
+
 def consultants(state: State, prompt, models: dict[str, Any]) -> DataFrame:
     """(query_id, model, response, error): each model's raw answer to the same prompt; one row for each query and model."""
     out = None

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import stripped
 
@@ -17,22 +17,33 @@ _KEYS = ("query", "question", "text")
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line): the non-blank lines of text files, compressed or not."""
-    read = spark.read.option("recursiveFileLookup", "true").text(path)
-    return read.select(F.input_file_name().alias("file"), F.col("value").alias("line")).where(F.length(stripped(F.col("line"))) > 0)
+    read = _placed(spark.read.option("recursiveFileLookup", "true").text(path))
+    return read.select(F.col("_file").alias("file"), F.col("value").alias("line"), "_at", "_line").where(F.length(stripped(F.col("line"))) > 0)
 
 
-def _records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The lines that are JSON objects, by an explicit schema."""
+#: Columns that put the lines of files in order: the file, the stretch of it that a task reads, and the line's place in that.
+_ORDER = ("_file", "_at", "_line")
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    return df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start"), "_line": F.monotonically_increasing_id()})
+
+
+def _records(spark: SparkSession, path: str, schema: str, placed: bool = False) -> DataFrame:
+    """The lines that are JSON objects, by an explicit schema; ``placed`` adds the columns of ``_ORDER``."""
     lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull())
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    lines = _placed(lines) if placed else lines
+    return lines.select(F.from_json("value", schema).alias("r"), *(_ORDER if placed else ())).select("r.*", *(_ORDER if placed else ()))
 
 
 def qa_dataset(spark: SparkSession, path: str, num_samples: int = 0, strategy: str = "head", seed: int = 42, strata: str | None = None) -> DataFrame:
-    """Samples of a JSON-lines file: the first ``num_samples`` in file order (0 or less: all), random ones, or as many of each stratum.
+    """Samples of JSON-lines files: the first ``num_samples`` in the order of files and lines (0 or less: all), random ones, or as many of each stratum.
 
-    Lines that are no JSON object are left out. Adds ``sample_no`` from 1.
+    Lines that are no JSON object are left out. Adds ``sample_no`` from 1, in
+    that order and without gaps: lines are numbered within the stretch that a
+    task reads, and stretches by the lines before them.
     """
-    rows = _records(spark, path, QA).withColumn("_line", F.monotonically_increasing_id())
+    rows = _records(spark, path, QA, placed=True)
     if num_samples > 0 and strategy == "random":
         rows = rows.orderBy(F.rand(seed)).limit(num_samples)
     elif num_samples > 0 and strategy == "stratified":
@@ -40,9 +51,12 @@ def qa_dataset(spark: SparkSession, path: str, num_samples: int = 0, strategy: s
         share = num_samples / max(sum(r["count"] for r in counts), 1)
         rows = rows.sampleBy(strata, {r[0]: min(share, 1.0) for r in counts}, seed)
     elif num_samples > 0:
-        rows = rows.orderBy("_line").limit(num_samples)
-    # Numbers follow the file order; a partition's rows come before the next one's.
-    return rows.withColumn("sample_no", F.expr("row_number() over (order by _line)")).drop("_line") if num_samples > 0 else rows.withColumnRenamed("_line", "sample_no")
+        rows = rows.orderBy(*_ORDER).limit(num_samples)
+    sizes = rows.groupBy(F.col("_file").alias("f"), F.col("_at").alias("a")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("f", "a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(sizes.select("f", "a", before.alias("before")), F.expr("_file = f and _at = a"))
+    number = F.row_number().over(Window.partitionBy("_file", "_at").orderBy("_line")) + F.col("before")
+    return rows.withColumn("sample_no", number.cast("long")).drop(*_ORDER, "f", "a", "before")
 
 
 def first_key(record: Column, keys: tuple[str, ...] = _KEYS) -> Column:
@@ -52,7 +66,7 @@ def first_key(record: Column, keys: tuple[str, ...] = _KEYS) -> Column:
 
 def from_json_lines(lines: DataFrame) -> DataFrame:
     """(file, query) from lines with a JSON object each; other lines are left out."""
-    return lines.select("file", first_key(F.col("line")).alias("query")).where("query is not null")
+    return lines.select("file", first_key(F.col("line")).alias("query"), *(c for c in lines.columns if c.startswith("_"))).where("query is not null")
 
 
 def from_id_map(documents: DataFrame) -> DataFrame:
@@ -77,21 +91,23 @@ def from_records(documents: DataFrame) -> DataFrame:
 def candidates(spark: SparkSession, path: str, split: str, most: int = 50_000) -> DataFrame:
     """(file, query): candidate queries of the files below ``path`` whose name has ``split`` in it.
 
-    JSON-lines files come before JSON documents; a JSON document that does
-    not parse as a whole is read by line.
+    JSON-lines files come before JSON documents, files by name and lines by
+    place; ``most`` cuts in that order (0 or less: all). A JSON document that
+    does not parse as a whole is read by line.
     """
     named = F.lower(F.element_at(F.split("file", "/"), -1)).contains(split.lower())
     lines = _lines(spark, path).where(named)
     out = from_json_lines(lines.where(F.col("file").rlike(r"(?i)\.jsonl(\.gz)?$"))).withColumn("kind", F.lit(0))
-    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.input_file_name().alias("file"), stripped(F.col("value")).alias("document")).where(named & F.col("file").rlike(r"(?i)\.json$"))
+    whole = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), stripped(F.col("value")).alias("document")).where(named & F.col("file").rlike(r"(?i)\.json$"))
     parsed = F.try_parse_json(F.concat(F.lit("["), "document", F.lit("]"))).isNotNull()  # one value, not several in a row
     listed, of_map = F.col("document").startswith("["), F.get_json_object("document", "$.query").startswith("{")
     valid = whole.where(parsed)
     broken = whole.where(~parsed).select("file", F.explode(F.split("document", "\n")).alias("line"))
     plain = valid.where(~listed & ~F.coalesce(of_map, F.lit(False)))
     for part in (from_records(valid.where(listed)), from_id_map(valid.where(~listed & of_map)), from_keys(plain), from_json_lines(broken)):
-        out = out.unionByName(part.withColumn("kind", F.lit(1)))
-    return out.orderBy("kind", "file").limit(most).drop("kind") if most > 0 else out.drop("kind")
+        # A document is read whole by one task, so its entries come in their order.
+        out = out.unionByName(part.withColumns({"kind": F.lit(1), "_at": F.lit(0).cast("long"), "_line": F.monotonically_increasing_id()}))
+    return (out.orderBy("kind", "file", "_at", "_line").limit(most) if most > 0 else out).select("file", "query")
 
 
 def prior_documents(spark: SparkSession, path: str | None) -> DataFrame:
@@ -144,3 +160,9 @@ def discovered_models(responses: DataFrame) -> DataFrame:
     lists = F.coalesce(*(F.from_json(F.get_json_object("body", f"$.{k}"), "array<struct<id:string,name:string,size:long>>") for k in ("data", "models")))
     rows = responses.select("endpoint", F.explode(lists).alias("m"))
     return rows.select("endpoint", F.coalesce("m.id", "m.name").alias("model"), F.format_number(F.col("m.size") / (1 << 30), 2).alias("size_gb")).where("model is not null")
+
+
+def model_table(models: DataFrame) -> DataFrame:
+    """(line): the discovered models as a table of text, by endpoint and model."""
+    size = F.coalesce(F.concat("size_gb", F.lit(" GB")), F.lit("-"))
+    return models.orderBy("endpoint", "model").select(F.concat(F.rpad("endpoint", 40, " "), F.rpad("model", 40, " "), size).alias("line"))

@@ -19,25 +19,26 @@ def _by_partition(df: DataFrame, path: str, key: str) -> None:
     salted.repartition(key, "_salt").drop("_salt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).json(path)
 
 
-def export_runs(steps: DataFrame, runs: DataFrame, path: str, created_at, streamed: bool = False) -> None:
-    """manifest, stats, traces, supervised and trajectories of all runs, below ``path``."""
+def export_runs(steps: DataFrame, runs: DataFrame, path: str, created_at, streamed: bool = False, settings: DataFrame | None = None) -> None:
+    """manifest, configuration, stats, traces, supervised and trajectories of all runs, below ``path``."""
     _by_partition(traces.traces(steps, streamed), f"{path}/traces", "run_id")
     _by_partition(traces.supervised(steps), f"{path}/supervised", "run_id")
     _by_partition(traces.trajectories(steps, streamed), f"{path}/trajectories", "run_id")
-    export_summaries(steps, runs, path, created_at)
+    export_summaries(steps, runs, path, created_at, settings)
 
 
-def export_summaries(steps: DataFrame, runs: DataFrame, path: str, created_at) -> None:
-    """What is known once the steps of a run have been streamed: manifest, configuration and statistics."""
+def export_summaries(steps: DataFrame, runs: DataFrame, path: str, created_at, settings: DataFrame | None = None) -> None:
+    """What is known once the steps of a run have been streamed: manifest, configuration (``settings``, or the corpus alone) and statistics."""
     _by_partition(traces.manifest(steps, runs, created_at), f"{path}/manifest", "run_id")
     _by_partition(traces.run_stats(steps), f"{path}/stats", "run_id")
-    _by_partition(traces.run_config(steps, ""), f"{path}/config", "run_id")
+    _by_partition(traces.run_config(steps, "") if settings is None else settings, f"{path}/config", "run_id")
 
 
 def export_explorations(explorations: DataFrame, path: str) -> None:
     """The log and the coverage of each seed, and the summaries over all seeds that the log then has."""
     _by_partition(explorations, f"{path}/explorations", "seed_id")
     log = explorations.sparkSession.read.schema(explorations.schema).json(f"{path}/explorations")
+    _by_partition(coverage.documents_by_seed(explorations), f"{path}/documents_by_seed", "seed_id")
     rows = coverage.per_iteration(log)
     rows.write.mode("overwrite").json(f"{path}/coverage")
     coverage.seed_summary(rows).write.mode("overwrite").json(f"{path}/coverage_by_seed")

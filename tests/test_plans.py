@@ -102,6 +102,50 @@ def test_adaptive_runner(spark):
     assert [c for c, _ in steps] == ["opensearch_retriever", "teacher_decision", "opensearch_retriever"] and steps[1][1] == "look"
 
 
+def test_a_failed_query_goes_no_further_if_asked_to_stop(spark):
+    def model(prompt):  # only one query gets an answer
+        said = scripted(draft="ANSWER: fine")(prompt)
+        return said.withField("text", F.when(prompt.contains("Question: red cars"), said["text"]).otherwise(F.lit(" ")))
+
+    held = services(spark)
+    held.model = model
+    flow = workflow.parsed({"id": "x", "name": "x", "components": [{"type": "opensearch_retriever"}, {"type": "answer_drafter"}, {"type": "odd"}, {"type": "finalizer"}], "config": {"stop_on_error": True}})
+    tools = lambda state, q: [(r.component, r.verdict) for r in state.steps.where(F.col("query_id") == q).orderBy("seq").collect()]
+    state = workflow.executed(flow, asked(spark), held)
+    assert tools(state, "q2") == [("opensearch_retriever", "PROCEED"), ("answer_drafter", "FAIL")]
+    assert tools(state, "q1") == [("opensearch_retriever", "PROCEED"), ("answer_drafter", "PROCEED"), ("odd", "FAIL")]
+    assert state.queries.count() == 2
+    state = workflow.executed(flow, asked(spark), held, stop_on_error=False)
+    assert [c for c, _ in tools(state, "q2")] == ["opensearch_retriever", "answer_drafter", "odd", "finalizer"] and tools(state, "q1")[-1] == ("finalizer", "PROCEED")
+    rows = {r.query_id: r for r in state.summary().collect()}
+    assert rows["q1"].has_answer and not rows["q2"].has_answer and (rows["q1"].errors, rows["q1"].step_count) == (1, 4) and rows["q1"].evidence_count == 2
+    assert state.found("q1", "d0").count() == 1 and state.found("q1", "d1").count() == 0
+
+
+def test_consultants_answer_beside_a_component(spark):
+    def broken(prompt):
+        return F.struct(F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("usage"), F.lit("no answer").alias("error"))
+
+    held = services(spark)
+    held.models = {"a": lambda p: F.struct(F.concat(F.lit("  by a: "), F.length(p).cast("string")).alias("text"), F.lit("{}").alias("usage"), F.lit(None).cast("string").alias("error")), "b": broken}
+    held.consultants = {"answer_drafter": ["a", "b", "unknown"], "finalizer": ["a"]}
+    state = workflow.executed(workflow.loaded("simple_rag"), asked(spark), held)
+    told = {r.component: json.loads(r.data) for r in state.steps.where("query_id = 'q1'").collect()}
+    a, b = told["answer_drafter_consultants"]["consultants"]
+    assert a["model"] == "a" and a["answer"].startswith("by a: ") and b == {"model": "b", "error": "no answer"}
+    assert told["finalizer_consultants"] == {"skipped": True}
+
+
+def test_run_settings_and_teachers(spark):
+    steps = spark.createDataFrame([("r1", 1, "planner", "{}"), ("r1", 2, "chatnoir_retriever", '{"corpus": "web"}'), ("r2", 1, "planner", '{"corpus": "no"}')], "run_id string, seq long, component string, tool_input string")
+    runs = spark.createDataFrame([("r1", "m", "q", "a"), ("r2", "m", "p", None)], "run_id string, teacher_id string, query string, expected_answer string")
+    rows = {r.run_id: r for r in traces.run_settings(steps, runs, ["planner", "answer_drafter"], 0.6, 4, "opensearch", "wiki").collect()}
+    assert (rows["r1"].search_endpoint, rows["r1"].search_index) == ("chatnoir", "web") and (rows["r2"].search_endpoint, rows["r2"].search_index) == ("opensearch", "wiki")
+    assert rows["r1"].workflow_config.asDict(True) == {"blocks": [{"type": "planner", "label": "Planner", "llm_decided": False}, {"type": "answer_drafter", "label": "Answer Drafter", "llm_decided": False}], "answer_match_threshold": 0.6, "max_iterations": 4}
+    models = spark.createDataFrame([("r1", "big"), ("r1", "big"), ("r9", "x")], "run_id string, teacher_model string")
+    assert {(r.run_id, r.teacher_model) for r in traces.with_teacher(runs, models).collect()} == {("r1", "big"), ("r2", None)}
+
+
 def test_iterative_runner(spark):
     finals, steps = runners.iterative(workflow.loaded("simple_rag"), asked(spark), services(spark), 3)
     assert {(r.query_id, r.iteration) for r in finals.collect()} == {("q1", 1), ("q2", 1)} and steps.agg(F.max("iteration")).first()[0] == 1
@@ -222,6 +266,14 @@ def test_readers(spark, tmp_path):
     (tmp_path / "prior.jsonl").write_text('{"doc_id": "a"}\n{"doc_id": "a"}\nbad\n{"x": 1}\n')
     assert [r.doc_id for r in readers.prior_documents(spark, f"{tmp_path}/prior.jsonl").collect()] == ["a"]
     assert readers.prior_documents(spark, None).count() == 0
+    for name, n in (("c", 5), ("a", 1), ("b", 30)):
+        (tmp_path / "many").mkdir(exist_ok=True)
+        (tmp_path / "many" / f"{name}.jsonl").write_text("\n".join(json.dumps({"query": f"{name}{i:02}"}) for i in range(n)) + "\n")
+    every = [f"{name}{i:02}" for name, n in (("a", 1), ("b", 30), ("c", 5)) for i in range(n)]
+    got = readers.qa_dataset(spark, f"{tmp_path}/many").orderBy("sample_no").collect()
+    assert [(r.sample_no, r.query) for r in got] == list(enumerate(every, 1))
+    assert [r.query for r in readers.qa_dataset(spark, f"{tmp_path}/many", 3).orderBy("sample_no").collect()] == every[:3]
+    assert {r.query for r in readers.candidates(spark, f"{tmp_path}/many", "", 33).collect()} == set(every[:33])
     with gzip.open(tmp_path / "corpus.jsonl.gz", "wt") as f:
         for i in range(6):
             f.write(json.dumps({"turn": i, "component": "planner", "_source": {"run_id": f"r{i % 2}", "dataset": f"d{i % 3}", "sample_id": "s"}}) + "\n")
@@ -253,6 +305,8 @@ def test_exports_replace_their_own_runs_and_seeds(spark, tmp_path):
     sinks.export_explorations(log.where("seed_id = 's'").withColumn("query", F.lit("new")), f"{tmp_path}/out")
     assert {(r.seed_id, r.query) for r in spark.read.json(f"{tmp_path}/out/explorations").collect()} == {("s", "new"), ("t", "p")}
     assert spark.read.json(f"{tmp_path}/out/summary").first().unique_docs == 2
+    by_seed = {(r.seed_id, r.doc): (r.frequency, r.queries_found_in) for r in spark.read.json(f"{tmp_path}/out/documents_by_seed").collect()}
+    assert by_seed == {("s", "d"): (1, ["new"]), ("t", "d"): (1, ["p"]), ("t", "e"): (1, ["p"])}
     sinks.write_seeds(log, f"{tmp_path}/seeds", "set", "train")
     assert spark.read.json(f"{tmp_path}/seeds").count() == 2
     sinks.record_completed(spark, spark.createDataFrame([("a",)], "sample_id string"), f"{tmp_path}/ledger")
@@ -270,7 +324,7 @@ def test_written_tables_are_released(spark):
 
 
 def test_prompts():
-    assert prompts.names() == ["choose", "draft", "formulate", "plan", "reflect", "verify"]
+    assert prompts.names() == ["choose", "consult", "draft", "external", "formulate", "mode", "plan", "reflect", "verify"]
     assert prompts.variables("formulate") == ["queries_per_subgoal", "query", "subgoals"]
     assert prompts.info("draft")["lines"] > 3
     with pytest.raises(ValueError):
