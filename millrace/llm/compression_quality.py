@@ -27,8 +27,8 @@ PER_CLASS = 800
 PIECE, DICTIONARY = 4096, 400 << 10
 #: Bytes of a stretch that a dictionary takes of a long text.
 STRETCH = 256
-#: Bytes from which on a text's sizes count in full; shorter ones count in proportion, as chance weighs more there.
-FULL = 600
+#: Bytes of an ordinary text that each text is taken to have besides its own: the shorter a text, the more chance weighs in its sizes.
+PRIOR = 100
 LEVEL = 3
 #: A score from which on label 1 is predicted.
 THRESHOLD = 0.3
@@ -79,7 +79,7 @@ class Scorer:
             return 0.0, 0.0
         pieces = [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
         good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self._by)
-        weight = min(1.0, len(text) / FULL)
+        weight = len(text) / (len(text) + PRIOR)
         return weight * (bad - good) / (bad + good), weight * max(0.25 - min(good, bad) / len(text), 0.0)
 
 

@@ -16,8 +16,10 @@ its question and of its answer must lie within them. The answer is the
 item's last sentence, the question what comes before; an item of a single
 sentence is halved.
 
-The index is broadcast in shards of at most ``SHARD_ITEMS`` items; with more
-items the corpus is read once for each shard.
+The index is broadcast in shards of at most ``SHARD_ITEMS`` items, of which a
+reading of the corpus searches ``SHARDS_AT_ONCE``. Numbers of items, document
+frequencies and the mean length are those of all items, so a score does not
+depend on the shards.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ TERM = 2
 K1, B = 1.2, 0.75
 #: Items in a broadcast shard of the index.
 SHARD_ITEMS = 20_000
+#: Shards that are held and searched together.
+SHARDS_AT_ONCE = 4
 #: Postings in a block.
 BLOCK_POSTINGS = 64
 _EPS = 1e-9
@@ -60,15 +64,20 @@ def _hashes(text: str) -> np.ndarray:
 
 
 class Index:
-    """The inverted index of one shard of items."""
+    """The inverted index of one shard of items.
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY) -> None:
+    ``overall`` has the number of items, the mean number of their terms and
+    the document frequency of each of the shard's terms, if there are further shards.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, overall: tuple[int, float, dict[int, int]] | None = None) -> None:
         self.ids = np.array([i for i, _ in items], np.int64)
         words = [_hashes(text.lower()) for _, text in items]
         self.length = max((len(w) for w in words), default=1)
         terms = [ngrams(w, TERM) for w in words]
-        count, df = len(items), Counter(h for t in terms for h in set(t.tolist()))
-        mean = max(sum(map(len, terms)) / max(count, 1), 1)
+        if overall is None:
+            overall = len(items), sum(map(len, terms)) / max(len(items), 1), Counter(h for t in terms for h in set(t.tolist()))
+        count, mean, df = overall[0], max(overall[1], 1), overall[2]
         postings = defaultdict(list)
         for i, w in enumerate(terms):
             tf = Counter(w.tolist())
@@ -167,14 +176,12 @@ class Index:
 _FOUND = "doc_id long, item_id long, passage long, score double, overlap double, question double, answer double"
 
 
-def _search(held, similarity: float):
+def _search(shards: list, similarity: float):
     def search(batches):
-        index = held.value
-        width, stride = 2 * index.length, index.length
         for batch in batches:
             ids = batch.column(0)
-            for block in blocks(batch.column(1)):
-                block = _plain(block)
+            for block, index in ((_plain(block), held.value) for block in blocks(batch.column(1)) for held in shards):
+                width, stride = 2 * index.length, index.length
                 hashes, first = block.word_hashes, block.words[2]
                 terms = np.append(index.terms_of(ngrams(hashes, TERM)), [-1] * (TERM - 1))
                 worth = np.append(0, np.cumsum(np.where(terms >= 0, index.bound[terms], 0.0))) if len(index.terms) else np.zeros(len(terms) + 1)
@@ -202,6 +209,33 @@ def _search(held, similarity: float):
     return search
 
 
+def _terms(batches):
+    """shard, size and term: a row for each distinct term of an item, and one without term that has its number of terms."""
+    for batch in batches:
+        shard, size, term = [], [], []
+        for text, at in zip(batch.column("text").to_pylist(), batch.column("shard").to_pylist(), strict=True):
+            words = _hashes(text.lower())
+            if len(words) >= TERM:
+                own = ngrams(words, TERM)
+                distinct = np.unique(own).view(np.int64).tolist()
+                shard += [at] * (len(distinct) + 1)
+                size += [len(own), *([None] * len(distinct))]
+                term += [None, *distinct]
+        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(size, pa.int32()), pa.array(term, pa.int64())], names=["shard", "size", "term"])
+
+
+def _index(items: DataFrame, terms: DataFrame | None, shard: int, similarity: float) -> Index:
+    """The index of a shard; only its own items and terms come to the driver."""
+    rows = items.where(F.col("shard") == shard).select("item_id", "text").collect()
+    overall = None
+    if terms is not None:
+        n, mean = terms.agg(F.count("size"), F.avg("size")).first()
+        own = terms.where((F.col("shard") == shard) & F.col("term").isNotNull()).select("term").distinct()
+        df = terms.join(own, "term", "left_semi").groupBy("term").count().collect()
+        overall = n, mean or 0.0, {r["term"] % (1 << 64): r["count"] for r in df}
+    return Index(sorted((r["item_id"], r["text"]) for r in rows if len(_hashes(r["text"].lower())) >= TERM), similarity, overall)
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """A row for each document and test item that it holds: doc_id, item_id, the first passage
     with the greatest overlap, its score (as a share of the threshold), and the overlaps.
@@ -216,11 +250,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.col(text_col).cast("string")).alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where(r"text rlike '[\\p{L}\\p{N}]'")
     shards = max(-(-items.count() // shard_items), 1)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
+    terms = written(items.mapInArrow(_terms, "shard int, size int, term long"), "terms") if shards > 1 else None
+    indexes = [spark.sparkContext.broadcast(_index(items, terms, shard, similarity)) for shard in range(shards)]
     out = None
-    for shard in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()
-        held = spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in rows if len(_hashes(r["text"].lower())) >= TERM), similarity))
-        found = texts.mapInArrow(_search(held, similarity), _FOUND)
+    for at in range(0, shards, SHARDS_AT_ONCE):
+        found = texts.mapInArrow(_search(indexes[at : at + SHARDS_AT_ONCE], similarity), _FOUND)
         out = found if out is None else out.union(found)
     best = F.max(F.struct("overlap", "score", (-F.col("passage")).alias("p"), "question", "answer")).alias("b")
     out = out.groupBy("doc_id", "item_id").agg(best)

@@ -6,14 +6,15 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import functions as F
 
 from millrace.llm.blocks import blocks
 
-from millrace.llm.compression_quality import scored
+from millrace.llm.compression_quality import dictionary, scored
 from millrace.llm.language_id import UNKNOWN, evidence, fit, identified, language_accepted, means, predicted
 from millrace.llm.linear import bounded_sample, stretches
-from millrace.llm.license_scan import TEMPLATES, Classifier, _words, licensed_paragraphs
+from millrace.llm.license_scan import TEMPLATES, Classifier, _block, _words, licensed_paragraphs
 
 SYLLABLES = {"en": "the ing tion and er on re".split(), "de": "sch ung ver ich keit ein der".split(), "fr": "eau que ment ais oux le é".split(), "es": "ción os ar ña dad el ll".split()}
 DOCS = "doc_id long, text string, lang string, _lang_pred string, score double"
@@ -103,6 +104,37 @@ def test_quality_on_held_out_texts(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.values())
 
 
+def test_quality_scores_against_plain_compression(spark):
+    rows = [(i, prose("en", i, 40 + i) if i % 2 else "%% | " * (30 + i) + prose("fr", i, 5), "en") for i in range(60)]
+    labels = [(i, i % 2) for i in range(0, 60)]
+    got = {r.doc_id: r.score for r in scored(docs(spark, rows + [(99, prose("en", 1, 3000), "en")]), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    texts = {i: t.encode() for i, t, _ in rows} | {99: prose("en", 1, 3000).encode()}
+    good, bad = ([texts[i] for i, q in labels if q == k] for k in (1, 0))
+    books = [zstandard.ZstdCompressionDict(dictionary(half[::2]), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for half in (good, bad)]
+
+    def features(text):
+        sizes = [sum(len(zstandard.ZstdCompressor(level=3, dict_data=b, write_checksum=False, write_content_size=False, write_dict_id=False).compress(text[k : k + 4096])) for k in range(0, len(text), 4096)) for b in books]
+        share = len(text) / (len(text) + 100)
+        return [20 * share * (sizes[1] - sizes[0]) / sum(sizes), 20 * share * max(0.25 - min(sizes) / len(text), 0)]
+
+    x, y = np.array([features(t) for half in (good, bad) for t in half[1::2]]), np.array([1.0] * 15 + [0.0] * 15)
+    w = np.zeros(3)
+    for _ in range(60):  # Newton's method, with the same penalty
+        z = np.column_stack((x, np.ones(len(x))))
+        p = 1 / (1 + np.exp(-z @ w))
+        w += np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + np.eye(3), z.T @ (y - p) - w)
+    for i, t in texts.items():
+        assert abs(got[i] - 1 / (1 + np.exp(-(np.array(features(t)) @ w[:2] + w[2])))) < 1e-6
+
+
+def test_quality_of_repeated_rows(spark):
+    rows = [(i, prose("en", i, 50) if i % 2 else "$ " * 60, "en") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 1)], "doc_id long, quality int")
+    once = {r.doc_id: r.score for r in scored(docs(spark, rows), labels).collect()}
+    twice = scored(docs(spark, rows + rows[:6]), labels).collect()
+    assert len(twice) == 26 and all(r.score == once[r.doc_id] for r in twice)
+
+
 def test_quality_without_labels(spark):
     got = scored(docs(spark, [(1, "a", None)]), spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert [(r.score, r.predicted) for r in got] == [(0.5, 1)]
@@ -133,6 +165,37 @@ def test_licence_probabilities_hold_on_templates_that_the_fit_has_not_seen():
     assert (p[plain].argmax(axis=1) == 0).all() and (p[licence].argmax(axis=1) > 0).mean() >= 0.9
 
 
+def test_licence_probabilities_against_plain_sums():
+    model = Classifier([prose(lang, i, 12) for i in range(20) for lang in SYLLABLES])
+    lines = ["Released under the MIT License.", "plain words of no licence", "x", "Licensed under CC BY 4.0. " * 3, ""]
+    family, sure = model.predict(_block(lines))
+    m = 2**64
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB % m
+        return x ^ x >> 31
+
+    def judged(codes, size):
+        z = [(sum(model.weights[c, k] for c in codes) / max(3 * size, 1) ** 0.5 + model.bias[k]) / model.temperature for k in range(len(model.families))]
+        e = np.exp(np.array(z) - max(z))
+        return int(e.argmax()), float(e.max() / e.sum())
+
+    for line, f, p in zip(lines, family, sure):
+        words, codes = [int(h) for h in _words(line)], []
+        for n in (1, 2, 3):
+            for i in range(len(words) - n + 1):
+                h = words[i]
+                for j in range(1, n):
+                    h = (h * 0xD6E8FEB86659FD93 + words[i + j]) % m
+                codes.append(mixed(h) >> 50)
+        best, share = judged(codes, len(words))
+        if best and share >= 0.5 and words:
+            best, share = judged(set(codes), len(set(codes)) / 3)
+        want = best if share >= 0.5 and words else 0
+        assert f == want and abs(p - share) < 1e-9
+
+
 def test_wrapped_notices_are_one_paragraph(spark):
     notice = TEMPLATES["mit"][2].split()
     wrapped = "\n".join(" ".join(notice[i : i + 9]) for i in range(0, len(notice), 9))
