@@ -333,12 +333,6 @@ def test_prompts():
         client_of("cohere", "http://x", "m")
 
 
-def test_simulation_problems():
-    t = runners.Template("t", consultant_models=["x"])
-    assert len(t.problems("planner", set())) == 4
-    assert not runners.Template("t", runners.Mode.EXPLORATORY, ["m"]).problems("finalizer", set())
-
-
 def test_running_history(spark, tmp_path):
     rows = spark.createDataFrame([(i % 3, f"c{i % 2}", float(i)) for i in range(12)], "run_id long, component string, execution_time_ms double")
     rows.repartition(2).write.parquet(f"{tmp_path}/in")
