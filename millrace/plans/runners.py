@@ -254,7 +254,8 @@ def _decided(state: State, waiting: DataFrame, dim: DataFrame, teacher: Model) -
     counted = state.queries.join(waiting, "query_id").join(held, "query_id", "left").withColumn("evidence_count", F.coalesce("n", F.lit(0)))
     offer = answers.available(counted, dim).groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list("component")), ", ").alias("components"))
     prompt = prompts.render("choose", query=F.col("query"), evidence_count=F.col("evidence_count").cast("string"), components=F.col("components"))
-    rows = written(counted.join(offer, "query_id").withColumn("prompt", prompt).withColumn("said", teacher(F.col("prompt"))), "chosen")
+    rows = counted.join(offer, "query_id", "left").withColumn("components", F.coalesce("components", F.lit("")))
+    rows = written(rows.withColumn("prompt", prompt).withColumn("said", teacher(F.col("prompt"))), "chosen")
     rows = rows.withColumn("actions", chosen_actions(F.col("said.text")))
     marked = T.stripped(F.replace(F.substring_index("said.text", "DECISION:", 1), F.lit("REASONING:"), F.lit("")))
     plain = F.concat(F.lit("Selected "), F.size("actions").cast("string"), F.lit(" components for execution"))

@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import similarity as S, text as T, trace as X
 from .operators import answers, coverage, knowledge, processing, retrieval, traces
-from .plans import runners, seeds as seed_plans
+from .plans import runners, seeds as seed_plans, workflow
+from .plans.components import Services
+from .plans.state import started
+from .plans.workflow import Workflow
 from .sources import readers
 from .sources.shared import shared_folder
 from .streaming import streams
@@ -823,3 +826,55 @@ def flagship_cited_evidence(spark, d):
     hits = retrieval.bm25_top_k(corpus, asked, 20).join(corpus, "id").withColumn("angle", F.lit(0)).withColumn("source", F.lit("index"))
     evidence = retrieval.inserted(retrieval.nonempty(hits), ["angle", "rank"])
     return answers.citations(processing.deduplicated(processing.filtered(evidence)))
+
+
+# Runs of workflows with scripted models, and what is kept of them.
+
+def _scripted(choice: str, draft: str):
+    """A model that drafts the same answer for all, and ends items whose number ends in 4."""
+    def model(prompt):
+        said = F.when(prompt.startswith("Choose which"), F.when(prompt.rlike(r"Question: item \d*4\n"), '["finish"]').otherwise(choice)).otherwise(draft)
+        return F.struct(said.alias("text"), F.lit("{}").alias("usage"), F.lit(None).cast("string").alias("error"))
+
+    return model
+
+
+@query("""select cast(item_id as varchar) as query_id, case when item_id % 10 = 4 then 1 when item_id % 3 < 2 then 1 else 2 end as iteration, case when item_id % 10 <> 4 then 'red cars' end as answer,
+ case when item_id % 10 <> 4 and item_id % 3 < 2 then 1.0 else 0.0 end::double as similarity, item_id % 10 <> 4 and item_id % 3 < 2 as success from benchmark""")
+def adaptive_results(spark, d):
+    """Gold answers that the scripted answer meets, that are empty, and that it does not meet."""
+    model = _scripted('REASONING: so\nDECISION: ["answer_drafter", "finish"]', "REASONING: so\nANSWER: red cars")
+    n = F.col("item_id") % 3
+    samples = _read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("query"), F.when(n == 0, "red cars").when(n == 1, "").otherwise(F.col("text")).alias("gold_answer"))
+    flow = Workflow("chosen", "chosen", [{"type": "answer_drafter"}])
+    _, results = runners.adaptive(flow, samples, Services(model=model), model, 2, 0.6)
+    return results.select("query_id", F.col("iteration").cast("long").alias("iteration"), "answer", "similarity", "success")
+
+
+@query("""select cast(item_id as varchar) as query_id, m.model, case when m.model = 'a' then 'item ' || cast(item_id as varchar) end as response, case when m.model = 'b' then 'no answer' end as error from benchmark, (values ('a'), ('b')) m(model)""")
+def consultant_answers(spark, d):
+    none = F.lit(None).cast("string")
+    models = {"a": lambda p: F.struct(F.concat(F.lit(" "), p, F.lit(" ")).alias("text"), none.alias("usage"), none.alias("error")), "b": lambda p: F.struct(none.alias("text"), none.alias("usage"), F.lit("no answer").alias("error"))}
+    asked = _read(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("query"))
+    return workflow.consultants(started(asked), F.col("query"), models)
+
+
+@query(f"with {_EX} select seed_id, doc, count(distinct query) as frequency, string_agg(distinct query, '|' order by query) as queries from (select seed_id, query, unnest(doc_ids) as doc from explorations) group by all")
+def documents_by_seed(spark, d):
+    return coverage.documents_by_seed(_explorations(spark, d)).select("seed_id", "doc", "frequency", F.array_join("queries_found_in", "|").alias("queries"))
+
+
+@query(f"with {_ST}, t as (select distinct run_id, case run_id % 3 when 0 then 'small' when 1 then 'large' end as teacher_model from steps where run_id % 3 < 2) select run_id, seq, teacher_model from steps left join t using (run_id)")
+def run_teachers(spark, d):
+    steps = _steps(spark, d)
+    models = steps.where("run_id % 3 < 2").select("run_id", F.when(F.col("run_id") % 3 == 0, "small").otherwise("large").alias("teacher_model"))
+    return traces.with_teacher(steps, models).select("run_id", "seq", "teacher_model")
+
+
+@query(f"""with {_ST}, c as (select run_id, min_by(named_corpus, seq) filter (component in ('opensearch_retriever', 'vector_retriever', 'chatnoir_retriever') and named_corpus is not null) as named from steps group by 1)
+ select run_id, 'teacher' as teacher_id, 'planner,answer_drafter' as blocks, 0.6::double as threshold, 4 as max_iterations, case when named is not null then 'chatnoir' else 'opensearch' end as search_endpoint, coalesce(named, 'wiki') as search_index from c""")
+def run_settings(spark, d):
+    steps = _steps(spark, d)
+    runs = steps.select("run_id").distinct().select("run_id", F.lit("teacher").alias("teacher_id"), F.lit("q").alias("query"), F.lit(None).cast("string").alias("expected_answer"))
+    held = traces.run_settings(steps, runs, ["planner", "answer_drafter"], 0.6, 4, "opensearch", "wiki")
+    return held.select("run_id", "teacher_id", F.array_join("workflow_config.blocks.type", ",").alias("blocks"), F.col("workflow_config.answer_match_threshold").alias("threshold"), F.col("workflow_config.max_iterations").alias("max_iterations"), "search_endpoint", "search_index")
