@@ -29,6 +29,18 @@ select doc_id, size::bigint as size, source_size, target,
  (case when length > 0 then (take // length) * size + least(greatest(take - (take // length) * length - begin, 0), size) else 0 end)::bigint as taken, source from laid
 """
 
+#: Texts as hexadecimal digits, so that a window may begin within a character.
+SUFFIX_DEDUP = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select r, i, md5_number(substring(h, 2 * i + 1, 400)) as m from (select r, h, unnest(range(0, len(h) // 2 - 199)) as i from d)),
+twice as (select m from w group by m having count(*) > 1),
+s as (select r, i, coalesce(i > lag(i) over (partition by r order by i) + 200, true) as new from w semi join twice using (m)),
+island as (select r, min(i) as a, max(i) + 200 as b from (select r, i, sum(new::int) over (partition by r order by i) as k from s) group by r, k),
+piece as (select r, coalesce(lag(b) over (partition by r order by a), 0) as x, a as y, b, lead(a) over (partition by r order by a) is null as last from island),
+cut as (select r, sum(b - y) as removed, count(*) as spans, string_agg(substring(h, 2 * x + 1, 2 * (y - x)) || case when last then substring(h, 2 * b + 1) else '' end, '' order by y) as kept from piece join d using (r) group by r)
+select doc_id, (len(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join cut using (r)
+"""
+
 SUBSTRING_DEDUP = rf"""
 with w as (select doc_id, {WORDS} as words from documents),
 windows as (select doc_id, i, array_to_string(words[i:i + 12], ' ') as s from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from w)),
@@ -64,4 +76,4 @@ o as (select *, concat_ws(',', case when word_length > wl then 'word_length' end
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and outside = '' as kept, outside from o
 """
 
-ORACLES = {"op2_source_mixing": MIXING, "op5_substring_dedup": SUBSTRING_DEDUP, "op10_quality_rules": QUALITY}
+ORACLES = {"op2_source_mixing": MIXING, "op3_suffix_array_dedup": SUFFIX_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op10_quality_rules": QUALITY}
