@@ -208,12 +208,23 @@ def test_links_of_dense_fingerprints_that_cross_tasks(spark):
             values.add(x)
     values = sorted(values)
     signed = [x - (1 << 64) if x >> 63 else x for x in values]
-    stars = {r.a: r.b for r in components(links(spark.createDataFrame([(x,) for x in signed], "fingerprint long").repartition(5))).collect()}
-    got, want = defaultdict(set), defaultdict(set)
-    for i, (x, g) in enumerate(zip(signed, groups_by_force(values))):
-        got[stars.get(x, x)].add(i)
-        want[g].add(i)
-    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    groups = groups_by_force(values)
+    for largest in (4096, 12):  # with the smaller bound, keys are keyed anew
+        stars = {r.a: r.b for r in components(links(spark.createDataFrame([(x,) for x in signed], "fingerprint long").repartition(5), largest=largest)).collect()}
+        got, want = defaultdict(set), defaultdict(set)
+        for i, (x, g) in enumerate(zip(signed, groups)):
+            got[stars.get(x, x)].add(i)
+            want[g].add(i)
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(80)) for c in "ab")
+    rows = [(5, a), (5, b), (3, a), (None, b), (None, "neither one nor the other"), (3, a)]
+    got = sorted((r.doc_id or 0, r.fingerprint, r.component_id or 0) for r in near_duplicates(table(spark, rows)).collect())
+    h = {t: f"{fingerprint_by_force(t):016x}" for _, t in rows}
+    # Both texts of id 5 are documents of that id; a row without id has its text's component.
+    assert got == sorted([(5, h[a], 3), (5, h[b], 5), (3, h[a], 3), (3, h[a], 3), (0, h[b], 5), (0, h[rows[4][1]], 0)])
 
 
 def test_bk_tree_finds_all_within_the_radius():
