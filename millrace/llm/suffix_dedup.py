@@ -76,21 +76,26 @@ def multikey_quicksort(tokens: list[np.ndarray | Callable[[np.ndarray], np.ndarr
     parted by the next one, within their own part. A token may be a function
     that reads it for the rows that still tie.
     """
-    rows = len(tokens[0])
     order = np.argsort(tokens[0], kind="stable")
     key = tokens[0][order]
-    new = np.append(True, key[1:] != key[:-1]) if rows else np.zeros(0, bool)
-    heads = [new]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    heads, tied = [new], np.arange(len(key))
     for token in tokens[1:]:
-        part = np.cumsum(new) - 1
-        tied = np.flatnonzero(np.bincount(part, minlength=1)[part] > 1) if rows else np.zeros(0, np.int64)
+        # Rows whose part has others; parts are runs of places in the order so far.
+        part = np.cumsum(new[tied]) - 1
+        tied = tied[np.bincount(part, minlength=1)[part] > 1] if len(tied) else tied
         new = new.copy()
         if len(tied):
+            part = np.cumsum(new[tied]) - 1
             key = token(order[tied]) if callable(token) else token[order[tied]]
-            part = part[tied]
-            inner = np.lexsort((key, part))
-            order[tied], key = order[tied][inner], key[inner]
-            new[tied[1:]] |= (key[1:] != key[:-1]) | (part[1:] != part[:-1])
+            mixed = np.zeros(part[-1] + 1, bool)
+            mixed[part[key != key[np.flatnonzero(new[tied])][part]]] = True
+            on = np.flatnonzero(mixed[part])  # the other parts agree in this token, and stay as they are
+            if len(on):
+                key, part, at = key[on], part[on], tied[on]
+                inner = np.lexsort((key, part))
+                order[at], key = order[at][inner], key[inner]
+                new[at[1:]] |= (key[1:] != key[:-1]) | (part[1:] != part[:-1])
         heads.append(new)
     return order, heads
 
