@@ -26,6 +26,8 @@ _PACKED = 15
 #: Sequences of more symbols are merged with a heap, as they could need a round for each rank of the vocabulary.
 LONG = 1024
 _NONE = np.int64(1 << 40)
+#: Places of the table of pairs, as a power of two.
+_TABLE_BITS = 18
 
 
 def byte_symbols() -> dict[str, int]:
@@ -92,7 +94,7 @@ def pretokens(data: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return np.append(at[begin], len(data))
 
 
-def _groups(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def equal_strings(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A representative of each group of equal byte strings, and the group of each string; strings over ``_PACKED`` bytes are groups of their own.
 
     A hash orders the strings, their bytes themselves decide, so a collision splits a group at most.
@@ -146,14 +148,30 @@ class ByteBpe:
         self.alphabet[list(symbols.values())] = [vocabulary[c] for c in symbols]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self._keys, self._ranks = keys[order], order.astype(np.int64)
+        self._ranked = {key: rank for rank, key in enumerate(keys.tolist())}
+        # A table by hash; keys whose place is taken stand in a sorted list beside it.
+        place = self._place(keys)
+        taken, first = np.unique(place, return_index=True)
+        self._keys, self._ranks = np.full(1 << _TABLE_BITS, -1), np.full(1 << _TABLE_BITS, _NONE)
+        self._keys[taken], self._ranks[taken] = keys[first], first
+        rest = np.setdiff1d(np.arange(len(keys)), first)
+        rest = rest[np.argsort(keys[rest])]
+        self._more_keys, self._more_ranks = np.append(keys[rest], -1), np.append(rest, _NONE)
         self.made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
 
+    @staticmethod
+    def _place(key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where(self._keys[at] == key, self._ranks[at], _NONE)
+        place = self._place(key)
+        held = self._keys[place]
+        rank = np.where(held == key, self._ranks[place], _NONE)
+        other = np.flatnonzero((held != key) & (held >= 0))
+        at = np.searchsorted(self._more_keys[:-1], key[other])
+        rank[other] = np.where(self._more_keys[at] == key[other], self._more_ranks[at], _NONE)
+        return rank
 
     def merged(self, symbols: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The symbols that are left of each sequence, and how many; sequences are not empty."""
@@ -201,11 +219,10 @@ class ByteBpe:
         heap = [(int(ranks[i]), int(i), symbols[i], symbols[i + 1]) for i in np.flatnonzero(ranks != _NONE)]
         heapq.heapify(heap)
         after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        ranked = {int(k): int(r) for k, r in zip(self._keys, self._ranks, strict=True)}
         alive = [True] * len(symbols)
 
         def push(i: int, j: int) -> None:
-            rank = ranked.get(symbols[i] << 32 | symbols[j])
+            rank = self._ranked.get(symbols[i] << 32 | symbols[j])
             if rank is not None:
                 heapq.heappush(heap, (rank, i, symbols[i], symbols[j]))
 
@@ -248,7 +265,7 @@ class ByteBpe:
         if named:
             at = np.array(sorted(named))
             number[np.searchsorted(begin, at)] = [named[int(a)][1] for a in at]
-        which, group = _groups(data, begin, size)
+        which, group = equal_strings(data, begin, size)
         return begin, size, number, which, group
 
     def _merged_groups(self, block: Block, begin: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -18,6 +18,7 @@ from .simhash import near_duplicates
 from .sql import ORACLES
 from .substring_dedup import repeated_words_removed
 from .suffix_dedup import repeated_bytes_removed
+from .token_alignment import token_alignment
 from .token_counts import token_counts
 
 
@@ -73,9 +74,15 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+    import public_tokenizers as public
 
-    return token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as public
+
+    return token_alignment(_table(spark, sf_dir, "documents"), public.path("byte_bpe_50k.json"), public.path("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
