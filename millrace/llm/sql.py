@@ -76,4 +76,20 @@ o as (select *, concat_ws(',', case when word_length > wl then 'word_length' end
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and outside = '' as kept, outside from o
 """
 
-ORACLES = {"op2_source_mixing": MIXING, "op3_suffix_array_dedup": SUFFIX_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op10_quality_rules": QUALITY}
+#: 1 to 4 words in a row, within pieces, and their occurrences in each language.
+COLLOCATIONS = r"""
+with piece as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as p from documents),
+line as (select lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') as ws from piece),
+f as materialized (select lang, array_to_string(ws[i:i + k - 1], ' ') as phrase, k, count(*) as a from (select lang, ws, unnest(range(1, len(ws) + 1)) as i from line), range(1, 5) t(k) where i + k - 1 <= len(ws) group by all),
+total as (select lang, sum(a)::bigint as n from f where k = 1 group by lang),
+c as materialized (select lang, phrase, k, a, string_split(phrase, ' ') as ws from f where k > 1 and a >= 30),
+halves as materialized (select lang, phrase, a, j, array_to_string(ws[1:j], ' ') as lw, array_to_string(ws[j + 1:], ' ') as rw from c, range(1, 4) t(j) where j < k),
+left_of as materialized (select h.*, f.a as l from halves h join f on f.lang = h.lang and f.phrase = lw),
+cut as materialized (select h.lang, h.phrase, h.a, j, l, f.a as r, (2000000::hugeint * h.a) // (l + f.a) as score from left_of h join f on f.lang = h.lang and f.phrase = rw),
+lowest as (select * from cut qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+longer as (select lang, array_to_string(ws[i:i + m - 1], ' ') as phrase, max(a) as most from c, range(2, 4) t(m), range(1, 4) u(i) where m < k and i + m - 1 <= k group by all),
+ranked as (select lang, phrase, a, l, r, score, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from lowest left join longer using (lang, phrase) where most is null or 100::hugeint * most < 80::hugeint * a)
+select lang, rank, phrase, a, l, r, n, score::bigint as score from ranked join total using (lang) where rank <= 2000
+"""
+
+ORACLES = {"op2_source_mixing": MIXING, "op3_suffix_array_dedup": SUFFIX_DEDUP, "op5_substring_dedup": SUBSTRING_DEDUP, "op10_quality_rules": QUALITY, "op11_phrase_collocations": COLLOCATIONS}

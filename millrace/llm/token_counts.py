@@ -14,7 +14,7 @@ stretch that has no such place) beside the text itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,14 +28,21 @@ from .byte_bpe import ByteBpe
 PART = 1 << 20
 
 
-def parts(data: np.ndarray, offsets: np.ndarray, limit: int = PART) -> Iterator[tuple[Block, np.ndarray]]:
-    """Blocks of about ``limit`` bytes with the text that each of their rows belongs to; longer texts are cut."""
+def _before_words(look: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((look[1:] == 32) & (look[:-1] > 32) & (look[:-1] < 127))
+
+
+def parts(data: np.ndarray, offsets: np.ndarray, limit: int = PART, cuts_of: Callable[[np.ndarray], np.ndarray] = _before_words) -> Iterator[tuple[Block, np.ndarray]]:
+    """Blocks of about ``limit`` bytes with the text that each of their rows belongs to; longer texts are cut.
+
+    ``cuts_of`` gets bytes, and gives the places between two of them where a cut is right.
+    """
     cuts = [offsets]
     for a, b in zip(offsets[:-1][np.diff(offsets) > limit], offsets[1:][np.diff(offsets) > limit], strict=True):
         at = a + limit
         while at < b:
             look = data[at - 1 : min(at + limit, b)]
-            found = np.flatnonzero((look[1:] == 32) & (look[:-1] > 32) & (look[:-1] < 127))
+            found = cuts_of(look)
             if len(found):
                 cuts.append(np.array([at + found[0]]))
             at = at + (found[0] if len(found) else 0) + limit
