@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -49,6 +50,7 @@ class PieceBpe:
         self.blank = self.library.piece_to_id(_BLANK)
         self.bytes = [bytes([int(p[3:5], 16)]) if self.library.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self._all, self._heads = np.frombuffer(b"".join(self.bytes), np.uint8), np.cumsum(self.sizes) - self.sizes
 
     def words(self, words: list[bytes]) -> list[list[int]]:
         """The tokens of words with the blanks before them; the library adds the first blank itself."""
@@ -66,15 +68,24 @@ class PieceBpe:
             return Encoded(np.zeros(0, np.int64), np.zeros(block.rows + 1, np.int64)), np.zeros(block.rows, bool)
         size = np.diff(np.append(begin, len(data)))
         which, group = equal_strings(data, begin, size)
-        words = [data[begin[w] : begin[w] + size[w]].tobytes() for w in which]
-        found = self.words(words)
-        odd = np.array([b"".join(map(self.bytes.__getitem__, ids)) != w for ids, w in zip(found, words, strict=True)])
-        left = np.array([len(ids) for ids in found])
-        ids = np.fromiter((i for ids in found for i in ids), np.int64, left.sum())
+        whole = data.tobytes()
+        found = self.words([whole[w : w + n] for w, n in zip(begin[which].tolist(), size[which].tolist(), strict=True)])
+        left = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.array(list(chain.from_iterable(found)), np.int64)
         heads = np.cumsum(left) - left
         row = np.searchsorted(block.starts, begin, side="right") - 1
         first = np.append(0, np.cumsum(left[group]))[np.searchsorted(begin, block.starts)]
-        return Encoded(ids[ragged_arange(heads[group], left[group])], first), np.bincount(row, odd[group], block.rows) > 0
+        return Encoded(ids[ragged_arange(heads[group], left[group])], first), np.bincount(row, self._odd(data, begin[which], size[which], ids, heads, left)[group], block.rows) > 0
+
+    def _odd(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray, ids: np.ndarray, heads: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Which words differ from the bytes of their tokens."""
+        odd = np.add.reduceat(self.sizes[ids], heads) != size
+        kept = ids[np.repeat(~odd, left)]
+        same = self._all[ragged_arange(self._heads[kept], self.sizes[kept])] == data[ragged_arange(begin[~odd], size[~odd])]
+        if not same.all():
+            word = np.repeat(np.flatnonzero(~odd), size[~odd])
+            odd[word[~same]] = True
+        return odd
 
 
 @lru_cache(maxsize=4)
@@ -91,6 +102,9 @@ def _session() -> duckdb.DuckDBPyConnection:
     return held
 
 
+#: Bytes of text that are aligned together, and that make a batch of results.
+PART, BATCH = 1 << 21, 1 << 23
+
 #: From the interval tables a and b (i, row, id, s, e): all overlaps in order, whether one is its token's first, whether the ends meet, and the group by the number of meetings before.
 _OVERLAPS = """with begun as (select a.*, b.i as first from a asof join b on a.s >= b.s),
 whole as (select begun.*, b.i as last from begun asof join b on begun.e > b.s),
@@ -150,7 +164,7 @@ def _aligned_batch(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> pa.RecordB
     data = np.insert(data, offsets[:-1][size > 0], 32)
     offsets = np.append(0, np.cumsum(size + (size > 0)))
     held, odd = {}, np.zeros(batch.num_rows, bool)
-    for block, own in parts(data, offsets):
+    for block, own in parts(data, offsets, PART):
         by_a = a.encoded(block, special=False)
         by_b, other = b.encoded(block)
         odd[own[other]] = True
@@ -173,26 +187,38 @@ def _aligned_batch(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> pa.RecordB
     kept = [_NO_ROW if odd[i] else held.get(i, _NO_ROW) for i in range(batch.num_rows)]
     counts = np.array([r.counts for r in kept], np.int64).reshape(-1, 4)
     columns = [batch.column(0), *(pa.array(counts[:, k]) for k in range(4)), pa.array([r.told.hexdigest() if r.told else "" for r in kept], pa.string())]
-    heads = pa.array(np.append(0, np.cumsum(counts[:, 3])).astype(np.int32))
-    for side in ("link_a", "link_b"):
-        flat = [x for r in kept for x in getattr(r, side)]
-        columns.append(pa.ListArray.from_arrays(heads, pa.array(np.concatenate(flat) if flat else [], pa.int32())))
+    columns += [pa.array([b"".join(x.tobytes() for x in getattr(r, side)) for r in kept], pa.binary()) for side in ("link_a", "link_b")]
     return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``BATCH`` bytes of text."""
+    _, offsets = utf8(batch.column(1))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(int(np.searchsorted(offsets, offsets[at] + BATCH, side="right")) - 1, at + 1)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
+def _links(batch: pa.RecordBatch) -> pa.Table:
+    """(r, a, b): the links of a batch's rows."""
+    a, offsets = utf8(batch.column("link_a"))
+    b, _ = utf8(batch.column("link_b"))
+    return pa.table({"r": np.repeat(np.arange(batch.num_rows), np.diff(offsets) // 4), "a": a.view(np.int32), "b": b.view(np.int32)})
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n): how many links of the batch hold each pair."""
     for batch in batches:
         duck = _session()
-        duck.register("links", pa.Table.from_batches([batch]))
-        held = duck.sql("select a, b, count(*) as n from (select unnest(link_a) as a, unnest(link_b) as b from links) group by all").to_arrow_table()
+        duck.register("links", _links(batch))
+        held = duck.sql("select a, b, count(*) as n from links group by a, b").to_arrow_table()
         yield from held.to_batches()
 
 
-_SCORED = """with link as (select r, unnest(link_a) as a, unnest(link_b) as b from links),
-best as (select b, max(n) as n from counts group by b),
-scored as (select r, count(*) as n_links, count(*) filter (c.n = best.n) as n_best, sum(c.n)::bigint as count_sum from link join counts c using (a, b) join best using (b) group by r)
-select doc_id, n_a, n_b, n_groups, coalesce(n_links, 0) as n_links, coalesce(n_best, 0) as n_best, coalesce(count_sum, 0)::bigint as count_sum, groups_sha256, n_overlaps from links left join scored using (r) order by r"""
+_SCORED = """with scored as (select r, count(*) as n_links, count(*) filter (best) as n_best, sum(n)::bigint as count_sum from links join counts using (a, b) group by r)
+select doc_id, n_a, n_b, n_groups, coalesce(n_links, 0) as n_links, coalesce(n_best, 0) as n_best, coalesce(count_sum, 0)::bigint as count_sum, groups_sha256, n_overlaps from docs left join scored using (r) order by r"""
 
 
 def most_pairs(a: ByteBpe, b: PieceBpe) -> int:
@@ -207,7 +233,7 @@ def pair_counts(links: DataFrame) -> DataFrame:
 
 
 def token_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_a, n_b, n_overlaps (pairs of tokens that share a byte), n_groups, groups_sha256, and the links as two lists of ids, link_a and link_b, in order."""
+    """doc_id, n_a, n_b, n_overlaps (pairs of tokens that share a byte), n_groups, groups_sha256, and the links in order, as two arrays of 32-bit ids, link_a and link_b."""
     shared = docs.sparkSession.sparkContext
     with open(path_a, encoding="utf-8") as f, open(path_b, "rb") as g:
         sources = shared.broadcast((f.read(), g.read()))
@@ -216,9 +242,9 @@ def token_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = vocabulary(sources.value[0]), pieces(sources.value[1])
         for batch in batches:
-            yield _aligned_batch(batch, a, b)
+            yield from (_aligned_batch(some, a, b) for some in _slices(batch))
 
-    return docs.mapInArrow(align, "doc_id long, n_a long, n_b long, n_overlaps long, n_groups long, groups_sha256 string, link_a array<int>, link_b array<int>")
+    return docs.mapInArrow(align, "doc_id long, n_a long, n_b long, n_overlaps long, n_groups long, groups_sha256 string, link_a binary, link_b binary")
 
 
 def token_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,9 +271,11 @@ def token_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         duck = _session()
-        duck.register("counts", pa.table(dict(zip(("a", "b", "n"), held.value, strict=True))))
+        duck.register("pairs", pa.table(dict(zip(("a", "b", "n"), held.value, strict=True))))
+        duck.execute("create or replace temp table counts as select *, n = max(n) over (partition by b) as best from pairs")
         for batch in batches:
-            duck.register("links", pa.Table.from_batches([batch]).append_column("r", pa.array(np.arange(batch.num_rows))))
+            duck.register("links", _links(batch))
+            duck.register("docs", pa.Table.from_batches([batch]).drop_columns(["link_a", "link_b"]).append_column("r", pa.array(np.arange(batch.num_rows))))
             yield from duck.sql(_SCORED).to_arrow_table().to_batches()
 
     return links.mapInArrow(score, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string, n_overlaps long")

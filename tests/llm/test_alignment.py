@@ -80,18 +80,17 @@ def test_random_texts_and_long_ones_in_parts(spark, monkeypatch):
     from test_tokens import random_texts
 
     from millrace.llm import token_alignment as module
-    from millrace.llm.token_counts import parts
 
     texts = random_texts(300, 5) + ["alpha beta  gamma. " * 200, "q" * 500 + " " + "r" * 500]
     want = by_plain_loops(texts)
-    cut = lambda data, offsets: parts(data, offsets, 64)
     a, b = vocabulary(open(A, encoding="utf-8").read()), pieces(open(B, "rb").read())
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], names=["doc_id", "text"])
     whole = module._aligned_batch(batch, a, b)
-    monkeypatch.setattr(module, "parts", cut)
+    monkeypatch.setattr(module, "PART", 64)
     assert module._aligned_batch(batch, a, b).equals(whole)
+    assert [b.num_rows for b in module._slices(batch)] == [len(texts)]
     assert whole.column("groups_sha256").to_pylist() == [w[6] for w in want]
-    assert [len(x) for x in whole.column("link_a").to_pylist()] == [w[3] for w in want]
+    assert [len(x) // 4 for x in whole.column("link_a").to_pylist()] == [w[3] for w in want]
 
 
 def test_overlaps_are_the_tokens_less_the_meetings(spark):
