@@ -34,13 +34,13 @@ from .token_counts import parts
 #: Positions of a container.
 WIDTH = 16
 #: Bytes of text of a shard.
-SHARD = 1 << 22
+SHARD = 1 << 20
 #: Rows that are extended together.
 BATCH = 1 << 17
 #: Size of the field that frequent phrases are marked in, as a power of two.
 FIELD_BITS = 27
 #: Partial counts that a task holds before it hands them on.
-HELD = 1 << 22
+HELD = 1 << 21
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -90,19 +90,22 @@ class Bitmaps:
     """The compressed bitmaps of a shard's words: rows of word, container and bits, by word and by container."""
 
     def __init__(self, code: np.ndarray, position: np.ndarray) -> None:
-        self.words, word = np.unique(code, return_inverse=True)
-        container = position // WIDTH
-        order = np.lexsort((container, word))
-        word, container, bits = word[order], container[order], np.uint32(1) << (position[order] % WIDTH).astype(np.uint32)
-        new = np.ones(len(word), bool)
-        new[1:] = (word[1:] != word[:-1]) | (container[1:] != container[:-1])
+        order = np.argsort(code, kind="stable")
+        code, position = code[order], position[order]
+        other = np.ones(len(code), bool)
+        other[1:] = code[1:] != code[:-1]
+        self.words, word, container = code[other], np.cumsum(other) - 1, position // WIDTH
+        new = other
+        new[1:] |= container[1:] != container[:-1]
         heads = np.flatnonzero(new)
         #: By word, then container.
         self.word, self.container = word[heads], container[heads]
+        bits = np.uint32(1) << (position % WIDTH).astype(np.uint32)
         self.bits = np.bitwise_or.reduceat(bits, heads) if len(heads) else bits
-        by_container = np.argsort(self.container, kind="stable")
+        last = int(container.max(initial=-1))
+        by_container = np.argsort(self.container.astype(np.uint16 if last < 1 << 16 else np.int64), kind="stable")
         self._word, self._bits = self.word[by_container], self.bits[by_container]
-        self._first = np.searchsorted(self.container[by_container], np.arange(int(container.max(initial=-1)) + 3))
+        self._first = np.append(0, np.cumsum(np.bincount(self.container, minlength=last + 2)))
 
     def shifted(self, container: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The rows one place further, with what each came from: what is carried is a row of the next container."""
@@ -182,17 +185,28 @@ def _totals(key: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, code, n) of each shard's words."""
+    """(lang, word, code, n) of the words of many shards."""
+    waiting: list[pa.Table] = []
+
+    def summed() -> pa.Table:
+        held = pa.concat_tables(waiting).group_by(["lang", "word", "code"], use_threads=False).aggregate([("n", "sum")])
+        waiting.clear()
+        return held.rename_columns(["lang", "word", "code", "n"])
+
     for words, number, languages in _shards(batches):
-        if not len(words.code):
-            continue
         code, at, count = np.unique(words.code, return_index=True, return_counts=True)
         size = words.end[at] - words.begin[at]
         data = words.block.data[ragged_arange(words.begin[at], size)]
         offsets = np.append(0, np.cumsum(size)).astype(np.int32)
         text = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
-        lang = pa.DictionaryArray.from_arrays(pa.array(number[words.text[at]], pa.int32()), pa.array(languages, pa.string())).dictionary_decode()
-        yield pa.RecordBatch.from_arrays([lang, text, pa.array(code.view(np.int64)), pa.array(count)], names=["lang", "word", "code", "n"])
+        lang = pa.array(languages, pa.string()).take(pa.array(number[words.text[at]], pa.int32()))
+        waiting.append(pa.table({"lang": lang, "word": text, "code": code.view(np.int64), "n": count}))
+        if sum(t.num_rows for t in waiting) > HELD // 2:
+            waiting = [summed()]
+            if waiting[0].num_rows > HELD // 4:
+                yield from waiting.pop().to_batches()
+    if waiting:
+        yield from summed().to_batches()
 
 
 def _field(frequent: DataFrame, key: str) -> np.ndarray:
