@@ -103,14 +103,14 @@ def _session() -> duckdb.DuckDBPyConnection:
 
 
 #: Bytes of text that are aligned together, and that make a batch of results.
-PART, BATCH = 1 << 21, 1 << 23
+PART, BATCH = 1 << 19, 1 << 23
 
-#: From the interval tables a and b (i, row, id, s, e): all overlaps in order, whether one is its token's first, whether the ends meet, and the group by the number of meetings before.
+#: From the interval tables a and b (i, row, id, s, e): all overlaps with their place in order, whether one is its token's first, whether the ends meet, and the group by the number of meetings before.
 _OVERLAPS = """with begun as (select a.*, b.i as first from a asof join b on a.s >= b.s),
 whole as (select begun.*, b.i as last from begun asof join b on begun.e > b.s),
-overlap as (select i, row, id, s, e, first, unnest(range(first, last + 1)) as j from whole)
-select o.row, o.id as a, b.id as b, j = first as opens_a, o.s <= b.s as opens_b, o.e = b.e as meets, coalesce(sum((o.e = b.e)::int) over (order by o.i, j rows between unbounded preceding and 1 preceding), 0)::bigint as g
-from overlap o join b on o.j = b.i order by o.i, j"""
+overlap as (select i, row, id, s, e, first, unnest(range(first, last + 1))::int as j from whole),
+met as (select o.i + j as place, o.row, o.id as a, b.id as b, j = first as opens_a, o.s <= b.s as opens_b, o.e = b.e as meets from overlap o join b on o.j = b.i)
+select *, coalesce(sum(meets::int) over (order by place rows between unbounded preceding and 1 preceding), 0)::bigint as g from met"""
 
 
 def _intervals(tokens: Encoded, sizes: np.ndarray, starts: np.ndarray, usable: np.ndarray) -> pa.Table:
@@ -119,7 +119,8 @@ def _intervals(tokens: Encoded, sizes: np.ndarray, starts: np.ndarray, usable: n
     upto = np.append(0, np.cumsum(sizes[tokens.ids]))
     begin = upto[:-1] - upto[tokens.first[row]] + starts[row]
     on = usable[row]
-    return pa.table({"i": np.arange(int(on.sum())), "row": row[on], "id": tokens.ids[on].astype(np.int32), "s": begin[on], "e": (begin + sizes[tokens.ids])[on]})
+    columns = np.arange(int(on.sum())), row[on], tokens.ids[on], begin[on], (begin + sizes[tokens.ids])[on]
+    return pa.table({name: c.astype(np.int32) for name, c in zip(("i", "row", "id", "s", "e"), columns, strict=True)})
 
 
 class _Row:
@@ -174,7 +175,11 @@ def _aligned_batch(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> pa.RecordB
         duck = _session()
         duck.register("a", _intervals(by_a, a.sizes, block.starts, usable))
         duck.register("b", _intervals(by_b, b.sizes, block.starts, usable))
-        row, id_a, id_b, opens_a, opens_b, meets, group = (c.to_numpy() for c in duck.sql(_OVERLAPS).to_arrow_table().columns)
+        place, *found = (c.to_numpy() for c in duck.sql(_OVERLAPS).to_arrow_table().columns)
+        if (np.diff(place) < 0).any():
+            order = np.argsort(place)
+            found = [c[order] for c in found]
+        row, id_a, id_b, opens_a, opens_b, meets, group = found
         counts = np.column_stack([np.bincount(row[on], minlength=block.rows) for on in (opens_a, opens_b, slice(None), meets)])
         sides = np.repeat(np.arange(2), (opens_a.sum(), opens_b.sum()))
         told = _told(np.append(row[opens_a], row[opens_b]), np.append(group[opens_a], group[opens_b]), sides, np.append(id_a[opens_a], id_b[opens_b]), block.rows)
