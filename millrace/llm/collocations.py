@@ -1,6 +1,6 @@
 """Phrase collocations from position bitmaps, as SPAM mines sequences.
 
-Method. A task lays the words of a shard (some megabytes of texts) on a line of positions, with a
+Method. A task lays the words of a shard (half a megabyte of texts) on a line of positions, with a
 gap between pieces, so that no phrase reaches over one. Every word has a bitmap over this line, kept
 compressed: only containers of ``WIDTH`` positions that hold a bit, in order. A phrase's
 bitmap marks its last words. Shifting it by one place, with the carry going to the next
@@ -34,13 +34,13 @@ from .token_counts import parts
 #: Positions of a container.
 WIDTH = 16
 #: Bytes of text of a shard.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Rows that are extended together.
-BATCH = 1 << 17
+BATCH = 1 << 15
 #: Size of the field that frequent phrases are marked in, as a power of two.
 FIELD_BITS = 27
 #: Partial counts that a task holds before it hands them on.
-HELD = 1 << 21
+HELD = 1 << 20
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
