@@ -97,13 +97,13 @@ def pieces(model: bytes) -> PieceBpe:
 @lru_cache(maxsize=1)
 def _session() -> duckdb.DuckDBPyConnection:
     """A task's own DuckDB: one thread, in memory, without files."""
-    held = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": ""})
+    held = duckdb.connect(config={"threads": 1, "memory_limit": "1GB", "temp_directory": "", "allocator_flush_threshold": "8MB"})
     held.execute("set preserve_insertion_order = true")
     return held
 
 
 #: Bytes of text that are aligned together, and that make a batch of results.
-PART, BATCH = 1 << 19, 1 << 23
+PART, BATCH = 1 << 18, 1 << 22
 
 #: From the interval tables a and b (i, row, id, s, e): all overlaps with their place in order, whether one is its token's first, whether the ends meet, and the group by the number of meetings before.
 _OVERLAPS = """with begun as (select a.*, b.i as first from a asof join b on a.s >= b.s),
@@ -196,9 +196,9 @@ def _aligned_batch(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> pa.RecordB
     return pa.RecordBatch.from_arrays(columns, names=list(_NAMES))
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about ``BATCH`` bytes of text."""
-    _, offsets = utf8(batch.column(1))
+def _slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about ``BATCH`` bytes of a column."""
+    _, offsets = utf8(batch.column(column))
     at = 0
     while at < batch.num_rows:
         upto = max(int(np.searchsorted(offsets, offsets[at] + BATCH, side="right")) - 1, at + 1)
@@ -215,9 +215,10 @@ def _links(batch: pa.RecordBatch) -> pa.Table:
 
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, n): how many links of the batch hold each pair."""
+    duck = _session()
     for batch in batches:
-        duck = _session()
-        duck.register("links", _links(batch))
+        sides = (utf8(batch.column(c))[0].view(np.int32) for c in ("link_a", "link_b"))
+        duck.register("links", pa.table(dict(zip("ab", sides, strict=True))))
         held = duck.sql("select a, b, count(*) as n from links group by a, b").to_arrow_table()
         yield from held.to_batches()
 
@@ -278,7 +279,7 @@ def token_alignment(docs: DataFrame, path_a: str, path_b: str, id_col: str = "do
         duck = _session()
         duck.register("pairs", pa.table(dict(zip(("a", "b", "n"), held.value, strict=True))))
         duck.execute("create or replace temp table counts as select *, n = max(n) over (partition by b) as best from pairs")
-        for batch in batches:
+        for batch in (some for whole in batches for some in _slices(whole, "link_a")):
             duck.register("links", _links(batch))
             duck.register("docs", pa.Table.from_batches([batch]).drop_columns(["link_a", "link_b"]).append_column("r", pa.array(np.arange(batch.num_rows))))
             yield from duck.sql(_SCORED).to_arrow_table().to_batches()
