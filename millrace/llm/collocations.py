@@ -241,7 +241,8 @@ def phrase_counts(texts: DataFrame, vocabulary: DataFrame, least: int, longest:
                 yield _keyed(*_totals(*map(np.concatenate, zip(*waiting, strict=True))))
 
         partial = texts.mapInArrow(count, "key long, n long")
-        frequent = written(partial.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), f"frequent{length}")
+        # Tasks have summed their own; dealt by key at once, the rest is summed in small maps behind the exchange.
+        frequent = written(partial.repartition("key").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("key"), f"frequent{length}")
         fields = [*fields, _field(frequent, "key")]
     held, names = context.broadcast(fields), [f"c{i}" for i in range(longest)]
 
