@@ -89,3 +89,33 @@ def queries_explored(explorations: DataFrame) -> DataFrame:
 def replaced_by_seed(old: DataFrame, new: DataFrame) -> DataFrame:
     """``old`` without the seeds that ``new`` has, and ``new``."""
     return old.join(new.select("seed_id").distinct(), "seed_id", "left_anti").unionByName(new)
+
+
+def documents_as_bitmaps(found: DataFrame, by: list[str], doc: str = "doc") -> DataFrame:
+    """(*by, bucket, bitmap): the distinct documents of each group; documents are integers from 0. Bitmaps of several groups merge by OR.
+
+    A bucket has 32,768 documents and its bitmap 4 KiB, so no state grows with the documents of a group.
+    """
+    return found.groupBy(*by, F.bitmap_bucket_number(F.col(doc)).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col(doc))).alias("bitmap"))
+
+
+def unique_so_far(bitmaps: DataFrame, key: str = "seed_id", order: str = "iteration") -> DataFrame:
+    """(key, order, fresh, unique): documents that no earlier row of the key has, and all so far, from bitmaps by key, order and bucket.
+
+    Within a bucket the running union is a window of ORs, whose count grows by what is new; buckets of a key are summed after that.
+    """
+    upto = Window.partitionBy(key, "bucket").orderBy(order)
+    grown = bitmaps.withColumn("held", F.bitmap_count(F.bitmap_or_agg("bitmap").over(upto)))
+    grown = grown.withColumn("new", F.col("held") - F.coalesce(F.lag("held").over(upto), F.lit(0)))
+    fresh = grown.groupBy(key, order).agg(F.sum("new").alias("fresh"))
+    return fresh.withColumn("unique", F.sum("fresh").over(Window.partitionBy(key).orderBy(order)))
+
+
+def document_sketches(found: DataFrame, by: list[str], doc: str = "doc", bits: int = 14) -> DataFrame:
+    """(*by, sketch): a HyperLogLog sketch of each group's documents, whatever their type; its standard error is about 0.8 / 2^(bits / 2)."""
+    return found.groupBy(*by).agg(F.hll_sketch_agg(F.col(doc), F.lit(bits)).alias("sketch"))
+
+
+def unique_by_sketch(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, unique): estimates for unions of sketches; no ``by`` is all of them together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("unique"))

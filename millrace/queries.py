@@ -8,17 +8,19 @@ is a seed); conversations are message histories.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .functions import similarity as S, text as T, trace as X
-from .operators import answers, coverage, knowledge, processing, retrieval, traces
+from .functions import similarity as S, tables as table_functions, text as T, trace as X
+from .operators import answers, clusters, coverage, knowledge, processing, retrieval, samples, text_index, traces, vector_index
 from .plans import runners, seeds as seed_plans, workflow
 from .plans.components import Services
 from .plans.state import started
 from .plans.workflow import Workflow
-from .sources import readers
+from .sources import datasource, readers
 from .sources.shared import shared_folder
 from .streaming import streams
 
@@ -878,3 +880,183 @@ def run_settings(spark, d):
     runs = steps.select("run_id").distinct().select("run_id", F.lit("teacher").alias("teacher_id"), F.lit("q").alias("query"), F.lit(None).cast("string").alias("expected_answer"))
     held = traces.run_settings(steps, runs, ["planner", "answer_drafter"], 0.6, 4, "opensearch", "wiki")
     return held.select("run_id", "teacher_id", F.array_join("workflow_config.blocks.type", ",").alias("blocks"), F.col("workflow_config.answer_match_threshold").alias("threshold"), F.col("workflow_config.max_iterations").alias("max_iterations"), "search_endpoint", "search_index")
+
+
+# Indexes that outlive a call.
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query()
+def knn_ann_topk(spark, d):
+    """As ``knn_cosine_topk``, by an approximate index over all vectors: 100 candidates for each query, ranked exactly."""
+    vectors = _read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = vector_index.built(vectors, _place(spark, "vectors"))
+    probes = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")
+    return vector_index.ann_top_k(spark, index, probes, 25, 100).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""with {_Q}, docs as (select 'title' as field, 3.0::double as w, doc_id, {_TOK.format("split_part(text, chr(10), 1)")} as words from documents where text is not null union all select 'text', 1.0, doc_id, {_TOK.format('text')} from documents where text is not null),
+ n as (select field, w, count(*) as n, avg(len(words)) as mean from docs group by all), terms as (select distinct query_id, unnest({_TOK.format('query')}) as term from asked),
+ hits as (select field, doc_id, dl, term, count(*) as tf from (select field, doc_id, len(words) as dl, unnest(words) as term from docs) where term in (select term from terms) group by all), df as (select field, term, count(*) as df from hits group by all),
+ scored as (select query_id, field, doc_id, round(any_value(w) * sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))), 4) as score from terms join hits using (term) join df using (field, term) join n using (field) group by query_id, field, doc_id),
+ best as (select query_id, doc_id, max(score) as score from scored group by all), ranked as (select *, row_number() over (partition by query_id order by score desc, cast(doc_id as varchar)) as rank from best)
+ select query_id, rank, cast(doc_id as varchar) as id, score from ranked where rank <= 20""")
+def bm25_multi_field(spark, d):
+    """Best of two fields over an index that is made by two appends; the search reads no text."""
+    docs = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), "doc_id", F.substring_index("text", "\n", 1).alias("title"), "text")
+    index = text_index.opened(spark, _place(spark, "postings"), f"postings_{uuid.uuid4().hex}", ("title", "text"), 16)
+    for n, batch in enumerate(("even", "odd")):
+        text_index.appended(index, docs.where(F.pmod("doc_id", F.lit(2)) == n), batch)
+    return text_index.top_k(spark, index, _asked(spark, d), 20, {"title": 3.0, "text": 1.0}).withColumn("rank", F.col("rank").cast("long"))
+
+
+_NEAREST = "select vec_id, x, arg_min(cluster, (far, cluster)) as cluster from (select vec_id, x, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as far from v, {centres}) group by all"
+_MOVED = "select cluster, list(m order by i) as c from (select cluster, i, avg(x[i]) as m from {rows}, range(1, 65) r(i) group by all) group by cluster"
+
+
+@query(f"""with v as (select vec_id, embedding::double[] as x from embeddings), c0 as (select vec_id as cluster, x as c from v where vec_id < 10), a0 as materialized ({_NEAREST.format(centres='c0')}), c1 as materialized ({_MOVED.format(rows='a0')}),
+ a1 as materialized ({_NEAREST.format(centres='c1')}), c2 as materialized ({_MOVED.format(rows='a1')}), a2 as ({_NEAREST.format(centres='c2')}) select vec_id, cluster::integer as cluster from a2""")
+def kmeans_lloyd(spark, d):
+    """Two rounds from given centres, the first ten vectors."""
+    v = _read(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    first = [r["vector"] for r in v.where("vec_id < 10").orderBy("vec_id").collect()]  # ten rows
+    centres, _ = clusters.fitted(v, len(first), rounds=2, tolerance=0.0, centres=np.array(first, float))
+    return clusters.assigned(v, centres).select("vec_id", "cluster")
+
+
+# Streams that stop and go on.
+
+_STAGES = 3
+
+
+def _stages(spark, d, name: str, columns: list[Column]):
+    """A folder that gets the events in order, a part at a time: after each part the caller runs its stream."""
+    rows, into = _read(spark, d, "events").select(*columns), _place(spark, name)
+    last = rows.agg(F.max("seq")).first()[0] or 0
+    for n in range(_STAGES):
+        rows.where((F.floor(F.col("seq") * _STAGES / (last + 1))) == n).write.mode("append").parquet(into)
+        yield spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(into)
+
+
+@query("""with r as (select user_id as run_id, event_type, value, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events)
+ select run_id, count(*) as steps, round(sum(value), 4) as total_ms, string_agg(distinct event_type, ',' order by event_type) as tools, string_agg(event_type, ',' order by back desc) filter (back <= 5) as latest from r group by run_id""")
+def stream_history(spark, d):
+    """Histories after three micro-batches, between which the query stops; its state is all that it remembers."""
+    base = _place(spark, "history")
+    columns = [F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("component"), F.col("value").alias("execution_time_ms")]
+    for stream in _stages(spark, d, "steps", columns):
+        with streams.with_rocksdb(spark):
+            streams.committed(streams.running_history(stream), base, f"{base}/log", "update").awaitTermination()
+    rows = streams.committed_rows(spark, base, spark.createDataFrame([], streams.HISTORY).schema)
+    last = rows.groupBy("run_id").agg(F.max_by(F.struct("steps", "total_ms", "tools", "latest"), "batch").alias("h"))
+    return last.select("run_id", "h.steps", F.round("h.total_ms", 4).alias("total_ms"), F.array_join("h.tools", ",").alias("tools"), F.array_join("h.latest", ",").alias("latest"))
+
+
+@query("select event_type, count(*) as n, count(distinct event_id) as events, round(sum(value), 4) as value from events group by event_type")
+def stream_resume(spark, d):
+    """Rows by kind after a query has stopped twice and gone on; each is there once."""
+    base = _place(spark, "resumed")
+    for stream in _stages(spark, d, "arrived", [F.col("event_id").alias("seq"), "event_type", "value"]):
+        streams.committed(stream, base, f"{base}/log").awaitTermination()
+    rows = streams.committed_rows(spark, base, stream.schema)
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+
+
+# Sources and table functions.
+
+@query("select lang as dataset, source as run_id, cast(doc_id as varchar) as sample_id, md5(text) as digest from documents where lang in ('en', 'de') and source <> 'src1'")
+def corpus_scan(spark, d):
+    """A corpus of compressed JSON lines by the registered source, which reads the files of two data sets alone."""
+    datasource.register(spark)
+    path = _place(spark, "corpus")
+    origin = F.struct(F.col("lang").alias("dataset"), F.col("source").alias("run_id"), F.col("doc_id").cast("string").alias("sample_id"))
+    lines = _read(spark, d, "documents").select("text", origin.alias("_source"), F.col("lang").alias("dataset"))
+    lines.write.partitionBy("dataset").option("compression", "gzip").json(path)
+    rows = spark.read.format("trace_corpus").load(path).where(F.col("dataset").isin("en", "de") & (F.col("run_id") != "src1"))
+    return rows.select("dataset", "run_id", "sample_id", F.md5(F.get_json_object("record", "$.text")).alias("digest"))
+
+
+_GOALS = _RESP + f""", body as (select doc_id, case when contains(response, 'SUB-GOALS:') then split_part(response, 'SUB-GOALS:', 2) else response end as b from responses),
+ l as (select doc_id, list_filter(list_transform(list_filter(list_transform(string_split(b, chr(10)), lambda s: {_WS.format('s')}), lambda s: regexp_matches(s, '^[0-9•-]')), lambda s: {_WS.format("regexp_replace(s, '^[0-9.•)-]+', '')")}), lambda s: length(s) > 5)[1:3] as g from body)"""
+
+
+@query(f"with {_GOALS} select doc_id, unnest(range(1, len(g) + 1))::integer as place, unnest(g) as goal from l")
+def subgoals_udtf(spark, d):
+    """The goals of ``parse_subgoals`` by a table function in a lateral join."""
+    table_functions.register(spark)
+    return spark.sql("select r.doc_id, g.place, g.goal from {r} r, lateral planned_goals(r.response, 3) g", r=_responses(spark, d).select("doc_id", "response"))
+
+
+@query(f"""with g as (select conv_id, turn, place, goal from (select conv_id, turn, unnest(range(1, len(g) + 1)) as place, unnest(g) as goal from (select conv_id, turn,
+ list_filter(list_transform(list_filter(list_transform(string_split('- ' || role || ' speaks' || chr(10) || '2. ' || text, chr(10)), lambda s: {_WS.format('s')}), lambda s: regexp_matches(s, '^[0-9•-]')), lambda s: {_WS.format("regexp_replace(s, '^[0-9.•)-]+', '')")}), lambda s: length(s) > 5)[1:4] as g from conversations))),
+ f as (select conv_id, goal, min((turn, place)) as spot from g group by all) select conv_id, number::integer as number, goal from (select conv_id, goal, row_number() over (partition by conv_id order by spot) as number from f) where number <= 4""")
+def goals_by_key(spark, d):
+    """The first four distinct goals of a conversation, by a table function that asks for its rows in order."""
+    table_functions.register(spark)
+    said = F.concat(F.lit("- "), "role", F.lit(" speaks\n2. "), "text")
+    rows = _read(spark, d, "conversations").select(F.col("conv_id").alias("key"), F.col("turn").alias("place"), said.alias("response"))
+    return spark.sql("select key as conv_id, number, goal from goals_by_key(table({r}), 4)", r=rows)
+
+
+@query(f"""select cast(doc_id as varchar) as file, {_WS.format(_BODY)} as query from documents where doc_id % 4 = 0 and {_WS.format(_BODY)} <> '' union all select cast(doc_id as varchar), 't' from documents where doc_id % 4 = 0 and {_WS.format(_BODY)} = ''
+ union all select cast(doc_id as varchar), unnest([lang, source]) from documents where doc_id % 4 <> 0""")
+def candidate_variant(spark, d):
+    """Candidate queries of every shape, mixed in one table, in one pass."""
+    n, body = F.col("doc_id") % 4, F.regexp_replace("text", r'["\\\s]+', " ")
+    line = F.concat(F.lit('{"query": " '), body, F.lit(' ", "text": "t"}'))
+    named = F.concat(F.lit('{"query": {"1": " '), "lang", F.lit('", "2": "'), "source", F.lit('", "3": "", "4": 5}}'))
+    keyed = F.concat(F.lit('{"'), "lang", F.lit(' ": "1", "'), "source", F.lit('": "2"}'))
+    listed = F.concat(F.lit('[{"query": "", "question": "'), "lang", F.lit('"}, {"text": " '), "source", F.lit('"}, {"x": "y"}, 7]'))
+    document = F.when(n == 0, line).when(n == 1, named).when(n == 2, keyed).otherwise(listed)
+    rows = _read(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file"), document.alias("document"), (n == 0).alias("line"))
+    return readers.from_variants(rows).select("file", "query")
+
+
+# Samples and sketches.
+
+@query("""with c as (select lang, count(*) as n from documents group by 1), q as (select lang, n, least(100, total) as size, (least(100, total) * n) // total as whole, (least(100, total) * n) % total as rest from c, (select sum(n)::bigint as total from c)),
+ r as (select lang, whole + case when row_number() over (order by rest desc, lang) <= (select max(size) - sum(whole) from q) then 1 else 0 end as quota from q),
+ p as (select doc_id, lang, row_number() over (partition by lang order by md5('42:' || cast(doc_id as varchar))) as place from documents) select doc_id, lang from p join r using (lang) where place <= quota""")
+def sample_stratified(spark, d):
+    return samples.stratified(_read(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 100)
+
+
+@query("select doc_id, source from documents order by md5('7:' || cast(doc_id as varchar)) limit 150")
+def sample_random(spark, d):
+    return samples.drawn(_read(spark, d, "documents").select("doc_id", "source"), "doc_id", 150, 7)
+
+
+@query(f"with {_COV} select c.seed_id, c.iteration, coalesce(fresh, 0) as fresh, cast(cumulative_unique_docs as bigint) as unique_docs from cov c left join fr using (seed_id, iteration)")
+def coverage_bitmaps(spark, d):
+    """Documents met so far, by merged bitmaps."""
+    found = _explorations(spark, d).select("seed_id", "iteration", F.explode(F.col("doc_ids").cast("array<bigint>")).alias("doc"))
+    rows = coverage.unique_so_far(coverage.documents_as_bitmaps(found, ["seed_id", "iteration"]))
+    return rows.select("seed_id", F.col("iteration").cast("long").alias("iteration"), "fresh", F.col("unique").alias("unique_docs"))
+
+
+@query()
+def unique_documents_sketch(spark, d):
+    """How many distinct pairs of a user and a value each kind of event has, from sketches of a day each."""
+    found = _read(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), F.concat_ws(":", "user_id", "value").alias("doc"))
+    return coverage.unique_by_sketch(coverage.document_sketches(found, ["event_type", "day"]), ["event_type"])
+
+
+@query(f"""select a.vec_id, case when trim(lang) = '' or a.vec_id % 5 = 0 then 0.0 else round({_DOT.format(a='a.embedding', b='b.embedding')} / ({_NORM.format(a='a.embedding')} * {_NORM.format(a='b.embedding')}), 6) end as similarity
+ from embeddings a join embeddings b on b.vec_id = a.vec_id + 1 join documents on doc_id = a.vec_id""")
+def exploratory_similarity(spark, d):
+    e = _read(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("x")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
+    rows = a.join(b, F.expr("b = a + 1")).join(_read(spark, d, "documents").select("doc_id", "lang"), F.expr("doc_id = a"))
+    external = F.when(F.col("a") % 5 == 0, " ").otherwise("an answer")
+    return rows.select(F.col("a").alias("vec_id"), F.round(S.exploratory_similarity(F.col("lang"), external, F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
+@query(f"""with {_EV}, {_Q}, s as (select query_id, id, pos, list_distinct({_TOK.format('query')}) as x, list_distinct({_TOK.format('left(text, 512)')}) as y from evidence join asked using (query_id)),
+ r as (select query_id, id, pos, round(case when len(x) = 0 or len(y) = 0 then 0.0 else len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) end, 4) as rerank_score from s)
+ select query_id, id, rerank_score, p as pos from (select *, row_number() over (partition by query_id order by rerank_score desc, pos) - 1 as p from r) where p < 20""")
+def rerank_cross_encoder(spark, d):
+    """A model of query and text as a column: here the overlap of their tokens."""
+    top = processing.reranked(_evidence(spark, d), _asked(spark, d), "cross_encoder", cross_encoder=S.token_overlap)
+    return top.select("query_id", "id", "rerank_score", F.col("pos").cast("long").alias("pos"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import stripped
+from ..operators import samples
 
 QA = "query string, question string, answer string, gold_answer string, seed_id string, uid string"
 STEP = "run_id string, seq long, turn int, component string, thought string, parameters string, tool_input string, tool_output string, verdict string, rationale_tag string, stop_condition string, llm_input string, llm_output string, execution_time_ms double, tokens long, evidence_count long, error string"
@@ -37,19 +38,18 @@ def _records(spark: SparkSession, path: str, schema: str, placed: bool = False)
 
 
 def qa_dataset(spark: SparkSession, path: str, num_samples: int = 0, strategy: str = "head", seed: int = 42, strata: str | None = None) -> DataFrame:
-    """Samples of JSON-lines files: the first ``num_samples`` in the order of files and lines (0 or less: all), random ones, or as many of each stratum.
+    """Samples of JSON-lines files: the first ``num_samples`` in the order of files and lines (0 or less: all), random ones, or each stratum's share.
 
     Lines that are no JSON object are left out. Adds ``sample_no`` from 1, in
     that order and without gaps: lines are numbered within the stretch that a
     task reads, and stretches by the lines before them.
     """
     rows = _records(spark, path, QA, placed=True)
+    key = F.concat_ws(":", *_ORDER)
     if num_samples > 0 and strategy == "random":
-        rows = rows.orderBy(F.rand(seed)).limit(num_samples)
+        rows = samples.drawn(rows.withColumn("_key", key), "_key", num_samples, seed).drop("_key")
     elif num_samples > 0 and strategy == "stratified":
-        counts = rows.groupBy(strata).count().collect()
-        share = num_samples / max(sum(r["count"] for r in counts), 1)
-        rows = rows.sampleBy(strata, {r[0]: min(share, 1.0) for r in counts}, seed)
+        rows = samples.stratified(rows.withColumn("_key", key), "_key", strata, num_samples, seed).drop("_key")
     elif num_samples > 0:
         rows = rows.orderBy(*_ORDER).limit(num_samples)
     sizes = rows.groupBy(F.col("_file").alias("f"), F.col("_at").alias("a")).agg(F.count("*").alias("n"))
@@ -88,6 +88,26 @@ def from_records(documents: DataFrame) -> DataFrame:
     return documents.select("file", F.explode(records).alias("record")).select("file", found.alias("query")).where("query is not null")
 
 
+def from_variants(documents: DataFrame) -> DataFrame:
+    """(file, place, query) from JSON texts of every shape, in one pass: documents has file, document and, for texts that are lines of a file, line (true).
+
+    A line is an object with a query by the usual keys, an array holds such objects, {"query": {id: text}} gives its texts and
+    another object its keys. What doesn't parse, and values that are no strings, give nothing.
+    """
+    def text(of: str, path: str) -> Column:
+        found = f"try_variant_get({of}, '{path}', 'variant')"
+        return F.when(F.expr(f"schema_of_variant({found}) = 'STRING'"), F.nullif(stripped(F.expr(f"try_variant_get({of}, '{path}', 'string')")), F.lit("")))
+
+    whole = F.when(F.col("line"), F.concat(F.lit("["), "document", F.lit("]"))).otherwise(F.col("document"))
+    parsed = documents.select("file", F.try_parse_json(whole).alias("v")).where(F.col("v").isNotNull())
+    kind = F.when(F.expr("schema_of_variant(v) like 'ARRAY%'"), "records").when(F.expr("schema_of_variant(try_variant_get(v, '$.query', 'variant')) like 'OBJECT%'"), "map").when(F.expr("schema_of_variant(v) like 'OBJECT%'"), "keys")
+    shaped = parsed.withColumn("kind", kind).where(F.col("kind").isNotNull()).withColumn("held", F.when(F.col("kind") == "map", F.expr("try_variant_get(v, '$.query', 'variant')")).otherwise(F.col("v")))
+    each = shaped.lateralJoin(shaped.sparkSession.tvf.variant_explode(F.col("held").outer())).select("file", "kind", "pos", "key", "value")
+    record = F.coalesce(*(text("value", f"$.{k}") for k in _KEYS))
+    query = F.when(F.col("kind") == "records", record).when(F.col("kind") == "map", text("value", "$")).otherwise(F.nullif(stripped(F.col("key")), F.lit("")))
+    return each.select("file", F.col("pos").alias("place"), query.alias("query")).where("query is not null")
+
+
 def candidates(spark: SparkSession, path: str, split: str, most: int = 50_000) -> DataFrame:
     """(file, query): candidate queries of the files below ``path`` whose name has ``split`` in it.
 

@@ -212,7 +212,8 @@ def test_exploration_by_chosen_modes_and_with_an_external_answer(spark):
     assert {(r.mode_used, r.iterations_taken, r.answer) for r in plain.collect()} == {("once", 0, "red cars are fast")}
 
 
-def test_greedy_seeds_against_a_literal_model(spark):
+@pytest.mark.parametrize("held", [1, 3, 64])
+def test_greedy_seeds_against_a_literal_model(spark, monkeypatch, held):
     r = random.Random(0)
     n = 40
     vectors = np.array([[r.gauss(0, 1) for _ in range(4)] for _ in range(n)])
@@ -236,7 +237,8 @@ def test_greedy_seeds_against_a_literal_model(spark):
         turn += 1
     rows = [(f"q{i:02}", [float(x) for x in vectors[i]], clusters[i], docs[i] or None) for i in range(n)]
     df = spark.createDataFrame(rows, "query string, vector array<double>, cluster int, doc_ids array<string>").repartition(3)
-    got = seeds.selected(df, spark.createDataFrame([("1",), ("2",), ("999",)], "doc_id string"), 15, 0.6, 0.7, 4)
+    monkeypatch.setattr(seeds, "HELD", held)
+    got = seeds.selected(df, spark.createDataFrame([("1",), ("2",), ("999",)], "doc_id string"), 15, 0.6, 0.7)
     assert [int(r.query[1:]) for r in got.orderBy("pick").collect()] == picked
 
 
@@ -333,16 +335,6 @@ def test_prompts():
         client_of("cohere", "http://x", "m")
 
 
-def test_running_history(spark, tmp_path):
-    rows = spark.createDataFrame([(i % 3, f"c{i % 2}", float(i)) for i in range(12)], "run_id long, component string, execution_time_ms double")
-    rows.repartition(2).write.parquet(f"{tmp_path}/in")
-    stream = streams.running_history(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
-    q = stream.writeStream.format("memory").queryName("history").outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = {r.run_id: (r.steps, r.total_ms) for r in spark.sql("select run_id, max(steps) steps, max(total_ms) total_ms from history group by run_id").collect()}
-    assert last == {k: (4, sum(float(i) for i in range(12) if i % 3 == k)) for k in range(3)}
-
-
 def test_append_goes_on_where_it_ended(spark, tmp_path):
     rows = spark.range(5).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     rows.write.parquet(f"{tmp_path}/in")
