@@ -36,16 +36,16 @@ BLOCK_BYTES, BLOCK_CANDIDATES = 32 << 20, 1 << 20
 
 @dataclass(frozen=True)
 class VectorIndex:
-    """Where the table is, the centres, the books (part, entry, number) and the cells that a probe asks for."""
+    """Where the table is, the centres, the books (part, entry, number), the cells that a probe asks for and the type of ids."""
 
     path: str
     centres: np.ndarray
     books: np.ndarray
     cells_asked: int
+    id_type: str
 
-    @property
-    def parts(self) -> int:
-        return len(self.books)
+    def table(self, spark: SparkSession) -> DataFrame:
+        return spark.read.schema(f"id {self.id_type}, vector array<float>, code binary, cell int").parquet(f"{self.path}/cells")
 
 
 def _lloyd(x: np.ndarray, clusters: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -93,7 +93,7 @@ def built(vectors: DataFrame, path: str | None = None, cells: int | None = None,
     parts = next((p for p in range(min(parts or max(dim // 2, 1), dim), 0, -1) if dim % p == 0), 1)
     centres = _lloyd(x, min(cells or max(int(rows**0.5), 1), MOST_CELLS, max(len(x) // 4, 1)), rng) if len(x) else np.zeros((0, dim))
     own = distances(x, centres).argmin(axis=1) if len(x) else np.zeros(0, int)
-    rest = (x - centres[own]).reshape(len(x), parts, -1)
+    rest = (x - centres[own]).reshape(len(x), parts, dim // parts)
     books = [_lloyd(rest[:, p], min(ENTRIES, len(x)), rng) for p in range(parts)] if len(x) else []
     books = np.array([np.vstack((b, np.repeat(b[:1], ENTRIES - len(b), axis=0))) for b in books])  # where rows repeat a book has fewer entries
     asked = _cells_for(x, centres, own, recall, k) if len(x) else 0
@@ -114,9 +114,9 @@ def built(vectors: DataFrame, path: str | None = None, cells: int | None = None,
 
     coded = vectors.select("id", F.col("vector").cast("array<float>"), F.xxhash64("id").alias("h")).mapInArrow(encode, f"id {kind}, vector array<float>, code binary, cell int, salt int")
     coded.repartition("cell", "salt").drop("salt").write.mode("overwrite").option("compression", "zstd").partitionBy("cell").parquet(f"{path}/cells")
-    model = [("centre", i, c.tolist()) for i, c in enumerate(centres)] + [("book", i, b.ravel().tolist()) for i, b in enumerate(books)] + [("asked", asked, [])]
+    model = [("centre", i, c.tolist()) for i, c in enumerate(centres)] + [("book", i, b.ravel().tolist()) for i, b in enumerate(books)] + [("asked", asked, []), (f"id {kind}", 0, [])]
     spark.createDataFrame(model, "kind string, number int, numbers array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
-    return VectorIndex(path, centres, books, asked)
+    return VectorIndex(path, centres, books, asked, kind)
 
 
 def opened(spark: SparkSession, path: str) -> VectorIndex:
@@ -124,7 +124,7 @@ def opened(spark: SparkSession, path: str) -> VectorIndex:
     rows = sorted(spark.read.parquet(f"{path}/model").collect(), key=lambda r: (r["kind"], r["number"]))  # cells and books are few
     centres = np.array([r["numbers"] for r in rows if r["kind"] == "centre"])
     books = np.array([np.reshape(r["numbers"], (ENTRIES, -1)) for r in rows if r["kind"] == "book"])
-    return VectorIndex(path, centres, books, next(r["number"] for r in rows if r["kind"] == "asked"))
+    return VectorIndex(path, centres, books, next(r["number"] for r in rows if r["kind"] == "asked"), next(r["kind"][3:] for r in rows if r["kind"].startswith("id ")))
 
 
 def _candidates(codes: DataFrame, index: VectorIndex, asked: np.ndarray, cells: np.ndarray, most: int) -> DataFrame:
@@ -162,7 +162,7 @@ def ann_top_k(spark: SparkSession, index: VectorIndex, probes: DataFrame, k: int
     are the best ``num_candidates`` by codes in the ``cells_asked`` nearest cells; their scores and ranks are exact, ties by
     id. Probes without a vector get no rows.
     """
-    table, num = spark.read.parquet(f"{index.path}/cells"), max(num_candidates, k)
+    table, num = index.table(spark), max(num_candidates, k)
     probes = probes.select("query_id", F.col("vector").cast("array<double>")).where("vector is not null")
     width = max(index.centres.shape[1] if index.centres.ndim == 2 else 1, 1)
     block_rows = max(min(BLOCK_BYTES // (8 * width), BLOCK_CANDIDATES // num), 1)
