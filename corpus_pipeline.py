@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -17,16 +18,21 @@ from millrace.llm.secrets import redacted
 _STAGE_NAMES: list[str] = []
 
 
+def _owner(name: str, sf_dir: str) -> str:
+    """The scope of a stage's tables: of this thread's pipeline over this folder."""
+    return f"{name}@{threading.get_ident()}@{sf_dir}"
+
+
 def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """A stage whose intermediate tables are its own, and are deleted when a later stage starts: by then its result is written."""
+    """A stage whose intermediate tables are its own. When a later one of the same thread and folder starts they are deleted, but for those that its documents are still to be read from."""
     earlier = list(_STAGE_NAMES)
     _STAGE_NAMES.append(stage.__name__)
 
     @wraps(stage)
     def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if earlier:
-            release(spark, *earlier)
-        with scope(stage.__name__):
+            release(spark, *(_owner(name, sf_dir) for name in earlier), keep=docs.inputFiles())
+        with scope(_owner(stage.__name__, sf_dir)):
             return stage(spark, docs, sf_dir)
 
     return call
@@ -98,10 +104,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; what they leave behind in between is deleted."""
-    docs, names = spark.read.parquet(f"{sf_dir}/documents.parquet"), [name for name, _ in STAGES]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         made = stage(spark, docs, sf_dir)
-        with scope("results"):
+        with scope(_owner("results", sf_dir)):
             docs = written(made, name)
-    release(spark, *names)
+    release(spark, *(_owner(name, sf_dir) for name in (*_STAGE_NAMES, "results")), keep=docs.inputFiles())
     return docs

@@ -7,15 +7,24 @@ which the driver and all executors share, so a lost executor costs nothing.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_WRITTEN: list[tuple[str, str]] = []
-_SCOPE = [""]
+#: Application, scope and path of each table. A scope is its thread's own, so that jobs that run beside each other keep their tables apart.
+_WRITTEN: list[tuple[str, str, str]] = []
+_LOCK = threading.Lock()
+_OWN = threading.local()
+
+
+def _scopes() -> list[str]:
+    if not hasattr(_OWN, "scopes"):
+        _OWN.scopes = [""]
+    return _OWN.scopes
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -42,29 +51,32 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((_SCOPE[-1], path))
+    with _LOCK:
+        _WRITTEN.append((spark.sparkContext.applicationId, _scopes()[-1], path))
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def scope(name: str) -> Iterator[None]:
-    """Tables that are written inside belong to this name, so that ``release`` can delete them apart from others."""
-    _SCOPE.append(name)
+    """Tables that this thread writes inside belong to the name, so that ``release`` can delete them apart from others."""
+    _scopes().append(name)
     try:
         yield
     finally:
-        _SCOPE.pop()
+        _scopes().pop()
 
 
-def release(spark: SparkSession, *scopes: str) -> int:
-    """Deletes the tables that ``written`` has made in this session so far, or those of the scopes, and returns how many.
+def release(spark: SparkSession, *scopes: str, keep: Collection[str] = ()) -> int:
+    """Deletes the tables that ``written`` has made in this application so far, or those of the scopes, and returns how many.
 
-    Results that still read them must have been written elsewhere before. A
-    long-lived session calls it between jobs; folders of ended sessions are
+    Tables that hold one of the files in ``keep`` (such as ``df.inputFiles()`` of what is still to be read) stay. Results that still read others must have been
+    written elsewhere before. A long-lived session calls it between jobs; folders of ended sessions are
     the cluster's to clear.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    gone = [w for w in _WRITTEN if not scopes or w[0] in scopes]
-    _WRITTEN[:] = [w for w in _WRITTEN if w not in gone]
-    paths = [jvm.org.apache.hadoop.fs.Path(path) for _, path in gone]
+    jvm, conf, own = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext.applicationId
+    held = {part for file in keep for part in file.split("/")}
+    with _LOCK:
+        gone = [w for w in _WRITTEN if w[0] == own and (not scopes or w[1] in scopes) and w[2].rsplit("/", 1)[1] not in held]
+        _WRITTEN[:] = [w for w in _WRITTEN if w not in gone]
+    paths = [jvm.org.apache.hadoop.fs.Path(path) for _, _, path in gone]
     return sum(bool(path.getFileSystem(conf).delete(path, True)) for path in paths)
