@@ -1,6 +1,8 @@
 """The pipeline over a small corpus: each stage's decisions take effect and clean documents stay."""
 
+import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import corpus_pipeline
 from millrace.llm import queries
@@ -55,5 +57,42 @@ def test_stages_on_edges(spark, tmp_path):
                 assert ids == []
 
 
+def _small(spark, path, shift=0):
+    r = random.Random(8)
+    words = "the ing tion and er on re".split()
+    prose = lambda n: " ".join("".join(r.choice(words) for _ in range(r.randint(1, 4))) for _ in range(n))
+    item = prose(30)
+    rows = [(i + shift, prose(80), "en", f"s{i % 2}", 1) for i in range(12)] + [(50 + shift, f"{prose(40)} {item}", "en", "s0", 1)]
+    rows.append((60 + shift, rows[0][1], "en", "s1", 1))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    return {i + shift for i in range(12)}
+
+
+def test_stages_may_be_chained_without_writing(spark, tmp_path):
+    kept = _small(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    assert {r.doc_id for r in docs.collect()} == kept
+
+
+def test_pipelines_beside_each_other_keep_their_tables(spark, tmp_path):
+    kept = [_small(spark, f"{tmp_path}/{n}", 100 * n) for n in range(2)]
+    with ThreadPoolExecutor(2) as pool:
+        done = list(pool.map(lambda n: corpus_pipeline.run(spark, f"{tmp_path}/{n}"), range(2)))
+    assert [{r.doc_id for r in d.collect()} for d in done] == kept
+
+
+def test_a_later_stage_deletes_what_nothing_reads(spark, tmp_path):
+    _small(spark, tmp_path)
+    near, clean = (dict(corpus_pipeline.STAGES)[n] for n in ("near_dedup", "decontamination"))
+    out = near(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    tables = set(out.inputFiles())
+    out.write.parquet(f"{tmp_path}/out")
+    clean(spark, spark.read.parquet(f"{tmp_path}/out"), str(tmp_path))
+    assert tables and all("documents.parquet" in t or not os.path.exists(t.removeprefix("file:")) for t in tables)
+
+
 def test_every_numbered_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
