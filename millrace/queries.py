@@ -931,37 +931,39 @@ def kmeans_lloyd(spark, d):
 _STAGES = 3
 
 
-def _stages(spark, d, name: str, columns: list[Column]):
-    """A folder that gets the events in order, a part at a time: after each part the caller runs its stream."""
-    rows, into = _read(spark, d, "events").select(*columns), _place(spark, name)
+def _stages(rows: DataFrame, name: str):
+    """A folder that gets the rows by seq, a part at a time: after each part the caller runs its stream."""
+    spark, into = rows.sparkSession, _place(rows.sparkSession, name)
     last = rows.agg(F.max("seq")).first()[0] or 0
     for n in range(_STAGES):
         rows.where((F.floor(F.col("seq") * _STAGES / (last + 1))) == n).write.mode("append").parquet(into)
         yield spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(into)
 
 
-@query("""with r as (select user_id as run_id, event_type, value, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events)
- select run_id, count(*) as steps, round(sum(value), 4) as total_ms, string_agg(distinct event_type, ',' order by event_type) as tools, string_agg(event_type, ',' order by back desc) filter (back <= 5) as latest from r group by run_id""")
+@query("""with r as (select conv_id as run_id, role, length(text) as n, row_number() over (partition by conv_id order by turn desc) as back from conversations)
+ select run_id, count(*) as steps, sum(n)::double as total_ms, string_agg(distinct role, ',' order by role) as tools, string_agg(role, ',' order by back desc) filter (back <= 5) as latest from r group by run_id""")
 def stream_history(spark, d):
-    """Histories after three micro-batches, between which the query stops; its state is all that it remembers."""
+    """Histories of conversations after three micro-batches, between which the query stops; its state is all that it remembers."""
     base = _place(spark, "history")
-    columns = [F.col("user_id").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("component"), F.col("value").alias("execution_time_ms")]
-    for stream in _stages(spark, d, "steps", columns):
+    rows = _read(spark, d, "conversations").select(
+        F.col("conv_id").cast("long").alias("run_id"), F.col("turn").cast("long").alias("seq"), F.timestamp_seconds("turn").alias("ts"), F.col("role").alias("component"), F.length("text").cast("double").alias("execution_time_ms"))
+    for stream in _stages(rows, "steps"):
         with streams.with_rocksdb(spark):
             streams.committed(streams.running_history(stream), base, f"{base}/log", "update").awaitTermination()
     rows = streams.committed_rows(spark, base, spark.createDataFrame([], streams.HISTORY).schema)
     last = rows.groupBy("run_id").agg(F.max_by(F.struct("steps", "total_ms", "tools", "latest"), "batch").alias("h"))
-    return last.select("run_id", "h.steps", F.round("h.total_ms", 4).alias("total_ms"), F.array_join("h.tools", ",").alias("tools"), F.array_join("h.latest", ",").alias("latest"))
+    return last.select("run_id", "h.steps", "h.total_ms", F.array_join("h.tools", ",").alias("tools"), F.array_join("h.latest", ",").alias("latest"))
 
 
-@query("select event_type, count(*) as n, count(distinct event_id) as events, round(sum(value), 4) as value from events group by event_type")
+@query("select lang, count(*) as n, count(distinct doc_id) as documents, sum(n_chars)::bigint as chars from documents group by lang")
 def stream_resume(spark, d):
-    """Rows by kind after a query has stopped twice and gone on; each is there once."""
+    """Documents by language after a query has stopped twice and gone on; each is there once."""
     base = _place(spark, "resumed")
-    for stream in _stages(spark, d, "arrived", [F.col("event_id").alias("seq"), "event_type", "value"]):
+    rows = _read(spark, d, "documents").select(F.col("doc_id").alias("seq"), "lang", "n_chars")
+    for stream in _stages(rows, "arrived"):
         streams.committed(stream, base, f"{base}/log").awaitTermination()
-    rows = streams.committed_rows(spark, base, stream.schema)
-    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("events"), F.round(F.sum("value"), 4).alias("value"))
+    rows = streams.committed_rows(spark, base, rows.schema)
+    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("documents"), F.sum("n_chars").cast("long").alias("chars"))
 
 
 # Sources and table functions.

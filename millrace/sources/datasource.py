@@ -22,8 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 CORPUS = "dataset string, run_id string, sample_id string, record string"
 HITS = "query_id string, rank int, doc_id string, title string, snippet string, score double"
-#: Bytes of a file that a task reads (a compressed file is read by one task, as a stream), and lines of a batch.
-SPLIT, LINES = 64 << 20, 8192
+#: Bytes of a file that a task reads (a compressed file is read by one task, as a stream), and of the lines of a batch.
+SPLIT, BATCH = 64 << 20, 1 << 20
 #: Columns whose filters are applied where files are read.
 PUSHED = ("dataset", "run_id")
 
@@ -81,7 +81,7 @@ class _Reader:
                 yield line
 
     def batches(self, split: Split, wanted: dict[str, set]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        rows, held = [], 0
         for line in self.lines(split):
             try:
                 text = line.decode().strip()
@@ -91,9 +91,10 @@ class _Reader:
                 continue
             if all(row[i] in wanted[k] for i, k in enumerate(PUSHED) if k in wanted):
                 rows.append((*(None if v is None else str(v) for v in row), text))
-            if len(rows) >= LINES:
+                held += len(line)
+            if held > BATCH:
                 yield self._batch(rows)
-                rows = []
+                rows, held = [], 0
         if rows:
             yield self._batch(rows)
 

@@ -27,11 +27,11 @@ def run(spark, tmp_path, **options):
 
 def test_histories_over_restarts_and_their_state(spark, tmp_path):
     rows = [(i % 3, i, f"2024-01-01 00:{i:02}:00", f"c{i % 4}", float(i)) for i in range(30)]
-    provider = spark.conf.get(streams._PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in streams._ROCKSDB}
     for low in (0, 10, 20):
         steps(spark, rows[low : low + 10]).write.mode("append").parquet(f"{tmp_path}/in")
         out = run(spark, tmp_path)
-    assert spark.conf.get(streams._PROVIDER) == provider
+    assert {key: spark.conf.get(key, None) for key in streams._ROCKSDB} == before
     last = {r.run_id: r for r in out.orderBy("batch").collect()}
     for k in range(3):
         own = [r for r in rows if r[0] == k]
