@@ -1,22 +1,29 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
 Method. A multinomial logistic regression over hashed word one-, two- and
-three-grams tells the licence family of a line of the text; adjacent lines of
-one family are one paragraph, so a wrapped notice is one. It is fitted on the
-driver from templates, which are the sentences below and notices made of
-licence names and forms, whole and in pieces, against a bounded sample of the
+three-grams tells the licence family of a paragraph. Comment marks are no words, so a
+wrapped header is its words, and blank lines do not count. Each line of a text (each ``UNIT`` words of a longer one) has
+evidence for each family, the model's log-odds against the class ``unknown``, from grams that begin in it and may end in the next; the stretch of lines with the
+greatest sum is a paragraph, then the next one among the lines left, while there is a positive sum. So a notice is found whole,
+however it is wrapped, and without the prose around it. The classifier then judges
+the paragraph as a whole: its family and probability, ``unknown`` below ``CERTAIN``.
+
+It is fitted on the driver from templates, which are the sentences below and notices made of
+licence names and forms, whole and in pieces, against sentences of licences that are not listed and a bounded sample of the
 corpus's own lines, which stand for the class ``unknown``. Every ``FOLDS``th
 sentence with its pieces, every ``FOLDS``th form with all names, and as many of
 the corpus's lines are held back from a first fit: on these a temperature
 calibrates the probabilities; the model in use is then fitted on everything. A
-line whose best family stays below ``CERTAIN`` is unknown. A prediction is confirmed
+prediction is confirmed
 where a template of the family and the paragraph agree: of the shorter one's
 five-word shingles (of all its words, where one has fewer), at least
-``SIMILARITY`` stand in the other.
+``SIMILARITY`` stand in the other, and no sentence of an unlisted licence agrees more.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -31,6 +38,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BUCKETS = 1 << 14
 #: One sentence, form or line in so many is held back from the first fit.
 FOLDS = 4
+#: Words of a long line that are looked at together, and lines without evidence that a paragraph may bridge.
+UNIT, BRIDGE = 24, 4
+#: Words of the pieces of templates that stand for wrapped lines.
+LINE = 10
 #: Documents whose paragraphs are sampled as unknown, and paragraphs that are fitted on.
 SAMPLE_DOCS, SAMPLE_PARAGRAPHS = 300, 1500
 
@@ -46,24 +57,33 @@ TEMPLATES = {
     "mit": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+        "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
         "SPDX-License-Identifier: MIT",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
         "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
     "lgpl": (
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this library; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
     ),
     "bsd": (
         "Released under the 3-clause BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
         "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ),
@@ -96,6 +116,23 @@ TEMPLATES = {
     ),
 }
 
+#: Sentences of licences that are not listed: the class unknown has seen what licences say (fixed values).
+OTHERS = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Boost Software License - Version 1.0 - August 17th, 2003",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This package is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",
+    "This software is governed by the CeCILL license under French law and abiding by the rules of distribution of free software.",
+    "Licensed under the EUPL, Version 1.2 or as soon they will be approved by the European Commission, subsequent versions of the EUPL.",
+    "This program is free software. It comes without any warranty, to the extent permitted by applicable law.",
+    "Redistributions of any form whatsoever must retain the following acknowledgment: This product includes software developed by the OpenSSL Project.",
+    "The contents of this file are subject to the Common Development and Distribution License; you may not use this file except in compliance with it.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3.",
+    "The author disclaims copyright to this source code; may you do good and not evil.",
+)
+
 #: Names of the licences, as notices give them (fixed values).
 NAMES = {
     "apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache Software License 2.0", "Apache-2.0"),
@@ -131,14 +168,32 @@ def _plain(block: Block) -> Block:
     return Block(block.first, _WORD_BYTES[block.data], block.starts)
 
 
-def paragraphs(block: Block) -> tuple[Block, np.ndarray, np.ndarray]:
-    """The block cut at line feeds, with each paragraph's text and its number in the text."""
-    feeds = np.flatnonzero(block.data == 10) + 1
-    starts = np.unique(np.concatenate((block.starts[:-1], feeds[feeds < len(block.data)], [len(block.data)])))
-    starts = starts if len(block.data) else np.zeros(1, np.int64)
-    own = np.searchsorted(block.starts, starts[:-1], side="right") - 1
-    head = np.searchsorted(starts, block.starts[:-1])
-    return Block(0, _WORD_BYTES[block.data], starts), own, np.arange(len(own)) - head[own]
+@dataclass
+class Units:
+    """The lines of a block of texts that have words, long ones in pieces: each one's first word, text, and line in the text."""
+
+    plain: Block
+    first: np.ndarray
+    text: np.ndarray
+    line: np.ndarray
+
+    def words(self, a: int, b: int) -> slice:
+        """The words of the units from a to before b."""
+        return slice(int(self.first[a]), int(self.first[b]))
+
+
+def units_of(block: Block) -> Units:
+    plain = _plain(block)
+    begin, _, first = plain.words
+    feeds = np.flatnonzero(block.data == 10)
+    line = np.searchsorted(feeds, begin)
+    text = np.repeat(np.arange(block.rows), np.diff(first))
+    new = np.ones(len(begin), bool)
+    new[1:] = (line[1:] != line[:-1]) | (text[1:] != text[:-1])
+    place = np.arange(len(begin)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(begin) else begin
+    heads = np.flatnonzero(place % UNIT == 0)
+    before = np.searchsorted(feeds, block.starts[:-1])
+    return Units(plain, np.append(heads, len(begin)), text[heads], line[heads] - before[text[heads]])
 
 
 def grams(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,8 +215,10 @@ class Classifier:
     def __init__(self, unknown: list[str], templates: dict[str, list[tuple[str, ...]]] | None = None) -> None:
         templates = all_templates() if templates is None else templates
         self.families = [UNKNOWN, *templates]
-        self.templates = {f: [_words(t) for group in groups for t in group] for f, groups in templates.items()}
-        rows = [(line, 0, is_held(n)) for n, line in enumerate(unknown)]
+        self.templates = {f: [_words(t) for group in groups for t in group] for f, groups in templates.items()} | {UNKNOWN: [_words(t) for t in OTHERS]}
+        rows = [(piece, 0, is_held(n)) for n, t in enumerate(OTHERS) for piece in pieces_of(t)]
+        unlisted = sum(r[2] for r in rows)
+        rows += [(line, 0, is_held(n)) for n, line in enumerate(unknown)]
         rows += [(piece, i, is_held(n)) for i, f in enumerate(templates, 1) for n, group in enumerate(templates[f]) for t in group for piece in (pieces_of(t) if len(group) == 1 else [t, t.upper()])]
         y, back = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], bool)
         code, own, size = grams(_block([r[0] for r in rows]))
@@ -171,8 +228,9 @@ class Classifier:
         z = _scores(code, own, value, len(y), weights)[back] + bias
         truth, share = (np.arange(len(z)), y[back]), _shares(y[back], len(self.families))
         self.temperature = min(TEMPERATURES, key=lambda t: float((-np.log(_softmax(z / t)[truth] + 1e-12) * share).sum()))
-        #: Probabilities of the rows that were held back, by the fit that has not seen them, and what they are.
-        self.held = _softmax(z / self.temperature), y[back]
+        p = _softmax(z / self.temperature)
+        #: Probabilities of the rows that were held back, by the fit that has not seen them, and what they are; and those of sentences of unlisted licences.
+        self.held, self.unlisted = (p[unlisted:], y[back][unlisted:]), p[:unlisted]
         self.weights, self.bias = _softmax_fit(code, own, value, y, np.ones(len(y), bool), len(self.families))
 
     def predict(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -192,6 +250,20 @@ class Classifier:
             family[hit], sure[hit] = twice[hit], p[hit]
         return family, sure
 
+    def evidence(self, units: Units) -> np.ndarray:
+        """Log-odds of each unit for each family against unknown; its grams may end in the next unit of the text."""
+        words, text = units.plain.word_hashes, np.repeat(np.arange(units.plain.rows), np.diff(units.plain.words[2]))
+        count = np.diff(units.first)
+        own, codes, owners = np.repeat(np.arange(len(count)), count), [], []
+        for n in (1, 2, 3):
+            g = ngrams(words, n)
+            inside = text[: len(g)] == text[n - 1 :] if len(g) else np.zeros(0, bool)
+            codes.append((g[inside] >> np.uint64(50)).astype(np.int64))
+            owners.append(own[: len(g)][inside])
+        against = self.weights[:, 1:] - self.weights[:, :1]
+        z = _scores(np.concatenate(codes), np.concatenate(owners), np.ones(sum(map(len, codes))), len(count), against)
+        return (z / np.sqrt(np.maximum(3 * count, 1))[:, None] + self.bias[1:] - self.bias[0]) / self.temperature
+
     def _judge(self, rows: int, code: np.ndarray, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         z = _scores(code, own, np.ones(len(code)), rows, self.weights) / np.sqrt(np.maximum(3 * size, 1))[:, None]
         p = _softmax((z + self.bias) / self.temperature)
@@ -209,6 +281,11 @@ class Classifier:
         return best
 
 
+    def confirms(self, agreement: float, words: np.ndarray) -> bool:
+        """Whether a template agrees enough, and no sentence of a licence that is not listed agrees more."""
+        return agreement >= SIMILARITY and agreement >= self.agreement(0, words)
+
+
 #: Temperatures that calibration chooses among.
 TEMPERATURES = tuple(round(0.1 * 1.25**k, 3) for k in range(16))
 
@@ -219,11 +296,13 @@ def is_held(n: int) -> bool:
 
 
 def pieces_of(template: str) -> list[str]:
-    """A template whole, in capitals, and, if it is long, without its last or first third."""
+    """A template whole, in capitals, and, if it is long, without its last or first third and in pieces like wrapped lines."""
     words = template.split()
     parts = {template, template.upper()}
     if len(words) > 6:
         parts |= {" ".join(words[: max(len(words) * 2 // 3, 5)]), " ".join(words[len(words) // 3 :])}
+    if len(words) > LINE:
+        parts |= {" ".join(words[i : i + LINE]) for i in (*range(0, len(words) - LINE, LINE // 2), len(words) - LINE)}
     return sorted(parts)
 
 
@@ -290,23 +369,69 @@ def _sample(docs: DataFrame) -> list[str]:
     return [line for line in lines[::step] if not np.isin(_shingles(_words(line)), known).any()]
 
 
-def runs(block: Block, own: np.ndarray, family: np.ndarray) -> list[tuple[int, int]]:
-    """First line and line after the last of each run of adjacent lines of a text with one family, but unknown."""
-    on = np.flatnonzero(family)
+def stretches(evidence: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of stretches of units with a positive sum for a family: the greatest, then the greatest of what is left, and so on; ties go to the first family and stretch."""
+    left, out = [(0, len(evidence))], []
+    while left:
+        low, high = left.pop()
+        if low >= high:
+            continue
+        upto = np.vstack((np.zeros(evidence.shape[1]), np.cumsum(evidence[low:high], axis=0)))
+        least = np.minimum.accumulate(upto[:-1], axis=0)
+        gain = upto[1:] - least
+        family = int(gain.max(axis=0).argmax())
+        end = int(gain[:, family].argmax())
+        if gain[end, family] <= 0:
+            continue
+        begin = int(np.flatnonzero(upto[: end + 1, family] == least[end, family])[-1])
+        out.append((low + begin, low + end + 1))
+        left += [(low, low + begin), (low + end + 1, high)]
+    return sorted(out)
+
+
+def licensed(units: Units, model: Classifier) -> list[tuple[int, int]]:
+    """First unit and unit after the last of each paragraph that may be a notice."""
+    if not len(units.text):
+        return []
+    evidence = model.evidence(units)
+    on = np.flatnonzero(evidence.max(axis=1) > 0)
+    # Lines without evidence for any family bound the regions that are looked at.
     if not len(on):
         return []
-    new = np.flatnonzero(np.append(True, (np.diff(on) > 1) | (np.diff(family[on]) != 0) | (np.diff(own[on]) != 0)))
-    return [(int(on[a]), int(on[b - 1]) + 1) for a, b in zip(new, np.append(new[1:], len(on)), strict=True)]
+    cut = np.flatnonzero(np.append(True, (np.diff(on) > BRIDGE + 1) | (np.diff(units.text[on]) != 0)))
+    return [(int(on[a]) + p, int(on[a]) + q) for a, b in zip(cut, np.append(cut[1:], len(on)), strict=True) for p, q in stretches(evidence[on[a] : on[b - 1] + 1])]
+
+
+def _line_start(raw: Block, units: Units, unit: int) -> int:
+    """Where a paragraph's text begins: with its line, or within a long one with its first word."""
+    at, head = units.plain.words[0][units.first[unit]], raw.starts[units.text[unit]]
+    if unit and units.text[unit - 1] == units.text[unit] and units.line[unit - 1] == units.line[unit]:
+        return int(at)
+    feeds = np.flatnonzero(raw.data[head:at] == 10)
+    return int(head + feeds[-1] + 1) if len(feeds) else int(head)
+
+
+def _line_end(raw: Block, units: Units, unit: int) -> int:
+    """Where a paragraph before the unit ends: with its line, or within a long one with its last word."""
+    at, tail = units.plain.words[1][units.first[unit] - 1], raw.starts[units.text[unit - 1] + 1]
+    if unit < len(units.text) and units.text[unit - 1] == units.text[unit] and units.line[unit - 1] == units.line[unit]:
+        return int(at)
+    feed = raw.data[at:tail].tobytes().find(b"\n")
+    return int(at + feed) if feed >= 0 else int(tail)
+
+
+def _joined(raw: Block, spans: list[tuple[int, int]]) -> Block:
+    """The spans of a block as texts of another."""
+    return Block(0, np.concatenate([raw.data[a:b] for a, b in spans]), np.append(0, np.cumsum([b - a for a, b in spans])))
 
 
 def licensed_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The paragraphs that the classifier gives a licence family: doc_id, paragraph (its first line, from 0),
-    lines, family, probability (the least of its lines), agreement with the nearest template, confirmed,
+    lines (that it reaches over, blank ones included), family, probability, agreement with the nearest template, confirmed,
     and the paragraph's text.
 
-    Defined cases: null and empty texts have no paragraphs; a line without
-    words is unknown and not returned; repeated rows give their rows each; a
-    very long line is one paragraph; of equally likely families the first
+    Defined cases: null and empty texts, and lines without words, have no paragraphs; repeated rows give their rows each; of a
+    very long line the stretch of words with the evidence is the paragraph, and very long texts are read whole; of equally likely families the first
     listed wins; an empty table gives none; columns other than the two named
     are ignored.
     """
@@ -318,15 +443,17 @@ def licensed_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             ids = batch.column(0).to_pylist()
             for raw in blocks(batch.column(1)):
-                block, own, number = paragraphs(raw)
-                if not block.rows:
+                units, rows = units_of(raw), []
+                spans = licensed(units, model)
+                if not spans:
                     continue
-                family, sure = model.predict(block)
-                first, rows = block.words[2], []
-                for p, q in runs(block, own, family):
-                    agree = model.agreement(family[p], block.word_hashes[first[p] : first[q]])
-                    line = raw.data[block.starts[p] : block.starts[q]].tobytes().decode().rstrip("\n")
-                    rows.append((ids[raw.first + own[p]], int(number[p]), q - p, model.families[family[p]], round(float(sure[p:q].min()), 6), round(agree, 6), agree >= SIMILARITY, line))
+                whole = _joined(raw, [(_line_start(raw, units, p), _line_end(raw, units, q)) for p, q in spans])
+                family, sure = model.predict(_plain(whole))
+                for k, (p, q) in enumerate(spans):
+                    if family[k]:
+                        words = units.plain.word_hashes[units.words(p, q)]
+                        agree = model.agreement(family[k], words)
+                        rows.append((ids[raw.first + units.text[p]], int(units.line[p]), int(units.line[q - 1] - units.line[p]) + 1, model.families[family[k]], round(float(sure[k]), 6), round(agree, 6), model.confirms(agree, words), whole.text(k).decode()))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=list(_NAMES))
 
