@@ -272,12 +272,13 @@ class Classifier:
         return np.where((sure >= CERTAIN) & (size > 0), best, 0), sure
 
     def agreement(self, family: int, words: np.ndarray) -> float:
-        """The greatest share of the shorter one's shingles that stand in the other, over the family's templates."""
+        """The greatest share of the shorter one's shingles that stand in the other, over the family's templates; less for fewer words than five that are not a whole template."""
         best = 0.0
         for t in self.templates[self.families[family]]:
             size = max(min(SHINGLE, len(words), len(t)), 1)
             short, long = sorted((np.unique(ngrams(words, size)), np.unique(ngrams(t, size))), key=len)
-            best = max(best, float(np.isin(short, long).mean()))
+            # Words alone that a template happens to hold, such as "mit", are little of it.
+            best = max(best, float(np.isin(short, long).mean()) * min(1, len(words) / min(len(t), SHINGLE)))
         return best
 
 

@@ -53,6 +53,11 @@ def test_unlisted_licences_are_unknown_or_unconfirmed(spark):
     assert [r for r in licensed_paragraphs(docs(spark, rows + plain)).collect() if r.confirmed] == []
 
 
+def test_a_word_that_a_template_holds_confirms_nothing(model):
+    mit = model.families.index("mit")
+    assert model.agreement(mit, _words("Mit.")) < SIMILARITY and model.agreement(mit, _words("License: MIT")) == 1.0
+
+
 def test_calibration_with_unlisted_licences(model):
     """The mean probability of what is held back, sentences of unlisted licences among it, is near the share that is right."""
     p, truth = np.vstack((model.held[0], model.unlisted)), np.append(model.held[1], np.zeros(len(model.unlisted), int))
@@ -151,4 +156,4 @@ def test_the_whole_result_against_plain_loops(spark):
 def _share(words, template):
     size = max(min(scan.SHINGLE, len(words), len(template)), 1)
     short, long = sorted(({tuple(x[i : i + size].tolist()) for i in range(len(x) - size + 1)} for x in (words, template)), key=len)
-    return len(short & long) / len(short)
+    return len(short & long) / len(short) * min(1, len(words) / min(len(template), scan.SHINGLE))
