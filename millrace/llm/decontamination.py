@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .blocks import Block, blocks, ngrams
-from .scratch import written
+from .scratch import free_names, written
 
 SHINGLE, SIMILARITY, PART = 5, 0.8, 0.5
 #: Words in a term of the index.
@@ -262,7 +262,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return out.select("doc_id", "item_id", (-F.col("b.p")).alias("passage"), *(F.round(f"b.{c}", 6).alias(c) for c in ("score", "overlap", "question", "answer")))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
-    """``docs`` without the documents that hold a test item."""
-    bad = written(contaminated(docs, items, **how).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """``docs`` without the rows whose text holds a test item.
+
+    Each row is judged by its own text, known by a 64-bit hash: a row without doc_id as any other, and rows that share an id apart.
+    """
+    text, held = F.col(text_col).cast("string"), free_names(docs, "_text_hash")[0]
+    texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+    bad = written(contaminated(texts, items, **how).select(F.col("doc_id").alias("_bad")).distinct(), "contaminated")
+    return docs.withColumn(held, F.xxhash64(text)).join(bad.withColumnRenamed("_bad", f"{held}_bad"), F.col(held) == F.col(f"{held}_bad"), "left_anti").drop(held)

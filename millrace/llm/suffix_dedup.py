@@ -46,6 +46,8 @@ LARGEST = 4096
 
 WHOLE, DETAIL, WITNESS = 0, 1, 2
 _PART_BITS = 10
+#: Stands for a missing doc_id in between.
+NO_ID = -(1 << 63)
 _SUFFIX = "t1 long, t2 long, doc_id long, place int, at long"
 _VERDICT = "doc_id long, place int, run long, kind int, t1 long"
 #: A span of a gram (key), or, without bytes, one string of a gram with very many spans (key and h2 are its hashes).
@@ -267,12 +269,12 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Defined cases: a null text counts as empty; texts under ``length`` bytes
     stay as they are; rows that repeat a doc_id count as documents of their
-    own, with equal or other texts; a row without doc_id stays as it is and is
-    no witness; an empty table gives none; columns other than the two named
+    own, with equal or other texts, and so do rows without doc_id (the smallest long stands for none);
+    of equal strings none is first, so all go; an empty table gives none; columns other than the two named
     are ignored.
     """
-    docs = keyed_texts(docs, id_col, text_col)
-    suffixes = docs.where("doc_id is not null").mapInArrow(_anchored(length, gram), _SUFFIX)
+    docs = keyed_texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    suffixes = docs.mapInArrow(_anchored(length, gram), _SUFFIX)
     verdicts = written(suffixes.repartitionByRange("t1", "t2", "doc_id", "at").mapInArrow(_judge_anchored, _VERDICT), "suffixes")
     spans = written(with_runs(docs, _with_heat(verdicts, largest), "t1", "witness", "hot").mapInArrow(_spans(length, gram), _SPAN), "spans")
     few = spans.where("span is not null").repartition("key").sortWithinPartitions("key").mapInArrow(_sorted_spans(length), _RUN)
@@ -280,7 +282,8 @@ def repeated_bytes_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     counts = many.groupBy(F.col("key").alias("k"), F.col("h2").alias("h")).agg(F.count("*").alias("n")).where("n > 1")
     met = many.where("not witness").join(counts, F.expr("key = k and h2 = h")).select("doc_id", "place", "run")
     runs = verdicts.where(F.col("kind") == WHOLE).select("doc_id", "place", "run").union(few).union(met)
-    return with_runs(docs, runs).mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out = with_runs(docs, runs).mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _with_heat(verdicts: DataFrame, largest: int) -> DataFrame:

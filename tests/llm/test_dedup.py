@@ -97,8 +97,10 @@ def test_rows_that_repeat_an_id(spark):
     text = " ".join(f"w{i}" for i in range(30))
     got = repeated_words_removed(table(spark, [(1, text), (1, text), (None, text), (2, text)])).drop("kept").collect()
     assert sorted((r.doc_id or 0, r.n_removed) for r in got) == [(0, 0), (1, 0), (1, 0), (2, 30)]
-    got = repeated_bytes_removed(table(spark, [(1, text * 3), (1, text * 3), (None, text * 3)])).collect()
-    assert sorted((r.doc_id or 0, r.n_removed == r.n_bytes) for r in got) == [(0, False), (1, True), (1, True)]
+    other = " ".join(f"v{i}" for i in range(90))
+    got = repeated_bytes_removed(table(spark, [(1, text * 3), (1, text * 3), (None, text * 3), (None, other), (None, None), (2, other), (3, other[:150])])).collect()
+    assert sorted((r.doc_id or 0, r.n_bytes > 0 and r.n_removed == r.n_bytes) for r in got) == [(0, False), (0, True), (0, True), (1, True), (1, True), (2, True), (3, False)]
+    assert sum(r.doc_id is None for r in got) == 3
 
 
 def two_texts():

@@ -183,6 +183,14 @@ def test_contamination_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for d, _ in got} and left.columns == table(spark, rows).columns
 
 
+def test_rows_are_decontaminated_by_their_own_texts(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, f"before {item} after", 1), (None, "clean", 2), (7, item, 3), (7, "clean too", 4), (None, None, 5), (8, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text_hash long")
+    left = decontaminated(df, spark.createDataFrame([(0, item)], "item_id long, text string"))
+    assert {r[2] for r in left.collect()} == {2, 4, 5, 6} and left.columns == df.columns
+
+
 def test_wand_finds_all_above_the_bound():
     index = Index([(i, t) for i, t in ITEMS if t and len(t.split()) > 1])
     import random
