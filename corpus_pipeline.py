@@ -42,8 +42,8 @@ def _stage(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callab
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the corpus's own labels teach; ``und``, other languages and junk go.
 
-    Null texts and those without a letter go; repeated rows stay or go
-    together; an empty table gives none; all columns stay as they are.
+    Null texts and those without a letter go; a very long text is judged whole; where languages
+    tie the first by name is taken; repeated rows stay or go together; an empty table gives none; all columns stay as they are, whatever their names.
     """
     return language_accepted(docs)
 
@@ -53,8 +53,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the document of smallest id stays.
 
     Null and empty texts are copies of one another; rows with the smallest id
-    of a group all stay, as does a row without doc_id; an empty table gives
-    none; all columns stay as they are.
+    of a group all stay (a tie), as does a row without doc_id; very long texts are compared by all their shingles; an empty table gives
+    none; all columns stay as they are, whatever their names.
     """
     return one_of_each_copy(docs)
 
@@ -63,9 +63,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go.
 
-    Null and empty texts and rows without doc_id stay; rows that repeat an id
-    go if one of them holds an item; an empty table gives none; all columns
-    stay as they are.
+    Null and empty texts stay; each row is judged by its own text, with or without a doc_id or one that others share; of a very long
+    text every passage is looked at; items that tie all count; an empty table gives none; all columns
+    stay as they are, whatever their names.
     """
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -74,8 +74,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with their secrets replaced by a mark.
 
-    A null text stays null; repeated rows are redacted each; an empty table
-    gives none; n_chars follows the text, other columns stay as they are.
+    A null text stays null; a very long one is read whole; repeated rows are redacted each; where two secrets begin at one
+    place the longer one is replaced; copied examples of further kinds stay; an empty table
+    gives none; n_chars follows the text, other columns stay as they are, whatever their names.
     """
     return redacted(docs)
 
@@ -84,8 +85,8 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: how many words of each document it takes, and these words as text.
 
-    Null and empty texts have size 0; a null source is a source of its own;
-    repeated rows count each; an empty table gives none.
+    Null and empty texts have size 0; a very long text counts with all its words; a null source is a source of its own;
+    quotients that tie go to the first source or shard; repeated rows count each; an empty table gives none; other columns are left out.
     """
     return mixed(docs, with_text=True).select("doc_id", "size", "source_size", "target", "taken", "source", "text")
 
