@@ -75,7 +75,7 @@ def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """All documents stay, with their secrets replaced by a mark.
 
     A null text stays null; a very long one is read whole; repeated rows are redacted each; where two secrets begin at one
-    place the longer one is replaced; copied examples of further kinds stay; an empty table
+    place they become one mark, as all that overlap do; copied examples of further kinds stay; an empty table
     gives none; n_chars follows the text, other columns stay as they are, whatever their names.
     """
     return redacted(docs)
