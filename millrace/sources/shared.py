@@ -9,8 +9,10 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+import zipfile
 from collections.abc import Collection, Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +48,21 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def shipped(spark: SparkSession) -> str:
+    """Sends the package to the executors of a running session, whose tasks import it by name; returns the archive's path.
+
+    A session whose executors have the package installed, or were started with it in ``--py-files``, needs no call.
+    """
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="millrace-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted(package.rglob("*")):
+            if file.is_file() and "__pycache__" not in file.parts:
+                out.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(archive))  # Spark's own file service hands it out
+    return str(archive)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back."""
     spark = df.sparkSession

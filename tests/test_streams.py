@@ -146,3 +146,14 @@ def test_dataset_samples_have_exact_sizes(spark, tmp_path):
     got = readers.qa_dataset(spark, str(tmp_path), 20, "stratified", strata="uid").collect()
     assert len(got) == 20 and sum(r.uid == "b" for r in got) == 5 and sorted(r.sample_no for r in got) == list(range(1, 21))
     assert len(readers.qa_dataset(spark, str(tmp_path), 20, "random").collect()) == 20
+
+
+def test_the_package_goes_to_running_executors(spark):
+    import zipfile
+
+    from millrace.sources.shared import shipped
+
+    archive = shipped(spark)
+    names = zipfile.ZipFile(archive).namelist()
+    assert "millrace/__init__.py" in names and "millrace/plans/prompts/draft.txt" in names and not any("__pycache__" in n for n in names)
+    assert archive.rsplit("/", 1)[1] in spark.sparkContext._python_includes
