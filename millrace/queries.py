@@ -1030,19 +1030,20 @@ def sample_random(spark, d):
     return samples.drawn(_read(spark, d, "documents").select("doc_id", "source"), "doc_id", 150, 7)
 
 
-@query(f"with {_COV} select c.seed_id, c.iteration, coalesce(fresh, 0) as fresh, cast(cumulative_unique_docs as bigint) as unique_docs from cov c left join fr using (seed_id, iteration)")
+@query("""with found as (select lang, n_chars % 50 as step, doc_id // 3 as doc from documents), f as (select lang, step, count(*) as fresh from (select lang, doc, min(step) as step from found group by all) group by all), s as (select distinct lang, step from found)
+ select lang, step, coalesce(fresh, 0) as fresh, sum(coalesce(fresh, 0)) over (partition by lang order by step)::bigint as unique_docs from s left join f using (lang, step)""")
 def coverage_bitmaps(spark, d):
-    """Documents met so far, by merged bitmaps."""
-    found = _explorations(spark, d).select("seed_id", "iteration", F.explode(F.col("doc_ids").cast("array<bigint>")).alias("doc"))
-    rows = coverage.unique_so_far(coverage.documents_as_bitmaps(found, ["seed_id", "iteration"]))
-    return rows.select("seed_id", F.col("iteration").cast("long").alias("iteration"), "fresh", F.col("unique").alias("unique_docs"))
+    """Documents (three ids are one) that each language's steps bring, and all met so far, by merged bitmaps."""
+    found = _read(spark, d, "documents").select("lang", F.pmod("n_chars", F.lit(50)).cast("long").alias("step"), F.floor(F.col("doc_id") / 3).alias("doc"))
+    rows = coverage.unique_so_far(coverage.documents_as_bitmaps(found, ["lang", "step"]), "lang", "step")
+    return rows.withColumnRenamed("unique", "unique_docs")
 
 
 @query()
 def unique_documents_sketch(spark, d):
-    """How many distinct pairs of a user and a value each kind of event has, from sketches of a day each."""
-    found = _read(spark, d, "events").select("event_type", F.to_date("ts").alias("day"), F.concat_ws(":", "user_id", "value").alias("doc"))
-    return coverage.unique_by_sketch(coverage.document_sketches(found, ["event_type", "day"]), ["event_type"])
+    """About how many distinct beginnings of texts each language has, from a sketch for each of its sources."""
+    found = _read(spark, d, "documents").select("lang", "source", F.substring("text", 1, 40).alias("doc"))
+    return coverage.unique_by_sketch(coverage.document_sketches(found, ["lang", "source"]), ["lang"])
 
 
 @query(f"""select a.vec_id, case when trim(lang) = '' or a.vec_id % 5 = 0 then 0.0 else round({_DOT.format(a='a.embedding', b='b.embedding')} / ({_NORM.format(a='a.embedding')} * {_NORM.format(a='b.embedding')}), 6) end as similarity

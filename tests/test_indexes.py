@@ -148,10 +148,15 @@ def test_a_search_reads_no_text_and_moves_no_postings(spark, text):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     lines = plan.split("\n")
     scan = next(i for i, line in enumerate(lines) if "FileScan parquet" in line and "held_postings" in line)
-    depth = len(lines[scan]) - len(lines[scan].lstrip(" :+-"))
-    above = [line for line in lines[:scan] if len(line) - len(line.lstrip(" :+-")) < depth]
-    join = max(i for i, line in enumerate(above) if "Join" in line)
-    assert "Bucketed: true" in plan and not any("Exchange" in line for line in above[join:])
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*()0123456789"))
+    path, at = [], depth(lines[scan])  # the operators above the scan, up to the first join
+    for line in reversed(lines[:scan]):
+        if depth(line) < at:
+            path.append(line)
+            at = depth(line)
+        if "Join" in line and depth(line) == at:
+            break
+    assert "Join" in path[-1] and "Bucketed: true" in lines[scan] and not any("Exchange" in line or "Sort " in line for line in path)
     assert "title" not in plan
 
 
