@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
-from .retrieval import PLACES, first_k
+from .retrieval import PLACES, first_k, numbered
 
 _BY = ["query_id"]
 OKAPI_K1, OKAPI_B, OKAPI_EPSILON = 1.5, 0.75, 0.25
@@ -38,9 +38,10 @@ def extracted(evidence: DataFrame, max_spans: int = 20) -> DataFrame:
 
 def simple_scores(evidence: DataFrame) -> DataFrame:
     """With rerank_score: 0.7 of the score (missing: 0.5) and 0.3 of the closeness to the front."""
-    every = Window.partitionBy(*_BY)
-    place = F.row_number().over(every.orderBy("pos")) - 1
-    return evidence.withColumn("rerank_score", 0.7 * F.coalesce("score", F.lit(0.5)) + 0.3 * (1 - place / F.greatest(F.count("*").over(every), F.lit(1))))
+    sizes = evidence.groupBy(F.col("query_id").alias("_q")).agg(F.count("*").alias("_size"))
+    placed = numbered(evidence, _BY, ["pos"], name="_place").join(sizes, F.col("query_id").eqNullSafe(F.col("_q")))
+    score = 0.7 * F.coalesce("score", F.lit(0.5)) + 0.3 * (1 - F.col("_place") / F.col("_size"))
+    return placed.withColumn("rerank_score", score).drop("_q", "_size", "_place")
 
 
 def okapi_scores(evidence: DataFrame, queries: DataFrame) -> DataFrame:

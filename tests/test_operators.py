@@ -152,3 +152,17 @@ def test_knowledge(spark):
     assert tuple(knowledge.stats(kb).first()) == (8, 1, 1.0)
     empty = knowledge.stats(kb.limit(0)).first()
     assert (empty.total_queries, empty.unique_docs) == (0, 0)
+
+
+def test_numbers_in_two_steps_are_those_of_one(spark, monkeypatch):
+    import random
+
+    r = random.Random(2)
+    rows = [(None if r.random() < 0.1 else r.choice("abc"), r.randrange(3), r.randrange(40) if r.random() < 0.9 else None, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "query_id string, angle int, rank int, id int").repartition(4)
+    want, seen = {}, {}
+    for q, angle, rank, i in sorted(rows, key=lambda x: (x[0] or "", x[1], -1 if x[2] is None else x[2], x[3])):
+        want[i] = seen[q] = seen.get(q, -1) + 1
+    for stretch in (1, 7, 4096):
+        monkeypatch.setattr(retrieval, "STRETCH", stretch)
+        assert {x.id: x.pos for x in retrieval.numbered(df, ["query_id"], ["angle", "rank"], ("id",)).collect()} == want
