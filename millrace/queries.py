@@ -955,15 +955,15 @@ def stream_history(spark, d):
     return last.select("run_id", "h.steps", "h.total_ms", F.array_join("h.tools", ",").alias("tools"), F.array_join("h.latest", ",").alias("latest"))
 
 
-@query("select lang, count(*) as n, count(distinct doc_id) as documents, sum(n_chars)::bigint as chars from documents group by lang")
+@query("select doc_id, lang, count(*) as n, sum(n_chars)::bigint as chars from documents group by all")
 def stream_resume(spark, d):
-    """Documents by language after a query has stopped twice and gone on; each is there once."""
+    """How often each document is there after a query has stopped twice and gone on."""
     base = _place(spark, "resumed")
     rows = _read(spark, d, "documents").select(F.col("doc_id").alias("seq"), "lang", "n_chars")
     for stream in _stages(rows, "arrived"):
         streams.committed(stream, base, f"{base}/log").awaitTermination()
     rows = streams.committed_rows(spark, base, rows.schema)
-    return rows.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("seq").alias("documents"), F.sum("n_chars").cast("long").alias("chars"))
+    return rows.groupBy(F.col("seq").alias("doc_id"), "lang").agg(F.count("*").alias("n"), F.sum("n_chars").cast("long").alias("chars"))
 
 
 # Sources and table functions.
@@ -1018,32 +1018,37 @@ def candidate_variant(spark, d):
 
 # Samples and sketches.
 
-@query("""with c as (select lang, count(*) as n from documents group by 1), q as (select lang, n, least(100, total) as size, (least(100, total) * n) // total as whole, (least(100, total) * n) % total as rest from c, (select sum(n)::bigint as total from c)),
+@query("""with c as (select lang, count(*) as n from documents group by 1), q as (select lang, n, total // 10 as size, (total // 10 * n) // total as whole, (total // 10 * n) % total as rest from c, (select sum(n)::bigint as total from c)),
  r as (select lang, whole + case when row_number() over (order by rest desc, lang) <= (select max(size) - sum(whole) from q) then 1 else 0 end as quota from q),
  p as (select doc_id, lang, row_number() over (partition by lang order by md5('42:' || cast(doc_id as varchar))) as place from documents) select doc_id, lang from p join r using (lang) where place <= quota""")
 def sample_stratified(spark, d):
-    return samples.stratified(_read(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang", 100)
+    """A tenth of the documents, each language's share exactly."""
+    docs = _read(spark, d, "documents").select("doc_id", "lang")
+    return samples.stratified(docs, "doc_id", "lang", docs.count() // 10)
 
 
-@query("select doc_id, source from documents order by md5('7:' || cast(doc_id as varchar)) limit 150")
+@query("select doc_id, source from documents order by md5('7:' || cast(doc_id as varchar)) limit (select count(*) // 20 from documents)")
 def sample_random(spark, d):
-    return samples.drawn(_read(spark, d, "documents").select("doc_id", "source"), "doc_id", 150, 7)
+    docs = _read(spark, d, "documents").select("doc_id", "source")
+    return samples.drawn(docs, "doc_id", docs.count() // 20, 7)
 
 
-@query("""with found as (select lang, n_chars % 50 as step, doc_id // 3 as doc from documents), f as (select lang, step, count(*) as fresh from (select lang, doc, min(step) as step from found group by all) group by all), s as (select distinct lang, step from found)
- select lang, step, coalesce(fresh, 0) as fresh, sum(coalesce(fresh, 0)) over (partition by lang order by step)::bigint as unique_docs from s left join f using (lang, step)""")
+@query("""with found as (select lang || ':' || source as part, n_chars // 100 as step, doc_id // 3 as doc from documents), f as (select part, step, count(*) as fresh from (select part, doc, min(step) as step from found group by all) group by all), s as (select distinct part, step from found)
+ select part, step, coalesce(fresh, 0) as fresh, sum(coalesce(fresh, 0)) over (partition by part order by step)::bigint as unique_docs from s left join f using (part, step)""")
 def coverage_bitmaps(spark, d):
-    """Documents (three ids are one) that each language's steps bring, and all met so far, by merged bitmaps."""
-    found = _read(spark, d, "documents").select("lang", F.pmod("n_chars", F.lit(50)).cast("long").alias("step"), F.floor(F.col("doc_id") / 3).alias("doc"))
-    rows = coverage.unique_so_far(coverage.documents_as_bitmaps(found, ["lang", "step"]), "lang", "step")
+    """Documents (three ids are one) that each step of a language's source brings, and all met so far, by merged bitmaps."""
+    part, step = F.concat_ws(":", "lang", "source").alias("part"), F.floor(F.col("n_chars") / 100).alias("step")
+    found = _read(spark, d, "documents").select(part, step, F.floor(F.col("doc_id") / 3).alias("doc"))
+    rows = coverage.unique_so_far(coverage.documents_as_bitmaps(found, ["part", "step"]), "part", "step")
     return rows.withColumnRenamed("unique", "unique_docs")
 
 
 @query()
 def unique_documents_sketch(spark, d):
-    """About how many distinct beginnings of texts each language has, from a sketch for each of its sources."""
-    found = _read(spark, d, "documents").select("lang", "source", F.substring("text", 1, 40).alias("doc"))
-    return coverage.unique_by_sketch(coverage.document_sketches(found, ["lang", "source"]), ["lang"])
+    """About how many distinct beginnings texts of a language and size have, from a sketch for each source."""
+    size = F.floor(F.col("n_chars") / 200).alias("size")
+    found = _read(spark, d, "documents").select("lang", size, "source", F.substring("text", 1, 40).alias("doc"))
+    return coverage.unique_by_sketch(coverage.document_sketches(found, ["lang", "size", "source"], bits=10), ["lang", "size"])
 
 
 @query(f"""select a.vec_id, case when trim(lang) = '' or a.vec_id % 5 = 0 then 0.0 else round({_DOT.format(a='a.embedding', b='b.embedding')} / ({_NORM.format(a='a.embedding')} * {_NORM.format(a='b.embedding')}), 6) end as similarity
