@@ -1,5 +1,6 @@
 """Indexes and clusters against brute force, and that they read what they should."""
 
+import hashlib
 import random
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
@@ -168,14 +169,23 @@ def test_an_append_without_its_sizes_does_not_count(spark, tmp_path):
     assert text_index.top_k(spark, index, asked, 5).collect() == want
 
 
-def test_samples_have_exact_sizes_in_any_order(spark):
-    df = spark.createDataFrame([(i, None if i % 50 == 0 else "ab"[i % 7 == 0]) for i in range(1000)], "id long, s string")
-    for size in (0, 1, 7, 100, 2000):
+def test_samples_are_the_first_hashes_of_each_stratum(spark, monkeypatch):
+    rows = [(i, None if i % 50 == 0 else "ab"[i % 7 == 0]) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id long, s string")
+    hashed = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i, s) for i, s in rows)
+    counts = {s: sum(r[1] == s for r in rows) for s in (None, "a", "b")}
+    for digits, size in ((4, 0), (4, 1), (1, 7), (4, 100), (0, 333), (4, 2000)):
+        monkeypatch.setattr(samples, "DIGITS", digits)
+        most = min(size, 1000)
+        quota = {s: most * n // 1000 for s, n in counts.items()}
+        rest = sorted((-(most * n % 1000), s is not None, s or "", s) for s, n in counts.items() if most * n % 1000)
+        for *_, s in rest[: most - sum(quota.values())]:
+            quota[s] += 1
+        want = {i for s in counts for i in [i for _, i, t in hashed if t == s][: quota[s]]}
         got = samples.stratified(df.repartition(7), "id", "s", size).collect()
-        assert len(got) == min(size, 1000)
-    counts = {r.s: r["count"] for r in samples.stratified(df, "id", "s", 100).groupBy("s").count().collect()}
-    assert sum(counts.values()) == 100 and counts[None] == 2
-    assert {r.id for r in samples.drawn(df, "id", 20).collect()} == {r.id for r in samples.drawn(df.repartition(9), "id", 20).collect()}
+        assert {r.id for r in got} == want and len(got) == most
+        drawn = samples.drawn(df.repartition(5), "id", size).collect()
+        assert {r.id for r in drawn} == {i for _, i, _ in hashed[:most]} and len(drawn) == most
 
 
 def test_bitmaps_are_exact_and_sketches_within_their_error(spark):
