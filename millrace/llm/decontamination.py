@@ -252,10 +252,15 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     shards = max(-(-items.count() // shard_items), 1)
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)).cast("int"))
     terms = written(items.mapInArrow(_terms, "shard int, size int, term long"), "terms") if shards > 1 else None
-    indexes = [spark.sparkContext.broadcast(_index(items, terms, shard, similarity)) for shard in range(shards)]
     out = None
     for at in range(0, shards, SHARDS_AT_ONCE):
-        found = texts.mapInArrow(_search(indexes[at : at + SHARDS_AT_ONCE], similarity), _FOUND)
+        # The driver and the tasks hold the indexes of one reading at a time.
+        indexes = [spark.sparkContext.broadcast(_index(items, terms, shard, similarity)) for shard in range(at, min(at + SHARDS_AT_ONCE, shards))]
+        found = texts.mapInArrow(_search(indexes, similarity), _FOUND)
+        if shards > SHARDS_AT_ONCE:
+            found = written(found, "found")
+            for index in indexes:
+                index.destroy()
         out = found if out is None else out.union(found)
     best = F.max(F.struct("overlap", "score", (-F.col("passage")).alias("p"), "question", "answer")).alias("b")
     out = out.groupBy("doc_id", "item_id").agg(best)

@@ -10,7 +10,7 @@ them with the links.
 
 Pair counts can be broadcast: of two tokens that end at one byte, the shorter one's bytes are the
 end of the longer one's, so there are at most as many pairs as the vocabularies' bytes,
-twice (some 650,000 for the two public ones, 16 bytes each), however large the corpus.
+twice (813,308 for the two public ones, 16 bytes each), however large the corpus.
 
 Equal words are encoded once for a part of the texts. A uses ``byte_bpe``; for B this is right as no piece of its
 vocabulary goes on over a blank that follows another character, which is checked when it is read.

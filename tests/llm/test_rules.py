@@ -151,7 +151,7 @@ def words_of(text):
     return re.sub(r"[\x00-\x7f]", lambda m: m[0] if m[0].isalnum() else " ", (text or "").lower()).split()
 
 
-def test_contamination_against_brute_force(spark):
+def test_contamination_against_brute_force(spark, monkeypatch):
     filler = " ".join(f"w{(j * 13) % 211}" for j in range(300))
     rows = [*EDGES] + [(i, f"{filler} {t.upper()} {filler}", "en", "s") for i, t in ITEMS[:10]] + [(50, ITEMS[3][1] + " " + ITEMS[4][1], "en", "s"), (51, filler, "en", "s"), (52, "so two; words!", "en", "s"), (53, " ".join(ITEMS[5][1].split()[3:]), "en", "s"), (54, " ".join(ITEMS[5][1].split()[:12]), "en", "s")]
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
@@ -179,6 +179,9 @@ def test_contamination_against_brute_force(spark):
     assert parts == pytest.approx(full)  # scores don't depend on the shards
     small = set(parts)
     assert small == got
+    monkeypatch.setattr("millrace.llm.decontamination.SHARDS_AT_ONCE", 2)
+    readings = {(r.doc_id, r.item_id): r.score for r in contaminated(table(spark, rows), items, shard_items=7).collect()}
+    assert readings == pytest.approx(full)  # nor on how many are held at a time
     left = decontaminated(table(spark, rows), items)
     assert {r.doc_id for r in left.collect()} == {r[0] for r in rows} - {d for d, _ in got} and left.columns == table(spark, rows).columns
 
