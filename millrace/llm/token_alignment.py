@@ -105,6 +105,9 @@ def _session() -> duckdb.DuckDBPyConnection:
 #: Bytes of text that are aligned together, and that make a batch of results.
 PART, BATCH = 1 << 18, 1 << 22
 
+#: Tokens of A that DuckDB gets at a time, at least; a stretch without blanks may have more.
+CHUNK = 1 << 18
+
 #: From the interval tables a and b (i, row, id, s, e): all overlaps with their place in order, whether one is its token's first, whether the ends meet, and the group by the number of meetings before.
 _OVERLAPS = """with begun as (select a.*, b.i as first from a asof join b on a.s >= b.s),
 whole as (select begun.*, b.i as last from begun asof join b on begun.e > b.s),
@@ -123,6 +126,34 @@ def _intervals(tokens: Encoded, sizes: np.ndarray, starts: np.ndarray, usable: n
     return pa.table({name: c.astype(np.int32) for name, c in zip(("i", "row", "id", "s", "e"), columns, strict=True)})
 
 
+def _overlaps(a: pa.Table, b: pa.Table) -> list[np.ndarray]:
+    """row, a, b, opens_a, opens_b, meets and g of all overlaps, in order.
+
+    Long tables are cut where a token of A and one of B end together, as no group reaches over such a place.
+    """
+    cuts = [(0, 0)]
+    if a.num_rows > CHUNK:
+        ends = [t.column("e").to_numpy() for t in (a, b)]
+        shared = np.intersect1d(*ends)
+        for at in range(CHUNK, a.num_rows, CHUNK):
+            end = shared[np.searchsorted(shared, ends[0][at])]
+            cuts.append(tuple(int(np.searchsorted(e, end, side="right")) for e in ends))
+    cuts = sorted({*cuts, (a.num_rows, b.num_rows)})
+    out, groups, duck = [], 0, _session()
+    for low, high in zip(cuts, cuts[1:], strict=False):
+        for name, table, begin, end in zip("ab", (a, b), low, high, strict=True):
+            some = table.slice(begin, end - begin)
+            duck.register(name, some.set_column(0, "i", pa.array(np.arange(some.num_rows, dtype=np.int32))))
+        place, *found = (c.to_numpy() for c in duck.sql(_OVERLAPS).to_arrow_table().columns)
+        if (np.diff(place) < 0).any():
+            order = np.argsort(place)
+            found = [c[order] for c in found]
+        found[-1] = found[-1] + groups
+        groups = int(found[-1][-1]) + 1
+        out.append(found)
+    return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+
 class _Row:
     """What the parts of one text add up to."""
 
@@ -172,14 +203,7 @@ def _aligned_batch(batch: pa.RecordBatch, a: ByteBpe, b: PieceBpe) -> pa.RecordB
         usable = ~other & (np.diff(block.starts) > 0)
         if not usable.any():
             continue
-        duck = _session()
-        duck.register("a", _intervals(by_a, a.sizes, block.starts, usable))
-        duck.register("b", _intervals(by_b, b.sizes, block.starts, usable))
-        place, *found = (c.to_numpy() for c in duck.sql(_OVERLAPS).to_arrow_table().columns)
-        if (np.diff(place) < 0).any():
-            order = np.argsort(place)
-            found = [c[order] for c in found]
-        row, id_a, id_b, opens_a, opens_b, meets, group = found
+        row, id_a, id_b, opens_a, opens_b, meets, group = _overlaps(_intervals(by_a, a.sizes, block.starts, usable), _intervals(by_b, b.sizes, block.starts, usable))
         counts = np.column_stack([np.bincount(row[on], minlength=block.rows) for on in (opens_a, opens_b, slice(None), meets)])
         sides = np.repeat(np.arange(2), (opens_a.sum(), opens_b.sum()))
         told = _told(np.append(row[opens_a], row[opens_b]), np.append(group[opens_a], group[opens_b]), sides, np.append(id_a[opens_a], id_b[opens_b]), block.rows)

@@ -88,6 +88,10 @@ def test_random_texts_and_long_ones_in_parts(spark, monkeypatch):
     whole = module._aligned_batch(batch, a, b)
     monkeypatch.setattr(module, "PART", 64)
     assert module._aligned_batch(batch, a, b).equals(whole)
+    monkeypatch.setattr(module, "PART", 1 << 19)
+    for chunk in (1, 50):
+        monkeypatch.setattr(module, "CHUNK", chunk)
+        assert module._aligned_batch(batch, a, b).equals(whole)
     assert [b.num_rows for b in module._slices(batch)] == [len(texts)]
     assert whole.column("groups_sha256").to_pylist() == [w[6] for w in want]
     assert [len(x) // 4 for x in whole.column("link_a").to_pylist()] == [w[3] for w in want]
