@@ -1016,6 +1016,24 @@ def candidate_variant(spark, d):
     return readers.from_variants(rows).select("file", "query")
 
 
+@query("select cast(doc_id as varchar) as uid, row_number() over (order by doc_id) as sample_no, md5(text) as digest from documents")
+def dataset_scan(spark, d):
+    """A data set of JSON lines, written in order of id, with the numbers that its lines have over all files."""
+    path = _place(spark, "dataset")
+    rows = _read(spark, d, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    rows.select(F.col("text").alias("query"), F.col("doc_id").cast("string").alias("uid")).write.json(path)
+    return readers.qa_dataset(spark, path).select("uid", "sample_no", F.md5("query").alias("digest"))
+
+
+@query("select distinct cast(doc_id // 2 as varchar) as doc_id from documents where doc_id % 5 <> 0")
+def prior_scan(spark, d):
+    """Known documents of a file with repeats and lines that are no objects."""
+    path = _place(spark, "prior")
+    line = F.when(F.col("doc_id") % 5 == 0, "not json").otherwise(F.concat(F.lit('{"doc_id": "'), F.floor(F.col("doc_id") / 2).cast("string"), F.lit('"}')))
+    _read(spark, d, "documents").select(line.alias("value")).write.text(path)
+    return readers.prior_documents(spark, path)
+
+
 # Samples and sketches.
 
 @query("""with c as (select lang, count(*) as n from documents group by 1), q as (select lang, n, total // 10 as size, (total // 10 * n) // total as whole, (total // 10 * n) % total as rest from c, (select sum(n)::bigint as total from c)),
