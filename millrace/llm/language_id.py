@@ -1,6 +1,8 @@
 """Language identification by hierarchical discrimination.
 
-Method. Features are the shares of a text's byte trigrams. Linear support
+Method. Features are the shares of a text's byte trigrams. Families of languages are learnt from
+these: the languages with the likest profiles are joined, step by step, into families of at most the root of the number of
+languages, so either level has few machines however many languages there are. Linear support
 vector machines first tell the language family, then one-versus-one
 machines among the languages of that family separate close relatives. Each
 machine's margin is calibrated to a probability; the score is the least
@@ -14,6 +16,7 @@ length cost a look-up for each byte.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -26,12 +29,6 @@ from .blocks import Block, blocks
 from .linear import bounded_sample, linear_svm, logistic, sigmoid
 from .scratch import free_names
 
-#: Families of languages by code; a language that is not here is a family of its own.
-FAMILIES = {
-    "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
-    "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
-    "slavic": ("ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
-}
 #: Documents of each language that the machines are fitted on.
 PER_CLASS = 400
 #: Hashed trigrams.
@@ -137,8 +134,18 @@ class Hierarchy:
         return best, least[np.arange(len(sure)), best]
 
 
-def family_of(language: str) -> str:
-    return next((f for f, members in FAMILIES.items() if language in members), language)
+def families(names: list[str], shares: np.ndarray) -> dict[str, list[str]]:
+    """Languages by family, from their profiles (shares of trigrams, a row each): the groups whose members are likest on average are joined, of ties the first by name.
+
+    The likeness of two profiles is the sum of the roots of their products, 1 for equal ones. A family has at most
+    as many members as the root of the number of languages, rounded up.
+    """
+    like, most = np.sqrt(shares) @ np.sqrt(shares).T, math.isqrt(max(len(names) - 1, 0)) + 1
+    groups = [[i] for i in range(len(names))]
+    while pairs := [(a, b) for a, b in combinations(range(len(groups)), 2) if len(groups[a]) + len(groups[b]) <= most]:
+        a, b = max(pairs, key=lambda p: (round(float(like[np.ix_(groups[p[0]], groups[p[1]])].mean()), 9), -p[0], -p[1]))
+        groups[a] = sorted(groups[a] + groups.pop(b))
+    return {"+".join(names[i] for i in group): [names[i] for i in group] for group in groups}
 
 
 def fit(texts: list[str], languages: list[str]) -> Hierarchy:
@@ -151,7 +158,6 @@ def fit(texts: list[str], languages: list[str]) -> Hierarchy:
             if len(part):
                 x[block.first + i] = np.bincount(part, minlength=BUCKETS) * (_SCALE / len(part))
     y = np.array(languages)
-    family = np.array([family_of(v) for v in languages])
 
     def machine(labels: np.ndarray, a: str, b: str) -> Machine:
         rows = (labels == a) | (labels == b)
@@ -169,7 +175,9 @@ def fit(texts: list[str], languages: list[str]) -> Hierarchy:
                 profiles[names.index(languages[block.first + i])] += np.bincount(code[first[i] : first[i + 1]], minlength=BUCKETS) / (first[i + 1] - first[i])
     shares = profiles / np.maximum(profiles.sum(axis=1, keepdims=True), 1e-9)
     profiles = np.log((1 - SMOOTHING) * shares * BUCKETS + SMOOTHING)
-    members = {f: sorted({v for v in languages if family_of(v) == f}) for f in sorted(set(family))}
+    members = families(names, shares)
+    own = {v: f for f, held in members.items() for v in held}
+    family = np.array([own[v] for v in languages])
     return Hierarchy([machine(family, a, b) for a, b in combinations(members, 2)], {f: [machine(y, a, b) for a, b in combinations(v, 2)] for f, v in members.items()}, members, names, profiles)
 
 

@@ -225,3 +225,16 @@ def test_agreement_with_templates_of_few_words():
     proprietary = model.families.index("proprietary")
     assert model.agreement(proprietary, _words("Copyright 2020 Foo Inc. All rights reserved.")) == 1.0
     assert model.agreement(proprietary, _words("All the rights of others are reserved here.")) < 0.8
+
+
+def test_families_are_learnt_from_profiles():
+    from millrace.llm.language_id import families
+
+    rng = np.random.default_rng(1)
+    roots = rng.random((3, 50)) ** 4
+    shares = np.array([roots[i % 3] + 0.1 * rng.random(50) for i in range(9)])
+    shares /= shares.sum(axis=1, keepdims=True)
+    names = [f"l{i}" for i in range(9)]
+    assert sorted(families(names, shares).values()) == [[f"l{i}" for i in range(k, 9, 3)] for k in range(3)]
+    assert families(["x"], np.ones((1, 5)) / 5) == {"x": ["x"]} and families([], np.zeros((0, 5))) == {}
+    assert all(len(v) <= 5 for v in families([f"m{i:02}" for i in range(20)], np.ones((20, 5)) / 5).values())
