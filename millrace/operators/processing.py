@@ -76,7 +76,12 @@ def reranked(evidence: DataFrame, queries: DataFrame, method: str = "cross_encod
             raise ValueError("the cross_encoder method needs a model; pass cross_encoder")
         scored = evidence.join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", cross_encoder(F.col("query"), F.substring("text", 1, 512))).drop("query")
     else:
-        scored = simple_scores(evidence)
+        # Places and scores decide; texts meet the few that are left.
+        scored = simple_scores(evidence.select("query_id", "pos", "score")).withColumn("rerank_score", F.round("rerank_score", PLACES))
+        top = _head(scored.withColumn("_at", F.col("pos")), top_k, [F.desc("rerank_score"), F.col("pos")])
+        top = top.select(F.col("query_id").alias("_q"), "_at", F.col("pos").alias("_pos"), "rerank_score")
+        met = evidence.join(top, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("pos") == F.col("_at")))
+        return met.withColumn("pos", F.col("_pos")).drop("_q", "_at", "_pos")
     scored = scored.withColumn("rerank_score", F.round("rerank_score", PLACES))
     return _head(scored, top_k, [F.desc("rerank_score"), F.col("pos")])
 
