@@ -107,7 +107,8 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     difference and gets the calibration's own score for that; without labels
     every score is 0.5; with one label only the dictionary of the other is
     empty; repeated rows are scored each, and where a labelled id is repeated
-    its least text is learnt from; an empty table gives none; columns other
+    its least text is learnt from; texts of one difference have one score; of a very long text
+    every part is scored; an empty table gives none; columns other
     than those named are ignored.
     """
     spark, read = docs.sparkSession, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

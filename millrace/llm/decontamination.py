@@ -243,7 +243,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Defined cases: null and empty texts and items match nothing; an item of
     two to four words is one shingle of all its words, one of a single word
     matches nothing; repeated items are
-    items of their own, repeated rows of a document one document; an empty
+    items of their own, repeated rows of a document one document; of passages
+    with equal overlaps the first counts; every passage of a very long text is searched; an empty
     table gives none; columns other than those named are ignored.
     """
     spark = docs.sparkSession

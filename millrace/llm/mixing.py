@@ -88,7 +88,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Defined cases: a null text has size 0 and nothing is taken of it; a null
     source is a source of its own, the last in order; repeated rows count
-    each; a source without words gets nothing; an empty table gives none;
+    each; a very long text counts with all its words; quotients that tie go to the first source or
+    shard; a source without words gets nothing; an empty table gives none;
     columns other than those named are ignored.
     """
     text = F.col(text_col).cast("string")

@@ -136,7 +136,7 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Defined cases: a null or empty text has no words and fails the base rule;
     null languages and sources are groups of their own; repeated rows count
-    each; ties fall into one bucket; an empty table gives none; columns other
+    each; ties fall into one bucket; very long texts are measured whole; an empty table gives none; columns other
     than those named are ignored.
     """
     counts = written(measured(docs, id_col, text_col, lang_col, source_col), "measures")

@@ -147,7 +147,7 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     Defined cases: a null text counts as empty and has no spans; null owners
     count as one owner, null repositories as none; rows that repeat a doc_id
     have their own spans each; spans that begin together go by kind as
-    listed; an empty table gives none; other columns are ignored.
+    listed; very long texts are scanned whole; an empty table gives none; other columns are ignored.
     """
     columns = {"doc_id": F.col(id_col).cast("long"), "owner": F.col(owner_col).cast("string"), "repository": F.col(repository_col).cast("string"), "text": F.col(text_col).cast("string")}
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), *(c.alias(name) for name, c in columns.items()))

@@ -191,7 +191,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links like any other; a text of fewer than three words is one shingle;
     rows that repeat a doc_id are documents of their own with that id; a row
     without doc_id gets the component of its fingerprint, whose id is null if
-    all its documents have none; an empty table gives none; columns other
+    all its documents have none; a bit set in exactly half the hashes is 0; of a very long text all shingles
+    count, some at a time; an empty table gives none; columns other
     than the two named are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -208,7 +208,8 @@ def repeated_words_removed(docs: DataFrame, id_col: str = "doc_id", text_col: st
     Defined cases: a null text has no words; a text under ``length`` words
     stays whole; rows that repeat a doc_id, with equal or other texts, are of
     the same document, so neither removes the other's words; a row without
-    doc_id stays whole and removes nothing; an empty table gives none; columns
+    doc_id stays whole and removes nothing (no id is smaller than none); very long texts are
+    read whole, with working memory in proportion; an empty table gives none; columns
     other than the two named are ignored.
     """
     docs = keyed_texts(docs, id_col, text_col)
