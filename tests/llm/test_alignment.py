@@ -81,7 +81,7 @@ def test_random_texts_and_long_ones_in_parts(spark, monkeypatch):
 
     from millrace.llm import token_alignment as module
 
-    texts = random_texts(300, 5) + ["alpha beta  gamma. " * 200, "q" * 500 + " " + "r" * 500]
+    texts = random_texts(120, 5) + ["alpha beta  gamma. " * 200, "q" * 500 + " " + "r" * 500]
     want = by_plain_loops(texts)
     a, b = vocabulary(open(A, encoding="utf-8").read()), pieces(open(B, "rb").read())
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.large_string())], names=["doc_id", "text"])
@@ -89,7 +89,7 @@ def test_random_texts_and_long_ones_in_parts(spark, monkeypatch):
     monkeypatch.setattr(module, "PART", 64)
     assert module._aligned_batch(batch, a, b).equals(whole)
     monkeypatch.setattr(module, "PART", 1 << 19)
-    for chunk in (1, 50):
+    for chunk in (20, 500):
         monkeypatch.setattr(module, "CHUNK", chunk)
         assert module._aligned_batch(batch, a, b).equals(whole)
     assert [b.num_rows for b in module._slices(batch)] == [len(texts)]
