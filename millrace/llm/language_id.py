@@ -188,8 +188,8 @@ def _learnt(labelled: DataFrame, text_col: str, lang_col: str, per_class: int) -
     return model, np.column_stack([m.weights for m in model.machines()]) if model and model.machines() else np.zeros((BUCKETS, 0))
 
 
-def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
-    """The columns of ``docs``, then the predicted language, its score and its evidence, learnt from the text and language of ``labelled`` alone.
+def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS, keep: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` (or those of ``keep``), then the predicted language, its score and its evidence, learnt from the text and language of ``labelled`` alone.
 
     The evidence says how much better, in nats, the language's trigrams explain
     the text than evenly spread ones do: below zero for what is in no learnt language.
@@ -201,9 +201,10 @@ def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lan
     table gives none; other columns are passed on as they are.
     """
     held = docs.sparkSession.sparkContext.broadcast(_learnt(labelled, text_col, lang_col, per_class))
-    width = len(docs.columns)
+    kept = docs.select(*(docs.columns if keep is None else keep))
+    width = len(kept.columns)
     text_name, letter_name, *new = free_names(docs, "_text", "_letter", "_lang_pred", "_score", "_evidence")
-    out = StructType([*docs.schema, StructField(new[0], StringType()), StructField(new[1], DoubleType()), StructField(new[2], DoubleType())])
+    out = StructType([*kept.schema, StructField(new[0], StringType()), StructField(new[1], DoubleType()), StructField(new[2], DoubleType())])
 
     def predict(batches):
         model, weights = held.value
@@ -219,13 +220,13 @@ def identified(docs: DataFrame, labelled: DataFrame, text_col: str = "text", lan
                 yield pa.RecordBatch.from_arrays([*rows.columns[:width], pa.array(pred, pa.string()), pa.array(score), pa.array(known)], names=out.names)
 
     text = F.col(text_col).cast("string")
-    return docs.select("*", text.alias(text_name), text.rlike(r"\p{L}").alias(letter_name)).mapInArrow(predict, out)
+    return docs.select(*kept.columns, text.alias(text_name), text.rlike(r"\p{L}").alias(letter_name)).mapInArrow(predict, out)
 
 
 def predicted(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, lang_pred and score of each of ``docs``; see ``identified``."""
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return identified(read, labelled.select(F.col(text_col).alias("text"), lang_col), "text", lang_col, per_class).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return identified(read, labelled.select(F.col(text_col).alias("text"), lang_col), "text", lang_col, per_class, ["doc_id"]).select("doc_id", F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def language_accepted(docs: DataFrame, least_evidence: float = LEAST_EVIDENCE) -> DataFrame:
