@@ -136,3 +136,41 @@ def bm25_best(postings: DataFrame, asked: Asked, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return postings.select("id", "codes", "tfs", "dls").mapInArrow(scan, kinds)
+
+
+def padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """A column of vectors as rows of so many numbers, cut or filled with zeros, and their sizes; -1 for null ones and those with a null."""
+    flat, first = lists(column)
+    sizes = np.diff(first)
+    row = np.repeat(np.arange(len(column)), sizes)
+    at = np.arange(len(flat)) - first[row]
+    out, own = np.zeros((len(column), width)), at < width
+    out[row[own], at[own]] = flat.fill_null(0).to_numpy()[own]
+    sizes[column.is_null().to_numpy(zero_copy_only=False)] = -1
+    sizes[row[flat.is_null().to_numpy(zero_copy_only=False)]] = -1
+    return out, sizes
+
+
+def vectors_best(corpus: DataFrame, probes: pa.Table, k: int) -> DataFrame:
+    """(query_id, id, score) of what may be among the best ``k`` by inner product; null, and last, where a vector is missing or of another size. probes: query_id, vector."""
+    vectors = probes.column("vector").combine_chunks()
+    width = int(np.diff(lists(vectors)[1]).max(initial=0))
+    held = corpus.sparkSession.sparkContext.broadcast((probes.column("query_id").combine_chunks(), *padded(vectors, width)))
+    kinds = corpus.sparkSession.createDataFrame(probes.select(["query_id"]).slice(0, 0)).schema.add(corpus.schema["id"]).add("score", "double")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, asked, asked_sizes = held.value
+        best = Best(len(keys), k)
+        for batch in batches:
+            for begin, end in cuts(np.zeros(batch.num_rows, np.int64), len(keys)):
+                ids = batch.column(0).slice(begin, end - begin)
+                x, sizes = padded(batch.column(1).slice(begin, end - begin), asked.shape[1])
+                scores = asked @ x.T
+                missing = (asked_sizes[:, None] != sizes) | (sizes < 0)
+                if missing.any():
+                    scores[missing] = -np.inf
+                query, row, value = best.add(scores, places(ids))
+                columns = [keys.take(pa.array(query)), ids.take(pa.array(row)), pa.array(value, mask=missing[query, row])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+
+    return corpus.select("id", "vector").mapInArrow(scan, kinds)

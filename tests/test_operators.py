@@ -100,6 +100,15 @@ def test_knn_in_blocks_of_probes(spark):
     assert whole == sorted(map(tuple, retrieval.knn_top_k(corpus, probes, 4, most_probes=2).collect())) and len(whole) == 24
 
 
+def test_vectors_that_are_missing_or_of_another_size_come_last(spark):
+    rows = [("a", [1.0, 2.0]), ("b", None), ("c", [9.0]), ("d", [3.0, None]), ("e", [0.0, 1.0]), ("f", [1.0, 2.0])]
+    corpus, probes = spark.createDataFrame(rows, "id string, vector array<float>"), spark.createDataFrame([("p", [1.0, 1.0]), ("q", None), ("r", [2.0])], "query_id string, vector array<double>")
+    got = {}
+    for r in retrieval.knn_top_k(corpus, probes, 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.id, r.score))
+    assert got == {"p": [("a", 3.0), ("f", 3.0), ("e", 1.0), ("b", None)], "q": [(i, None) for i in "abcd"], "r": [("c", 18.0), ("a", None), ("b", None), ("d", None)]}
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
 
@@ -117,6 +126,16 @@ def test_the_best_of_parts_are_those_of_the_whole(monkeypatch):
         assert [sorted(x for x in got if x[0] == q)[:k] for q in range(5)] == want
 
 
+def test_vector_pairs_are_neither_sorted_nor_exchanged(spark):
+    r = np.random.default_rng(3)
+    x = r.integers(-3, 4, (400, 4)).astype(float)
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>").repartition(3)
+    top = retrieval.knn_top_k(corpus, corpus.where("id < 20").withColumnRenamed("id", "query_id"), 7)
+    order = np.lexsort((np.broadcast_to(np.arange(400), (20, 400)), -(x[:20] @ x.T)))[:, :7]
+    assert sorted(map(tuple, top.select("query_id", "rank", "id").collect())) == sorted((q, n + 1, int(i)) for q in range(20) for n, i in enumerate(order[q]))
+    assert "Join" not in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_bm25_pairs_are_not_exchanged(spark, monkeypatch):
     r = random.Random(4)
     text = lambda n: " ".join(r.choice("abcdefghij") * r.randrange(1, 3) for _ in range(n))
