@@ -21,7 +21,7 @@ from .plans.components import Services
 from .plans.state import started
 from .plans.workflow import Workflow
 from .sources import datasource, readers
-from .sources.shared import shared_folder
+from .sources.shared import shared_folder, written
 from .streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -825,7 +825,8 @@ _FLAG = f"""with {_Q}, {_BM25_SQL.format(head='x as (select 1)', tok=_TOK.format
 @query(_FLAG)
 def flagship_cited_evidence(spark, d):
     corpus, asked = _corpus(spark, d), _asked(spark, d)
-    hits = retrieval.bm25_top_k(corpus, asked, 20).join(corpus, "id").withColumn("angle", F.lit(0)).withColumn("source", F.lit("index"))
+    top = written(retrieval.bm25_top_k(corpus, asked, 20), "top")  # of a known size, so that Spark may send it to the texts
+    hits = written(top.join(corpus, "id"), "hits").withColumn("angle", F.lit(0)).withColumn("source", F.lit("index"))
     evidence = retrieval.inserted(retrieval.nonempty(hits), ["angle", "rank"])
     return answers.citations(processing.deduplicated(processing.filtered(evidence)))
 
