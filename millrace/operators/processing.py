@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
+from ..sources.shared import written
 from .retrieval import PLACES, first_k, numbered
 
 _BY = ["query_id"]
@@ -51,14 +52,20 @@ def okapi_scores(evidence: DataFrame, queries: DataFrame) -> DataFrame:
     evidence; a negative idf is replaced by a quarter of the mean idf; terms
     that a query repeats count as often.
     """
-    words = evidence.select("query_id", "id", "pos", tokens(F.col("text")).alias("words")).withColumn("dl", F.size("words"))
-    sets = words.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    tf = words.select("query_id", "id", "pos", "dl", F.explode("words").alias("term")).groupBy("query_id", "pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(sets, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = df.groupBy("query_id").agg(F.avg("raw").alias("mean_idf"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    asked = written(asked, "asked")  # small tables are written so that Spark knows their size and may send them to the words
+    own = written(asked.groupBy("query_id").agg(F.collect_set("term").alias("own")), "own")
+    # The texts are read once: each piece's terms, and those of its query as often as they come, counted in the piece's own row.
+    words = evidence.select("query_id", "pos", tokens(F.col("text")).alias("words")).join(own, "query_id", "left")
+    hits = F.filter("words", lambda w: F.array_contains("own", w))
+    counted = written(words.select("query_id", "pos", F.size("words").alias("dl"), F.array_distinct("words").alias("terms"), hits.alias("hits")), "counted")
+    sets = written(counted.groupBy("query_id").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")), "sets")
+    df = counted.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("df"))
+    df = written(df, "df").join(sets, "query_id").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = df.groupBy("query_id").agg(F.avg("raw").alias("mean_idf"))
     idf = F.when(F.col("raw") < 0, OKAPI_EPSILON * F.col("mean_idf")).otherwise(F.col("raw"))
-    weighed = asked.join(df, ["query_id", "term"]).join(mean, "query_id").select("query_id", "term", "times", idf.alias("idf"), "mean")
+    weighed = written(asked.join(df, ["query_id", "term"]).join(mean, "query_id").select("query_id", "term", "times", idf.alias("idf"), "mean"), "weighed")
+    tf = counted.select("query_id", "pos", "dl", F.explode("hits").alias("term")).groupBy("query_id", "pos", "dl", "term").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (OKAPI_K1 + 1) / (F.col("tf") + OKAPI_K1 * (1 - OKAPI_B + OKAPI_B * F.col("dl") / F.col("mean")))
     scores = tf.join(weighed, ["query_id", "term"]).groupBy("query_id", "pos").agg(F.sum(part).alias("rerank_score"))
     return evidence.join(scores, ["query_id", "pos"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(0.0)))
@@ -69,15 +76,14 @@ def reranked(evidence: DataFrame, queries: DataFrame, method: str = "cross_encod
 
     ``cross_encoder`` scores (query, text); without one that method raises.
     """
-    if method == "bm25":
-        scored = okapi_scores(evidence, queries)
-    elif method == "cross_encoder":
+    if method == "cross_encoder":
         if cross_encoder is None:
             raise ValueError("the cross_encoder method needs a model; pass cross_encoder")
         scored = evidence.join(queries.select("query_id", "query"), "query_id").withColumn("rerank_score", cross_encoder(F.col("query"), F.substring("text", 1, 512))).drop("query")
     else:
         # Places and scores decide; texts meet the few that are left.
-        scored = simple_scores(evidence.select("query_id", "pos", "score")).withColumn("rerank_score", F.round("rerank_score", PLACES))
+        scored = okapi_scores(evidence.select("query_id", "pos", "text"), queries).drop("text") if method == "bm25" else simple_scores(evidence.select("query_id", "pos", "score"))
+        scored = scored.withColumn("rerank_score", F.round("rerank_score", PLACES))
         top = _head(scored.withColumn("_at", F.col("pos")), top_k, [F.desc("rerank_score"), F.col("pos")])
         top = top.select(F.col("query_id").alias("_q"), "_at", F.col("pos").alias("_pos"), "rerank_score")
         met = evidence.join(top, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("pos") == F.col("_at")))

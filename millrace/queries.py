@@ -55,7 +55,8 @@ def _evidence(spark: SparkSession, d: str) -> DataFrame:
     docs = _read(spark, d, "documents").withColumn("part", F.floor(F.col("doc_id") / 4096))
     sizes = docs.groupBy(F.col("source").alias("s"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("s").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    docs = docs.join(sizes.select("s", "p", before.alias("before")), F.expr("source <=> s and part = p"))
+    sizes = written(sizes.select("s", "p", before.alias("before")), "stretches")  # of a known size, so that Spark may send it to the texts
+    docs = docs.join(sizes, F.expr("source <=> s and part = p"))
     pos = (F.row_number().over(Window.partitionBy("source", "part").orderBy("doc_id")) - 1 + F.col("before")).cast("int")
     score = F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 100).cast("double") / 100)
     return docs.select(F.col("source").alias("query_id"), pos.alias("pos"), F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"), "text", F.lit(None).cast("string").alias("title"), score.alias("score"))

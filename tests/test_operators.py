@@ -77,6 +77,16 @@ def test_okapi_over_each_query_s_own_evidence(spark):
         assert abs(got[f"d{i}"] - want) < 1e-9
 
 
+def test_reranking_by_okapi_moves_no_words(spark):
+    df = evidence(spark, [(f"a b w{i}" if i % 3 else "w1 w1 a", None) for i in range(40)])
+    queries = spark.createDataFrame([("q", "A w1 w2 w2")], "query_id string, query string")
+    scored = {r.pos: round(r.rerank_score, 4) for r in processing.okapi_scores(df, queries).collect()}
+    top = processing.reranked(df, queries, "bm25", 5)
+    assert [(r.id, r.rerank_score) for r in top.orderBy("pos").collect()] == [(f"d{i}", s) for i, s in sorted(scored.items(), key=lambda x: (-x[1], x[0]))[:5]]
+    plan = processing.okapi_scores(df, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "lower(" not in plan  # the plan over what is counted reads no words again
+
+
 def test_insert_is_first_wins_and_tombstones_stay_out(spark):
     hits = spark.createDataFrame([("q", 0, 1, "a"), ("q", 0, 2, "b"), ("q", 1, 1, "b"), ("q", 1, 2, "c"), ("r", 0, 1, "a")], "query_id string, angle int, rank int, id string")
     got = {(r.query_id, r.pos): r.id for r in retrieval.inserted(hits, ["angle", "rank"]).collect()}
