@@ -126,6 +126,30 @@ class Bitmaps:
         return row[at], self._word[other], container[at], both[hit]
 
 
+def _walk(maps: Bitmaps, fields: list[np.ndarray], length: int, exact: bool, path: np.ndarray, keys: list[np.ndarray], container: np.ndarray, bits: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows that extend the given ones: their words, key and count. ``path``: the words of each given row's phrase; ``keys``: of its last word, its last two, and so on.
+
+    Not a function inside ``mined``: one that calls itself is a cycle, and so would keep each shard's bitmaps until Python collects cycles.
+    """
+    depth = len(keys) + 1
+    for low in range(0, len(container), BATCH):
+        cut = slice(low, low + BATCH)
+        row, word, where, both = maps.extended(container[cut], bits[cut])
+        code = maps.words[word]
+        ends = [code, *(mix(k[cut][row] * _STEP + code) for k in keys)]
+        kept = np.ones(len(row), bool)
+        for field, key in zip(fields[1:], ends[1:], strict=False):
+            kept &= marked(field, key)
+        row, word, where, both, ends = row[kept], word[kept], where[kept], both[kept], [e[kept] for e in ends]
+        if not len(row):
+            continue
+        trail = np.column_stack((path[cut][row], word))
+        if exact or depth == length:
+            yield trail, ends[-1], np.bitwise_count(both).astype(np.int64)
+        if depth < length:
+            yield from _walk(maps, fields, length, exact, trail, ends, where, both)
+
+
 def mined(words: Words, fields: list[np.ndarray], length: int, exact: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Phrases of a shard whose parts are marked: words (a row for each phrase, padded with 0), key and count.
 
@@ -135,27 +159,7 @@ def mined(words: Words, fields: list[np.ndarray], length: int, exact: bool) -> I
     on = marked(fields[0], words.code)
     maps = Bitmaps(words.code[on], words.position[on])
 
-    def walk(path: np.ndarray, keys: list[np.ndarray], container: np.ndarray, bits: np.ndarray) -> Iterator:
-        """``path``: the words of each row's phrase; ``keys``: of its last word, its last two, and so on."""
-        depth = len(keys) + 1
-        for low in range(0, len(container), BATCH):
-            cut = slice(low, low + BATCH)
-            row, word, where, both = maps.extended(container[cut], bits[cut])
-            code = maps.words[word]
-            ends = [code, *(mix(k[cut][row] * _STEP + code) for k in keys)]
-            kept = np.ones(len(row), bool)
-            for field, key in zip(fields[1:], ends[1:], strict=False):
-                kept &= marked(field, key)
-            row, word, where, both, ends = row[kept], word[kept], where[kept], both[kept], [e[kept] for e in ends]
-            if not len(row):
-                continue
-            trail = np.column_stack((path[cut][row], word))
-            if exact or depth == length:
-                yield trail, ends[-1], np.bitwise_count(both).astype(np.int64)
-            if depth < length:
-                yield from walk(trail, ends, where, both)
-
-    for trail, key, count in walk(maps.word[:, None], [maps.words[maps.word]], maps.container, maps.bits):
+    for trail, key, count in _walk(maps, fields, length, exact, maps.word[:, None], [maps.words[maps.word]], maps.container, maps.bits):
         order = np.argsort(key) if not exact else np.lexsort(trail.T)
         new = np.ones(len(order), bool)
         new[1:] = key[order][1:] != key[order][:-1] if not exact else (trail[order][1:] != trail[order][:-1]).any(axis=1)

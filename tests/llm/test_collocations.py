@@ -1,5 +1,7 @@
+import gc
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -87,3 +89,25 @@ def test_bitmaps_carry_into_the_next_container():
     b = maps.word == 1 - a
     _, word, _, bits = maps.extended(maps.container[b], maps.bits[b])
     assert set(word.tolist()) == {a} and int(np.bitwise_count(bits).sum()) == 39
+
+
+def test_a_shard_is_freed_when_it_is_done_without_collecting_cycles(monkeypatch):
+    made = []
+
+    class Kept(Bitmaps):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(weakref.ref(self))
+
+    monkeypatch.setattr(module, "Bitmaps", Kept)
+    (block,) = blocks(pa.array(["a b c d " * 40, "a b c"], pa.large_string()))
+    every = [np.full(1 << (module.FIELD_BITS - 6), ~np.uint64(0))] * 3
+    gc.collect()
+    gc.disable()
+    try:
+        for exact in (False, True):
+            phrases = [n for _, _, count in module.mined(words_of(block, np.zeros(2, np.uint64)), every, 4, exact) for n in count.tolist()]
+            assert sum(phrases) == (157 if not exact else 157 + 158 + 1 + 159 + 2)
+        assert [ref() for ref in made] == [None, None]
+    finally:
+        gc.enable()
