@@ -1,6 +1,6 @@
 """Phrase collocations from position bitmaps, as SPAM mines sequences.
 
-Method. A task lays the words of a shard (half a megabyte of texts) on a line of positions, with a
+Method. A task lays the words of a shard (an eighth of a megabyte of texts) on a line of positions, with a
 gap between pieces, so that no phrase reaches over one. Every word has a bitmap over this line, kept
 compressed: only containers of ``WIDTH`` positions that hold a bit, in order. A phrase's
 bitmap marks its last words. Shifting it by one place, with the carry going to the next
@@ -34,13 +34,13 @@ from .token_counts import parts
 #: Positions of a container.
 WIDTH = 16
 #: Bytes of text of a shard.
-SHARD = 1 << 19
+SHARD = 1 << 17
 #: Rows that are extended together.
-BATCH = 1 << 15
+BATCH = 1 << 14
 #: Size of the field that frequent phrases are marked in, as a power of two.
 FIELD_BITS = 27
 #: Partial counts that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 18
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -205,9 +205,9 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
         lang = pa.array(languages, pa.string()).take(pa.array(number[words.text[at]], pa.int32()))
         waiting.append(pa.table({"lang": lang, "word": text, "code": code.view(np.int64), "n": count}))
-        if sum(t.num_rows for t in waiting) > HELD // 2:
+        if sum(t.num_rows for t in waiting) > HELD:
             waiting = [summed()]
-            if waiting[0].num_rows > HELD // 4:
+            if waiting[0].num_rows > HELD // 2:
                 yield from waiting.pop().to_batches()
     if waiting:
         yield from summed().to_batches()
